@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import simhash
+from matchloom.llm import quality_rules, simhash
 from matchloom.llm.common import documents, materialize
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return docs.filter(quality_rules.verdict(docs)["kept"])
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", dedup_stage)]
+STAGES = [("quality_rules", quality_stage), ("near_dedup", dedup_stage)]
 
 #: No SQL: SimHash, the forest, the perplexity model and the tokenizer can't be stated in it; tests compare by brute force.
 ORACLE_SQL = None

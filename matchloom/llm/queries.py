@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packed, quality_rules, separators, simhash
 from .common import documents
 
+#: Size of the vocabulary of byte_bpe_50k.json, and its end-of-document id.
+VOCABULARY, END_OF_TEXT = 50257, 50256
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files: doc_id, file, start, n_tokens."""
+    return separators.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_OF_TEXT)
+
+
+def op5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to packed files and read back: doc_id, start, n_tokens, ids_crc32."""
+    return packed.read_packed(packed.write_packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2, VOCABULARY))
+
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components over all documents: doc_id, fingerprint, component_id."""
@@ -17,8 +31,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the perplexity verdict of every document."""
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", quality_rules.verdict(docs).alias("v")).select("doc_id", "v.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": op7_simhash}
+    own = (op4_token_counts, op5_packed, op7_simhash, op9_quality_rules)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
