@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packed, quality_rules, separators, simhash
+from . import bpe, packed, quality_rules, separators, simhash
 from .common import documents
 
 #: Size of the vocabulary of byte_bpe_50k.json, and its end-of-document id.
@@ -25,6 +25,11 @@ def op5_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.read_packed(packed.write_packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2, VOCABULARY))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by DuckDB queries: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components over all documents: doc_id, fingerprint, component_id."""
     found = simhash.near_duplicate_components(documents(spark, sf_dir))
@@ -38,7 +43,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_token_counts, op5_packed, op7_simhash, op9_quality_rules)
+    own = (op4_token_counts, op5_packed, op6_bpe, op7_simhash, op9_quality_rules)
     return {f.__name__: f for f in own}
 
 
