@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packed, quality_rules, separators, simhash
+from . import bpe, mixing, packed, quality_rules, separators, sharding, simhash, syncmers
 from .common import documents
 
 #: Size of the vocabulary of byte_bpe_50k.json, and its end-of-document id.
 VOCABULARY, END_OF_TEXT = 50257, 50256
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and its first position in training."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    position = F.round(F.get("positions", F.lit(0)), 6).alias("position")
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", position)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files: doc_id, file, start, n_tokens."""
     return separators.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END_OF_TEXT)
@@ -36,16 +43,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards of near equal bytes."""
+    found = sharding.shard(documents(spark, sf_dir), 24)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the perplexity verdict of every document."""
     docs = documents(spark, sf_dir)
     return docs.select("doc_id", quality_rules.verdict(docs).alias("v")).select("doc_id", "v.*")
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return syncmers.edited(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op4_token_counts, op5_packed, op6_bpe, op7_simhash, op9_quality_rules)
+    own = (op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE}

@@ -60,11 +60,12 @@ def _masks(flips: list[tuple[int, ...]]) -> Column:
     return F.array(*[F.lit(_signed(sum(1 << b for b in f))).cast("long") for f in flips])
 
 
-def _suspects(fps: DataFrame, blocks: int = 3) -> DataFrame:
+def _suspects(fps: DataFrame, blocks: int = 3, near: int = 3) -> DataFrame:
     """The fingerprints that may have another within RADIUS: a superset, cheap to find.
 
     Some block of bits holds at least one of up to three differing bits. With that block masked out at most two differ,
-    so the balls of half that radius (all variants within one flipped bit) meet: both emit a common variant.
+    so the balls of half that radius (all variants within one flipped bit) meet: both emit a common variant. Those that
+    share a variant with up to ``near`` others on either side are compared with them; in larger groups all stay.
     """
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     keys = []
@@ -76,8 +77,11 @@ def _suspects(fps: DataFrame, blocks: int = 3) -> DataFrame:
         keys.append(F.transform(_masks(flips), lambda m, base=masked: base.bitwiseXOR(m)))
     w = Window.partitionBy("variant").orderBy("fp")
     rows = fps.select("fp", F.explode(F.concat(*keys)).alias("variant"))
-    near = rows.select("fp", F.lag("fp").over(w).alias("prev"), F.lead("fp").over(w).alias("next"))
-    return near.filter(F.col("prev").isNotNull() | F.col("next").isNotNull()).select("fp").distinct()
+    # a group of over 2 * near members has, for each of them, one more than ``near`` places off; smaller ones don't need it
+    beyond = [F.lag("fp", near + 1).over(w).isNotNull(), F.lead("fp", near + 1).over(w).isNotNull()]
+    close = [F.bit_count(F.col("fp").bitwiseXOR(f("fp", k).over(w))) <= RADIUS for k in range(1, near + 1) for f in (F.lag, F.lead)]
+    found = rows.select("fp", F.array(*beyond, *close).alias("signs"))
+    return found.filter(F.array_contains("signs", True)).select("fp").distinct()
 
 
 def _links(suspects: DataFrame) -> DataFrame:
@@ -86,7 +90,8 @@ def _links(suspects: DataFrame) -> DataFrame:
     Every fingerprint emits all variants with one flipped bit at most, those of odd parity also variants with two
     flipped bits. Where a variant has a member of the inner ball, all others are within RADIUS of it (1 + 1 or 2 + 1),
     so links to that one member stand for all pairs. Pairs at distance 3 have different parity, and of their three
-    bits two are in the same half of the 64, so pairs of bits within a half suffice.
+    bits two are in the same half of the 64, so pairs of bits within a half suffice. At most 2081
+    fingerprints share a variant, however large a group of near copies is.
     """
     inner = [(), *[(b,) for b in range(BITS)]]
     outer = [p for half in (range(BITS // 2), range(BITS // 2, BITS)) for p in combinations(half, 2)]
@@ -114,10 +119,10 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        w = Window.partitionBy("a")
-        least = both.withColumn("m", F.least(F.min("b").over(w), F.col("a")))
-        large = least.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).withColumn("m", F.min("b").over(w))
+        least = both.groupBy("a").agg(F.min("b").alias("m"))  # and a join, which a hub with many edges can be split in
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small, tag)
