@@ -21,30 +21,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words remembered in a worker; pre-tokens a recursive query takes at once; ids a decoding query takes at once.
-REMEMBER, WORDS, IDS = 600_000, 40_000, 500_000
+REMEMBER, WORDS, IDS = 1_200_000, 40_000, 500_000
 #: A recursive query keeps a row for each id and step, so quadratic in a word: longer pre-tokens (bytes) are contracted
 #: by the same rule in a heap.
 LONG = 200
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
 CONTRACT = """
-WITH RECURSIVE step(k, word, pos, id) AS (
-    SELECT 0, word, pos, id FROM bytes
+WITH RECURSIVE step(word, pos, id, done) AS (
+    SELECT word, pos, id, false FROM bytes
     UNION ALL
-    SELECT k + 1, word, pos, CASE WHEN pos = least & 4294967295 THEN (least >> 32)::INTEGER ELSE id END
+    SELECT word, pos, CASE WHEN pos = least & 4294967295 THEN (least >> 32)::INTEGER ELSE id END, least IS NULL
     FROM (
         SELECT *, min(pair) OVER (PARTITION BY word) AS least
         FROM (
             SELECT s.*, (m.id::BIGINT << 32) + s.pos AS pair
-            FROM (SELECT *, lead(id) OVER w AS next_id, lag(pos) OVER w AS last_pos FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+            FROM (SELECT *, lead(id) OVER w AS next_id, lag(pos) OVER w AS last_pos FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) s
             LEFT JOIN merges m ON m.first = s.id AND m.second = s.next_id
         )
     )
-    WHERE least IS NOT NULL AND last_pos IS DISTINCT FROM (least & 4294967295)
+    WHERE least IS NULL OR last_pos IS DISTINCT FROM (least & 4294967295)
 )
-SELECT word, list(id ORDER BY pos) AS ids
-FROM (SELECT *, max(k) OVER (PARTITION BY word) AS final FROM step) WHERE k = final
-GROUP BY word ORDER BY word
+SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
 
 DECODE = """
@@ -130,14 +128,15 @@ class Codec:
         get = self.words.get
         found = [[get(w) for w in x] for x in split]
         lacking = list(dict.fromkeys(w for x, ids in zip(split, found) if None in ids for w, i in zip(x, ids) if i is None))
-        parts = {w: self.pretokens(w) for w in lacking}
+        # " word," is " word" and ",", and is not remembered
+        parts = {w: [w[:-1], w[-1]] if w[-1] in ".," and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
         new = {w: i for p in parts.values() for w in p if (i := get(w)) is not None}
         new |= self.contract(list(dict.fromkeys(w for p in parts.values() for w in p if w not in new)))
         for w, p in parts.items():
             if len(p) > 1:
                 new[w] = b"".join([new[x] for x in p])
         if len(self.words) < REMEMBER:
-            self.words.update(new)
+            self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2)
         return [b"".join([i if i is not None else new[w] for w, i in zip(x, ids)] if None in ids else ids) for x, ids in zip(split, found)]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:

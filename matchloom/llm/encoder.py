@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words remembered in a worker, for all its tasks; others are encoded once a batch.
-REMEMBER = 300_000
+REMEMBER = 800_000
 #: A space before white space or the end is not always the start of a pre-token.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
@@ -71,10 +71,10 @@ class WordEncoder:
         bases = {w: w[:-1] for w in lacking if w[-1:] in self.marks and w[:-1].isalpha()}
         alone = list(dict.fromkeys([w for w in lacking if w not in bases] + [b for b in bases.values() if b not in self.words]))
         new = self._spaced(alone)
-        for w, base in bases.items():
-            new[w] = (get(base) or new[base]) + self.marks[w[-1]]
         if len(self.words) < REMEMBER:
             self.words.update(new)
+        for w, base in bases.items():
+            new[w] = (get(base) or new[base]) + self.marks[w[-1]]
         out = []
         for text, x, ids in zip(texts, split, found):
             if x is None:
