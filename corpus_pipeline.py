@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import quality_rules, simhash
+from matchloom.llm import bpe, mixing, quality_rules, secrets, simhash
 from matchloom.llm.common import documents, materialize
 
 
@@ -18,9 +19,30 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("near_dedup", dedup_stage)]
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked; every document stays."""
+    return secrets.redact(docs)
 
-#: No SQL: SimHash, the forest, the perplexity model and the tokenizer can't be stated in it; tests compare by brute force.
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in training order: a document comes as often as it is taken, which may be never or several times."""
+    return mixing.in_training_order(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document of the mix, and digests of them and of the decoded bytes."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_dedup", dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+
+#: No SQL: the perplexity model, SimHash, the forest and the tokenizer can't be stated in it; tests compare by brute force.
 ORACLE_SQL = None
 
 

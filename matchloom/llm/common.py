@@ -1,11 +1,11 @@
-"""What several operators share: the shared folder, global order, words."""
+"""What several operators share: the shared folder, words."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space. bytes.split() finds the same runs.
@@ -43,28 +43,3 @@ def partitions(spark: SparkSession) -> int:
 def count_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def global_order(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``row`` (0, 1, ... in the order of ``order``) and, for each column of ``sums``, ``<col>_before``, its sum
-    over all rows before.
-
-    Rows are dealt by range and written; each range is numbered on its own, and the totals of the ranges (one row a
-    partition, so bounded by the partition count) shift it. No task sees more than its range.
-    """
-    n = partitions(df.sparkSession)
-    placed = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "order")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
-    shifts = totals.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums],
-    )
-    inside = Window.partitionBy("_part").orderBy(*order)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(shifts), "_part").withColumns(
-        {"row": F.row_number().over(inside) - 1 + F.col("_n0")}
-        | {f"{c}_before": F.coalesce(F.sum(c).over(so_far), F.lit(0)) + F.col(f"_s_{c}") for c in sums}
-    )
-    return out.drop("_part", "_n0", *[f"_s_{c}" for c in sums])

@@ -8,13 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packed, quality_rules, separators, sharding, simhash, syncmers
+from . import bpe, mixing, packed, quality_model, quality_rules, secrets, separators, sharding, simhash, syncmers
 from .common import documents
 
 #: Size of the vocabulary of byte_bpe_50k.json, and its end-of-document id.
 VOCABULARY, END_OF_TEXT = 50257, 50256
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak label, score and verdict of every document."""
+    return quality_model.classify(documents(spark, sf_dir))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; values as digests."""
+    found = secrets.scan(documents(spark, sf_dir))
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, and its first position in training."""
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
@@ -61,7 +72,7 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers)
+    own = (op1_quality_model, op2_secrets, op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers)
     return {f.__name__: f for f in own}
 
 

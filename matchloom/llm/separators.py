@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, global_order, materialize, partitions
+from .common import fresh_path, materialize, partitions
 from .encoder import word_encoder
 from .files import make_folder, opened, written
 
@@ -20,15 +20,16 @@ BLOCK = 1 << 20
 
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, uri: str | None = None, width: int = 2) -> DataFrame:
     """Encodes every text (null: empty) and writes flat files of ids of ``width`` bytes, little-endian, ``separator``
-    after each document, in ascending doc_id order (null last, ties by the text's hash). Returns file, uri, bytes.
+    after each document. A file has the rows of one partition, in their order; nothing is shuffled.
+
+    Returns file, i, doc_id: which document is the i-th of a file; and uri and bytes in the last row of each file.
     """
-    spark = docs.sparkSession
-    uri = uri or fresh_path(spark, "flat")
+    uri = uri or fresh_path(docs.sparkSession, "flat")
     make_folder(uri)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, k = word_encoder(tokenizer), TaskContext.get().partitionId()
-        end, size = np.array([separator], "<u4").tobytes(), 0
+        end, size, n = np.array([separator], "<u4").tobytes(), 0, 0
         pdf = next(batches, None)
         if pdf is None:
             return
@@ -39,18 +40,21 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, uri: str | None
                     raw = np.frombuffer(ids + end, "<u4").astype(f"<u{width}").tobytes()
                     out.write(raw)
                     size += len(raw)
+                rows = pd.DataFrame({"file": k, "i": np.arange(n, n + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64").array, "uri": pd.Series([None] * len(pdf), dtype=object), "bytes": pd.array([pd.NA] * len(pdf), "Int64")})
+                n += len(pdf)
                 pdf = next(batches, None)
-        yield pd.DataFrame({"file": [k], "uri": [name], "bytes": [size]})
+                if pdf is not None:
+                    yield rows
+        rows.loc[len(rows) - 1, ["uri", "bytes"]] = [name, size]
+        yield rows
 
-    text = F.coalesce("text", F.lit(""))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(text)]
-    rows = docs.select("doc_id", text.alias("text")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    return materialize(rows.select("text").mapInPandas(write, "file int, uri string, bytes long"), "flat-manifest")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return materialize(rows.mapInPandas(write, "file int, i long, doc_id long, uri string, bytes long"), "flat-rows")
 
 
 def scan(files: DataFrame, separator: int, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """The documents in flat token files (columns file, uri, bytes): row (0, 1, ... over all files in order of file),
-    file, start (position of its first id in the file), n_tokens (without the separator).
+    """The documents in flat token files (columns file, uri, bytes): file, i (0, 1, ... in the file), start (position of
+    its first id), n_tokens (without the separator).
 
     Each block is searched on its own by numpy. A document's start is the separator before it, which may be blocks
     back: a running maximum over the blocks' last separators (a row a block) stitches them, and a running sum of their
@@ -73,28 +77,21 @@ def scan(files: DataFrame, separator: int, width: int = 2, block: int = BLOCK) -
                 yield pd.DataFrame({"file": [f], "block": [b], "previous": [previous], "ends": [ends], "last": [found[-1] if len(found) else -1]})
 
     found = materialize(blocks.repartition(partitions(files.sparkSession)).mapInPandas(search, "file int, block long, previous array<long>, ends array<long>, last long"), "separators")
-    # a prefix scan over one row a block; files are far fewer than blocks and are chained by their totals
+    # a prefix scan over one row a block
     inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     light = found.select("file", "block", "last", F.size("ends").alias("n"))
-    files_before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = light.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(files_before), F.lit(0)).alias("docs_before"))
-    stitched = (
-        light.withColumns({"carried": F.coalesce(F.max("last").over(inside), F.lit(-1)), "own_before": F.coalesce(F.sum("n").over(inside), F.lit(0))})
-        .join(totals, "file")
-        .select("file", "block", "carried", (F.col("own_before") + F.col("docs_before")).alias("first"))
-    )
-    rows = found.join(stitched, ["file", "block"]).select("file", "carried", "first", F.posexplode(F.arrays_zip("previous", "ends")).alias("i", "d"))
-    previous = F.when(F.col("i") == 0, F.col("carried")).otherwise(F.col("d.previous"))
-    return rows.select((F.col("first") + F.col("i")).alias("row"), "file", (previous + 1).alias("start"), (F.col("d.ends") - previous - 1).alias("n_tokens"))
+    stitched = light.select("file", "block", F.coalesce(F.max("last").over(inside), F.lit(-1)).alias("carried"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("first"))
+    rows = found.join(stitched, ["file", "block"]).select("file", "carried", "first", F.posexplode(F.arrays_zip("previous", "ends")).alias("k", "d"))
+    previous = F.when(F.col("k") == 0, F.col("carried")).otherwise(F.col("d.previous"))
+    return rows.select("file", (F.col("first") + F.col("k")).alias("i"), (previous + 1).alias("start"), (F.col("d.ends") - previous - 1).alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, separator: int, width: int = 2) -> DataFrame:
     """doc_id, file, start, n_tokens of every document, counted in flat files written from docs.
 
-    The files don't hold doc_ids: the k-th document found is the k-th in ascending doc_id order (null last; equal
-    doc_ids by the text's hash). Null and empty texts have 0 tokens; repeated rows are counted each.
+    Null and empty texts have 0 tokens; null doc_ids and repeated rows are counted each; an empty table writes no file
+    and gives no rows. Other columns are not read.
     """
-    found = scan(write_flat(docs, tokenizer, separator, width=width), separator, width)
-    keys = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    ordered = global_order(keys, [F.col("doc_id").asc_nulls_last(), F.col("hash")])
-    return ordered.select("doc_id", "row").join(found, "row").select("doc_id", "file", "start", "n_tokens")
+    rows = write_flat(docs, tokenizer, separator, width=width)
+    found = scan(rows.filter("bytes is not null").select("file", "uri", "bytes"), separator, width)
+    return rows.select("file", "i", "doc_id").join(found, ["file", "i"]).select("doc_id", "file", "start", "n_tokens")
