@@ -95,12 +95,12 @@ def with_next(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFr
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")
     n = partitions(spark)
     cuts = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n).alias("b")).first()["b"] or []
-    placed = rows.select("doc_id", key, F.xxhash64("text").alias("tie"), "text", *[c.alias(k) for k, c in (extra or {}).items()]).withColumn("bucket", _bucket(sorted(set(cuts)), F.col("key")))
+    placed = rows.select("doc_id", key, F.xxhash64("text").alias("tie"), "text").withColumn("bucket", _bucket(sorted(set(cuts)), F.col("key")))
     w = Window.orderBy("bucket")  # one row a range
     least = rows.select(_bucket(sorted(set(cuts)), key).alias("bucket"), key).groupBy("bucket").agg(F.min("key").alias("key"))
     before = least.select("key", F.coalesce(F.lag("bucket").over(w), F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
     firsts = placed.drop("bucket").join(F.broadcast(before), "key").withColumnRenamed("to", "bucket")
-    both = placed.withColumn("guest", F.lit(0)).unionByName(firsts.withColumn("guest", F.lit(1)))
+    both = placed.withColumn("guest", F.lit(0)).unionByName(firsts.withColumn("guest", F.lit(1))).withColumns(extra or {})
     inside = Window.partitionBy("bucket").orderBy("guest", "key", "tie")
     carried = ["text", *(extra or {})]
     out = both.select("doc_id", *carried, "guest", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried])
