@@ -67,6 +67,10 @@ def _suspects(fps: DataFrame, blocks: int = 3, near: int = 3) -> DataFrame:
     so the balls of half that radius (all variants within one flipped bit) meet: both emit a common variant. Those that
     share a variant with up to ``near`` others on either side are compared with them; in larger groups all stay.
     """
+
+    def variants(masked: Column, flips: list) -> Column:
+        return F.transform(_masks(flips), lambda m: masked.bitwiseXOR(m))
+
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     keys = []
     for lo, hi in zip(edges, edges[1:]):
@@ -74,7 +78,7 @@ def _suspects(fps: DataFrame, blocks: int = 3, near: int = 3) -> DataFrame:
         tag = (lo + 1) % BITS  # a bit of the masked block sets the blocks' variants apart
         flips = [(), *[(b,) for b in range(BITS) if not lo <= b < hi]]
         masked = F.col("fp").bitwiseAND(F.lit(keep).cast("long")).bitwiseXOR(F.lit(_signed(1 << tag)).cast("long"))
-        keys.append(F.transform(_masks(flips), lambda m, base=masked: base.bitwiseXOR(m)))
+        keys.append(variants(masked, flips))
     w = Window.partitionBy("variant").orderBy("fp")
     rows = fps.select("fp", F.explode(F.concat(*keys)).alias("variant"))
     # a group of over 2 * near members has, for each of them, one more than ``near`` places off; smaller ones don't need it
