@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import char_grams, normalize_code, normalize_text, split_values, words
+from .text import char_grams, let, normalize_code, normalize_text, split_values, words
 
 SET_METRICS = ("common", "jaccard", "dice", "containment")
 
@@ -44,7 +44,7 @@ def numbers(c: Column) -> Column:
 def numeric_metrics(a: Column, b: Column) -> dict[str, Column]:
     """Of the pair of numbers with the least relative difference: exact, similarity (ratio), relative_difference."""
     each = lambda x, y: F.struct(relative_difference(x, y).alias("d"), F.when(F.greatest(F.abs(x), F.abs(y)) == 0, 1.0).otherwise(F.least(F.abs(x), F.abs(y)) / F.greatest(F.abs(x), F.abs(y))).alias("r"))
-    best = F.array_min(F.flatten(F.transform(numbers(a), lambda x: F.transform(numbers(b), lambda y: each(x, y)))))
+    best = let(numbers(b), lambda ys: F.array_min(F.flatten(F.transform(numbers(a), lambda x: F.transform(ys, lambda y: each(x, y))))))
     d, r = F.coalesce(best["d"], F.lit(1.0)), F.coalesce(best["r"], F.lit(0.0))
     return {"exact": (d <= 1e-8).cast("double"), "similarity": r, "relative_difference": d}
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row; a column inside a lambda is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 ATTRIBUTES = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())]))
 
 
@@ -55,9 +62,13 @@ def word_spans(c: Column) -> Column:
 
 def char_grams(c: Column, n: int = 3) -> Column:
     """Distinct n-grams of a text's characters with white space collapsed; a shorter text is one, an empty text none."""
-    t = squash(F.coalesce(c, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (n - 1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    chars = F.filter(F.split(squash(F.coalesce(c, F.lit(""))), ""), lambda x: x != "")
+
+    def grams(cs: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(cs) - n), lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)]))
+        return F.when(F.size(cs) >= n, F.array_distinct(many)).when(F.size(cs) > 0, F.array(F.array_join(cs, ""))).otherwise(F.array().cast("array<string>"))
+
+    return let(chars, grams)
 
 
 def alnum_grams(c: Column, n: int = 3) -> Column:
@@ -81,9 +92,12 @@ def attributes(c: Column) -> Column:
 
     from_json keeps repeated keys and their order; nested values come as JSON text.
     """
-    pairs = F.transform(F.map_entries(F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})), lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")))
-    last = lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["k"] == e["k"])
-    return F.filter(pairs, last)
+    entries = F.transform(F.map_entries(F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})), lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("")).alias("v")))
+
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["k"] == e["k"]))
+
+    return let(entries, last)
 
 
 @F.pandas_udf(T.ArrayType(ATTRIBUTES.elementType))
@@ -109,9 +123,12 @@ def lenient(original: Column, parsed: Column) -> Column:
 def group_attributes(attrs: Column) -> Column:
     """Attributes of equal normalised key as one, their distinct normalised values joined by ``;``, in order."""
     clean = F.filter(F.transform(attrs, lambda a: F.struct(normalize_key(a["k"]).alias("k"), normalize_text(a["v"]).alias("v"))), lambda a: (a["k"] != "") & (a["v"] != ""))
-    keys = F.array_distinct(F.transform(clean, lambda a: a["k"]))
-    values = lambda k: F.array_join(F.array_distinct(F.transform(F.filter(clean, lambda a: a["k"] == k), lambda a: a["v"])), ";")
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), values(k).alias("v")))
+
+    def grouped(attrs: Column) -> Column:
+        values = lambda k: F.array_join(F.array_distinct(F.transform(F.filter(attrs, lambda a: a["k"] == k), lambda a: a["v"])), ";")
+        return F.transform(F.array_distinct(F.transform(attrs, lambda a: a["k"])), lambda k: F.struct(k.alias("k"), values(k).alias("v")))
+
+    return let(clean, grouped)
 
 
 def merge_missing(extracted: Column, own: Column) -> Column:

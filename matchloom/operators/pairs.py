@@ -54,10 +54,12 @@ def missing_cards(items: DataFrame, matches: DataFrame) -> DataFrame:
 def shuffle_attributes(pairs: DataFrame, copies: int, seed: int) -> DataFrame:
     """Each row ``copies`` times (copy), the attributes of both sides in an order of their own by seeded hash."""
     out = pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    for side in (1, 2):
-        keyed = F.transform(f"attributes_{side}", lambda a, i, s=side: F.struct(seeded_key(seed, "id1", "id2", "copy", F.lit(s), i).alias("h"), i.alias("i"), a.alias("a")))
-        out = out.withColumn(f"attributes_{side}", F.transform(F.array_sort(keyed), lambda x: x["a"]))
-    return out
+
+    def shuffled(side: int) -> Column:
+        keyed = F.transform(f"attributes_{side}", lambda a, i: F.struct(seeded_key(seed, "id1", "id2", "copy", F.lit(side), i).alias("h"), i.alias("i"), a.alias("a")))
+        return F.transform(F.array_sort(keyed), lambda x: x["a"])
+
+    return out.withColumns({f"attributes_{side}": shuffled(side) for side in (1, 2)})
 
 
 def sort_by_priority(cards: DataFrame, priorities: DataFrame) -> DataFrame:

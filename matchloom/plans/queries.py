@@ -461,12 +461,12 @@ def g6_search_split(s, d):
 
 
 def _words(c: str) -> str:
-    return f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), w -> w <> ''))"
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> ''))"
 
 
 def _grams(c: str) -> str:
-    t = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
-    return f"list_distinct(list_transform(range(1, greatest(1, length({t}) - 2) + 1), i -> substring({t}, i, 3)))"
+    t = f"string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+    return f"list_distinct(list_transform(range(1, greatest(1, len({t}) - 2) + 1), lambda i: array_to_string({t}[i:i + 2], '')))"
 
 
 def _set_sql(a: str, b: str, prefix: str) -> str:
@@ -561,7 +561,7 @@ def n8_units(s, d):
 VECTORS = "vp AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(list_zip(x, y), p -> CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(x, e -> CAST(e AS DOUBLE) * CAST(e AS DOUBLE)))) * sqrt(list_sum(list_transform(y, e -> CAST(e AS DOUBLE) * CAST(e AS DOUBLE))))), 6) AS cosine FROM vp", VECTORS)
+@query("SELECT vec_id, round(list_sum(list_transform(list_zip(x, y), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(x, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE)))) * sqrt(list_sum(list_transform(y, lambda e: CAST(e AS DOUBLE) * CAST(e AS DOUBLE))))), 6) AS cosine FROM vp", VECTORS)
 def v4_cosine(s, d):
     e = fx.table(s, d, "embeddings")
     rows = e.select("vec_id", F.col("embedding").alias("x")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
