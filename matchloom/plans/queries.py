@@ -464,9 +464,12 @@ def _words(c: str) -> str:
     return f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> ''))"
 
 
-def _grams(c: str) -> str:
-    t = f"string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
-    return f"list_distinct(list_transform(range(1, greatest(1, len({t}) - 2) + 1), lambda i: array_to_string({t}[i:i + 2], '')))"
+def _chars(c: str) -> str:
+    return f"string_split(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+
+
+def _grams(chars: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(1, len({chars}) - 2) + 1), lambda i: array_to_string({chars}[i:i + 2], '')))"
 
 
 def _set_sql(a: str, b: str, prefix: str) -> str:
@@ -483,10 +486,12 @@ def c2_word_overlap(s, d):
     return rows.select("id", *[c.alias(f"words_{k}") for k, c in sim.set_metrics(F.col("x"), F.col("y")).items()])
 
 
-@query(f"SELECT id, {_set_sql('x', 'y', 'grams')} FROM (SELECT id, {_grams('a')} AS x, {_grams('b')} AS y FROM doc_pairs_v)")
+@query(f"SELECT u, v, {_set_sql('x.g', 'y.g', 'grams')} FROM scores_v JOIN g x ON x.id = u JOIN g y ON y.id = v", f"g AS (SELECT id, {_grams('cs')} AS g FROM (SELECT id, {_chars('name')} AS cs FROM items_v))")
 def c4_char_grams(s, d):
-    rows = fx.document_pairs(s, d).select("id", tx.char_grams(F.col("a")).alias("x"), tx.char_grams(F.col("b")).alias("y"))
-    return rows.select("id", *[c.alias(f"grams_{k}") for k, c in sim.set_metrics(F.col("x"), F.col("y")).items()])
+    g = fx.items(s, d).select("id", tx.char_grams(F.col("name")).alias("g"))
+    m = fx.scores(s, d).select(F.col("u").alias("id1"), F.col("v").alias("id2"))
+    rows = pairs.assemble(g, m, ("g",))
+    return rows.select(F.col("id1").alias("u"), F.col("id2").alias("v"), *[c.alias(f"grams_{k}") for k, c in sim.set_metrics(F.col("g_1"), F.col("g_2")).items()])
 
 
 @query("SELECT id1, id2, (x.size + y.size) / 2e0 AS size_median, CAST(abs(x.size - y.size) AS DOUBLE) AS size_difference, CASE WHEN greatest(x.size, y.size) = 0 THEN 1e0 ELSE least(x.size, y.size) / CAST(greatest(x.size, y.size) AS DOUBLE) END AS size_ratio, abs(x.price_cents - y.price_cents) / greatest(abs(x.price_cents), abs(y.price_cents), 1e-8) AS price_difference FROM human_v JOIN items_v x ON x.id = id1 JOIN items_v y ON y.id = id2")
