@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Words remembered in a worker; pre-tokens a recursive query takes at once; ids a decoding query takes at once.
-REMEMBER, WORDS, IDS = 1_200_000, 40_000, 500_000
+#: Words that are new or used again until a worker forgets those not used since it last forgot; pre-tokens a recursive
+#: query takes at once; ids a decoding query takes at once.
+REMEMBER, WORDS, IDS = 300_000, 16_000, 250_000
 #: A recursive query keeps a row for each id and step, so quadratic in a word: longer pre-tokens (bytes) are contracted
 #: by the same rule in a heap.
 LONG = 200
@@ -63,13 +64,14 @@ class Codec:
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         first, second, merged = map(np.array, zip(*pairs))
         self.merges = {(a, b): n for a, b, n in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self.db.register("m", pa.table({"first": first.astype("i4"), "second": second.astype("i4"), "id": merged.astype("i4")}))
         self.db.execute("CREATE TABLE merges AS FROM m")
         # bytes as the characters of the same numbers, so that pieces that are no UTF-8 can be strung together
         self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM v")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _heap(self, word: bytes) -> np.ndarray:
         ids, n = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), len(word)
@@ -115,7 +117,8 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes. Words are contracted once and remembered."""
+        """Ids of each text as little-endian uint32 bytes. Words are contracted once and remembered
+        while they are used."""
         # A pre-token starts at every space that text follows, so texts fall apart there, but for texts with double or
         # trailing spaces.
         split = []
@@ -130,13 +133,15 @@ class Codec:
         lacking = list(dict.fromkeys(w for x, ids in zip(split, found) if None in ids for w, i in zip(x, ids) if i is None))
         # " word," is " word" and ",", and is not remembered
         parts = {w: [w[:-1], w[-1]] if w[-1] in ".," and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
-        new = {w: i for p in parts.values() for w in p if (i := get(w)) is not None}
+        old = self.older.get
+        new = {w: i for p in parts.values() for w in p if (i := get(w) or old(w)) is not None}
         new |= self.contract(list(dict.fromkeys(w for p in parts.values() for w in p if w not in new)))
         for w, p in parts.items():
             if len(p) > 1:
                 new[w] = b"".join([new[x] for x in p])
-        if len(self.words) < REMEMBER:
-            self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2)
+        self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2)
+        if len(self.words) > REMEMBER:
+            self.words, self.older = {}, self.words
         return [b"".join([i if i is not None else new[w] for w, i in zip(x, ids)] if None in ids else ids) for x, ids in zip(split, found)]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
