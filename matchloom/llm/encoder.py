@@ -46,7 +46,8 @@ class WordEncoder:
             ids = np.array(encoding.ids, "<u4")
             at = np.flatnonzero(self.starts[ids])
             if len(at) == len(chunk) and at[0] == 0:
-                out.update(zip(chunk, [x.tobytes() for x in np.split(ids, at[1:])]))
+                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+                out.update(zip(chunk, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:  # a word with a space of another kind inside
                 out.update((w, self._whole(f" {w}")) for w in chunk)
         return out
@@ -64,24 +65,25 @@ class WordEncoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         get = self.words.get
         split = [None if not t or UNSAFE.search(t) else t.split(" ") for t in texts]
-        found = [x and [get(w) for w in x[1:]] for x in split]
-        new: dict[str, bytes] = {}
-        lacking = {w for x, ids in zip(split, found) if ids and None in ids for w, i in zip(x[1:], ids) if i is None}
+        first = [x and x.pop(0) for x in split]
+        found = [x and list(map(get, x)) for x in split]
+        gaps = [[k for k, i in enumerate(ids) if i is None] if ids else () for ids in found]
+        lacking = {x[k] for x, at in zip(split, gaps) for k in at}
         # " word." is " word" and "." where word has letters only
         bases = {w: w[:-1] for w in lacking if w[-1:] in self.marks and w[:-1].isalpha()}
-        alone = list(dict.fromkeys([w for w in lacking if w not in bases] + [b for b in bases.values() if b not in self.words]))
-        new = self._spaced(alone)
+        new = self._spaced(list((lacking - bases.keys()).union(b for b in bases.values() if b not in self.words)))
         if len(self.words) < REMEMBER:
             self.words.update(new)
         for w, base in bases.items():
             new[w] = (get(base) or new[base]) + self.marks[w[-1]]
         out = []
-        for text, x, ids in zip(texts, split, found):
+        for text, one, x, ids, at in zip(texts, first, split, found, gaps):
             if x is None:
                 out.append(self._whole(text) if text else b"")
             else:
-                rest = [i if i is not None else new[w] for w, i in zip(x[1:], ids)] if None in ids else ids
-                out.append((self._whole(x[0]) if x[0] else b"") + b"".join(rest))
+                for k in at:
+                    ids[k] = new[x[k]]
+                out.append((self._whole(one) if one else b"") + b"".join(ids))
         return out
 
 
