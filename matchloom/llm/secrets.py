@@ -23,7 +23,7 @@ _NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|private[_-]?k
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
     rf"|(?<={_NAME}[\"']? ?[:=]{{1,2}} ?[\"']?)[^\s\"',;:=]{{6,}}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}(?:={1,2}(?![^\s\"',;)\]}]))?"
 )
 #: Found in a text if and only if CANDIDATE is; quicker, as it looks ahead from the name and not back at each character.
 PRESENT = (
@@ -31,7 +31,7 @@ PRESENT = (
     rf"|{_NAME}[\"']? ?[:=]{{1,2}} ?[\"']?[^\s\"',;:=]{{6,}}"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
 )
-SEGMENT = rf"(?s)\G.*?(?:{CANDIDATE})"
+SEGMENT = rf"(?s)\G.*?({CANDIDATE})"
 MASK = "[SECRET]"
 #: Common words whose share of a candidate speaks against a secret.
 DICTIONARY = (
@@ -131,15 +131,16 @@ def train(findings: DataFrame) -> PipelineModel:
 
 def scan_texts(texts: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
     """Findings in texts (key, text, path; distinct keys): key, i, start (0-based code point), length, value, score, is_secret."""
-    segments = texts.select("key", "path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0))).alias("i", "segment"))
+    # both are taken in the whole text, where the look-behinds see what earlier segments hold
+    lengths = F.transform(F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0)), lambda s: F.char_length(s))
+    both = F.arrays_zip(lengths.alias("segment"), F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(1)).alias("value"))
+    segments = texts.select("key", "path", "text", F.posexplode(both).alias("i", "found")).select("key", "path", "text", "i", "found.*")
     w = Window.partitionBy("key").orderBy("i")
-    ended = segments.withColumn("end", F.sum(F.char_length("segment")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # the look-behinds see what is before the segment as well, which is never part of a candidate
-    value = F.regexp_extract("segment", rf"(?:{CANDIDATE})$", 0)
-    found = ended.withColumn("value", value).withColumns(
+    ended = segments.withColumn("end", F.sum("segment").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    start = (F.col("end") - F.char_length("value")).cast("int")
+    found = ended.withColumn("start", F.col("end") - F.char_length("value")).withColumns(
         {
-            "start": F.col("end") - F.char_length("value"),
-            "before": F.right(F.left("segment", F.char_length("segment") - F.char_length("value")), F.lit(64)),
+            "before": F.substring("text", F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))),
             "after": F.substring("text", F.col("end").cast("int") + 1, F.lit(32)),
         }
     )

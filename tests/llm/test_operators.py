@@ -85,6 +85,18 @@ def test_quick_pattern_finds_what_the_long_one_does(spark):
     assert df.filter(F.col("t").rlike(secrets.CANDIDATE) != F.col("t").rlike(secrets.PRESENT)).count() == 0
 
 
+def test_values_after_names_with_digits(spark):
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = ["S3_SECRET_TOKEN=hunter!pass", "db1_password: correcthorse", f"OAUTH2_CLIENT_SECRET={hexes}", "key1234567890AB== end", f"ok a1b2c3d4e5f6 x {hexes}9 token={hexes}"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    model = secrets.train(secrets.labelled_findings(spark, 2000))
+    found = sorted((r.doc_id, r.start, r.value, r.is_secret) for r in secrets.scan(docs, model).collect())
+    assert all(v and texts[i][at : at + len(v)] == v for i, at, v, _ in found)
+    assert [(i, v) for i, _, v, _ in found] == [(0, "S3_SECRET_TOKEN"), (0, "hunter!pass"), (1, "db1_password"), (1, "correcthorse"), (2, "OAUTH2_CLIENT_SECRET"), (2, hexes), (3, "key1234567890AB=="), (4, "a1b2c3d4e5f6"), (4, f"{hexes}9"), (4, hexes)]
+    assert {(i, v) for i, _, v, yes in found if yes} >= {(2, hexes), (4, hexes)}
+    assert hexes not in secrets.redact(docs.filter("doc_id = 2"), model).first().text
+
+
 # 3
 
 
