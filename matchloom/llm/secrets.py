@@ -19,18 +19,27 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 _NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|private[_-]?key|credentials?)"
-#: A PEM key block; what is assigned to a name that speaks of secrets; a run of 12 characters or more with a digit.
+_BLANKS = r"[ \t\x{A0}]{0,80}"
+#: What may follow in a name (password_prod, secretKey, tokens), and the blanks about a separator; look-behinds need a bound.
+_ASSIGNED = rf"{_NAME}(?:s|[A-Z0-9_.-][A-Za-z0-9_.-]{{0,40}})?[\"']?\]?{_BLANKS}[:=]{{1,2}}>?{_BLANKS}"
+_PEM_BEGIN, _PEM_END = (rf"-----{x} [A-Z0-9 ]{{0,24}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
+#: To its END; without one, to the end of the text if a key or a header line follows; else BEGIN alone, as in prose.
+_PEM = rf"{_PEM_BEGIN}(?:(?s:.*?){_PEM_END}|(?=(?:[^A-Za-z0-9+/=]|\\[nr]){{0,16}}(?:[A-Z][A-Za-z-]{{2,20}}:|[A-Za-z0-9+/=]{{16}}))(?s:.*)|)"
+#: From behind a quote to the next that is not escaped, in a line, 6 characters at least.
+_QUOTED = {q: rf"(?!(?:[^{q}\\\r\n]|\\.){{0,5}}{q})[^\r\n]{{6,}}?(?:(?<!\\)|(?<=(?<!\\)\\\\))(?={q})" for q in ("\"", "'")}
+_BARE_VALUE = r"[^\s\"',;:=>][^\s\"',;]{5,}"
+#: The user of a connection string; its password goes to the last @ before a slash.
+_USER, _PASSWORD = r"[A-Za-z]://[^\s/:@\"'<>]{0,100}:", r"[^\s\"'<>/]{3,}(?=@)"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
+#: A PEM key block; the password of a connection string; what is assigned to a name that speaks of secrets, quoted or
+#: not; a run of 12 characters or more with a digit. The short look-behinds keep the long ones from most characters.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-    rf"|(?<={_NAME}[\"']? ?[:=]{{1,2}} ?[\"']?)[^\s\"',;:=]{{6,}}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}(?:={1,2}(?![^\s\"',;)\]}]))?"
+    rf"{_PEM}|(?<=[:=>\"' \t\x{{A0}}])(?:(?<=:)(?<={_USER}){_PASSWORD}|(?<=[:=]>?{_BLANKS}[\"']?)"
+    rf"(?:(?<=\")(?<={_ASSIGNED}\"){_QUOTED['"']}|(?<=')(?<={_ASSIGNED}'){_QUOTED["'"]}|(?=[^\s\"',;:=>])(?<={_ASSIGNED}[\"']?){_BARE_VALUE}))"
+    rf"|{_RUN}(?:={{1,2}}(?![^\s\"',;)\]}}]))?"
 )
 #: Found in a text if and only if CANDIDATE is; quicker, as it looks ahead from the name and not back at each character.
-PRESENT = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
-    rf"|{_NAME}[\"']? ?[:=]{{1,2}} ?[\"']?[^\s\"',;:=]{{6,}}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
-)
+PRESENT = rf"{_PEM_BEGIN}|{_USER}{_PASSWORD}|{_ASSIGNED}(?:\"{_QUOTED['"']}|'{_QUOTED["'"]}|[\"']?{_BARE_VALUE})|{_RUN}"
 SEGMENT = rf"(?s)\G.*?({CANDIDATE})"
 MASK = "[SECRET]"
 #: Common words whose share of a candidate speaks against a secret.
@@ -45,7 +54,7 @@ NEAR_SECRET = r"(?i)(secret|token|passw|passphrase|pwd|api[ _-]?key|private|cred
 NEAR_OTHER = r"(?i)(commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|build|version|isbn|phone|card|order|invoice|serial|track|id\b|example)"
 FEATURES = (
     "length transitions digit_share upper_share letter_share hex_share mark_share distinct_share longest_run vowel_share dictionary_coverage "
-    "known_prefix placeholder assigned near_secret near_other path_in_value path_is_test path_is_config"
+    "known_prefix placeholder assigned named in_uri is_name blanks reference near_secret near_other path_in_value path_is_test path_is_config"
 ).split()
 #: Labelled findings that the default forest is trained on, at most.
 MAX_FINDINGS = 6_000
@@ -54,7 +63,7 @@ TREES, DEPTH, SEED = 24, 8, 7
 
 def with_features(found: DataFrame) -> DataFrame:
     """Adds FEATURES to columns value, before (the text before), after and path; nulls count as empty."""
-    v, before = F.coalesce("value", F.lit("")), F.coalesce("before", F.lit(""))
+    v, before = F.coalesce("value", F.lit("")), F.regexp_replace(F.coalesce("before", F.lit("")), r"[ \t\x{A0}]+", " ")
     after, path = F.coalesce("after", F.lit("")), F.coalesce("path", F.lit(""))
     n = F.greatest(F.char_length(v), F.lit(1)).cast("double")
     share = lambda kind: F.regexp_count(v, F.lit(kind)) / n
@@ -77,7 +86,12 @@ def with_features(found: DataFrame) -> DataFrame:
         "dictionary_coverage": 1 - F.char_length(F.regexp_replace(F.lower(v), words, "")) / n,
         "known_prefix": flag(v.rlike(r"^(AKIA|ASIA)[A-Z0-9]{12,}|^gh[pousr]_|^xox[abp]-|^eyJ|^[sr]k_(live|test)|^-----BEGIN")),
         "placeholder": flag(v.rlike(r"(?i)example|sample|placeholder|change_?me|your_|dummy|xxxx|(.)\1{4}|0123|1234567|abcdef")),
-        "assigned": flag(before.rlike(r"[:=] ?[\"']?$")),
+        "assigned": flag(before.rlike(r"[:=]>? ?[\"']?$")),
+        "named": flag(before.rlike(rf"{_ASSIGNED}[\"']?$")),
+        "in_uri": flag(before.rlike(rf"{_USER}$")),
+        "is_name": flag(v.rlike(rf"^[A-Za-z0-9_-]*{_NAME}[A-Za-z0-9_-]*$")),
+        "blanks": F.regexp_count(v, F.lit(r"\s")).cast("double"),
+        "reference": flag(v.rlike(r"^[$<{%]|[(\[]|^[a-z]+(\.[A-Za-z_]+)+$|^(required|string|optional|undefined|default|disabled|enabled|missing|hidden)$")),
         "near_secret": flag(near.rlike(NEAR_SECRET)),
         "near_other": flag(F.concat(near, F.lit(" "), F.left(after, F.lit(16))).rlike(NEAR_OTHER)),
         "path_in_value": flag(v.rlike(r"[A-Za-z_-]{3,}/[A-Za-z_-]{2,}")),
@@ -90,10 +104,12 @@ def with_features(found: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS) -> DataFrame:
     """n made-up findings with labels: value, before, after, path, label (1: a secret). The same each time.
 
-    Secrets: random hex, base64, upper-case key ids, assigned passwords, prefixed tokens. Look-alikes: card, phone and
-    order numbers, commit hashes and checksums, UUIDs, dates, versions, paths, slugs, placeholders, joined words.
+    Secrets: random hex, base64, upper-case key ids, assigned passwords (random, of joined words, of spaced words),
+    prefixed tokens, PEM blocks, passwords of connection strings, bare base64 keys. Look-alikes: card, phone and order
+    numbers, commit hashes and checksums, UUIDs, dates, versions, paths, slugs, placeholders, joined words, names with
+    digits, references to code and sentences that are assigned.
     """
-    rows = spark.range(n).withColumns({"h": F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512), "kind": (F.col("id") % 20).cast("int")})
+    rows = spark.range(n).withColumns({"h": F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 512), "kind": (F.col("id") % 31).cast("int")})
     h = F.col("h")
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[+/=\\r\\n]", "")
     pick = lambda items, at: F.element_at(F.array(*[F.lit(x) for x in items]), (F.conv(F.substring(h, at, 4), 16, 10).cast("int") % len(items)) + 1)
@@ -109,6 +125,11 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS) -> DataFrame:
         (F.substring(h, 1, 40), assign(*secretive)), (F.substring(h, 1, 18), assign("password", "passwd", "pwd")), (F.concat(F.lit("AKIA"), upper), plain),
         (F.substring(b64, 1, 40), assign(*secretive)), (F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), plain), (F.substring(b64, 1, 24), assign(*secretive)),
         (F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), plain), (F.substring(h, 1, 32), assign(*secretive)), (F.concat(F.lit("AKIA"), upper), assign("key", "access_key")),
+        (F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n"), F.reverse(b64), F.lit("\n-----END PRIVATE KEY-----")), plain),
+        (F.concat(w(33), w(37), pick(["!", "-", "", "_", "9", "#"], 30), w(45)), F.concat(w(1), F.lit("://"), w(5), F.lit(":"))), (F.substring(h, 1, 14), F.concat(w(1), F.lit(" postgres://"), w(5), F.lit(":"))),
+        (F.substring(b64, 1, 40), plain), (F.substring(b64, 1, 64), plain),
+        (F.concat(w(33), w(37), pick(["!", "-", "", "", "_", "#"], 30), w(45)), assign("password", "db_password_prod", "secret", "secret_key", "passwd")),
+        (F.concat(w(33), pick([" ", " ", "\\\"", "! "], 49), w(37), pick([" ", "", "9 "], 53), w(45)), F.concat(w(1), F.lit(" "), pick(['password = "', 'passphrase: "', 'secret_key = "'], 13))),
     ]
     uuid = F.concat_ws("-", *[F.substring(h, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     negative = [
@@ -116,7 +137,12 @@ def labelled_findings(spark: SparkSession, n: int = MAX_FINDINGS) -> DataFrame:
         (uuid, F.concat(w(1), pick([" id ", " uuid ", " request id: "], 13))), (F.concat_ws("-", w(1), w(5), w(9), number(4, 30)), plain), (F.concat_ws("/", w(1), w(5), w(9), number(2, 30)), plain),
         (F.concat(pick(["changeme", "your_password", "example_token", "xxxxxxxx", "placeholder"], 33), number(2, 30)), assign(*secretive)), (F.concat(w(1), w(5), w(9), w(37), number(1, 30)), plain),
         (F.concat(F.lit("20"), number(2, 1), F.lit("-0"), number(1, 5), F.lit("-1"), number(1, 7), F.lit("T1"), number(1, 9), F.lit("-"), number(2, 11)), plain), (F.concat(number(2, 1), F.lit("_"), w(1), F.lit("_"), w(5), F.lit("_v"), number(1, 9)), plain),
-        (F.concat(w(1), w(5)), assign("password", "token", "secret")),
+        (pick(["required", "string", "optional", "undefined", "default", "disabled", "missing", "hidden"], 33), assign("password", "token", "secret")),
+        (F.concat(pick(["get", "load", "read", "make"], 33), w(37), pick(["(", "()", "(self", "[0]"], 41)), assign("password", "token", "secret_key")),
+        (F.concat(pick(["config.", "os.environ.", "self.", "settings."], 33), w(37), F.lit("_"), w(45)), assign("password", "token", "secret_key")),
+        (F.concat(pick(["${", "<", "$", "%"], 33), w(37), F.lit("_"), w(45), pick(["}", ">", "", "%"], 33)), assign("password", "token", "secret_key")),
+        (F.concat_ws(" ", w(33), w(37), w(41), w(45), w(49), w(53), w(57)), F.concat(w(1), F.lit(" "), pick(['password = "', 'token: "', 'secret: "'], 13))),
+        (F.concat(F.upper(w(33)), number(1, 30), pick(["_SECRET_TOKEN", "_PASSWORD", "_CLIENT_SECRET", "_API_KEY"], 37)), plain),
     ]
     kinds = positive + negative
     choose = lambda i: reduce(lambda c, k: F.when(F.col("kind") == k[0], k[1][i]).otherwise(c), enumerate(kinds[:-1]), kinds[-1][i])
@@ -140,12 +166,14 @@ def scan_texts(texts: DataFrame, model: PipelineModel, threshold: float = 0.5) -
     start = (F.col("end") - F.char_length("value")).cast("int")
     found = ended.withColumn("start", F.col("end") - F.char_length("value")).withColumns(
         {
-            "before": F.substring("text", F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64))),
+            "before": F.substring("text", F.greatest(start - 255, F.lit(1)), F.least(start, F.lit(256))),
             "after": F.substring("text", F.col("end").cast("int") + 1, F.lit(32)),
         }
     )
     scored = model.transform(with_features(found.drop("text", "segment")))
-    score = F.get(vector_to_array("p"), F.lit(1))
+    # what is itself the name in an assignment is none
+    name = F.col("value").rlike(rf"^(?:[A-Za-z0-9]+[_-])*{_NAME}(?:s|[A-Z0-9_-][A-Za-z0-9_-]*)?$") & F.col("after").rlike(rf"^[\"']?\]?{_BLANKS}[:=]")
+    score = F.when(name, 0.0).otherwise(F.get(vector_to_array("p"), F.lit(1)))
     return scored.select("key", "i", "start", F.char_length("value").alias("length"), "value", F.round(score, 6).alias("score"), (score >= threshold).alias("is_secret"))
 
 
