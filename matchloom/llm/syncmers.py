@@ -2,8 +2,8 @@
 
 A text is cut into pieces of up to four characters, afresh at each white space (characters of scripts without spaces are
 pieces of their own). A K-mer is K pieces in a row; it is an anchor if the least hash among its S-mers is its first or
-last. That depends on the K-mer alone, so a passage has the same anchors wherever it stands. The fingerprint is the
-SIZE least hashes of the distinct anchors, as hex digits.
+last. That depends on the K-mer alone, so a passage has the same anchors wherever it stands. The fingerprint is all
+anchors with their positions, so it grows with the text; the sketch is the SIZE least hashes of the distinct anchors.
 """
 
 from __future__ import annotations
@@ -47,21 +47,27 @@ def _kmer(h: Column, i: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """The anchors of a text as array<struct<position int, hash int>>; position counts pieces. For positional matching:
-    a passage shared by two texts gives equal hashes at a constant difference of positions. Null or too short: empty."""
+    a passage shared by two texts gives equal hashes at a constant difference of positions. Fewer than K pieces count as one anchor; null or none: empty."""
     kind = "array<struct<position:int,hash:int>>"
     many = lambda p: _anchored(p, lambda at, h: F.transform(at, lambda i: F.struct(i.alias("position"), _kmer(h, i).alias("hash"))))
-    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), lambda p: F.when(F.size(p) >= K, many(p)).otherwise(F.array().cast(kind)))
+    one = lambda p: F.array(F.struct(F.lit(0).alias("position"), F.shiftrightunsigned(F.xxhash64(p), 33).cast("int").alias("hash")))
+    of = lambda p: F.when(F.size(p) >= K, many(p)).when(F.size(p) > 0, one(p)).otherwise(F.array().cast(kind))
+    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), of)
 
 
-def sketch(text: Column, size: int = SIZE) -> Column:
-    """The ``size`` least anchor hashes of a text, ascending. Fewer than K pieces count as one anchor; none: empty."""
+def hashes(anchors: Column) -> Column:
+    """The distinct hashes of anchors."""
+    return F.array_distinct(anchors.getField("hash"))
 
-    def of(p: Column) -> Column:
-        many = _anchored(p, lambda at, h: F.transform(at, lambda i: _kmer(h, i)))
-        one = F.array(F.shiftrightunsigned(F.xxhash64(p), 33).cast("int"))
-        return F.when(F.size(p) >= K, F.slice(F.sort_array(F.array_distinct(many)), 1, size)).when(F.size(p) > 0, one).otherwise(F.array().cast("array<int>"))
 
-    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), of)
+def least(hashes: Column, size: int = SIZE) -> Column:
+    """The ``size`` least of distinct hashes, ascending."""
+    return F.slice(F.sort_array(hashes), 1, size)
+
+
+def sketch(text: Column, size: int = SIZE) -> Column:
+    """The ``size`` least anchor hashes of a text, ascending; none: empty."""
+    return least(hashes(anchors(text)), size)
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -69,10 +75,10 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Estimated share of common anchors (Jaccard) of two sketches, 0 to 1; two empty ones are alike."""
-    low = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    return _let(low, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common hashes (Jaccard) of two arrays of all distinct hashes, 0 to 1; two empty ones are alike."""
+    both = F.size(F.array_intersect(a, b))
+    return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
 def _bucket(bounds: list[int], key: Column) -> Column:
@@ -109,19 +115,24 @@ def with_next(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFr
 
 def edited(docs: DataFrame) -> DataFrame:
     """Each document and its edited text (the last half of its code points replaced by the first as many of the next
-    document): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    document): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, sketch, edited_sketch, near_edited,
+    near_next. The fingerprints hold all anchors, near_ is over all their hashes; the sketches are hex digits.
 
     Null texts count as empty, with an empty fingerprint. Equal texts have equal fingerprints. See with_next() for the
     order with null or repeated doc_ids. An empty table gives no rows; other columns are not read.
     """
-    rows = with_next(docs, {"sketch": sketch(F.col("text"))})
+    rows = with_next(docs)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     new = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", new.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", new.alias("edited"))
+    rows = rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        anchors(F.col("text")).alias("fingerprint"), anchors(F.col("edited")).alias("edited_fingerprint"), hashes(anchors(F.col("next_text"))).alias("next"),
+    )
+    rows = rows.withColumns({"own": hashes(F.col("fingerprint")), "changed": hashes(F.col("edited_fingerprint"))})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        fingerprint(least(F.col("own"))).alias("sketch"), fingerprint(least(F.col("changed"))).alias("edited_sketch"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )

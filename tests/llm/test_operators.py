@@ -446,3 +446,18 @@ def test_equal_texts_have_equal_fingerprints(spark, awkward):
     for r in found:
         by.setdefault(r.text or "", set()).add(r.f)
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_a_passage_shared_by_long_texts_shows(spark):
+    rng = random.Random(9)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=rng.randint(2, 9))) for _ in range(n))
+    passage = some(60)
+    texts = [f"{some(9000)} {passage} {some(9000)}", f"{some(4000)} {passage} {some(14000)}", some(18000)]
+    found = {r.doc_id: r for r in syncmers.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = {x.hash: x.position for x in found[1].fingerprint}
+    shifts = Counter(x.position - at[x.hash] for x in found[0].fingerprint if x.hash in at)
+    assert shifts.most_common(1)[0][1] > 20
+    own = [{x.hash for x in found[i].fingerprint} for i in range(3)]
+    for i in range(3):
+        assert found[i].near_next == pytest.approx(len(own[i] & own[(i + 1) % 3]) / len(own[i] | own[(i + 1) % 3]))
+    assert found[0].near_next > 10 * found[1].near_next and len(found[0].sketch) == 64 * 8
