@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,15 +16,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that are new or used again until a worker forgets those not used since it last forgot; pre-tokens a recursive
 #: query takes at once; ids a decoding query takes at once.
-REMEMBER, WORDS, IDS = 300_000, 16_000, 250_000
-#: A recursive query keeps a row for each id and step, so quadratic in a word: longer pre-tokens (bytes) are contracted
-#: by the same rule in a heap.
-LONG = 200
+REMEMBER, WORDS, IDS = 300_000, 32_000, 250_000
+#: A recursive query keeps a row for each id and step, so quadratic in a word. Pre-tokens over LONG bytes go to a query
+#: that takes many steps as one and ends after some ROWS rows, to be started again from where it got to.
+LONG, ROWS = 200, 2_000_000
+#: MB that DuckDB may use in a worker, and bytes more for each byte of a longer pre-token.
+MEMORY, MEMORY_A_BYTE = 300, 400
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
 CONTRACT = """
@@ -33,17 +35,49 @@ WITH RECURSIVE step(word, pos, id, done) AS (
     SELECT word, pos, id, false FROM bytes
     UNION ALL
     SELECT word, pos, CASE WHEN pos = least & 4294967295 THEN (least >> 32)::INTEGER ELSE id END, least IS NULL
+    FROM (SELECT word, pos, id, lag(pos) OVER (ORDER BY pos) AS last_pos FROM step WHERE NOT done)
+    LEFT JOIN (
+        SELECT word, min((m.id::BIGINT << 32) + pos) AS least
+        FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(word) OVER w AS next_word FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)) s
+        JOIN merges m ON m.first = s.id AND m.second = s.next_id
+        WHERE next_word = word GROUP BY word
+    ) USING (word)
+    WHERE least IS NULL OR last_pos IS DISTINCT FROM (least & 4294967295)
+)
+SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+"""
+
+#: As CONTRACT, but a step contracts one pair of least rank after another, from the left, up to the first whose new id
+#: has a pair of lower rank with a neighbour (``early``): until then the next contraction is that of the same pair. In a
+#: run of equal ids every other pair is one. Ends after $steps steps.
+CONTRACT_LONG = """
+WITH RECURSIVE step(word, pos, id, depth, done) AS (
+    SELECT word, pos, id, 0, false FROM bytes
+    UNION ALL
+    SELECT word, pos, CASE WHEN taken THEN rank ELSE id END, depth + 1, rank IS NULL
     FROM (
-        SELECT *, min(pair) OVER (PARTITION BY word) AS least
+        SELECT *, lag(taken) OVER (ORDER BY pos) AS contracted
         FROM (
-            SELECT s.*, (m.id::BIGINT << 32) + s.pos AS pair
-            FROM (SELECT *, lead(id) OVER w AS next_id, lag(pos) OVER w AS last_pos FROM step WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-            LEFT JOIN merges m ON m.first = s.id AND m.second = s.next_id
+            SELECT *, coalesce(chosen AND pos <= min(CASE WHEN early THEN pos ELSE 9223372036854775807 END) OVER (PARTITION BY word), false) AS taken
+            FROM (
+                SELECT c.*, chosen AND (coalesce(l.id < rank, false) OR coalesce(r.id < rank, false)) AS early
+                FROM (
+                    SELECT *, CASE WHEN lag(chosen, 2) OVER w THEN rank ELSE lag(id) OVER w END AS left_id, lag(word) OVER w AS left_word, lead(id, 2) OVER w AS right_id, lead(word, 2) OVER w AS right_word
+                    FROM (SELECT *, hit AND (nth - coalesce(max(CASE WHEN NOT hit THEN nth END) OVER (ORDER BY pos), 0)) % 2 = 1 AS chosen
+                          FROM (SELECT *, row_number() OVER (ORDER BY pos) AS nth, coalesce(pair = rank, false) AS hit
+                                FROM (SELECT s.*, m.id AS pair, min(m.id) OVER (PARTITION BY s.word) AS rank
+                                      FROM (SELECT word, pos, id, depth, lead(id) OVER w AS next_id, lead(word) OVER w AS next_word FROM step WHERE NOT done AND depth < $steps WINDOW w AS (ORDER BY pos)) s
+                                      LEFT JOIN merges m ON m.first = s.id AND m.second = s.next_id AND s.next_word = s.word)))
+                    WINDOW w AS (ORDER BY pos)
+                ) c
+                LEFT JOIN merges l ON chosen AND left_word = word AND l.first = left_id AND l.second = rank
+                LEFT JOIN merges r ON chosen AND right_word = word AND r.first = rank AND r.second = right_id
+            )
         )
     )
-    WHERE least IS NULL OR last_pos IS DISTINCT FROM (least & 4294967295)
+    WHERE contracted IS NOT TRUE
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
+SELECT word, pos, id, done FROM step WHERE done OR depth = $steps ORDER BY pos
 """
 
 DECODE = """
@@ -63,8 +97,7 @@ class Codec:
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         first, second, merged = map(np.array, zip(*pairs))
-        self.merges = {(a, b): n for a, b, n in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         self.db.register("m", pa.table({"first": first.astype("i4"), "second": second.astype("i4"), "id": merged.astype("i4")}))
         self.db.execute("CREATE TABLE merges AS FROM m")
         # bytes as the characters of the same numbers, so that pieces that are no UTF-8 can be strung together
@@ -73,31 +106,13 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _heap(self, word: bytes) -> np.ndarray:
-        ids, n = self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), len(word)
-        after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), self.merges
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merges.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := merges.get((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([i for i in ids if i >= 0], "<u4")
-
     def contract(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian uint32) of distinct pre-tokens."""
         out, short = {}, []
         for w in words:
             raw = w.encode("utf-8", "surrogatepass")
             if len(raw) > LONG:
-                out[w] = self._heap(raw).tobytes()
+                out[w] = self._contract_long(raw)
             else:
                 short.append((w, raw))
         for at in range(0, len(short), WORDS):
@@ -105,50 +120,75 @@ class Codec:
             lengths = np.fromiter((len(raw) for _, raw in some), np.int64, len(some))
             flat = self.byte_ids[np.frombuffer(b"".join([raw for _, raw in some]), np.uint8)]
             word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
-            pos = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            self.db.register("bytes", pa.table({"word": word, "pos": pos, "id": flat}))
-            found = self.db.sql(CONTRACT).to_arrow_table() if len(flat) else None
+            self.db.register("bytes", pa.table({"word": word, "pos": np.arange(len(flat), dtype=np.int64), "id": flat}))
+            found = self.db.sql(CONTRACT).to_arrow_table()
             self.db.unregister("bytes")
-            if found is not None:
-                ids = found["ids"].combine_chunks()
-                ends = np.asarray(ids.offsets)[1:-1]
-                for w, part in zip(found["word"].to_pylist(), np.split(np.asarray(ids.flatten()).astype("<u4"), ends)):
-                    out[some[w][0]] = part.tobytes()
+            ids = found["ids"].combine_chunks()
+            raw, ends = np.asarray(ids.flatten()).astype("<u4").tobytes(), (np.asarray(ids.offsets) * 4).tolist()
+            for (w, _), a, b in zip(some, ends, ends[1:]):
+                out[w] = raw[a:b]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32 bytes. Words are contracted once and remembered
-        while they are used."""
-        # A pre-token starts at every space that text follows, so texts fall apart there, but for texts with double or
-        # trailing spaces.
-        split = []
-        for t in texts:
-            if UNSAFE.search(t):
-                split.append(self.pretokens(t))
-            else:
-                first, *rest = t.split(" ")
-                split.append(([first] if first else []) + [f" {w}" for w in rest])
-        get = self.words.get
-        found = [[get(w) for w in x] for x in split]
-        lacking = list(dict.fromkeys(w for x, ids in zip(split, found) if None in ids for w, i in zip(x, ids) if i is None))
+    def _contract_long(self, raw: bytes) -> bytes:
+        self.db.execute(f"SET memory_limit = '{MEMORY + MEMORY_A_BYTE * len(raw) // 1_000_000}MB'")
+        flat = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        state = pa.table({"word": np.zeros(len(flat), np.int32), "pos": np.arange(len(flat), dtype=np.int64), "id": flat})
+        while True:
+            self.db.register("bytes", state)
+            found = self.db.sql(CONTRACT_LONG, params={"steps": max(8, ROWS // len(state))}).to_arrow_table()
+            self.db.unregister("bytes")
+            if found["done"][0].as_py():
+                return found["id"].to_numpy().astype("<u4").tobytes()
+            state = found.drop_columns("done")
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with its space: contracted once and remembered while they are used."""
+        get, old = self.words.get, self.older.get
+        found = [get(w) for w in words]
+        lacking = [w for w, i in zip(words, found) if i is None]
         # " word," is " word" and ",", and is not remembered
-        parts = {w: [w[:-1], w[-1]] if w[-1] in ".," and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
-        old = self.older.get
+        parts = {w: [w[:-1], w[-1]] if w[-1:] in (".", ",") and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
         new = {w: i for p in parts.values() for w in p if (i := get(w) or old(w)) is not None}
         new |= self.contract(list(dict.fromkeys(w for p in parts.values() for w in p if w not in new)))
         for w, p in parts.items():
-            if len(p) > 1:
+            if len(p) != 1:
                 new[w] = b"".join([new[x] for x in p])
         self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2)
         if len(self.words) > REMEMBER:
             self.words, self.older = {}, self.words
-        return [b"".join([i if i is not None else new[w] for w, i in zip(x, ids)] if None in ids else ids) for x, ids in zip(split, found)]
+        return [i if i is not None else new[w] for w, i in zip(words, found)]
 
-    def decode(self, encoded: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (uint32), and where each text's end."""
+        # A pre-token starts at every space that text follows, so texts fall apart there, but for texts with double or
+        # trailing spaces.
+        plain = [UNSAFE.search(t) is None for t in texts]
+        cut = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
+        spaced = cut.flatten().dictionary_encode()
+        number, bounds = spaced.indices.to_numpy().astype(np.int64), np.asarray(cut.offsets)
+        others: dict[str, int] = {}  # first words, which have no space before them, and pre-tokens of the other texts
+        base, which, k = len(spaced.dictionary), [], 0
+        for t, p in zip(texts, plain):
+            if p:
+                own = number[bounds[k] : bounds[k + 1]]
+                own[0] = base + others.setdefault(t.partition(" ")[0], len(others))
+                k += 1
+            else:
+                own = np.array([base + others.setdefault(w, len(others)) for w in self.pretokens(t)], np.int64)
+            which.append(own)
+        ids = self._words([f" {w}" for w in spaced.dictionary.to_pylist()] + list(others)) if texts else []
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        stored, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        every = np.concatenate([np.zeros(0, np.int64), *which])
+        length = size[every]
+        ends = np.cumsum(length)
+        flat = stored[np.repeat(starts[every] - (ends - length), length) + np.arange(length.sum())]
+        return flat, np.concatenate(([0], ends))[np.cumsum([len(w) for w in which], dtype=np.int64)] if texts else np.zeros(0, np.int64)
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes that each text's ids stand for."""
-        out = [b""] * len(encoded)
-        flat = np.frombuffer(b"".join(encoded), "<u4")
-        doc = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(e) // 4 for e in encoded])
+        out = [b""] * len(ends)
+        doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
         for at in range(0, len(flat), IDS):
             part = slice(at, at + IDS)
             n = len(flat[part])
@@ -175,8 +215,9 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
     """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int).
 
     Null texts count as empty (0 tokens, the digests of no bytes); repeated rows and null doc_ids stay. Each match of
-    pattern is encoded on its own by the ranks in path, without special tokens, and the ids are decoded again. Other
-    columns are not read. One pass over the rows: nothing is shuffled.
+    pattern is encoded on its own by the ranks in path, without special tokens, and the ids are decoded again. Texts are
+    encoded whole, however long; of equal pairs of least rank the leftmost is contracted first. Other columns are not
+    read; an empty table gives no rows. One pass over the rows: nothing is shuffled.
     """
     fields = [("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = T.StructType([T.StructField(*f) for f in fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
@@ -186,16 +227,16 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFr
         for batch in batches:
             batch["text"] = batch["text"].where(batch["text"].notna(), "")
             for pdf in _some(batch):
-                encoded = c.encode(pdf["text"].tolist())
-                decoded = c.decode(encoded)
+                flat, ends = c.encode(pdf["text"].tolist())
+                encoded = np.split(flat, ends[:-1])
                 out = {
                     "doc_id": pdf["doc_id"].astype("Int64").array,
-                    "n_tokens": [len(e) // 4 for e in encoded],
+                    "n_tokens": np.diff(ends, prepend=0),
                     "ids_sha256": [hashlib.sha256(e).hexdigest() for e in encoded],
-                    "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
+                    "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in c.decode(flat, ends)],
                 }
                 if ids:
-                    out["ids"] = [np.frombuffer(e, "<i4") for e in encoded]
+                    out["ids"] = [e.view("<i4") for e in encoded]
                 yield pd.DataFrame(out)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

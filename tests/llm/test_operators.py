@@ -254,12 +254,34 @@ def test_bpe(spark, awkward, nothing, tik):
     assert bpe.encode(nothing, MULTI, public_tokenizers.PATTERN).count() == 0
 
 
-def test_heap_contracts_as_the_query(tik):
-    c = bpe.codec(MULTI, public_tokenizers.PATTERN)
+def test_long_pre_tokens_contract_step_by_step(tik, monkeypatch):
+    """Both queries, and the long one broken off and started again, against the library."""
+    c = bpe.Codec(MULTI, public_tokenizers.PATTERN)
     rng = random.Random(6)
-    words = list({"".join(rng.choices("abenst é語", k=rng.randint(1, 40))) for _ in range(500)})
+    words = list({"".join(rng.choices("abenst é語", k=rng.randint(1, 40))).replace(" ", "") or "a" for _ in range(300)})
+    words += ["x" * n for n in (201, 256, 1000, 10_001)] + ["=" * 3000, "ab" * 5000, "na" * 999 + "n", "語" * 700, "the" * 200]
+    words += ["".join(rng.choices(a, k=n)) for a in ("acgt", "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他", "aé") for n in (70, 400, 10_000)]
+    want = {w: np.array(tik._encode_single_piece(w), "<u4").tobytes() for w in words}
     found = c.contract(words)
-    assert all(found[w] == c._heap(w.encode()).tobytes() for w in words)
+    assert [w for w in words if found[w] != want[w]] == []
+    monkeypatch.setattr(bpe, "LONG", 0)
+    monkeypatch.setattr(bpe, "ROWS", 0)
+    some = [w for w in words if len(w) < 500]
+    found = c.contract(some)
+    assert [w for w in some if found[w] != want[w]] == []
+
+
+def test_words_are_forgotten_and_found_again(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 5)
+    monkeypatch.setattr(bpe, "WORDS", 3)
+    monkeypatch.setattr(bpe, "IDS", 7)
+    c = bpe.Codec(MULTI, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    for _ in range(6):
+        texts = [" ".join(rng.choices(["one", "two,", "three.", "vier\nfünf", "", "  six", "日本語"], k=6)) for _ in range(9)] + ["", " "]
+        flat, ends = c.encode(texts)
+        assert [x.tolist() for x in np.split(flat, ends[:-1])] == [tik.encode_ordinary(t) for t in texts]
+        assert c.decode(flat, ends) == [t.encode() for t in texts]
 
 
 # 7
