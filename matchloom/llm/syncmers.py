@@ -1,13 +1,15 @@
 """Document fingerprints from closed syncmers (operator 10), in Spark's own functions only.
 
-A text is cut into pieces of up to four characters, afresh at each white space (characters of scripts without spaces are
-pieces of their own). A K-mer is K pieces in a row; it is an anchor if the least hash among its S-mers is its first or
-last. That depends on the K-mer alone, so a passage has the same anchors wherever it stands. The fingerprint is all
-anchors with their positions, so it grows with the text; the sketch is the SIZE least hashes of the distinct anchors.
+A k-mer is K characters in a row; it is an anchor if the least hash among its substrings of S characters is that of its
+first or last. That depends on the k-mer alone, so a passage has the same anchors wherever it stands, and two anchors
+that follow each other are at most K - S characters apart. The fingerprint is all anchors with their positions. Texts are
+matched by links: two anchors that follow each other, at their distance. A link is found in another text only where the
+same two anchors are as far apart, wherever that is.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-K, S, SIZE = 5, 2, 64
-PIECE = r"[\x{2E80}-\x{D7FF}]|[^\s\x{2E80}-\x{D7FF}]{1,4}"
+K, S = 12, 4
+#: An anchor is a long: the k-mer's hash (32 bits) above its position in characters (POSITION bits).
+POSITION = 31
+#: Ranges of doc_id for each task.
+RANGES = 4
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -24,115 +29,144 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _anchored(pieces: Column, use: Callable[[Column, Column], Column]) -> Column:
-    """use(positions of the closed syncmers among the pieces, the pieces' hashes); K pieces at least."""
+def _anchor(hashed: Column, position: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(hashed, 32), POSITION).bitwiseOR(position.cast("long"))
 
-    def of(h: Column) -> Column:
-        smers = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(S)]))
 
-        def edge(m: Column, i: Column) -> Column:
-            last = K - S
-            inner = F.least(*[F.get(m, i + j) for j in range(1, last)])
-            return F.least(F.get(m, i), F.get(m, i + last)) <= inner
+def position(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit((1 << POSITION) - 1))
 
-        return _let(smers, lambda m: use(F.filter(F.sequence(F.lit(0), F.size(h) - K), lambda i: edge(m, i)), h))
 
-    return _let(F.transform(pieces, lambda x: F.xxhash64(x)), of)
-
-
-def _kmer(h: Column, i: Column) -> Column:
-    """31 bits of the K-mer's hash."""
-    return F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(K)]), 33).cast("int")
+def kmer_hash(anchor: Column) -> Column:
+    """32 bits, as a long."""
+    return F.shiftrightunsigned(anchor, POSITION)
 
 
 def anchors(text: Column) -> Column:
-    """The anchors of a text as array<struct<position int, hash int>>; position counts pieces. For positional matching:
-    a passage shared by two texts gives equal hashes at a constant difference of positions. Fewer than K pieces count as one anchor; null or none: empty."""
-    kind = "array<struct<position:int,hash:int>>"
-    many = lambda p: _anchored(p, lambda at, h: F.transform(at, lambda i: F.struct(i.alias("position"), _kmer(h, i).alias("hash"))))
-    one = lambda p: F.array(F.struct(F.lit(0).alias("position"), F.shiftrightunsigned(F.xxhash64(p), 33).cast("int").alias("hash")))
-    of = lambda p: F.when(F.size(p) >= K, many(p)).when(F.size(p) > 0, one(p)).otherwise(F.array().cast(kind))
-    return _let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), of)
-
-
-def hashes(anchors: Column) -> Column:
-    """The distinct hashes of anchors."""
-    return F.array_distinct(anchors.getField("hash"))
+    """All anchors of a text in order of position, array<long>; see position() and kmer_hash().
 
-
-def least(hashes: Column, size: int = SIZE) -> Column:
-    """The ``size`` least of distinct hashes, ascending."""
-    return F.slice(F.sort_array(hashes), 1, size)
+    A text of fewer than K characters is one anchor at 0; null or empty: none. Ties for the least hash count as edges.
+    """
+    text = F.coalesce(text, F.lit(""))
+    # the substrings overlap: each match looks S characters ahead and takes one
+    inner = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
+    far = K - S
+
+    def edge(m: Column, i: Column, at: int, others: range) -> Column:
+        own, least = F.get(m, i + at), None
+        for j in others:
+            less = own <= F.get(m, i + j)
+            least = less if least is None else least & less
+        return least
+
+    def closed(m: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(m) - far - 1)
+        at = F.filter(starts, lambda i: edge(m, i, 0, range(1, far)) | edge(m, i, far, range(far - 1, 0, -1)))
+        return F.transform(at, lambda i: _anchor(F.xxhash64(*[F.get(m, i + j) for j in range(0, far + 1, S)]), i))
+
+    short = F.array(_anchor(F.xxhash64(text), F.lit(0)))
+    n = F.char_length(text)
+    return F.when(n >= K, _let(inner, closed)).when(n > 0, short).otherwise(F.array().cast("array<long>"))
+
+
+def joined(left: Column, left_anchors: Column, right: Column, right_anchors: Column) -> Column:
+    """The anchors of concat(left, right) from those of the texts that left and right are the start of: what lies whole
+    in either, and the k-mers across, which are at most K - 1. Texts of fewer than K characters are hashed anew."""
+    n, m = F.char_length(left), F.char_length(right)
+    start = F.greatest(n - (K - 1), F.lit(0))
+    whole = F.concat(left, right)
+    across = F.substring(whole, start + 1, n - start + F.least(m, F.lit(K - 1)))
+    moved = lambda a, by: F.transform(a, lambda x: x + by.cast("long"))
+    inside = lambda a, size: F.filter(a, lambda x: position(x) <= size - K)
+    none = F.array().cast("array<long>")
+    over = F.when(F.char_length(across) >= K, moved(anchors(across), start)).otherwise(none)
+    return F.when(n + m < K, anchors(whole)).otherwise(F.concat(inside(left_anchors, n), over, moved(inside(right_anchors, m), n)))
+
+
+def links(anchors: Column) -> Column:
+    """The distinct links of a text: a hash of each anchor, the one before, and the distance between them."""
+    link = lambda x, k: F.xxhash64(kmer_hash(x), kmer_hash(F.get(anchors, k - 1)), position(x) - position(F.get(anchors, k - 1)))
+    return F.array_distinct(F.transform(anchors, link))
+
+
+def fingerprint(anchors: Column) -> Column:
+    """Ten hex digits an anchor: 1, its hash, how many characters it is from the one before (from the start: the first)."""
+    step = lambda x, k: position(x) - F.coalesce(position(F.get(anchors, k - 1)), F.lit(0))
+    digits = lambda x, k: F.hex(F.shiftleft(kmer_hash(x), 4) + step(x, k) + F.lit(1 << 36))
+    return F.lower(F.array_join(F.transform(anchors, digits), ""))
 
 
-def sketch(text: Column, size: int = SIZE) -> Column:
-    """The ``size`` least anchor hashes of a text, ascending; none: empty."""
-    return least(hashes(anchors(text)), size)
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common links (Jaccard) of two texts' links, 0 to 1; two empty ones are alike."""
+    both = F.size(F.array_intersect(a, b))
+    return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
-def fingerprint(sketch: Column) -> Column:
-    """A sketch as a string, eight hex digits a hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def _cuts(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Cuts of (key, tie): a key that is several quantiles is cut within, by its rows' ties."""
+    out = []
+    for key, often in sorted(Counter(quantiles).items()):
+        ties = [(1 << 63) - 1] if often == 1 else [(j << 64) // (often + 1) - (1 << 63) for j in range(1, often + 1)]
+        out += [(key, tie) for tie in ties]
+    return out
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes (Jaccard) of two arrays of all distinct hashes, 0 to 1; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n)))
+def _bucket(cuts: list[tuple[int, int]], key: Column, tie: Column) -> Column:
+    """How many of the ascending cuts are less than (key, tie), by binary search."""
+    steps = [1 << k for k in reversed(range(max(1, len(cuts)).bit_length()))]
+    keys, ties = (F.lit([c[i] for c in cuts]) if cuts else F.array().cast("array<long>") for i in (0, 1))
 
+    def less(i: Column) -> Column:
+        return (F.get(keys, i) < key) | ((F.get(keys, i) == key) & (F.get(ties, i) < tie))
 
-def _bucket(bounds: list[int], key: Column) -> Column:
-    """How many of the ascending bounds are less than key, by binary search."""
-    steps = [1 << k for k in reversed(range(max(1, len(bounds)).bit_length()))]
-    table = F.lit(bounds) if bounds else F.array().cast("array<long>")
-    step = lambda lo, st: F.when((lo + st <= len(bounds)) & (F.get(table, lo + st - 1) < key), lo + st).otherwise(lo)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda lo, s: F.when((lo + s <= len(cuts)) & less(lo + s - 1), lo + s).otherwise(lo))
 
 
 def with_next(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, text (null: empty), the columns of ``extra``, and next_<col> of the next row in ascending doc_id order.
+    """doc_id, text (null: empty), the columns of ``extra`` (of text), and next_<col> of the next row in ascending
+    doc_id order.
 
-    Order: null doc_ids last, ties by the text's hash, repeated rows one after another; after the last comes the first.
-    Ranges of doc_id, bounded by approximate quantiles, are sorted each in a task of its own; the first row of each
-    range (a row a range) goes to the range before it as well. Texts are shuffled once.
+    Order: null doc_ids last (and with them 2 ** 63 - 1), ties by the text's hash, repeated rows one after another;
+    after the last comes the first. Ranges of (doc_id, hash), bounded by approximate quantiles, are sorted each in a
+    task; many texts of one doc_id, or of none, are several ranges, but repeats of one row are one. The first row of
+    each range goes to the range before it as well. Texts are shuffled once, and ``extra`` is computed after that.
     """
-    spark = docs.sparkSession
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("key")
-    n = partitions(spark)
-    cuts = rows.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n).alias("b")).first()["b"] or []
-    placed = rows.select("doc_id", key, F.xxhash64("text").alias("tie"), "text").withColumn("bucket", _bucket(sorted(set(cuts)), F.col("key")))
+    n = partitions(docs.sparkSession)
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    shares = [i / (RANGES * n) for i in range(1, RANGES * n)] or [0.5]
+    cuts = _cuts(rows.select(F.percentile_approx("key", shares, 100 * RANGES * n).alias("b")).first()["b"] or [])
+    placed = rows.withColumn("bucket", _bucket(cuts, F.col("key"), F.col("tie")))
     w = Window.orderBy("bucket")  # one row a range
-    least = rows.select(_bucket(sorted(set(cuts)), key).alias("bucket"), key).groupBy("bucket").agg(F.min("key").alias("key"))
-    before = least.select("key", F.coalesce(F.lag("bucket").over(w), F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("to"))
-    firsts = placed.drop("bucket").join(F.broadcast(before), "key").withColumnRenamed("to", "bucket")
-    both = placed.withColumn("guest", F.lit(0)).unionByName(firsts.withColumn("guest", F.lit(1))).withColumns(extra or {})
+    least = placed.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("least"))
+    last = F.max("bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = least.select("least.*", F.coalesce(F.lag("bucket").over(w), last).alias("to"))
+    firsts = rows.join(F.broadcast(before), ["key", "tie"]).dropDuplicates(["to"]).select(*rows.columns, F.col("to").alias("bucket"))
+    both = placed.withColumn("guest", F.lit(0)).unionByName(firsts.withColumn("guest", F.lit(1)))
+    dealt = both.repartitionByRange(n, "bucket").withColumns(extra or {})
     inside = Window.partitionBy("bucket").orderBy("guest", "key", "tie")
     carried = ["text", *(extra or {})]
-    out = both.select("doc_id", *carried, "guest", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried])
+    out = dealt.select("doc_id", *carried, "guest", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried])
     return out.filter("guest = 0").drop("guest")
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Each document and its edited text (the last half of its code points replaced by the first as many of the next
-    document): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, sketch, edited_sketch, near_edited,
-    near_next. The fingerprints hold all anchors, near_ is over all their hashes; the sketches are hex digits.
+    document): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null texts count as empty, with an empty fingerprint. Equal texts have equal fingerprints. See with_next() for the
-    order with null or repeated doc_ids. An empty table gives no rows; other columns are not read.
+    Fingerprints are over whole texts, however long; each text is hashed once, and an edited text's anchors are put
+    together from those of its parts. Null texts count as empty, with an empty fingerprint; two empty ones have
+    likeness 1. Equal texts have equal fingerprints. See with_next() for the order with null or repeated doc_ids. An
+    empty table gives no rows; other columns are not read.
     """
-    rows = with_next(docs)
+    rows = with_next(docs, {"anchors": anchors(F.col("text"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    new = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", new.alias("edited"))
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        anchors(F.col("text")).alias("fingerprint"), anchors(F.col("edited")).alias("edited_fingerprint"), hashes(anchors(F.col("next_text"))).alias("next"),
-    )
-    rows = rows.withColumns({"own": hashes(F.col("fingerprint")), "changed": hashes(F.col("edited_fingerprint"))})
+    rows = rows.withColumns({"n_chars": n, "kept": F.substring("text", F.lit(1), n - half), "taken": F.substring("next_text", F.lit(1), half)})
+    rows = rows.withColumn("changed", joined(F.col("kept"), F.col("anchors"), F.col("taken"), F.col("next_anchors")))
+    rows = rows.withColumns({"own_links": links(F.col("anchors")), "changed_links": links(F.col("changed")), "next_links": links(F.col("next_anchors"))})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        fingerprint(least(F.col("own"))).alias("sketch"), fingerprint(least(F.col("changed"))).alias("edited_sketch"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.concat("kept", "taken"), 256).alias("edited_sha256"),
+        fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own_links"), F.col("changed_links")).alias("near_edited"), likeness(F.col("own_links"), F.col("next_links")).alias("near_next"),
     )
