@@ -30,7 +30,7 @@ _QUOTED = {q: rf"(?!(?:[^{q}\\\r\n]|\\.){{0,5}}{q})[^\r\n]{{6,}}?(?:(?<!\\)|(?<=
 _BARE_VALUE = r"[^\s\"',;:=>][^\s\"',;]{5,}"
 #: The user of a connection string; its password goes to the last @ before a slash.
 _USER, _PASSWORD = r"[A-Za-z]://[^\s/:@\"'<>]{0,100}:", r"[^\s\"'<>/]{3,}(?=@)"
-_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
+_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}"
 #: A PEM key block; the password of a connection string; what is assigned to a name that speaks of secrets, quoted or
 #: not; a run of 12 characters or more with a digit. The short look-behinds keep the long ones from most characters.
 CANDIDATE = (
@@ -40,7 +40,9 @@ CANDIDATE = (
 )
 #: Found in a text if and only if CANDIDATE is; quicker, as it looks ahead from the name and not back at each character.
 PRESENT = rf"{_PEM_BEGIN}|{_USER}{_PASSWORD}|{_ASSIGNED}(?:\"{_QUOTED['"']}|'{_QUOTED["'"]}|[\"']?{_BARE_VALUE})|{_RUN}"
-SEGMENT = rf"(?s)\G.*?({CANDIDATE})"
+#: From the end of one candidate to that of the next; groups: the candidate, up to BEFORE characters before it, AFTER after it.
+BEFORE, AFTER = 255, 32
+SEGMENT = rf"(?s)\G.*?(?=({CANDIDATE}))(?<=(^.{{0,{BEFORE - 1}}}|.{{{BEFORE}}}))\1(?=(.{{0,{AFTER}}}))"
 MASK = "[SECRET]"
 #: Common words whose share of a candidate speaks against a secret.
 DICTIONARY = (
@@ -156,21 +158,18 @@ def train(findings: DataFrame) -> PipelineModel:
 
 
 def scan_texts(texts: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
-    """Findings in texts (key, text, path; distinct keys): key, i, start (0-based code point), length, value, score, is_secret."""
-    # both are taken in the whole text, where the look-behinds see what earlier segments hold
-    lengths = F.transform(F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0)), lambda s: F.char_length(s))
-    both = F.arrays_zip(lengths.alias("segment"), F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(1)).alias("value"))
-    segments = texts.select("key", "path", "text", F.posexplode(both).alias("i", "found")).select("key", "path", "text", "i", "found.*")
-    w = Window.partitionBy("key").orderBy("i")
-    ended = segments.withColumn("end", F.sum("segment").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    start = (F.col("end") - F.char_length("value")).cast("int")
-    found = ended.withColumn("start", F.col("end") - F.char_length("value")).withColumns(
-        {
-            "before": F.substring("text", F.greatest(start - 255, F.lit(1)), F.least(start, F.lit(256))),
-            "after": F.substring("text", F.col("end").cast("int") + 1, F.lit(32)),
-        }
-    )
-    scored = model.transform(with_features(found.drop("text", "segment")))
+    """Findings in texts (key, text, path; distinct keys): key, i, start (0-based code point), length, value, score, is_secret.
+
+    A text with many candidates makes as many rows, each with its value and what is close to it only, so work and memory
+    grow as the text does.
+    """
+    group = lambda k: F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(k))
+    lengths = F.transform(group(0), lambda s: F.char_length(s))
+    found = F.arrays_zip(lengths.alias("segment"), group(1).alias("value"), group(2).alias("before"), group(3).alias("after"))
+    segments = texts.select("key", "path", F.posexplode(found).alias("i", "found")).select("key", "path", "i", "found.*")
+    w = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = segments.withColumn("start", F.sum("segment").over(w) - F.char_length("value")).drop("segment")
+    scored = model.transform(with_features(placed))
     # what is itself the name in an assignment is none
     name = F.col("value").rlike(rf"^(?:[A-Za-z0-9]+[_-])*{_NAME}(?:s|[A-Z0-9_-][A-Za-z0-9_-]*)?$") & F.col("after").rlike(rf"^[\"']?\]?{_BLANKS}[:=]")
     score = F.when(name, 0.0).otherwise(F.get(vector_to_array("p"), F.lit(1)))
@@ -197,18 +196,26 @@ def scan(docs: DataFrame, model: PipelineModel | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: PipelineModel | None = None) -> DataFrame:
-    """docs with each secret in text replaced by MASK and n_chars, if there, counted anew; no row goes.
+    """docs with each secret in text replaced by MASK, where it stands, and n_chars, if there, counted anew; no row goes.
 
-    Only rows with a candidate are joined to findings, by the hash of their text.
+    Only rows with a candidate are joined to findings, by the hash of their text. Null and empty texts stay; repeated rows
+    are masked alike; all columns stay, whatever their names. An empty table gives no rows.
     """
     model = model or train(labelled_findings(docs.sparkSession))
     rows = _keyed(docs)
-    found = scan_texts(rows.dropDuplicates(["key"]).select("key", "text", "path"), model).filter("is_secret")
-    by_text = materialize(found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("length", "value")), asc=False).alias("secrets")), "secrets")
-    masked = F.aggregate("secrets", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(MASK)))
-    fixed = rows.join(by_text, "key", "left").withColumn("new", F.when(F.col("secrets").isNotNull(), masked).otherwise(F.col("text")))
+    found = scan_texts(rows.dropDuplicates(["key"]).select("key", "text", "path"), model)
+    verdicts = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "is_secret", "length"))).alias("verdicts"), F.max("is_secret").alias("any"))
+    by_text = materialize(verdicts.filter("any").drop("any"), "secrets")
+    segments = F.regexp_extract_all("text", F.lit(SEGMENT), F.lit(0))
+    own = lambda i: F.get("verdicts", i)
+    masked = F.transform(segments, lambda s, i: F.when(own(i)["is_secret"], F.concat(F.left(s, F.char_length(s) - own(i)["length"]), F.lit(MASK))).otherwise(s))
+    rest = F.substring("text", F.aggregate(segments, F.lit(1), lambda n, s: n + F.char_length(s)), F.char_length("text"))
+    new = F.when(F.col("verdicts").isNotNull(), F.concat(F.array_join(masked, ""), rest)).otherwise(F.col("text"))
+    fixed = rows.join(by_text, "key", "left").withColumn("new", new)
     columns = [F.col("new").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
-        columns = [F.when(F.col("secrets").isNotNull(), F.char_length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")).alias("n_chars") if c == "n_chars" else x for c, x in zip(docs.columns, columns)]
-    rest = docs.filter(~F.coalesce(docs["text"].rlike(PRESENT), F.lit(False)))
-    return rest.unionByName(fixed.select(*columns))
+        kind = docs.schema["n_chars"].dataType
+        n_chars = F.when(F.col("verdicts").isNotNull(), F.char_length("new").cast(kind)).otherwise(F.col("row.n_chars"))
+        columns = [n_chars.alias("n_chars") if c == "n_chars" else x for c, x in zip(docs.columns, columns)]
+    others = docs.filter(~F.coalesce(docs["text"].rlike(PRESENT), F.lit(False)))
+    return others.unionByName(fixed.select(*columns))

@@ -117,6 +117,48 @@ def test_secrets_of_all_shapes(spark):
     assert docs.filter(F.col("text").rlike(secrets.CANDIDATE) != F.col("text").rlike(secrets.PRESENT)).count() == 0
 
 
+def test_candidates_by_brute_force(spark):
+    """Runs of 12 with a digit, however late the digit, with their places and surroundings, in texts of many candidates."""
+    rng = random.Random(11)
+    texts = ["blob " + "q" * 230 + "12ab34 end", "𠀀𠀁 " + "abcdef123456 " * 3000, "a" * 5000]
+    texts += [" ".join("".join(rng.choices("abcdefXYZ019+/_-", k=rng.randint(6, 30))) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    docs = spark.createDataFrame([(str(i), t, "") for i, t in enumerate(texts)], "key string, text string, path string")
+    want = set()
+    for i, t in enumerate(texts):
+        want |= {(str(i), m.start(), m[0]) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}", t)}
+    found = secrets.scan_texts(docs, secrets.train(secrets.labelled_findings(spark, 600)))
+    assert {(r.key, r.start, r.value) for r in found.collect()} == want
+    near = docs.select("text", F.regexp_extract_all("text", F.lit(secrets.SEGMENT), F.lit(2)).alias("before"), F.regexp_extract_all("text", F.lit(secrets.SEGMENT), F.lit(3)).alias("after"))
+    at = {}
+    for i, start, v in sorted(want, key=lambda x: (int(x[0]), x[1])):
+        at.setdefault(int(i), []).append((texts[int(i)][max(0, start - 255) : start], texts[int(i)][start + len(v) : start + len(v) + 32]))
+    for r in near.collect():
+        assert list(zip(r.before, r.after)) == at.get(texts.index(r.text), [])
+
+
+def test_secrets_are_masked_where_they_stand(spark):
+    """Equal substrings elsewhere stay, and columns of any name."""
+    text = "user hunter!pass is fine; password=hunter!pass and [SECRET] token = 'SECRET]4711x'"
+    docs = spark.createDataFrame([(1, text, "k", 5, 7), (2, None, None, None, None)], "doc_id long, text string, key string, new int, verdicts int")
+    clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert clean[1].text.startswith("user hunter!pass is fine; password=[SECRET] and [SECRET] token") and tuple(clean[1])[2:] == ("k", 5, 7)
+    assert clean[2].text is None
+
+
+def test_recall_on_documents(spark):
+    """Of the keys and assigned tokens that the documents hold, nearly all are found, and card numbers aren't."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    found = secrets.scan(docs).collect()
+    yes = {(r.doc_id, r.start) for r in found if r.is_secret}
+    planted, cards = set(), set()
+    for i, t in rows_of(docs):
+        planted |= {(i, m.start(1)) for m in re.finditer(r"(?:token|secret|password|api_key)[ =:\"']{1,5}([0-9a-f]{40}|[A-Za-z0-9]{20,40})\b|\b(AKIA[A-Z0-9]{12,})", t or "") if m.start(1) >= 0}
+        planted |= {(i, m.start()) for m in re.finditer(r"\bAKIA[A-Z0-9]{12,}", t or "")}
+        cards |= {(i, m.start()) for m in re.finditer(r"\b\d{16}\b", t or "")}
+    assert len(planted) > 10 and len(planted & yes) / len(planted) >= 0.95
+    assert len(cards & yes) <= 0.02 * max(1, len(cards))
+
+
 # 3
 
 
