@@ -1,57 +1,52 @@
 """Quality rules by n-gram perplexity (operator 9).
 
-A modified Kneser-Ney model of character 4-grams for each language, counted by Spark over all documents. Characters are
-folded to SYMBOLS symbols, so a model has at most SYMBOLS**ORDER n-grams whatever the corpus: that bounds what is kept
-per task, shuffled and broadcast. Documents whose perplexity is outside their language's band are rejected.
+A modified Kneser-Ney model of character 4-grams for each language. Spark counts the 4-grams of all documents and derives
+the lower orders, discounts and probabilities as joins and aggregates; the model is kept in arrays sorted by the n-gram's
+hash. Documents whose perplexity is outside their language's band are rejected.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
 
 ORDER = 4
-SYMBOLS = 44
-SPACE = SYMBOLS**ORDER
-#: Characters scored at once, and languages counted at once, in a task.
-CHUNK, OPEN_LANGS = 1 << 20, 8
+#: Bits of a code point; an n-gram is two longs, (first, second) and (third, fourth) code point, lower orders with zeros.
+BITS = 21
+MASK = (1 << BITS) - 1
+#: Characters counted or scored at once; n-grams of its partition that a task holds before it passes them on.
+CHUNK, HELD = 1 << 20, 1 << 21
+#: n-grams of a model that is broadcast (16 bytes each); a larger one is joined. Languages whose bands are broadcast.
+MODEL_ROWS, BAND_ROWS = 4_000_000, 20_000
 #: Bands: half width in nats is SPREADS robust deviations, LEAST at least, plus SLACK / sqrt(characters) for short texts.
 SPREADS, LEAST, SLACK = 6.0, 0.15, 3.0
 #: Base rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 JUNK = "#*$%&|<>"
 
-_FOLD: np.ndarray | None = None
-
-
-def _fold() -> np.ndarray:
-    """Symbol of each code point: 0 white space or edge, 1-26 letters, 27 digits, 28-32 other characters by lower-cased
-    code point, 33-35 full stop, comma and other punctuation, 36-43 the junk marks."""
-    global _FOLD
-    if _FOLD is None:
-        table = 28 + np.arange(0x110000) % 5
-        for cp in range(0x80, 0x2000):
-            low = chr(cp).lower()
-            table[cp] = 28 + (ord(low) if len(low) == 1 else cp) % 5
-        table[:0x80] = 35
-        for cp in [0, *range(9, 14), 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000]:
-            table[cp] = 0
-        for i in range(26):
-            table[ord("a") + i] = table[ord("A") + i] = 1 + i
-        table[ord("0") : ord("9") + 1] = 27
-        table[ord(".")], table[ord(",")] = 33, 34
-        for i, c in enumerate(JUNK):
-            table[ord(c)] = 36 + i
-        _FOLD = table.astype(np.int32)
-    return _FOLD
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: what it counts as (lower case; one digit, one white space), and whether it is a letter or digit."""
+    fold, alnum = np.arange(0x110000, dtype=np.int64), np.zeros(0x110000, bool)
+    for cp in range(0x110000):
+        c = chr(cp)
+        if c.isspace():
+            fold[cp] = 32
+        elif c.isdigit():
+            fold[cp] = 48
+        elif len(low := c.lower()) == 1:
+            fold[cp] = ord(low)
+        alnum[cp] = c.isalnum()
+    return fold, alnum
 
 
 def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
@@ -60,7 +55,7 @@ def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
     held, size = [], 0
     for i, text in enumerate(texts):
         for at in range(0, max(1, len(text)), CHUNK):
-            before = text[at - 3 : at] if at else "\0\0\0"
+            before = text[at - 3 : at] if at >= 3 else "\0\0\0"
             body = text[at : at + CHUNK]
             held.append((i, before + body + ("\0" if at + CHUNK >= len(text) else "")))
             size += len(body) + 4
@@ -71,19 +66,30 @@ def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
-def _keys(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram codes of the joined pieces, where each piece starts, and which codes count."""
-    joined = "".join(p for _, p in pieces)
-    s = _fold()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
-    keys = s.copy()
-    for back in (1, 2, 3):
-        keys[back:] += s[:-back] * SYMBOLS**back
+def _grams(pieces: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 4-grams that end at each character of the joined pieces, as their two longs; the text of each, -1 where a
+    piece's context is."""
+    raw = "".join(p for _, p in pieces).encode("utf-32-le", "surrogatepass")
+    c = _tables()[0][np.frombuffer(raw, "<u4")]
+    pair = c.copy()
+    pair[1:] += c[:-1] << BITS
+    a = np.zeros_like(pair)
+    a[2:] = pair[:-2]
     lengths = np.fromiter((len(p) for _, p in pieces), np.int64, len(pieces))
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    counts = np.ones(len(keys), bool)
+    text = np.repeat(np.fromiter((i for i, _ in pieces), np.int64, len(pieces)), lengths)
+    starts = np.cumsum(lengths) - lengths
     for k in range(3):
-        counts[starts + k] = False
-    return keys, starts, counts
+        text[starts + k] = -1
+    return a, pair, text
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
+    """64-bit hash of n-grams."""
+    with np.errstate(over="ignore"):
+        h = (a.astype(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + b.astype(np.uint64)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        return h ^ h >> np.uint64(31)
 
 
 def _lang(langs: pd.Series) -> list[str]:
@@ -99,146 +105,113 @@ def _by_lang(texts: pd.Series, langs: pd.Series) -> dict[str, tuple[list[int], l
     return out
 
 
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of several (hash, a, b, n) one, with each n-gram once."""
+    h, a, b, n = (np.concatenate(x) for x in zip(*parts))
+    at = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], h[at][1:] != h[at][:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[at][first], a[at][first], b[at][first], np.add.reduceat(n[at], first) if len(h) else n
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tables: dict[str, np.ndarray] = {}
+    """lang, a, b, n of the 4-grams of a partition; those of a language that are held too many go on at once."""
+    held: dict[str, list] = {}
 
     def flush(lang: str) -> pd.DataFrame:
-        t = tables.pop(lang)
-        at = np.flatnonzero(t)
-        return pd.DataFrame({"lang": lang, "key": at.astype(np.int32), "n": t[at].astype(np.int64)})
+        _, a, b, n = _summed(held.pop(lang))
+        return pd.DataFrame({"lang": lang, "a": a, "b": b, "n": n})
 
     for pdf in batches:
         for lang, (_, texts) in _by_lang(pdf["text"], pdf["lang"]).items():
-            if lang not in tables:
-                if len(tables) == OPEN_LANGS:
-                    yield flush(next(iter(tables)))
-                tables[lang] = np.zeros(SPACE, np.int32)
             for pieces in _pieces(texts):
-                keys, _, counts = _keys(pieces)
-                tables[lang] += np.bincount(keys[counts], minlength=SPACE).astype(np.int32)
-    for lang in list(tables):
+                a, b, text = _grams(pieces)
+                a, b = a[text >= 0], b[text >= 0]
+                parts = held.setdefault(lang, [])
+                parts.append(_summed([(_mixed(a, b, ORDER), a, b, np.ones(len(a), np.int64))]))
+                if len(parts) > 1 and sum(len(x[0]) for x in parts[1:]) > len(parts[0][0]):
+                    held[lang] = [_summed(parts)]
+        while sum(len(x[0]) for parts in held.values() for x in parts) > HELD:
+            yield flush(max(held, key=lambda k: sum(len(x[0]) for x in held[k])))
+    for lang in list(held):
         yield flush(lang)
 
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney from 4-gram counts, in arrays sorted by n-gram code."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        at = np.argsort(keys)
-        types, c = keys[at].astype(np.int64), counts[at].astype(np.int64)
-        levels = []
-        for order in range(ORDER, 0, -1):
-            levels.append(self._level(types, c))
-            # the next lower order counts in how many contexts a suffix is seen
-            types, c = np.unique(types % SYMBOLS ** (order - 1), return_counts=True)
-        self.levels = levels[::-1]
-
-    @staticmethod
-    def _level(types: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        d = np.array([0.0, *(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05 * (k + 1)), k + 1.0) if n[k] else (k + 1) * 0.5 for k in range(3))])
-        cut = d[np.minimum(c, 3)]
-        contexts, where = np.unique(types // SYMBOLS, return_inverse=True)
-        total = np.bincount(where, c)
-        return types, ((c - cut) / total[where]).astype(np.float32), contexts, (np.bincount(where, cut) / total).astype(np.float32)
-
-    def cost(self, keys: np.ndarray) -> np.ndarray:
-        """-ln p(last symbol | the three before) of each code."""
-
-        def find(table: np.ndarray, values: np.ndarray, k: np.ndarray, other: float) -> np.ndarray:
-            at = np.minimum(np.searchsorted(table, k), len(table) - 1)
-            return np.where(table[at] == k, values[at], other)
-
-        p = np.full(len(keys), 1 / SYMBOLS)
-        for order, (types, own, contexts, rest) in enumerate(self.levels, 1):
-            k = keys % SYMBOLS**order
-            p = find(types, own, k, 0.0) + find(contexts, rest, k // SYMBOLS, 1.0) * p
-        return -np.log(p)
-
-
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    model = KneserNey(pdf["key"].to_numpy(), pdf["n"].to_numpy())
-    arrays = [a for level in model.levels for a in level]
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "arrays": [[a.astype("<i8" if a.dtype.kind == "i" else "<f4").tobytes() for a in arrays]]})
-
-
-def _load(arrays: list[bytes]) -> KneserNey:
-    model = KneserNey.__new__(KneserNey)
-    flat = [np.frombuffer(a, "<f4" if i % 2 else "<i8") for i, a in enumerate(arrays)]
-    model.levels = [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]
-    return model
-
-
-class Perplexity:
-    """Log perplexity of (text, lang): nats for the whole text, a letter or digit of it. Marks and punctuation cost but
-    don't dilute. models: lang -> sorted arrays."""
-
-    def __init__(self, models: dict[str, list[bytes]]):
-        self.models, self._loaded, self._lut = models, {}, None
-
-    def __getstate__(self):
-        return {"models": self.models, "_loaded": {}, "_lut": None}
-
-    def score(self, texts: pd.Series, langs: pd.Series) -> np.ndarray:
-        out = np.zeros(len(texts))
-        if self._lut is None:
-            self._lut, self._seen = np.zeros(SPACE), np.zeros(SPACE, bool)
-        for lang, (rows, own) in _by_lang(texts, langs).items():
-            if lang not in self._loaded:
-                self._loaded[lang] = _load(self.models[lang]) if lang in self.models else None
-            model, sums, letters = self._loaded[lang], np.zeros(len(own)), np.ones(len(own))
-            if model is None:
-                continue
-            for pieces in _pieces(own):
-                keys, starts, counts = _keys(pieces)
-                self._seen[keys] = True
-                distinct = np.flatnonzero(self._seen)
-                self._seen[distinct] = False
-                self._lut[distinct] = model.cost(distinct)
-                cost = self._lut[keys]
-                cost[~counts] = 0
-                last = keys % SYMBOLS
-                which = [i for i, _ in pieces]
-                np.add.at(sums, which, np.add.reduceat(cost, starts))
-                np.add.at(letters, which, np.add.reduceat((counts & (last > 0) & (last < 33)).astype(np.int64), starts))
-            out[rows] = sums / letters
-        return out
-
-
-def _lang_of(docs: DataFrame) -> Column:
-    return F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-
-
-def fit(docs: DataFrame) -> tuple[object, dict[str, tuple[float, float]]]:
-    """(broadcast Perplexity, lang -> (median, robust deviation) of its documents' log perplexity).
-
-    Counts and bands are over all documents. To the driver come one row a language, of at most SPACE n-grams, and a
-    histogram of log perplexities in steps of 0.001.
+def kneser_ney(counted: DataFrame) -> dict[int, DataFrame]:
+    """The interpolated modified Kneser-Ney model of counted 4-grams (lang, a, b, n), by order: lang, a, b, p (of the
+    last character after those before) and, from order 2 on, of what is seen with a context (lang, a, b without the last
+    character): rest, the share that goes to the order below.
+
+    Lower orders count in how many contexts an n-gram is seen. Below order 1 all characters seen, and one more, are alike.
     """
-    spark = docs.sparkSession
-    text = docs.select("text", _lang_of(docs).alias("lang"))
-    counted = text.mapInPandas(_count, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    built = materialize(counted.groupBy("lang").applyInPandas(_build, "lang string, arrays array<binary>"), "kneser-ney")
-    model = spark.sparkContext.broadcast(Perplexity({r["lang"]: list(map(bytes, r["arrays"])) for r in built.toLocalIterator()}))
+    zero = F.lit(0).cast("long")
+    types = {ORDER: counted}
+    for order, (a, b) in {3: (F.col("a").bitwiseAND(MASK), F.col("b")), 2: (zero, F.col("b")), 1: (zero, F.col("b").bitwiseAND(MASK))}.items():
+        types[order] = types[order + 1].select("lang", a.alias("a"), b.alias("b")).groupBy("lang", "a", "b").agg(F.count("*").alias("n"))
+    of = lambda k: F.sum((F.col("n") == k).cast("double")).alias(f"n{k}")
+    out: dict[int, DataFrame] = {}
+    for order in range(1, ORDER + 1):
+        t = types[order]
+        often = t.groupBy("lang").agg(*[of(k) for k in (1, 2, 3, 4)], F.count("*").alias("kinds"))
+        y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
+        d = [F.when(F.col(f"n{k}") > 0, F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05 * k)), F.lit(float(k)))).otherwise(k * 0.5).alias(f"d{k}") for k in (1, 2, 3)]
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        t = t.join(often.select("lang", "kinds", *d), "lang").withColumn("cut", cut)
+        # the context: all but the last character
+        t = t.withColumns({"ca": F.col("a"), "cb": F.shiftright("b", BITS)})
+        contexts = t.groupBy("lang", "ca", "cb").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("rest"))
+        t = t.join(contexts, ["lang", "ca", "cb"])
+        if order == 1:
+            below = 1 / (F.col("kinds") + 1)
+        else:
+            suffix = {4: (F.col("a").bitwiseAND(MASK), F.col("b")), 3: (zero, F.col("b")), 2: (zero, F.col("b").bitwiseAND(MASK))}[order]
+            t = t.withColumns({"sa": suffix[0], "sb": suffix[1]}).join(out[order - 1].select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("below")), ["lang", "sa", "sb"])
+            below = F.col("below")
+        p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("rest") * below
+        out[order] = materialize(t.select("lang", "a", "b", "ca", "cb", p.alias("p"), "rest"), f"kneser-ney-{order}")
+    return out
 
-    @F.pandas_udf(T.DoubleType())
-    def log_ppl(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series(model.value.score(texts, langs))
 
-    steps = text.select("lang", F.rint(log_ppl("text", "lang") * 1000).cast("long").alias("step")).groupBy("lang", "step").count()
-    bands = {}
-    for lang, own in steps.toPandas().groupby("lang"):
-        own = own.sort_values("step")
+class Model:
+    """-ln p of the 4-grams of each language, in arrays sorted by hash. It is fitted on the texts that it scores, so that
+    each is there; of one that isn't (another text's) p is FLOOR."""
+
+    FLOOR = 1e-6
+
+    def __init__(self, top: pd.DataFrame):
+        self.arrays: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for lang, own in top.groupby("lang", sort=False):
+            h = _mixed(own["a"].to_numpy(), own["b"].to_numpy(), ORDER)
+            at = np.argsort(h)
+            self.arrays[lang] = h[at], -np.log(own["p"].to_numpy()[at]).astype(np.float32)
+
+    def cost(self, lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h, cost = self.arrays.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
+        asked, where = np.unique(_mixed(a, b, ORDER), return_inverse=True)
+        at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
+        found = np.full(len(asked), -np.log(self.FLOOR))
+        if len(h):
+            hit = h[at] == asked
+            found[hit] = cost[at[hit]]
+        return found[where]
+
+
+def _log_ppl(model: Model, texts: pd.Series, langs: pd.Series) -> np.ndarray:
+    """The sum of costs of each text."""
+    out = np.zeros(len(texts))
+    for lang, (rows, own) in _by_lang(texts, langs).items():
+        sums = np.zeros(len(own))
+        for pieces in _pieces(own):
+            a, b, text = _grams(pieces)
+            real = text >= 0
+            sums += np.bincount(text[real], model.cost(lang, a[real], b[real]), len(own))
+        out[rows] = sums
+    return out
 
-        def median(v: np.ndarray, n: np.ndarray) -> float:
-            at = np.argsort(v, kind="stable")
-            return float(v[at][np.searchsorted(np.cumsum(n[at]), n.sum() / 2)])
 
-        v, n = own["step"].to_numpy() / 1000, own["count"].to_numpy()
-        mid = median(v, n)
-        bands[lang] = (mid, 1.4826 * median(np.abs(v - mid), n))
-    return model, bands
+def _letters(text: str) -> int:
+    """Letters and digits of a text, one at least: what a text's cost is divided by. Marks cost but don't dilute."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return 1 + int(_tables()[1][raw].sum())
 
 
 def _base(text: str) -> tuple[int, int, int, int, int]:
@@ -265,30 +238,87 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-VERDICT = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [T.StructField("base_failed", T.BooleanType()), T.StructField("log_ppl", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_letters")
+_COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+
 
+def _counts(texts: list[str]) -> list[tuple[int, ...]]:
+    return [(*_base(t), len(t), _letters(t)) for t in texts]
 
-def verdict(docs: DataFrame) -> Column:
-    """A struct of VERDICT for each row of docs (columns text and, if there, lang), fitted on these same rows.
 
-    kept is false if a base rule fails or the log perplexity is outside the language's band. Null text counts as empty:
-    no words, so the base rule fails. A null or missing lang is a language of its own. Repeated rows count and are
-    judged alike. An empty table gives no rows. No column is added, so extra columns of any name stay as they are.
+def _texts(texts: pd.Series) -> list[str]:
+    return [t if isinstance(t, str) else "" for t in texts]
+
+
+def _scored(docs: DataFrame, model_rows: int) -> DataFrame:
+    """row (struct of all columns but an unwanted text), lang, the counts and cost (-ln of the text's probability)."""
+    spark = docs.sparkSession
+    counted = materialize(docs.select("text", "lang").mapInPandas(_count, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "n-grams")
+    top = kneser_ney(counted)[ORDER].select("lang", "a", "b", "p")
+    if counted.count() <= model_rows:
+        model = spark.sparkContext.broadcast(Model(top.toPandas()))
+
+        @F.pandas_udf(T.StructType([*_COUNTS.fields, T.StructField("cost", T.DoubleType())]))
+        def score(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame(_counts(_texts(texts)), columns=list(COUNTS)).assign(cost=_log_ppl(model.value, texts, langs))
+
+        return docs.select("row", "lang", score("text", "lang").alias("s")).select("row", "lang", "s.*")
+
+    @F.pandas_udf(_COUNTS)
+    def count(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_counts(_texts(texts)), columns=list(COUNTS))
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for number, text, lang in zip(pdf["number"], _texts(pdf["text"]), _lang(pdf["lang"])):
+                for pieces in _pieces([text]):
+                    a, b, of = _grams(pieces)
+                    a, b = a[of >= 0], b[of >= 0]
+                    _, a, b, n = _summed([(_mixed(a, b, ORDER), a, b, np.ones(len(a), np.int64))])
+                    yield pd.DataFrame({"number": number, "lang": lang, "a": a, "b": b, "n": n})
+
+    # numbers of written rows don't change when a task is run again
+    numbered = materialize(docs.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    costs = numbered.select("number", "text", "lang").mapInPandas(grams, "number long, lang string, a long, b long, n long").join(top, ["lang", "a", "b"])
+    sums = costs.groupBy("number").agg(F.sum(-F.col("n") * F.log("p")).alias("cost"))
+    return numbered.join(sums, "number").select("row", "lang", count("text").alias("s"), "cost").select("row", "lang", "s.*", "cost")
+
+
+def _medians(rows: DataFrame, value: Column) -> DataFrame:
+    """lang, mid: the median of value in steps of 0.001 (the lower of two). A row a language and step is all that is sorted."""
+    steps = rows.groupBy("lang", F.rint(value * 1000).cast("long").alias("step")).count()
+    w = Window.partitionBy("lang").orderBy("step")
+    so_far, every = F.sum("count").over(w), F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return steps.select("lang", "step", (2 * so_far >= every).alias("over")).filter("over").groupBy("lang").agg((F.min("step") / 1000).alias("mid"))
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None, model_rows: int = MODEL_ROWS) -> DataFrame:
+    """row (a struct of the columns ``keep`` of docs, of all if not given) and v (a struct of n_words, word_chars,
+    n_symbols, n_dup_lines, n_repeat_words, base_failed, log_ppl, kept) for each row of docs (text and, if there, lang).
+    The model and the bands are fitted on these same rows.
+
+    kept is false if a base rule fails or the log perplexity (a letter or digit) is outside the language's band. Null
+    text counts as empty: no words, so the base rule fails. A null or missing lang is a language of its own, the same as
+    an empty one. Repeated rows count and are judged alike. Texts are read whole, long ones in pieces. An empty table
+    gives no rows. Columns stay in their struct, so that any name will do.
+
+    A model of over model_rows n-grams is not broadcast: each document's distinct n-grams are joined to it. Bands of up
+    to BAND_ROWS languages are broadcast.
     """
-    model, bands = fit(docs)
-
-    @F.pandas_udf(VERDICT)
-    def judge(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        texts = texts.where(texts.notna(), "")
-        out = pd.DataFrame([_base(t) for t in texts], columns=VERDICT.fieldNames()[:5])
-        ppl = model.value.score(texts, langs)
-        chars = texts.str.len().to_numpy(float)
-        mid, spread = np.array([bands.get(x, (0.0, math.inf)) for x in _lang(langs)]).reshape(-1, 2).T
-        width = np.maximum(SPREADS * spread, LEAST) + SLACK / np.sqrt(chars + 1)
-        failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-        return out.assign(base_failed=failed, log_ppl=ppl, kept=~failed & (np.abs(ppl - mid) <= width))
-
-    return judge(docs["text"], _lang_of(docs))
+    lang = F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    own = docs.select(F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row"), docs["text"].alias("text"), lang.alias("lang"))
+    rows = materialize(_scored(own, model_rows).withColumn("log_ppl", F.col("cost") / F.col("n_letters")).drop("cost"), "perplexities")
+    mids = materialize(_medians(rows, F.col("log_ppl")), "medians")
+    small = mids.count() <= BAND_ROWS
+    held = lambda bands: F.broadcast(bands) if small else bands
+    off = rows.select("lang", "log_ppl").join(held(mids), "lang")
+    spreads = materialize(_medians(off, F.abs(F.col("log_ppl") - F.col("mid"))).select("lang", (1.4826 * F.col("mid")).alias("spread")).join(mids, "lang"), "bands")
+    width = F.greatest(SPREADS * F.col("spread"), F.lit(LEAST)) + SLACK / F.sqrt(F.col("n_chars") + 1)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    kept = ~failed & (F.abs(F.col("log_ppl") - F.col("mid")) <= width)
+    return rows.join(held(spreads), "lang").select("row", F.struct(*COUNTS[:5], failed.alias("base_failed"), "log_ppl", kept.alias("kept")).alias("v"))
+
+
+def drop_rejected(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    return judge(docs).filter("v.kept").select("row.*")

@@ -62,8 +62,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the perplexity verdict of every document."""
-    docs = documents(spark, sf_dir)
-    return docs.select("doc_id", quality_rules.verdict(docs).alias("v")).select("doc_id", "v.*")
+    return quality_rules.judge(documents(spark, sf_dir), keep=["doc_id"]).select("row.doc_id", "v.*")
 
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
