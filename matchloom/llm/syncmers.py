@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
 
-K, S = 12, 4
+K, S = 24, 3
 #: An anchor is a long: the k-mer's hash (32 bits) above its position in characters (POSITION bits).
 POSITION = 31
 #: Ranges of doc_id for each task.
@@ -29,6 +30,11 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _all(conditions: list[Column]) -> Column:
+    """Their conjunction, nested so that the first that fails ends it."""
+    return reduce(lambda rest, c: c & rest, reversed(conditions))
+
+
 def _anchor(hashed: Column, position: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(hashed, 32), POSITION).bitwiseOR(position.cast("long"))
 
@@ -48,58 +54,59 @@ def anchors(text: Column) -> Column:
     A text of fewer than K characters is one anchor at 0; null or empty: none. Ties for the least hash count as edges.
     """
     text = F.coalesce(text, F.lit(""))
-    # the substrings overlap: each match looks S characters ahead and takes one
-    inner = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
     far = K - S
 
-    def edge(m: Column, i: Column, at: int, others: range) -> Column:
-        own, least = F.get(m, i + at), None
-        for j in others:
-            less = own <= F.get(m, i + j)
-            least = less if least is None else least & less
-        return least
+    def inner(c: Column) -> Column:
+        hashed = F.transform(c, lambda x, i: F.xxhash64(x, *[F.get(c, i + j) for j in range(1, S)]))
+        return F.slice(hashed, F.lit(1), F.size(c) - (S - 1))
 
     def closed(m: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(m) - far - 1)
-        at = F.filter(starts, lambda i: edge(m, i, 0, range(1, far)) | edge(m, i, far, range(far - 1, 0, -1)))
-        return F.transform(at, lambda i: _anchor(F.xxhash64(*[F.get(m, i + j) for j in range(0, far + 1, S)]), i))
+        def anchor(x: Column, i: Column) -> Column:
+            first = _all([x <= F.get(m, i + j) for j in range(1, far)])
+            last = _all([F.get(m, i + far) <= F.get(m, i + j) for j in range(far - 1, 0, -1)])
+            return F.when(first | last, _anchor(F.xxhash64(*[F.get(m, i + j) for j in range(0, far + 1, S)]), i))
+
+        return F.filter(F.transform(m, anchor), lambda a: a.isNotNull())
 
     short = F.array(_anchor(F.xxhash64(text), F.lit(0)))
     n = F.char_length(text)
-    return F.when(n >= K, _let(inner, closed)).when(n > 0, short).otherwise(F.array().cast("array<long>"))
+    return F.when(n >= K, _let(_let(F.split(text, ""), inner), closed)).when(n > 0, short).otherwise(F.array().cast("array<long>"))
 
 
 def joined(left: Column, left_anchors: Column, right: Column, right_anchors: Column) -> Column:
     """The anchors of concat(left, right) from those of the texts that left and right are the start of: what lies whole
     in either, and the k-mers across, which are at most K - 1. Texts of fewer than K characters are hashed anew."""
-    n, m = F.char_length(left), F.char_length(right)
-    start = F.greatest(n - (K - 1), F.lit(0))
-    whole = F.concat(left, right)
-    across = F.substring(whole, start + 1, n - start + F.least(m, F.lit(K - 1)))
-    moved = lambda a, by: F.transform(a, lambda x: x + by.cast("long"))
-    inside = lambda a, size: F.filter(a, lambda x: position(x) <= size - K)
     none = F.array().cast("array<long>")
-    over = F.when(F.char_length(across) >= K, moved(anchors(across), start)).otherwise(none)
-    return F.when(n + m < K, anchors(whole)).otherwise(F.concat(inside(left_anchors, n), over, moved(inside(right_anchors, m), n)))
+
+    def parts(n: Column) -> Column:
+        start = F.greatest(n - (K - 1), F.lit(0))
+        across = F.concat(F.substring(left, start + 1, n - start), F.substring(right, F.lit(1), F.lit(K - 1)))
+        moved = lambda a, by: F.transform(a, lambda x: x + by)
+        over = F.when(F.char_length(across) >= K, _let(start.cast("long"), lambda by: moved(anchors(across), by))).otherwise(none)
+        first = F.filter(left_anchors, lambda x: position(x) <= n - K)
+        rest = _let(F.char_length(right), lambda m: F.filter(right_anchors, lambda x: position(x) <= m - K))
+        return F.concat(first, over, _let(n.cast("long"), lambda by: moved(rest, by)))
+
+    whole = F.concat(left, right)
+    return F.when(F.char_length(whole) < K, anchors(whole)).otherwise(_let(F.char_length(left), parts))
 
 
 def links(anchors: Column) -> Column:
     """The distinct links of a text: a hash of each anchor, the one before, and the distance between them."""
-    link = lambda x, k: F.xxhash64(kmer_hash(x), kmer_hash(F.get(anchors, k - 1)), position(x) - position(F.get(anchors, k - 1)))
-    return F.array_distinct(F.transform(anchors, link))
+    link = lambda x, before: F.xxhash64(kmer_hash(x), kmer_hash(before), position(x) - position(before))
+    return _let(anchors, lambda a: F.array_distinct(F.transform(a, lambda x, k: link(x, F.get(a, k - 1)))))
 
 
 def fingerprint(anchors: Column) -> Column:
-    """Ten hex digits an anchor: 1, its hash, how many characters it is from the one before (from the start: the first)."""
-    step = lambda x, k: position(x) - F.coalesce(position(F.get(anchors, k - 1)), F.lit(0))
-    digits = lambda x, k: F.hex(F.shiftleft(kmer_hash(x), 4) + step(x, k) + F.lit(1 << 36))
-    return F.lower(F.array_join(F.transform(anchors, digits), ""))
+    """Eleven hex digits an anchor: 1, its hash (8), how many characters it is from the one before (from the start: the first)."""
+    digits = lambda x, before: F.hex(F.shiftleft(kmer_hash(x), 8) + position(x) - F.coalesce(position(before), F.lit(0)) + F.lit(1 << 40))
+    return _let(anchors, lambda a: F.lower(F.array_join(F.transform(a, lambda x, k: digits(x, F.get(a, k - 1))), "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of common links (Jaccard) of two texts' links, 0 to 1; two empty ones are alike."""
-    both = F.size(F.array_intersect(a, b))
-    return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n)))
+    share = lambda a, b, n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n))
+    return _let(b, lambda b: _let(F.size(F.array_intersect(a, b)), lambda n: share(a, b, n)))
 
 
 def _cuts(quantiles: list[int]) -> list[tuple[int, int]]:
@@ -123,7 +130,7 @@ def _bucket(cuts: list[tuple[int, int]], key: Column, tie: Column) -> Column:
 
 
 def with_next(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, text (null: empty), the columns of ``extra`` (of text), and next_<col> of the next row in ascending
+    """doc_id, text (null: empty), the columns of ``extra`` (of text and those before), and next_<col> of the next row in ascending
     doc_id order.
 
     Order: null doc_ids last (and with them 2 ** 63 - 1), ties by the text's hash, repeated rows one after another;
@@ -143,7 +150,9 @@ def with_next(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFr
     before = least.select("least.*", F.coalesce(F.lag("bucket").over(w), last).alias("to"))
     firsts = rows.join(F.broadcast(before), ["key", "tie"]).dropDuplicates(["to"]).select(*rows.columns, F.col("to").alias("bucket"))
     both = placed.withColumn("guest", F.lit(0)).unionByName(firsts.withColumn("guest", F.lit(1)))
-    dealt = both.repartitionByRange(n, "bucket").withColumns(extra or {})
+    dealt = both.repartitionByRange(n, "bucket")
+    for name, column in (extra or {}).items():
+        dealt = dealt.withColumn(name, column)
     inside = Window.partitionBy("bucket").orderBy("guest", "key", "tie")
     carried = ["text", *(extra or {})]
     out = dealt.select("doc_id", *carried, "guest", *[F.lead(c).over(inside).alias(f"next_{c}") for c in carried])
@@ -159,14 +168,14 @@ def edited(docs: DataFrame) -> DataFrame:
     likeness 1. Equal texts have equal fingerprints. See with_next() for the order with null or repeated doc_ids. An
     empty table gives no rows; other columns are not read.
     """
-    rows = with_next(docs, {"anchors": anchors(F.col("text"))})
+    found = anchors(F.col("text"))
+    rows = with_next(docs, {"anchors": found, "links": links(F.col("anchors"))})
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumns({"n_chars": n, "kept": F.substring("text", F.lit(1), n - half), "taken": F.substring("next_text", F.lit(1), half)})
     rows = rows.withColumn("changed", joined(F.col("kept"), F.col("anchors"), F.col("taken"), F.col("next_anchors")))
-    rows = rows.withColumns({"own_links": links(F.col("anchors")), "changed_links": links(F.col("changed")), "next_links": links(F.col("next_anchors"))})
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.concat("kept", "taken"), 256).alias("edited_sha256"),
         fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own_links"), F.col("changed_links")).alias("near_edited"), likeness(F.col("own_links"), F.col("next_links")).alias("near_next"),
+        likeness(F.col("links"), links(F.col("changed"))).alias("near_edited"), likeness(F.col("links"), F.col("next_links")).alias("near_next"),
     )

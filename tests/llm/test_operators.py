@@ -544,7 +544,7 @@ def brute_anchors(text):
 
 
 def brute_fingerprint(found):
-    return "".join(f"1{v:08x}{p - (found[k - 1][0] if k else 0):x}" for k, (p, v) in enumerate(found))
+    return "".join(f"1{v:08x}{p - (found[k - 1][0] if k else 0):02x}" for k, (p, v) in enumerate(found))
 
 
 def brute_likeness(a, b):
@@ -555,7 +555,7 @@ def brute_likeness(a, b):
 
 def test_edited_texts(spark, awkward, nothing):
     """All columns of the query against brute force."""
-    odd = ["ab" * 30, "𠀀𠀁𠀂" * 9 + "x", "a\nb" * 11, "short", "exactly 12 c", "eleven char", "é" * 25, "ab" * 30]
+    odd = ["ab" * 30, "𠀀𠀁𠀂" * 9 + "x", "a\nb" * 11, "short", "exactly 24 characters 24", "just 23 characters text", "é" * 25, "ab" * 30]
     docs = awkward.unionByName(spark.createDataFrame([(500 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"), allowMissingColumns=True)
     want = Counter()
     for i, t, after in brute_next([(i, t or "") for i, t in rows_of(docs)]):
