@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical, require_columns, seeded_key
-from ..sources.shared import write_shared
+from ..sources.shared import exists, shared_folder
 
 KEY = ["pair_left", "pair_right", "labeling_fingerprint"]
 
@@ -55,12 +55,22 @@ def merge_annotations(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def label_rounds(rows: DataFrame, label: Callable[[DataFrame, int], DataFrame], rounds: int = 3, concurrency: int = 64, least: int = 32, name: str = "labels") -> tuple[DataFrame, list[Row]]:
     """Labels rows (with row_id) by ``label(rows, concurrency)``, which gives row_id, answer (null: failed); only failed
-    rows go to the next round, with half the concurrency down to ``least``. Each round is written to the shared folder,
-    so a restart or a lost executor repeats no finished round. Returns the answers and a counter row a round."""
+    rows go to the next round, with half the concurrency down to ``least``. Each round is written to the shared folder
+    under ``name``, which stands for these rows and this labeller (put a fingerprint of its settings there): a restart
+    with that name reads the rounds that are whole and labels only what they lack. row_id must be unique, and each
+    answer's row_id one of the round's, once. Returns the answers and a counter row a round."""
+    if not rows.groupBy("row_id").count().filter("count > 1 or row_id is null").isEmpty():
+        raise ValueError("row_id is null or comes twice")
+    spark = rows.sparkSession
     done, todo, told = None, rows, []
     for k in range(rounds):
         width = max(least, concurrency >> k)
-        answered = write_shared(label(todo, width), f"{name}-{k}")
+        path = f"{shared_folder(spark)}/{name}-{k}"
+        if not exists(spark, f"{path}/_SUCCESS"):  # the mark of a whole table
+            label(todo, width).write.mode("overwrite").parquet(path)
+        answered = spark.read.parquet(path)
+        if answered.count() != answered.select("row_id").distinct().join(todo, "row_id", "left_semi").count():
+            raise ValueError("an answer's row_id is unknown or comes twice")
         good = answered.filter("answer is not null")
         counts = answered.agg(F.count("*").alias("rows"), F.count("answer").alias("labelled")).first()
         told.append(Row(round=k, concurrency=width, rows=counts["rows"], labelled=counts["labelled"]))

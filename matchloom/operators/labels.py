@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical, require_columns, seeded_key, uniform
+from .numbering import with_row_number
 
 
 def check(df: DataFrame, **wrong: Column) -> DataFrame:
@@ -35,16 +36,24 @@ def with_defaults(matches: DataFrame) -> DataFrame:
     return matches.withColumns({k: v for k, v in new.items() if k not in matches.columns})
 
 
+def _sound(value: Column, rule: Column, what: str) -> Column:
+    """value, or an error where the rule does not hold or is null; found as the rows are read, not in a pass of its own."""
+    return F.when(rule, value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(value.cast("string"), F.lit("null")))))
+
+
 def hard_labels(matches: DataFrame) -> DataFrame:
-    """Labels of 0 and 1 as they are, confidence 1. Drops nothing; other labels are an error of check()."""
-    target = F.col("target").cast("int")
+    """Labels of 0 and 1 as they are, confidence 1. Drops nothing; another label (0.7, null, NaN) is an error when the
+    rows are read."""
+    target = _sound(F.col("target").cast("double"), F.col("target").cast("double").isin(0.0, 1.0), "a label is neither 0 nor 1").cast("int")
     return matches.withColumns({"target": target, "training_target": target.cast("double"), "confidence": F.lit(1.0)})
 
 
 def probability_labels(matches: DataFrame, negative: float, positive: float, drop: bool = True, soft: bool = False) -> DataFrame:
     """Scores in [0, 1] as labels: confidence |2p - 1|, hard target p >= positive; drop keeps p <= negative or
-    p >= positive; soft keeps p as training_target."""
+    p >= positive; soft keeps p as training_target. A score that is null, not finite or outside [0, 1] is an error when
+    the rows are read, whether it would be dropped or not."""
     p = F.col("target").cast("double")
+    p = _sound(p, (p >= 0) & (p <= 1), "a score is not in [0, 1]")
     hard = (p >= positive).cast("int")
     rows = matches.filter((p <= negative) | (p >= positive)) if drop else matches
     return rows.withColumns({"target": hard, "training_target": p if soft else hard.cast("double"), "confidence": F.abs(2 * p - 1)})
@@ -68,7 +77,7 @@ def steps_of_votes(matches: DataFrame, total: int) -> DataFrame:
 
 def resolve_overlaps(sources: dict[str, DataFrame], priority: list[str]) -> DataFrame:
     """All sources as one (data_source added), a pair only from its first source in ``priority``, whichever way round;
-    had_overlap and had_conflict say whether other sources held it and with another target. One shuffle by pair."""
+    had_overlap and had_conflict say whether other sources held it and with another target."""
     ranked = [canonical(sources[name]).withColumns({"data_source": F.lit(name), "rank": F.lit(k)}) for k, name in enumerate(priority)]
     rows = ranked[0]
     for more in ranked[1:]:
@@ -157,7 +166,7 @@ def spread_sample(rows: DataFrame, k: int, *order: str) -> DataFrame:
     """k rows evenly spaced in a declared order: positions round(i * (n - 1) / (k - 1)), half to even, kept once."""
     n = rows.count()
     positions = sorted({round(i * (n - 1) / (k - 1)) for i in range(k)}) if k > 1 and n else [0][:n]
-    numbered = rows.withColumn("pair_row", F.row_number().over(Window.orderBy(*order)) - 1)
+    numbered = with_row_number(rows, "pair_row", *order)
     return numbered.filter(F.col("pair_row").isin(positions))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.identity import require_columns, seeded_key
 from ..functions.text import ATTRIBUTES, alnum_grams, group_attributes, squash
+from .numbering import with_row_number
 
 #: What attribute names tell of their type, by substring, in this order of precedence.
 CODE_MARKERS = ("артикул", "oem", "оем", "part number", "партномер", "номер детали", "номер модели", "модель", "код модели", "код товара", "код производителя", "sku")
@@ -29,7 +30,7 @@ TYPES = ("CODE", "PHYSICAL", "NUMERIC", "SET", "TEXT")
 def with_pair_row(matches: DataFrame, *order: str) -> DataFrame:
     """Adds pair_row (0, 1, ...) in a declared total order, default id1, id2 and the rest."""
     order = order or tuple(matches.columns)
-    return matches.withColumn("pair_row", F.row_number().over(Window.orderBy(*order)) - 1)
+    return with_row_number(matches, "pair_row", *order)
 
 
 def referenced(items: DataFrame, matches: DataFrame) -> DataFrame:

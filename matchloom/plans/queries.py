@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.identity import canonical
 from ..operators import graph, labeling, labels, metrics, models, pairs, split
+from ..operators.numbering import with_row_number
 from ..sources import readers
 from . import fixtures as fx
 
@@ -144,7 +145,7 @@ def j8_leaking_items(s, d):
 
 @query("SELECT u, v, dense_rank() OVER (ORDER BY u, v) AS group_no FROM (SELECT DISTINCT u, v FROM scores_v)")
 def j9_dense_ids(s, d):
-    return fx.scores(s, d).select("u", "v").distinct().withColumn("group_no", F.dense_rank().over(Window.orderBy("u", "v")).cast("long"))
+    return with_row_number(fx.scores(s, d).select("u", "v").distinct(), "group_no", "u", "v", start=1)
 
 
 @query(
@@ -369,7 +370,7 @@ def k6_class_quota_sample(s, d):
 @query("SELECT id, length(a) + length(b) AS chars, row_number() OVER (ORDER BY length(a) + length(b), id) AS place FROM doc_pairs_v")
 def k7_length_order(s, d):
     n = (F.length("a") + F.length("b")).cast("long")
-    return fx.document_pairs(s, d).select("id", n.alias("chars")).withColumn("place", F.row_number().over(Window.orderBy("chars", "id")).cast("long"))
+    return fx.document_pairs(s, d).select("id", n.alias("chars")).transform(with_row_number, "place", "chars", "id", start=1)
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.identity import require_columns
+from .shared import discard, exists, hadoop
 
 ITEMS = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("category", T.StringType()), T.StructField("attributes", T.StringType())])
 RUN = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "created_at", "model", "dataset")] + [T.StructField("metric", T.DoubleType())])
@@ -71,15 +72,14 @@ def inference_inputs(items: DataFrame, matches: DataFrame) -> tuple[DataFrame, D
     """(the items that matches refer to, matches), or an error: columns missing, null, repeated or unknown ids."""
     require_columns(items, "id", "name", "category", "attributes")
     require_columns(matches, "id1", "id2")
-    if not matches.filter("id1 is null or id2 is null").isEmpty():
-        raise ValueError("matches has null ids")
     ids = matches.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
-    used = items.join(ids, "id", "left_semi")
-    if not repeated_ids(used).isEmpty():
-        raise ValueError("an item id comes twice")
-    if not ids.join(items.select("id"), "id", "left_anti").isEmpty():
-        raise ValueError("matches has unknown ids")
-    return used, matches
+    # one job for all three rules: how often each id that matches name is an item
+    held = ids.join(items.groupBy("id").agg(F.count("*").alias("n")), "id", "left")
+    wrong = held.agg(F.count_if(F.col("id").isNull()).alias("null"), F.count_if(F.col("n") > 1).alias("twice"), F.count_if(F.col("id").isNotNull() & F.col("n").isNull()).alias("unknown")).first()
+    for found, what in zip(wrong, ("matches has null ids", "an item id comes twice", "matches has unknown ids")):
+        if found:
+            raise ValueError(what)
+    return items.join(ids, "id", "left_semi"), matches
 
 
 def write_predictions(rows: DataFrame, path: str) -> None:
@@ -89,19 +89,42 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     rows.orderBy("pair_row").select("id1", "id2", "predict").write.mode("overwrite").option("header", True).csv(path)
 
 
+CURRENT = "CURRENT"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder of the table's rows: the version that the file CURRENT names; None if there is no table yet."""
+    if not exists(spark, f"{path}/{CURRENT}"):
+        return None
+    return f"{path}/{spark.read.text(f'{path}/{CURRENT}', wholetext=True).first()[0].strip()}"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that replace_table() keeps."""
+    return spark.read.parquet(current_version(spark, path) or path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """df in the place of the Parquet table at path, which df may read: staged beside it, then swapped by rename."""
+    """df in the place of the table at path, which df may read. A table is a folder of versions and a file that names the
+    current one. That file is replaced by one rename, so readers see the old rows or the new, and a failure before it
+    leaves the old. The version before the last stays for jobs that read it; older ones go."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    staged = f"{path}.{uuid.uuid4().hex}.staged"
-    df.write.parquet(staged)
-    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
-    if files.exists(at):
-        files.rename(at, old)
-    files.rename(new, at)
-    files.delete(old, True)
+    last = current_version(spark, path)
+    new = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{new}")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files, named = hadoop(spark, f"{path}/{CURRENT}")
+    _, part = hadoop(spark, f"{path}/{CURRENT}.{new}")
+    out = files.create(part, True)
+    out.write(bytearray(new.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(part), files.makeQualified(named), over)
+    for found in files.listStatus(hadoop(spark, path)[1]):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name not in (new, (last or "").rpartition("/")[2]):
+            discard(spark, f"{path}/{name}")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

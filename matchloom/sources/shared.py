@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, a folder of this machine, on a local master
+    only: on a cluster the executors would not see each other's files."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='matchloom-')}")
     return at.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """df written under ``name`` and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
+def write_shared(df: DataFrame, name: str | None = None) -> DataFrame:
+    """df written under ``name`` (a new one if not given) and read back: cuts lineage and outlives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name or uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop's own kind, which knows every store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = hadoop(spark, path)
+    return files.exists(at)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    files, at = hadoop(spark, path)
+    files.delete(at, True)

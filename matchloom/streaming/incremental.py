@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.labeling import merge_annotations
-from ..sources.readers import replace_table
+from ..sources.readers import read_table, replace_table
 
 
 def merge_stream(arrivals: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of arrivals (the columns of the table) merged into the Parquet table at ``table``, which must
-    be there. A batch that is repeated after a failure merges to the same rows."""
+    be there; read it by read_table(). A batch that is repeated after a failure merges to the same rows. The whole table
+    is written anew by each batch, so batches should be few and large."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        replace_table(merge_annotations(batch.sparkSession.read.parquet(table), batch), table)
+        replace_table(merge_annotations(read_table(batch.sparkSession, table), batch), table)
 
     return arrivals.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

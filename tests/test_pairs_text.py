@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,8 @@ from matchloom.functions import similarity as sim
 from matchloom.functions import text as tx
 from matchloom.functions import units
 from matchloom.functions import vectors as vec
-from matchloom.operators import labeling, models, pairs
+from matchloom.operators import labeling, labels, models, pairs
+from matchloom.operators.numbering import with_row_number
 from matchloom.plans import recipes
 from matchloom.sources import readers
 from matchloom.streaming import incremental
@@ -171,8 +174,15 @@ def test_label_rounds(spark):
         k = len(widths)
         return rows.select("row_id", F.when(F.col("row_id") <= k, "yes").alias("answer"))
 
-    done, told = labeling.label_rounds(spark.createDataFrame([(1,), (2,), (3,)], "row_id long"), label, name="rounds-test")
+    done, told = labeling.label_rounds(spark.createDataFrame([(1,), (2,), (3,)], "row_id long"), label, name=(name := f"rounds-{uuid.uuid4().hex}"))
     assert widths == [64, 32, 32] and done.count() == 3 and [t.labelled for t in told] == [1, 1, 1]
+    again, told = labeling.label_rounds(spark.createDataFrame([(1,), (2,), (3,)], "row_id long"), label, name=name)
+    assert len(widths) == 3 and again.count() == 3 and [t.labelled for t in told] == [1, 1, 1]  # nothing is labelled anew
+    with pytest.raises(ValueError):
+        labeling.label_rounds(spark.createDataFrame([(1,), (1,)], "row_id long"), label, name=uuid.uuid4().hex)
+    twice = lambda rows, width: rows.select("row_id", F.lit("yes").alias("answer")).unionByName(rows.select("row_id", F.lit("no").alias("answer")))
+    with pytest.raises(ValueError):
+        labeling.label_rounds(spark.createDataFrame([(1,)], "row_id long"), twice, name=uuid.uuid4().hex)
 
 
 def test_merge_stream(spark, tmp_path):
@@ -181,7 +191,7 @@ def test_merge_stream(spark, tmp_path):
     spark.createDataFrame([(1, 2, "v1", "t0"), (3, 4, "v1", "t0")], kind).write.parquet(table)
     spark.createDataFrame([(1, 2, "v1", "t1"), (5, 6, "v1", "t1")], kind).write.parquet(source)
     incremental.merge_stream(spark.readStream.schema(kind).parquet(source), table, str(tmp_path / "check")).awaitTermination()
-    assert sorted((r.pair_left, r.labeled_at) for r in spark.read.parquet(table).collect()) == [(1, "t1"), (3, "t0"), (5, "t1")]
+    assert sorted((r.pair_left, r.labeled_at) for r in readers.read_table(spark, table).collect()) == [(1, "t1"), (3, "t0"), (5, "t1")]
 
 
 def test_recipe_and_prediction(spark):
@@ -202,3 +212,47 @@ def test_boosting_learns(spark):
     df = spark.createDataFrame(rows, "pair_row long, category string, x double, target int, sample_weight double")
     found = models.predict(df, models.train_boosting(df, ["x"], trees=3, depth=2))
     assert found.filter((F.col("predict") > 0.5) != (F.col("target") == 1)).count() <= 4
+
+
+def test_tables_are_replaced_by_versions(spark, tmp_path):
+    at = str(tmp_path / "t")
+    readers.replace_table(spark.range(3), at)
+    readers.replace_table(readers.read_table(spark, at).filter("id > 0"), at)
+    held = readers.read_table(spark, at)
+    readers.replace_table(held.selectExpr("id * 10 AS id"), at)
+    assert sorted(r.id for r in readers.read_table(spark, at).collect()) == [10, 20]
+    assert sorted(r.id for r in held.collect()) == [1, 2]  # a reader of the version before
+    readers.replace_table(spark.range(1), at)
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "t").iterdir()) == 2
+    with pytest.raises(Exception):
+        readers.replace_table(spark.range(5).selectExpr("raise_error('no') AS id"), at)
+    assert readers.read_table(spark, at).count() == 1
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1009 // 3, f"n{k}", k) for k in range(500)], "a int, part string, place int").repartition(5)
+    found = with_row_number(rows, "no", "a", "place", start=1).collect()
+    want = sorted(((r.a, r.part, r.place) for r in rows.collect()), key=lambda r: (r[0], r[2]))
+    assert sorted((r.no, r.a, r.part, r.place) for r in found) == [(k, *r) for k, r in enumerate(want, 1)]
+    assert with_row_number(rows.filter("a < 0"), "no", "a").count() == 0
+
+
+@pytest.mark.parametrize("bad", [0.7, None, float("nan"), -1.0])
+def test_bad_labels_are_errors(spark, bad):
+    rows = spark.createDataFrame([(1, 2, 1.0), (3, 4, bad)], "id1 long, id2 long, target double")
+    with pytest.raises(Exception, match="neither 0 nor 1"):
+        labels.hard_labels(rows).collect()
+    if bad != 0.7:
+        with pytest.raises(Exception, match="not in"):
+            labels.probability_labels(rows, 0.2, 0.8).collect()
+    assert labels.hard_labels(rows.filter("id1 = 1")).first().target == 1
+
+
+def test_read_items_of_both_layouts(spark, tmp_path):
+    spark.createDataFrame([(1, "lamp", "light", "{}")], readers.ITEMS).write.parquet(str(tmp_path / "flat"))
+    card = '{"%s": "vase", "%s": "V7", "colour": "blue"}' % (readers.NAME_KEY, readers.MODEL_KEY)
+    spark.createDataFrame([(2, "home", card)], "id long, category string, card_json string").write.parquet(str(tmp_path / "card"))
+    found = {r.id: (r.name, r.category, r.attributes) for r in readers.read_items(spark, str(tmp_path / "flat"), str(tmp_path / "card")).collect()}
+    assert found == {1: ("lamp", "light", "{}"), 2: ("vase V7", "home", '{"colour":"blue"}')}
+    with pytest.raises(ValueError):
+        readers.read_items(spark, str(tmp_path / "flat"), str(tmp_path / "flat"))
