@@ -30,6 +30,8 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    if width < 32 and len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"an id does not fit in {width} bits")
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
     bits = (ids.astype(np.uint32)[:, None] >> np.arange(width, dtype=np.uint32)) & 1
@@ -119,8 +121,8 @@ def write_packed(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
     """Encodes every text (null: empty), adds end_id and writes packed files in ascending doc_id order.
 
     Returns the manifest: shard, uri, docs, tokens; ids of shard k come before those of shard k + 1. Null doc_ids come
-    last, ties are broken by the text's hash; repeated rows are written each. Other columns are not read. An empty
-    table writes no file.
+    last, ties are broken by the text's hash; repeated rows are written each. Texts are encoded whole, however long. An
+    id beyond the vocabulary's bits is an error. Other columns are not read. An empty table writes no file.
     """
     spark = docs.sparkSession
     uri = uri or fresh_path(spark, "packed")

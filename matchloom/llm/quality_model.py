@@ -22,7 +22,7 @@ from .quality_rules import JUNK, _base
 
 #: The scorer's hash buckets, of which the last SHAPES are for the binned shape of a text.
 BUCKETS, SHAPES, BINS = 1 << 15, 64, 8
-#: Documents that the scorer is trained on, in expectation (all are counted, labelled and scored).
+#: Documents that the scorer is trained on, at most (all are counted, labelled and scored).
 TRAIN_ROWS = 8_000
 LABELLERS = ("length", "marks", "lines", "repeats", "word_length", "ending", "fluent")
 
@@ -111,22 +111,29 @@ def hashed(text):
 class Scorer:
     """P(good) of a text: logistic of bias + mean trigram weight + shape weights."""
 
-    def __init__(self, weights: np.ndarray, bias: float, posterior: dict[str, float]):
+    def __init__(self, weights: np.ndarray, bias: float, posterior: dict[str, float], accuracy: dict[str, float]):
         self.weights, self.bias, self.posterior = weights, bias, posterior
+        self.agreement = {p: self._agreement(p, y >= 0.5, list(accuracy.values())) for p, y in posterior.items()}
+
+    @staticmethod
+    def _agreement(votes: str, good: bool, accuracy: list[float]) -> float | None:
+        signed = [a if (v == "1") == good else -a for v, a in zip(votes, accuracy) if v != "-"]
+        return round(sum(signed) / len(signed), 6) if signed else None
 
     def score(self, texts: list[str]) -> pd.DataFrame:
         out = []
         for t in texts:
             s, grams = shape(t), _trigrams(t)
             z = self.bias + self.weights[_shape_slots(s)].sum() + (self.weights[grams].mean() if len(grams) else 0.0)
-            out.append((self.posterior["".join("-01"[v + 1] for v in votes(s))], 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))))
-        return pd.DataFrame(out, columns=["weak_label", "score"])
+            own = "".join("-01"[v + 1] for v in votes(s))
+            out.append((own, self.agreement[own], self.posterior[own], 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))))
+        return pd.DataFrame(out, columns=["pattern", "agreement", "weak_label", "score"])
 
 
 def fit(docs: DataFrame) -> tuple[Scorer, dict] | None:
     """Counts the vote patterns of all documents (at most 3 ** 7), runs EM over them, and trains the scorer on about
-    TRAIN_ROWS documents picked by the hash of their text, each as both classes with its posterior as weights.
-    None for an empty table."""
+    TRAIN_ROWS documents, at most, picked by a hash of doc_id and text, each as both classes with its posterior as
+    weights. None for an empty table."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     table = texts.groupBy(pattern("text").alias("pattern")).count().toPandas().sort_values("pattern", ignore_index=True)
     if table.empty:
@@ -134,19 +141,24 @@ def fit(docs: DataFrame) -> tuple[Scorer, dict] | None:
     seen = np.array([["-01".index(v) - 1 for v in p] for p in table["pattern"]])
     post, about = expectation_maximisation(seen, table["count"].to_numpy(float))
     posterior = dict(zip(table["pattern"], post.tolist()))
-    share = min(1.0, TRAIN_ROWS / table["count"].sum())
-    picked = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # a bit more than wanted by hash, then the first of those by hash: no more, whatever is repeated how often
+    share = min(1.0, 1.25 * TRAIN_ROWS / table["count"].sum())
+    mixed = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit("")))
+    drawn = docs.select(mixed.alias("h"), F.coalesce(docs["text"], F.lit("")).alias("text")).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    picked = drawn.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(TRAIN_ROWS)
     rows = materialize(picked.select(pattern("text").alias("pattern"), hashed("text").alias("features")), "weak-labels")
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in posterior.items() for x in kv]), F.col("pattern"))
     soft = rows.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), weight.alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - weight).alias("w")))).alias("s")).select("features", "s.*")
-    if share * table["count"].sum() < 1 or rows.isEmpty():
-        return Scorer(np.zeros(BUCKETS), 0.0, posterior), about
+    if rows.isEmpty():
+        return Scorer(np.zeros(BUCKETS), 0.0, posterior, about["accuracy"]), about
     model = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=30, standardization=True).fit(soft)
-    return Scorer(model.coefficients.toArray().astype(np.float32), float(model.intercept), posterior), about
+    return Scorer(model.coefficients.toArray().astype(np.float32), float(model.intercept), posterior, about["accuracy"]), about
 
 
 def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """A row for each document: doc_id, weak_label (posterior), score, kept (score >= threshold).
+    """A row for each document: doc_id, pattern (the labellers' votes, "1" good, "0" bad, "-" none), agreement (the mean
+    estimated accuracy of those that vote as the posterior says, less that of those that don't; null without votes),
+    weak_label (posterior), score, kept (score >= threshold).
 
     Null texts count as empty (bad by every labeller that votes); null doc_ids and repeated rows stay; very long texts
     are read whole; an empty table gives no rows. Other columns are not read.
@@ -157,6 +169,7 @@ def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = scorer.value.score(_texts(pdf["text"]))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").array, "weak_label": found["weak_label"], "score": found["score"], "kept": found["score"] >= threshold})
+            yield found.assign(doc_id=pdf["doc_id"].astype("Int64").array, kept=found["score"] >= threshold)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, weak_label double, score double, kept boolean")
+    kind = "doc_id long, pattern string, agreement double, weak_label double, score double, kept boolean"
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, kind)

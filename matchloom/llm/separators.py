@@ -20,7 +20,8 @@ BLOCK = 1 << 20
 
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, uri: str | None = None, width: int = 2) -> DataFrame:
     """Encodes every text (null: empty) and writes flat files of ids of ``width`` bytes, little-endian, ``separator``
-    after each document. A file has the rows of one partition, in their order; nothing is shuffled.
+    after each document. A file has the rows of one partition, in their order; nothing is shuffled. An id that does not
+    fit in ``width`` bytes is an error. Texts are encoded whole, however long.
 
     Returns file, i, doc_id: which document is the i-th of a file; and uri and bytes in the last row of each file.
     """
@@ -37,7 +38,10 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, uri: str | None
         with written(name) as out:
             while pdf is not None:
                 for ids in encoder.encode(pdf["text"].tolist()):
-                    raw = np.frombuffer(ids + end, "<u4").astype(f"<u{width}").tobytes()
+                    own = np.frombuffer(ids + end, "<u4")
+                    if width < 4 and own.max() >> 8 * width:
+                        raise ValueError(f"an id does not fit in {width} bytes")
+                    raw = own.astype(f"<u{width}").tobytes()
                     out.write(raw)
                     size += len(raw)
                 rows = pd.DataFrame({"file": k, "i": np.arange(n, n + len(pdf)), "doc_id": pdf["doc_id"].astype("Int64").array, "uri": pd.Series([None] * len(pdf), dtype=object), "bytes": pd.array([pd.NA] * len(pdf), "Int64")})

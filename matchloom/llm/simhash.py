@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from ..sources.shared import discard
+from .common import fresh_path, materialize, partitions
 
 BITS = 64
 RADIUS = 3
@@ -60,6 +61,11 @@ def _masks(flips: list[tuple[int, ...]]) -> Column:
     return F.array(*[F.lit(_signed(sum(1 << b for b in f))).cast("long") for f in flips])
 
 
+def _spread(fps: DataFrame) -> DataFrame:
+    """Rows of some bytes each are about to become thousands: over all tasks first, in as many as shuffles have."""
+    return fps.repartition(partitions(fps.sparkSession), "fp")
+
+
 def _suspects(fps: DataFrame, blocks: int = 3, near: int = 3) -> DataFrame:
     """The fingerprints that may have another within RADIUS: a superset, cheap to find.
 
@@ -80,7 +86,7 @@ def _suspects(fps: DataFrame, blocks: int = 3, near: int = 3) -> DataFrame:
         masked = F.col("fp").bitwiseAND(F.lit(keep).cast("long")).bitwiseXOR(F.lit(_signed(1 << tag)).cast("long"))
         keys.append(variants(masked, flips))
     w = Window.partitionBy("variant").orderBy("fp")
-    rows = fps.select("fp", F.explode(F.concat(*keys)).alias("variant"))
+    rows = _spread(fps).select("fp", F.explode(F.concat(*keys)).alias("variant"))
     # a group of over 2 * near members has, for each of them, one more than ``near`` places off; smaller ones don't need it
     beyond = [F.lag("fp", near + 1).over(w).isNotNull(), F.lead("fp", near + 1).over(w).isNotNull()]
     close = [F.bit_count(F.col("fp").bitwiseXOR(f("fp", k).over(w))) <= RADIUS for k in range(1, near + 1) for f in (F.lag, F.lead)]
@@ -104,6 +110,7 @@ def _links(suspects: DataFrame) -> DataFrame:
     def ball(flips: list, far: int, of: DataFrame) -> DataFrame:
         return of.select("fp", F.lit(far).cast("byte").alias("far"), F.explode(F.transform(_masks(flips), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
 
+    suspects = _spread(suspects)
     rows = ball(inner, 0, suspects).unionByName(ball(outer, 1, suspects.filter(odd)))
     w = Window.partitionBy("variant").orderBy("far", "fp")
     hub = rows.select("fp", F.first("fp").over(w).alias("hub"), F.first("far").over(w).alias("hub_far"))
@@ -119,7 +126,9 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     is written to the shared folder. Only two numbers a step come to the driver.
     """
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = materialize(edges.select("a", "b").filter("a <> b"), tag)
+    spark = edges.sparkSession
+    path = fresh_path(spark, tag)
+    edges = materialize(edges.select("a", "b").filter("a <> b"), tag, path)
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -129,7 +138,9 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         down = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         small = small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, tag)
+        spent, path = path, fresh_path(spark, tag)
+        edges = materialize(small, tag, path)
+        discard(spark, spent)  # nothing reads the round before any more
         after = state(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -155,11 +166,14 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keeps one row of each component: that of the smallest doc_id (null last, then the least text hash).
 
-    All columns stay. Of rows with equal doc_id and text one is kept.
+    All columns stay, whatever their names. Of rows with equal doc_id and text one is kept. Null texts count as empty
+    and are near each other and texts without words; texts are read whole, however long; an empty table gives no rows.
     """
     found = near_duplicate_components(docs)
-    no_id = F.col("doc_id").isNull().alias("no_id")
-    keep = found.groupBy("root").agg(F.min(F.struct(no_id, "doc_id", "text_hash")).alias("k")).select(F.col("k.no_id").alias("_no_id"), F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    key = ["_no_id", "_id", "_hash"]
-    return keyed.join(keep, key, "left_semi").dropDuplicates(key).drop(*key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash"))
+    keep = found.groupBy("root").agg(first.alias("k")).select("k.*")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = docs.select(row, docs["doc_id"].isNull().alias("no_id"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), text_hash.alias("text_hash"))
+    key = ["no_id", "id", "text_hash"]
+    return keyed.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")

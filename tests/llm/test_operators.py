@@ -47,6 +47,19 @@ def test_quality_model_agrees_with_labels(spark):
     assert right / found.count() > 0.95
 
 
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One text in a third of the rows comes in with its share and no more, and every row is judged."""
+    monkeypatch.setattr(quality_model, "TRAIN_ROWS", 60)
+    seen = []
+    monkeypatch.setattr(quality_model, "materialize", lambda df, tag: seen.append(common.materialize(df, tag)) or seen[-1])
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, "copy of one text. " * 9 if i % 3 == 0 else words(rng, 60) + ".") for i in range(900)], "doc_id long, text string")
+    found = quality_model.classify(docs).collect()
+    assert len(found) == 900 and seen[0].count() <= 60
+    # the posteriors and agreements that the pattern counts give
+    assert all((r.weak_label >= 0.5) == (r.agreement > 0) for r in found if r.agreement is not None and len(set(r.pattern) - {"-"}) == 1)
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.8
@@ -275,6 +288,12 @@ def test_documents_across_blocks(spark, tmp_path, block):
     assert found == [(0, 0, 0, 2), (0, 1, 3, 0), (0, 2, 4, 1), (0, 3, 6, 7), (0, 4, 14, 1), (1, 0, 0, 0), (1, 1, 1, 0)]
 
 
+def test_ids_that_do_not_fit_are_errors():
+    with pytest.raises(ValueError):
+        packed.pack(np.array([1, 300], "<u4"), 8)
+    assert packed.pack(np.array([1, 255], "<u4"), 8) == bytes([1, 255])
+
+
 # 6
 
 
@@ -377,6 +396,9 @@ def test_simhash_components(spark, awkward, nothing):
     assert Counter((r.doc_id, r.fp, r.component_id) for r in found.collect()) == want
     kept = simhash.drop_near_duplicates(awkward)
     assert kept.columns == awkward.columns and kept.count() == len(set(groups.values()))
+    names = ["doc_id", "text", "_id", "_no_id", "_hash", "id", "no_id", "text_hash", "row"]
+    clash = awkward.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(names[2:])])
+    assert simhash.drop_near_duplicates(clash).columns == names and simhash.drop_near_duplicates(clash).filter("_hash = 2 and row = 6").count() == len(set(groups.values()))
     assert simhash.near_duplicate_components(nothing).count() == 0 and simhash.drop_near_duplicates(nothing).count() == 0
 
 
@@ -428,6 +450,12 @@ def test_shards_are_even_and_split_only_hot_groups(spark):
     assert sum(len(g) > 1 for g in groups.values()) == 1
 
 
+def test_one_text_without_ids_is_spread(spark):
+    docs = spark.createDataFrame([(None, "same text")] * 3000 + [(k, f"other {k}") for k in range(1000)], "doc_id long, text string")
+    found = sharding.shard(docs, 4).collect()
+    assert max(n := [sum(r.shard == s for r in found) for s in range(4)]) - min(n) < 150 and len(found) == 4000
+
+
 # 9
 
 
