@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -373,7 +373,9 @@ def k7_length_order(s, d):
     return fx.document_pairs(s, d).select("id", n.alias("chars")).transform(with_row_number, "place", "chars", "id", start=1)
 
 
-@query()
+@query(
+    f"SELECT doc_id, n_chars, megabatch, batch, {KEY48.format("'6|' || megabatch || '|' || batch")} AS batch_key FROM (SELECT *, (row_number() OVER (PARTITION BY megabatch ORDER BY n_chars NULLS FIRST, doc_id) - 1) // 32 AS batch FROM (SELECT doc_id, n_chars, {KEY48.format("'5|' || doc_id")} % (SELECT greatest(1, CAST(ceil(count(*) / 256e0) AS BIGINT)) FROM documents) AS megabatch FROM documents))"
+)
 def k8_length_buckets(s, d):
     rows = fx.table(s, d, "documents").select("doc_id", "n_chars")
     return labels.length_buckets(rows, "n_chars", "doc_id", 5, 256, 32)
@@ -400,7 +402,10 @@ def u6_difference(s, d):
 # graph and weights
 
 
-@query()
+@query(
+    "SELECT node, component FROM (WITH RECURSIVE c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(c.component) FROM c JOIN e ON e.a = c.node JOIN recurring.c r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b) SELECT node, component FROM c)",
+    "e AS (SELECT DISTINCT id1 AS a, id2 AS b FROM edges_v UNION SELECT DISTINCT id2, id1 FROM edges_v)",
+)
 def g2_components(s, d):
     return graph.connected_components(fx.edges(s, d))
 

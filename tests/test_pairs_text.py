@@ -26,18 +26,18 @@ def attrs(spark, json_text, f):
 def test_units(spark):
     found = attrs(spark, '{"Ширина, см":"10 см","Артикул":"ABC-10 мм"}', units.normalize_attributes)
     assert found == {"ширина, мм": "100", "Артикул": "ABC-10 мм"}
-    found = attrs(spark, '{"Размер упаковки, см":"10 x 20 x 30"}', units.normalize_attributes)
-    assert found == {"длина упаковки, мм": "100", "ширина упаковки, мм": "200", "высота упаковки, мм": "300"}
+    found = attrs(spark, '{"Габариты, м":"0.5*2*3"}', units.normalize_attributes)
+    assert found == {"длина, мм": "500", "ширина, мм": "2000", "высота, мм": "3000"}
     for bad in ("nan", "inf", "-inf"):
         assert bad in attrs(spark, f'{{"Ширина, см":"{bad}"}}', units.normalize_attributes).values()
 
 
 def test_measures_in_names(spark):
-    found = {a.k: a.v for a in one(spark, units.measures_in_name(F.col("c0")), "стол деревянный 120x60x75 см")}
-    assert found == {"длина, мм": "1200", "ширина, мм": "600", "высота, мм": "750"}
-    found = {a.k: a.v for a in one(spark, units.measures_in_name(F.col("c0")), "диаметр 39 сантиметров мощность 600 w")}
-    assert found == {"диаметр, мм": "390", "мощность, вт": "600"}
-    assert one(spark, units.measures_in_name(F.col("c0")), "модель 2025г") == []
+    found = {a.k: a.v for a in one(spark, units.measures_in_name(F.col("c0")), "ящик под рассаду 4×3×2.5 м, серый")}
+    assert found == {"длина, мм": "4000", "ширина, мм": "3000", "высота, мм": "2500"}
+    found = {a.k: a.v for a in one(spark, units.measures_in_name(F.col("c0")), "вентилятор, диаметр 7 см, 45 вт")}
+    assert found == {"диаметр, мм": "70", "мощность, вт": "45"}
+    assert one(spark, units.measures_in_name(F.col("c0")), "выпуск 1998г") == []
 
 
 def test_attributes_parse(spark):
@@ -70,24 +70,24 @@ def compare(spark, left, right):
 
 
 def test_typed_comparison(spark):
-    found, _ = compare(spark, '{"артикул":"AB-123","мощность":"1000","цвет":"красный; черный","описание":"синяя чашка большая"}', '{"артикул":"ab123","мощность":"1000","цвет":"красный","описание":"большая синяя чашка"}')
+    found, _ = compare(spark, '{"артикул":"Q-77/K","мощность":"250","цвет":"хаки | беж","описание":"лёгкий шарф ручной вязки"}', '{"артикул":"q77k","мощность":"250","цвет":"беж","описание":"шарф ручной вязки лёгкий"}')
     assert (found["артикул"].type, found["артикул"].exact) == ("CODE", 1)
     assert (found["мощность"].type, found["мощность"].similarity) == ("PHYSICAL", 1)
     assert (found["цвет"].type, found["цвет"].similarity) == ("SET", 0.5)
     assert found["описание"].type == "TEXT" and found["описание"].similarity > 0.5
-    found, _ = compare(spark, '{"цвет":"красный"}', "{}")
+    found, _ = compare(spark, '{"цвет":"беж"}', "{}")
     assert found["цвет"].one_missing and found["цвет"].conflict == 0
 
 
 def test_typed_features_do_not_depend_on_sides(spark):
-    _, ab = compare(spark, '{"артикул":"AB-123","бренд":"x"}', '{"артикул":"AB124","вес":"5"}')
-    _, ba = compare(spark, '{"артикул":"AB124","вес":"5"}', '{"артикул":"AB-123","бренд":"x"}')
+    _, ab = compare(spark, '{"артикул":"Q-77","бренд":"ivo"}', '{"артикул":"Q78","вес":"5"}')
+    _, ba = compare(spark, '{"артикул":"Q78","вес":"5"}', '{"артикул":"Q-77","бренд":"ivo"}')
     first, second = (pairs.typed_features(pairs.compare_attributes(df)).first() for df in (ab, ba))
     assert first == second and first.typed_model_code_conflict == 1 and len(first) == 53
 
 
 def items(spark):
-    rows = [(1, "Phone X100", "phones", '{"бренд":"acme","память":"64"}'), (2, "Case X100", "cases", '{"бренд":"acme"}'), (3, "Lamp", "home", None)]
+    rows = [(1, "Router N40", "network", '{"бренд":"acme","память":"64"}'), (2, "Stand N40", "desk", '{"бренд":"acme"}'), (3, "Lamp", "home", None)]
     return spark.createDataFrame(rows, "id long, name string, category string, attributes string")
 
 
@@ -99,7 +99,7 @@ def test_pair_features(spark):
     assert len(wide.columns) - 3 == 85 and wide.columns[3] == "category"
     full, other = (pairs.all_features(m, cards).drop("id1", "id2").orderBy("pair_row").collect() for m in (ab, ba))
     assert len(full[0]) - 1 == 137 and full == other
-    assert full[0].category == "cases <> phones" and full[0].model_code_overlap_present == 1 and full[0].brand_exact_match == 1
+    assert full[0].category == "desk <> network" and full[0].model_code_overlap_present == 1 and full[0].brand_exact_match == 1
 
 
 def test_cascade_and_copies(spark):
@@ -137,9 +137,9 @@ def test_vectors(spark):
 
 
 def test_sources(spark, tmp_path):
-    card = '{"Название":"Hard A","Код модели":"M1","категория":"disks","бренд":"x"}'
+    card = '{"Название":"Sail","Код модели":"K9","категория":"boats","бренд":"x"}'
     got = readers.from_cards(spark.createDataFrame([(1, "c", card)], "id long, category string, card_json string")).first()
-    assert (got.name, got.category, got.attributes) == ("Hard A M1", "disks", '{"бренд":"x"}')
+    assert (got.name, got.category, got.attributes) == ("Sail K9", "boats", '{"бренд":"x"}')
     m = spark.createDataFrame([(1, 9)], "id1 long, id2 long")
     with pytest.raises(ValueError):
         readers.inference_inputs(items(spark), m)
