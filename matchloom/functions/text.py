@@ -164,6 +164,18 @@ def pack_fields(attrs: Column, budget: int, skip_oversized: bool = False) -> Col
     return F.aggregate(attrs, start, step, lambda s: s["kept"])
 
 
+def shortest_first(attrs: Column) -> Column:
+    """Attributes by their number of words, then as they stand."""
+    sized = F.transform(attrs, lambda a, i: F.struct(F.size(words(F.concat_ws(" ", a["k"], a["v"]))).alias("n"), i.alias("i"), a.alias("a")))
+    return F.transform(F.array_sort(sized), lambda s: s["a"])
+
+
+def iso_time(clock: Column | None = None) -> Column:
+    """A time (now, if none is given, as tests do) in UTC as ISO 8601."""
+    at = F.to_utc_timestamp(F.current_timestamp() if clock is None else clock, F.current_timezone())
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def file_safe(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "_")
 

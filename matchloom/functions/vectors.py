@@ -40,6 +40,22 @@ def max_products(low1: Column, high1: Column, low2: Column, high2: Column) -> Co
     return best(best(corner(low1, low2), corner(low1, high2)), best(corner(high1, low2), corner(high1, high2)))
 
 
+def masked_mean(vectors: Column, mask: Column, dimensions: int) -> Column:
+    """Elementwise mean of the vectors whose mask is true (or not 0); zeros for none."""
+    return mean_vector(_unmasked(vectors, mask), dimensions)
+
+
+def masked_max(vectors: Column, mask: Column, dimensions: int) -> Column:
+    """Elementwise greatest of the vectors whose mask is true (or not 0); zeros for none."""
+    least = F.array_repeat(F.lit(float("-inf")), dimensions)
+    best = F.aggregate(_unmasked(vectors, mask), least, lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y.cast("double"))))
+    return F.transform(best, lambda x: F.when(x == float("-inf"), 0.0).otherwise(x))
+
+
+def _unmasked(vectors: Column, mask: Column) -> Column:
+    return F.filter(vectors, lambda _, i: F.get(mask, i).cast("boolean"))
+
+
 def min_max_pool(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """key, low, high: elementwise least and greatest over the vectors of a key, by position and partial aggregation."""
     parts = vectors.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

@@ -148,6 +148,14 @@ def stratified_sample(rows: DataFrame, groups: list[str], key: list[str], max_ro
     return ranked.filter(F.col("sample_rank") <= F.col("quota")).drop("twin", "sample_hash", "sample_score", "sample_rank", "quota")
 
 
+def head_per_group(rows: DataFrame, groups: list[str], n: int, seed: int, *key: str) -> DataFrame:
+    """The first n rows of each group by seeded hash of the key, then the key; Spark keeps n a group in each task before
+    the shuffle."""
+    order = Window.partitionBy(*groups).orderBy("sample_key", *key)
+    ranked = rows.withColumn("sample_key", seeded_key(seed, *key)).withColumn("sample_rank", F.row_number().over(order))
+    return ranked.filter(F.col("sample_rank") <= n).drop("sample_key", "sample_rank")
+
+
 def class_quota_sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """n rows with classes 0 and 1 in their own proportion (class 0 rounded half to even), spilling over to the other
     class where one is short."""

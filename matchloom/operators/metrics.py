@@ -135,6 +135,11 @@ def length_statistics(rows: DataFrame, length: str, over: tuple[int, ...] = (128
     return out.select("n", *[F.get("p", F.lit(i)).alias(f"p{n}") for i, n in enumerate(("50", "90", "99", "99_9"))], "longest", *[f"over_{k}" for k in over])
 
 
+def longest(rows: DataFrame, length: str, key: str, k: int = 20) -> DataFrame:
+    """The k longest rows, ties by key: a top-k, so no task sorts all."""
+    return rows.orderBy(F.desc(length), key).limit(k)
+
+
 def length_limit(rows: DataFrame, length: str, quantile: float, multiple: int = 8, cap: int = 512) -> Column | DataFrame:
     """One row: the length at the upper ``quantile`` of a distribution, rounded up to a multiple, at most ``cap``."""
     counts = rows.groupBy(F.col(length).alias("l")).agg(F.count("*").alias("n"))

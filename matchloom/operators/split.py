@@ -60,6 +60,19 @@ def stratum_diagnostics(rows: DataFrame, held_out: Column, fraction: float) -> D
     return rows.groupBy("category", "target").agg(n.alias("n"), v.alias("n_validation"), (v / n).alias("validation_rate"), F.abs(v / n - fraction).alias("deviation"))
 
 
+def split_quality(rows: DataFrame, held_out: Column, fraction: float) -> DataFrame:
+    """One row over all strata: strata, those that could be on both sides and aren't, the greatest deviation from
+    ``fraction`` among those that could."""
+    parts = stratum_diagnostics(rows, held_out, fraction).join(eligible_strata(rows), ["category", "target"])
+    one_sided = (F.col("n_validation") == 0) | (F.col("n_validation") == F.col("n"))
+    return parts.agg(F.count("*").alias("strata"), F.count_if(F.col("eligible") & one_sided).alias("missing_strata"), F.max(F.when(F.col("eligible"), F.col("deviation"))).alias("max_deviation"))
+
+
+def select_rows(rows: DataFrame, chosen: DataFrame, key: str = "pair_row") -> DataFrame:
+    """The rows whose key is in ``chosen``, sorted by key."""
+    return rows.join(chosen.select(key), key, "left_semi").orderBy(key)
+
+
 @dataclass(frozen=True)
 class Split:
     train: DataFrame

@@ -11,7 +11,7 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.identity import canonical
-from ..operators import graph, labeling, labels, metrics, models, pairs, split
+from ..operators import augment, graph, labeling, labels, metrics, models, pairs, split
 from ..operators.numbering import with_row_number
 from ..sources import readers
 from . import fixtures as fx
@@ -639,3 +639,50 @@ def flagship_label_quality(s, d):
     j = sim.set_metrics(F.col("w_1"), F.col("w_2"))["jaccard"]
     out = rows.groupBy(F.col("category_1").alias("category")).agg(F.count("*").alias("pairs"), r6(F.avg(j)).alias("mean_jaccard"), r6(F.avg(F.col("target").cast("double"))).alias("positive_share"))
     return out
+
+
+# rows, lengths, pooling, noise
+
+
+@query(f"SELECT category, u, v FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {KEY48.format("'9|' || u || '|' || v")}, u, v) AS n FROM scores_v) WHERE n <= 3")
+def w4_head_per_category(s, d):
+    return labels.head_per_group(fx.scores(s, d), ["category"], 3, 9, "u", "v").select("category", "u", "v")
+
+
+@query("SELECT id, size FROM items_v WHERE id IN (SELECT p_partkey FROM part WHERE p_size = 7)")
+def f8_select_rows(s, d):
+    i = fx.items(s, d)
+    return split.select_rows(i, i.filter("size = 7"), "id").select("id", "size")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def a19_longest(s, d):
+    return metrics.longest(fx.table(s, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
+@query("SELECT id, 'бренд тип артикул размер, см' AS names FROM items_v WHERE len(string_split(category, ' ')) = 1 UNION ALL SELECT id, CASE WHEN len(string_split(category, ' ')) = 2 THEN 'бренд артикул тип размер, см' ELSE 'бренд артикул размер, см тип' END FROM items_v WHERE len(string_split(category, ' ')) > 1")
+def k10_shortest_first(s, d):
+    i = fx.items(s, d).select("id", tx.shortest_first(tx.attributes(F.col("attributes"))).alias("a"))
+    return i.select("id", F.array_join(F.transform("a", lambda x: x["k"]), " ").alias("names"))
+
+
+@query(
+    "SELECT doc_id, round(CASE WHEN n > 0 THEN s / n ELSE 0 END, 5) AS mean_0, CAST(coalesce(m, 0) AS DOUBLE) AS max_0 FROM (SELECT v.{key} AS doc_id, count(*) FILTER (v.{key} % 3 <> 0 OR i = 1) AS n, sum(CAST(x AS DOUBLE)) FILTER (v.{key} % 3 <> 0 OR i = 1) AS s, max(x) FILTER (v.{key} % 3 <> 0 OR i = 1) AS m FROM (SELECT {key}, unnest([{vector}[1], {vector}[2]]) AS x, unnest([1, 2]) AS i FROM embeddings) v GROUP BY 1)".format(key="vec_id", vector="embedding")
+)
+def v5_masked_pooling(s, d):
+    e = fx.table(s, d, "embeddings")
+    two = F.array(F.array(F.get("embedding", F.lit(0))), F.array(F.get("embedding", F.lit(1))))
+    mask = F.array(F.lit(1), F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1))
+    mean, most = vec.masked_mean(two, mask, 1), vec.masked_max(two, mask, 1)
+    return e.select(F.col("vec_id").alias("doc_id"), F.round(F.get(mean, F.lit(0)), 5).alias("mean_0"), F.get(most, F.lit(0)).alias("max_0"))
+
+
+_U = "(" + KEY48.format("'4|{}|' || id || '|' || (i - 1)") + " + 1) / 281474976710656e0"
+
+
+@query(
+    "SELECT id, array_to_string(CASE WHEN len(w) < 2 THEN w WHEN len(k) > 0 THEN k ELSE [w[list_position(u, list_max(u))]] END, ' ') AS name FROM "
+    "(SELECT *, list_filter(w, lambda x, i: u[i] > 0.6e0) AS k FROM (SELECT id, w, list_transform(w, lambda x, i: " + _U.format("word") + ") AS u FROM (SELECT id, string_split(name, ' ') AS w FROM items_v)))"
+)
+def x2_word_dropout(s, d):
+    return fx.items(s, d).select("id", F.array_join(augment.drop_words(F.col("name"), 4, 0.6, F.col("id")), " ").alias("name"))

@@ -7,7 +7,7 @@ from matchloom.functions import similarity as sim
 from matchloom.functions import text as tx
 from matchloom.functions import units
 from matchloom.functions import vectors as vec
-from matchloom.operators import labeling, labels, models, pairs
+from matchloom.operators import augment, labeling, labels, metrics, models, pairs, split
 from matchloom.operators.numbering import with_row_number
 from matchloom.plans import recipes
 from matchloom.sources import readers
@@ -256,3 +256,40 @@ def test_read_items_of_both_layouts(spark, tmp_path):
     assert found == {1: ("lamp", "light", "{}"), 2: ("vase V7", "home", '{"colour":"blue"}')}
     with pytest.raises(ValueError):
         readers.read_items(spark, str(tmp_path / "flat"), str(tmp_path / "flat"))
+
+
+def test_noise_is_seeded_and_leaves_names_of_attributes(spark):
+    attrs = F.from_json(F.lit('[{"k":"tint","v":"deep green matt"},{"k":"grip","v":"cork"},{"k":"span","v":"4 m"}]'), tx.ATTRIBUTES)
+    rows = spark.range(300).select(F.col("id").alias("pair_row"), F.lit("Folding Reed Chair Ivo").alias("name_1"), F.lit(None).cast("string").alias("name_2"), attrs.alias("attributes_1"), F.lit(None).cast(tx.ATTRIBUTES).alias("attributes_2"), F.lit(5).alias("w"))
+    noise = lambda seed, **p: {r.pair_row: r for r in augment.add_noise(rows, seed, **p).collect()}
+    a, b, c = noise(1), noise(1), noise(2)
+    assert a == b != c and all(r.name_2 is None and r.attributes_2 is None and r.w == 5 for r in a.values())
+    assert noise(1, pair=0.0)[7].name_1 == "Folding Reed Chair Ivo"
+    none = noise(3, attribute=1.0, words=1.0, shuffle=0.0, slip=0.0)
+    assert all(r.attributes_1 == [] and r.name_1 in ("Folding", "Reed", "Chair", "Ivo") for r in none.values()) and len({r.name_1 for r in none.values()}) == 4
+    turned = noise(4, attribute=0.0, words=0.0, shuffle=1.0, slip=0.0)
+    assert all(sorted(r.name_1.split()) == ["Chair", "Folding", "Ivo", "Reed"] and r.name_1 != "Folding Reed Chair Ivo" for r in turned.values())
+    slipped = noise(5, attribute=0.5, words=0.0, shuffle=0.0, slip=1.0)
+    beside = augment._beside()
+    for r in slipped.values():
+        assert all(y.lower() in beside[x.lower()] and x.isupper() == y.isupper() if x != " " else y == " " for x, y in zip("Folding Reed Chair Ivo", r.name_1))
+    share = sum(len(r.attributes_1) for r in slipped.values()) / 900
+    assert 0.4 < share < 0.6 and {x.k for r in slipped.values() for x in r.attributes_1} == {"tint", "grip", "span"}
+
+
+def test_pooling_orders_and_times(spark):
+    v = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in ((1, -5), (3, -7), (100, 100))])
+    assert one(spark, vec.masked_mean(v, F.array(F.lit(1), F.lit(1), F.lit(0)), 2)) == [2.0, -6.0]
+    assert one(spark, vec.masked_max(v, F.array(F.lit(True), F.lit(True), F.lit(False)), 2)) == [3.0, -5.0]
+    assert one(spark, vec.masked_max(v, F.array(F.lit(0), F.lit(0), F.lit(0)), 2)) == [0.0, 0.0]
+    assert one(spark, tx.iso_time(F.lit("2024-03-01 02:03:04").cast("timestamp"))) == "2024-03-01T02:03:04.000000+00:00"
+    assert one(spark, tx.iso_time()).endswith("+00:00")
+    assert [a.k for a in one(spark, tx.shortest_first(tx.attributes(F.lit('{"b b":"1 2","a":"1","c":"2"}'))))] == ["a", "c", "b b"]
+    assert [r.n for r in metrics.longest(spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "id int, n int"), "n", "id", 2).collect()] == [9, 9]
+
+
+def test_split_quality(spark):
+    rows = [("a", 1, g, g == 1) for g in (1, 2, 3, 4)] + [("b", 0, g, False) for g in (1, 2)] + [("c", 1, 9, True)]
+    df = spark.createDataFrame(rows, "category string, target int, grp int, held boolean")
+    assert tuple(split.split_quality(df, F.col("held"), 0.25).first()) == (3, 1, 0.25)
+    assert [r.grp for r in split.select_rows(df, spark.createDataFrame([(4,), (9,)], "grp int"), "grp").collect()] == [4, 9]
