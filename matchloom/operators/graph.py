@@ -80,7 +80,7 @@ def transitivity_weights(matches: DataFrame, strength: float = 1.0, floor: float
     the neighbour's labels differ, a negative one where both are positive. With enough comparable neighbours the
     multiplier is max(floor, exp(-strength * rate)).
     """
-    edges = stable_edges(matches)
+    edges = write_shared(stable_edges(matches))  # read four times below
     counts = triangle_counts(edges.filter("not conflict and u < v").select("u", "v", "target", "confidence"), weighted)
     direct = F.col("conflict") | ((F.col("u") == F.col("v")) & (F.col("target") == 0))
     rate = F.coalesce(F.col("weighted") / F.col("comparable"), F.lit(0.0))

@@ -508,21 +508,46 @@ def c5_pair_numbers(s, d):
     return rows.select("id1", "id2", m["median"].alias("size_median"), m["absolute_difference"].alias("size_difference"), sim.minmax_ratio(F.col("size_1"), F.col("size_2")).alias("size_ratio"), price.alias("price_difference"))
 
 
-@query(
-    "SELECT u, v, CASE WHEN x.category = y.category THEN x.category ELSE least(x.category, y.category) || ' <> ' || greatest(x.category, y.category) END AS category, (length(x.name) + length(y.name)) / 2e0 AS name_chars_median, CAST(abs(length(x.name) - length(y.name)) AS DOUBLE) AS name_chars_absolute_difference, "
-    + _set_sql("xw", "yw", "name_words")
-    + ", CASE WHEN lower(x.name) = lower(y.name) THEN 1e0 ELSE 0e0 END AS exact_name, CASE WHEN x.brand = y.brand THEN 1e0 ELSE 0e0 END AS brand_exact_match FROM scores_v JOIN (SELECT *, "
-    + _words("name")
-    + " AS xw FROM items_v) x ON x.id = u JOIN (SELECT *, "
-    + _words("name")
-    + " AS yw FROM items_v) y ON y.id = v"
-)
+def _kinds(c: str) -> dict[str, str]:
+    """Distinct lower-case words of a text: all, with a digit, with a digit and a letter."""
+    numeric = f"list_filter({_words(c)}, lambda w: regexp_matches(w, '[0-9]'))"
+    return {"all": _words(c), "numeric": numeric, "model_code": f"list_filter({numeric}, lambda w: regexp_matches(w, '\\p{{L}}'))"}
+
+
+def _features_sql() -> tuple[str, str]:
+    """The 85 columns of a pair, and the cards that they are of, for the cards of items_v."""
+    two = lambda name, c: f"(x.{c} + y.{c}) / 2e0 AS {name}_median, CAST(abs(x.{c} - y.{c}) AS DOUBLE) AS {name}_absolute_difference"
+    ratio = lambda name, c: f"CASE WHEN greatest(x.{c}, y.{c}) = 0 THEN 1e0 ELSE least(x.{c}, y.{c}) / CAST(greatest(x.{c}, y.{c}) AS DOUBLE) END AS {name}_minmax_ratio"
+    sets = lambda name, c: _set_sql(f"x.{c}", f"y.{c}", name)
+    of_card = ["id, category, name, brand, ats, lower(name) AS low", *(f"length({f}) AS {f}_chars, len(list_filter(regexp_split_to_array({f}, '\\s+'), lambda w: w <> '')) AS {f}_words" for f in ("name", "attributes", "card"))]
+    of_card += [f"{_kinds(f)['all']} AS {f}_all" for f in ("name", "attributes", "card")] + [f"{_kinds('card')[k]} AS card_{k}" for k in ("numeric", "model_code")]
+    of_card += ["length(regexp_replace(card, '[^0-9]', '', 'g')) AS digits", *(f"length(regexp_replace(card, '[^{d}]', '', 'g')) AS digit_{d}" for d in range(10))]
+    of_card += [_grams("string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}]', '', 'g'), '')") + " AS trigrams", "map_keys(ats) AS keys, list_distinct(map_values(ats)) AS vals, [ats['артикул']] AS articles"]
+    out = ["CASE WHEN x.category = y.category THEN x.category ELSE least(x.category, y.category) || ' <> ' || greatest(x.category, y.category) END AS category"]
+    for f in ("name", "attributes", "card"):
+        out += [two(f"{f}_chars", f"{f}_chars"), two(f"{f}_words", f"{f}_words")]
+    out += [ratio("name_chars", "name_chars"), ratio("name_words", "name_words"), ratio("card_words", "card_words"), two("digits_total", "digits"), ratio("digits_total", "digits"), *(two(f"digit_{d}", f"digit_{d}") for d in range(10))]
+    tokens = {"name_words": "name_all", "attribute_words": "attributes_all", "card_words": "card_all", "numeric_tokens": "card_numeric", "model_code_tokens": "card_model_code", "name_char_trigrams": "trigrams", "attribute_keys": "keys", "attribute_values": "vals", "article_tokens": "articles"}
+    out += [sets(name, c) for name, c in tokens.items()]
+    flag = lambda c: f"CAST(CAST({c} AS INTEGER) AS DOUBLE)"
+    shared = lambda c: f"len(list_intersect(x.{c}, y.{c}))"
+    none = lambda c: flag(f"{shared(c)} = 0 AND least(len(x.{c}), len(y.{c})) > 0")
+    out += [flag("x.low = y.low") + " AS exact_name", flag("contains(x.low, y.low) OR contains(y.low, x.low)") + " AS name_contains_other", flag(f"{shared('card_model_code')} > 0") + " AS model_code_overlap_present"]
+    out += [none("card_numeric") + " AS numeric_token_conflict", none("card_model_code") + " AS model_code_token_conflict"]
+    same = "len(list_filter(x.keys, lambda k: x.ats[k] = y.ats[k]))"  # each card has the same four names
+    out += [f"CAST({same} AS DOUBLE) AS exact_common_attribute_values, CAST(4 - {same} AS DOUBLE) AS conflicting_common_attribute_values, {same} / 4e0 AS exact_value_share_among_common_keys, (4 - {same}) / 4e0 AS conflict_share_among_common_keys", flag("x.brand = y.brand") + " AS brand_exact_match"]
+    texts = "SELECT *, name || ' ' || attributes AS card FROM (SELECT *, 'бренд ' || ats['бренд'] || ' тип ' || ats['тип'] || ' размер, см ' || ats['размер, см'] || ' артикул ' || ats['артикул'] AS attributes FROM (SELECT id, category, name, brand, MAP {'бренд': lower(brand), 'тип': lower(category), 'размер, см': CAST(size AS VARCHAR), 'артикул': lower(regexp_replace(brand, '[^0-9A-Za-z]', '', 'g')) || '-' || size} AS ats FROM items_v))"
+    return ", ".join(out), f"card_v AS (SELECT {', '.join(of_card)} FROM ({texts}))"
+
+
+FEATURES_SQL, CARD_SQL = _features_sql()
+
+
+@query(f"SELECT u, v, {FEATURES_SQL} FROM scores_v JOIN card_v x ON x.id = u JOIN card_v y ON y.id = v", CARD_SQL)
 def c8_pair_features(s, d):
     i = fx.items(s, d).withColumn("attributes", tx.attributes(F.col("attributes")))
-    m = fx.scores(s, d).select(F.col("u").alias("id1"), F.col("v").alias("id2"))
-    wide = pairs.pair_features(m, pairs.card_features(i))
-    names = ["category", "name_chars_median", "name_chars_absolute_difference", "name_words_common", "name_words_jaccard", "name_words_dice", "name_words_containment", "exact_name", "brand_exact_match"]
-    return wide.select(F.col("id1").alias("u"), F.col("id2").alias("v"), *names)
+    m = fx.scores(s, d).select("u", "v", F.col("u").alias("id1"), F.col("v").alias("id2"))
+    return pairs.pair_features(m, pairs.card_features(i)).drop("id1", "id2")
 
 
 @query()
