@@ -91,12 +91,19 @@ def converted(number: Column, unit: Column, quantity: str) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A whole number without a point, others to 12 significant digits without trailing zeros."""
+    """A whole number without a point, others to 12 significant digits without trailing zeros; below 1e-4 and from 1e12
+    on with an exponent (1.5e-05)."""
     whole = F.abs(x - F.rint(x)) <= F.greatest(F.abs(x) * 1e-12, F.lit(1e-12))
-    digits = F.greatest(F.lit(0), F.lit(11) - F.floor(F.log10(F.abs(x))).cast("int"))
-    scale = F.pow(F.lit(10.0), digits)
-    plain = F.regexp_replace(F.format_string("%.15f", F.rint(x * scale) / scale), r"0+$", "")
-    return F.when(whole & (F.abs(x) < 1e18), F.rint(x).cast("decimal(20,0)").cast("string")).otherwise(F.regexp_replace(plain, r"\.$", ""))
+    bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+    power = F.floor(F.log10(F.abs(x))).cast("int")
+    scale = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.lit(11) - power))
+    plain = bare(F.format_string("%.15f", F.rint(x * scale) / scale))
+    first = F.rint(x * F.pow(F.lit(10.0), F.lit(11) - power)) / 1e11
+    carried = F.abs(first) >= 10  # 9.99... rounded up
+    lead, power = F.when(carried, first / 10).otherwise(first), F.when(carried, power + 1).otherwise(power)
+    exponent = F.concat(bare(F.format_string("%.11f", lead)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    small = (F.abs(x) < 1e-4) | (F.abs(x) >= 1e12)
+    return F.when(whole & (F.abs(x) < 1e18) & ((x == 0) | (F.abs(x) >= 0.5)), F.rint(x).cast("decimal(20,0)").cast("string")).when(small, exponent).otherwise(plain)
 
 
 def _parsed(value: Column) -> Column:
