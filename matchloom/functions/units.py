@@ -103,7 +103,7 @@ def number_text(x: Column) -> Column:
     lead, power = F.when(carried, first / 10).otherwise(first), F.when(carried, power + 1).otherwise(power)
     exponent = F.concat(bare(F.format_string("%.11f", lead)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
     small = (F.abs(x) < 1e-4) | (F.abs(x) >= 1e12)
-    return F.when(whole & (F.abs(x) < 1e18) & ((x == 0) | (F.abs(x) >= 0.5)), F.rint(x).cast("decimal(20,0)").cast("string")).when(small, exponent).otherwise(plain)
+    return F.when(whole & (F.abs(x) < 1e18), F.rint(x).cast("decimal(20,0)").cast("string")).when(small, exponent).otherwise(plain)
 
 
 def _parsed(value: Column) -> Column:

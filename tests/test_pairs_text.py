@@ -1,3 +1,4 @@
+import math
 import uuid
 
 import pytest
@@ -296,6 +297,6 @@ def test_split_quality(spark):
 
 
 def test_numbers_print_with_twelve_digits(spark):
-    values = [0.0, 7.0, -3.0, 2.5, 1 / 3, 0.0001, 0.00012345678901234, 1.5e-05, -9.9999999999999e-07, 123456.7890123456, 1e15, 0.1 + 0.2]
+    values = [0.0, 7.0, -3.0, 2.5, 1 / 3, 0.0001, 0.00012345678901234, 1.5e-05, -9.9999999999999e-07, 1e-13, 123456.7890123456, 1e15, 0.1 + 0.2]
     found = spark.createDataFrame([(float(v),) for v in values], "x double").select(units.number_text(F.col("x")).alias("t")).collect()
-    assert [r.t for r in found] == [str(round(v)) if abs(v - round(v)) <= 1e-12 * abs(v) else f"{v:.12g}" for v in values]
+    assert [r.t for r in found] == [str(round(v)) if math.isclose(v, round(v), rel_tol=1e-12, abs_tol=1e-12) else f"{v:.12g}" for v in values]
