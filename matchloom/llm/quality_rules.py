@@ -146,7 +146,8 @@ def kneser_ney(counted: DataFrame) -> dict[int, DataFrame]:
     zero = F.lit(0).cast("long")
     types = {ORDER: counted}
     for order, (a, b) in {3: (F.col("a").bitwiseAND(MASK), F.col("b")), 2: (zero, F.col("b")), 1: (zero, F.col("b").bitwiseAND(MASK))}.items():
-        types[order] = types[order + 1].select("lang", a.alias("a"), b.alias("b")).groupBy("lang", "a", "b").agg(F.count("*").alias("n"))
+        suffixes = types[order + 1].select("lang", a.alias("a"), b.alias("b"))
+        types[order] = materialize(suffixes.groupBy("lang", "a", "b").agg(F.count("*").alias("n")), f"kneser-ney-types-{order}")
     of = lambda k: F.sum((F.col("n") == k).cast("double")).alias(f"n{k}")
     out: dict[int, DataFrame] = {}
     for order in range(1, ORDER + 1):
@@ -177,12 +178,24 @@ class Model:
 
     FLOOR = 1e-6
 
-    def __init__(self, top: pd.DataFrame):
+    def __init__(self, parts: list[tuple[str, bytes, bytes]]):
+        """parts: see packed()."""
+        held: dict[str, list[tuple[bytes, bytes]]] = {}
+        for lang, h, cost in parts:
+            held.setdefault(lang, []).append((h, cost))
         self.arrays: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for lang, own in top.groupby("lang", sort=False):
-            h = _mixed(own["a"].to_numpy(), own["b"].to_numpy(), ORDER)
+        for lang, own in held.items():
+            h, cost = np.frombuffer(b"".join([x[0] for x in own]), "<u8"), np.frombuffer(b"".join([x[1] for x in own]), "<f4")
             at = np.argsort(h)
-            self.arrays[lang] = h[at], -np.log(own["p"].to_numpy()[at]).astype(np.float32)
+            self.arrays[lang] = h[at], cost[at]
+
+    @staticmethod
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """lang, and the hashes and costs of n-grams (lang, a, b, p) as bytes: what comes to the driver is 12 bytes each."""
+        for pdf in batches:
+            for lang, own in pdf.groupby("lang", sort=False):
+                h, cost = _mixed(own["a"].to_numpy(), own["b"].to_numpy(), ORDER), -np.log(own["p"].to_numpy())
+                yield pd.DataFrame({"lang": [lang], "h": [h.astype("<u8").tobytes()], "cost": [cost.astype("<f4").tobytes()]})
 
     def cost(self, lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         h, cost = self.arrays.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
@@ -256,7 +269,8 @@ def _scored(docs: DataFrame, model_rows: int) -> DataFrame:
     counted = materialize(docs.select("text", "lang").mapInPandas(_count, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")), "n-grams")
     top = kneser_ney(counted)[ORDER].select("lang", "a", "b", "p")
     if counted.count() <= model_rows:
-        model = spark.sparkContext.broadcast(Model(top.toPandas()))
+        parts = top.mapInPandas(Model.packed, "lang string, h binary, cost binary")
+        model = spark.sparkContext.broadcast(Model([(r["lang"], bytes(r["h"]), bytes(r["cost"])) for r in parts.toLocalIterator()]))
 
         @F.pandas_udf(T.StructType([*_COUNTS.fields, T.StructField("cost", T.DoubleType())]))
         def score(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:

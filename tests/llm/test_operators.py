@@ -505,13 +505,14 @@ def test_kneser_ney_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "CHUNK", 50)  # long texts in pieces
     grams = pd.concat(quality_rules._count(iter([docs.toPandas()])))
     model = quality_rules.kneser_ney(spark.createDataFrame(grams))[4].toPandas()
+    packed = [tuple(r) for pdf in quality_rules.Model.packed(iter([model[:100], model[100:]])) for r in pdf.itertuples(index=False)]
     for lang, own in texts.items():
         want, padded = brute_model(own)
         mine = model[model["lang"] == lang]
         text_of = lambda a, b: "".join(chr(x) for x in (a >> 21, a & (1 << 21) - 1, b >> 21, b & (1 << 21) - 1))
         found = {text_of(a, b): p for a, b, p in zip(mine["a"], mine["b"], mine["p"])}
         assert found == pytest.approx(want)
-        costs = quality_rules._log_ppl(quality_rules.Model(model), pd.Series(own), pd.Series([lang] * len(own)))
+        costs = quality_rules._log_ppl(quality_rules.Model(packed), pd.Series(own), pd.Series([lang] * len(own)))
         assert costs == pytest.approx([-sum(math.log(want[t[i : i + 4]]) for i in range(len(t) - 3)) for t in padded], rel=1e-5)
 
 
