@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ATTRIBUTES, squash
+from .text import ATTRIBUTES, let, squash
 
 #: Fixed values. For each quantity: its target unit; its units as (name, scale to the first unit's base, offset).
 QUANTITIES: dict[str, tuple[str, dict[str, tuple[float, float]]]] = {
@@ -93,6 +93,10 @@ def converted(number: Column, unit: Column, quantity: str) -> Column:
 def number_text(x: Column) -> Column:
     """A whole number without a point, others to 12 significant digits without trailing zeros; below 1e-4 and from 1e12
     on with an exponent (1.5e-05)."""
+    return let(x, _number_text)
+
+
+def _number_text(x: Column) -> Column:
     whole = F.abs(x - F.rint(x)) <= F.greatest(F.abs(x) * 1e-12, F.lit(1e-12))
     bare = lambda text: F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
     power = F.floor(F.log10(F.abs(x))).cast("int")
@@ -117,15 +121,23 @@ def normalize_measure(k: Column, v: Column) -> Column:
     key, value = F.lower(F.trim(k)), F.trim(v)
     same = F.struct(F.trim(k).alias("k"), value.alias("v"))
     out = same
+
+    def measured(quantity: str):
+        target, name = QUANTITIES[quantity][0], without_unit(key, quantity)
+
+        def of(m: Column) -> Column:
+            done = lambda new: F.struct(F.concat(name, F.lit(f", {target}")).alias("k"), number_text(new).alias("v"))
+            kept = F.struct(F.concat_ws(", ", name, m["unit"]).alias("k"), m["bare"].alias("v"))
+            sound = lambda new: new.isNotNull() & (F.abs(new) < float("inf"))
+            return let(converted(_parsed(m["bare"]), m["unit"], quantity), lambda new: F.when(sound(new), done(new)).otherwise(kept))
+
+        return of
+
     for quantity in reversed(QUANTITIES):
         unit = F.coalesce(unit_of(value, quantity), unit_of(key, quantity))
-        bare = without_unit(value, quantity)
-        new = converted(_parsed(bare), unit, quantity)
-        target = QUANTITIES[quantity][0]
-        ok = new.isNotNull() & (F.abs(new) < float("inf"))
-        done = F.struct(F.concat(without_unit(key, quantity), F.lit(f", {target}")).alias("k"), number_text(new).alias("v"))
-        kept = F.struct(F.concat_ws(", ", without_unit(key, quantity), unit).alias("k"), bare.alias("v"))
-        out = F.when(_one_of(key, KEYWORDS[quantity]) & unit.isNotNull(), F.when(ok, done).otherwise(kept)).otherwise(out)
+        # bound once: within a lambda an expression is computed again wherever it stands
+        own = let(F.struct(unit.alias("unit"), without_unit(value, quantity).alias("bare")), measured(quantity))
+        out = F.when(_one_of(key, KEYWORDS[quantity]) & unit.isNotNull(), own).otherwise(out)
     return F.when(reduce(lambda a, b: a | b, [F.contains(key, F.lit(s)) for s in SKIP]), same).otherwise(out)
 
 
