@@ -649,10 +649,18 @@ def _annotated(s, d):
     return done.select(F.col("u").alias("pair_left"), F.col("v").alias("pair_right"), F.lit("v1").alias("labeling_fingerprint"))
 
 
-@query()
+def _shuffled_sql(side: int, card: str) -> str:
+    key = KEY48.format(f"'5|' || id1 || '|' || id2 || '|' || copy || '|{side}|' || i")
+    names = f"['бренд=' || {card}.brand, 'тип=' || {card}.category, 'размер, см=' || {card}.size, 'артикул=' || regexp_replace({card}.brand, '[^0-9A-Za-z]', '', 'g') || '-' || {card}.size]"
+    return f"array_to_string(list_transform(list_sort(list_transform([0, 1, 2, 3], lambda i: {{'h': {key}, 'i': i}})), lambda o: {names}[o.i + 1]), ';') AS attributes_{side}"
+
+
+@query(f"SELECT id1, id2, target, copy, {_shuffled_sql(1, 'x')}, {_shuffled_sql(2, 'y')} FROM (SELECT DISTINCT id1, id2, target FROM human_v) JOIN items_v x ON x.id = id1 JOIN items_v y ON y.id = id2, (VALUES (0), (1)) c(copy)")
 def x1_shuffled_attributes(s, d):
     i = fx.items(s, d).withColumn("attributes", tx.attributes(F.col("attributes")))
-    return pairs.shuffle_attributes(pairs.assemble(i, fx.human(s, d).distinct(), ("attributes",)), 2, 5)
+    made = pairs.shuffle_attributes(pairs.assemble(i, fx.human(s, d).distinct(), ("attributes",)), 2, 5)
+    text = lambda c: F.array_join(F.transform(c, lambda a: F.concat(a["k"], F.lit("="), a["v"])), ";").alias(c)
+    return made.select("id1", "id2", "target", "copy", text("attributes_1"), text("attributes_2"))
 
 
 @query(
