@@ -59,9 +59,10 @@ def test_queries_are_registered():
 
 def test_stages_over_awkward_and_empty_tables(spark, awkward, nothing):
     """Nulls, repeats and clashing names in, the same columns out."""
-    for docs in (awkward, nothing):
+    for start in (awkward, nothing):
+        docs = start
         for name, stage in corpus_pipeline.STAGES:
             after = materialize(stage(spark, docs, D), "test-awkward")
-            assert name == "encoding" or after.columns == docs.columns
-            assert docs is awkward or after.isEmpty()
+            assert name == "encoding" or after.columns == start.columns
+            assert start is awkward or after.isEmpty()
             docs = docs if name == "quality_rules" else after  # the quality rules leave too little of it
