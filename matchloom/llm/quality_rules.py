@@ -23,7 +23,7 @@ ORDER = 4
 BITS = 21
 MASK = (1 << BITS) - 1
 #: Characters counted or scored at once; n-grams of its partition that a task holds before it passes them on.
-CHUNK, HELD = 1 << 20, 1 << 21
+CHUNK, HELD = 1 << 17, 1 << 19
 #: n-grams of a model that is broadcast (16 bytes each); a larger one is joined. Languages whose bands are broadcast.
 MODEL_ROWS, BAND_ROWS = 4_000_000, 20_000
 #: Bands: half width in nats is SPREADS robust deviations, LEAST at least, plus SLACK / sqrt(characters) for short texts.
