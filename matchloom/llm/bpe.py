@@ -103,6 +103,7 @@ class Codec:
         # bytes as the characters of the same numbers, so that pieces that are no UTF-8 can be strung together
         self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM v")
+        self.remember = REMEMBER
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -154,7 +155,7 @@ class Codec:
             if len(p) != 1:
                 new[w] = b"".join([new[x] for x in p])
         self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2)
-        if len(self.words) > REMEMBER:
+        if len(self.words) > self.remember:
             self.words, self.older = {}, self.words
         return [i if i is not None else new[w] for w, i in zip(words, found)]
 
@@ -211,19 +212,21 @@ def _some(pdf: pd.DataFrame, characters: int = 1_500_000) -> Iterator[pd.DataFra
         yield part
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, remember: int = REMEMBER) -> DataFrame:
     """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int).
 
     Null texts count as empty (0 tokens, the digests of no bytes); repeated rows and null doc_ids stay. Each match of
     pattern is encoded on its own by the ranks in path, without special tokens, and the ids are decoded again. Texts are
     encoded whole, however long; of equal pairs of least rank the leftmost is contracted first. Other columns are not
-    read; an empty table gives no rows. One pass over the rows: nothing is shuffled.
+    read; an empty table gives no rows. One pass over the rows: nothing is shuffled. ``remember`` bounds the words that a
+    worker holds, at some 250 bytes each and twice as many for a while; fewer cost CPU time only.
     """
     fields = [("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = T.StructType([T.StructField(*f) for f in fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
+        c.remember = remember
         for batch in batches:
             batch["text"] = batch["text"].where(batch["text"].notna(), "")
             for pdf in _some(batch):
