@@ -1,6 +1,7 @@
 """Each operator against brute force, and over awkward and empty tables."""
 
 import base64
+import functools
 import hashlib
 import math
 import random
@@ -557,10 +558,11 @@ def brute_anchors(text):
     """(position, hash) of the closed syncmers of a text."""
     k, s = syncmers.K, syncmers.S
     h = lambda raw, seed=42: xxhash.xxh64_intdigest(raw, seed)
+    chained = lambda chars: functools.reduce(lambda seed, c: h(c.encode(), seed), chars, 42)
     signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     if len(text) < k:
         return [(0, h(text.encode()) >> 32)] if text else []
-    inner = [h(text[i : i + s].encode()) for i in range(len(text) - s + 1)]
+    inner = [chained(text[i : i + s]) for i in range(len(text) - s + 1)]
     out = []
     for i in range(len(text) - k + 1):
         own = [signed(v) for v in inner[i : i + k - s + 1]]
@@ -599,6 +601,17 @@ def test_edited_texts(spark, awkward, nothing):
     assert syncmers.edited(nothing).count() == 0
 
 
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    """Anchors put together from two texts' parts are those of the text itself, over the whole table; none is past its last k-mer."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    whole = syncmers.anchors(F.col("text"))
+    assert docs.filter(F.exists(whole, lambda a: (syncmers.position(a) > 0) & (syncmers.position(a) > F.char_length("text") - syncmers.K))).count() == 0
+    rows = sorted((i, t or "") for i, t in rows_of(docs))
+    new = [(i, t[: len(t) - len(t) // 2] + rows[(k + 1) % len(rows)][1][: len(t) // 2]) for k, (i, t) in enumerate(rows)]
+    own = spark.createDataFrame(new, "doc_id long, text string").select("doc_id", syncmers.fingerprint(syncmers.anchors(F.col("text"))).alias("own"))
+    assert syncmers.edited(docs).join(own, "doc_id").filter(F.col("edited_fingerprint") != F.col("own")).count() == 0
+
+
 def test_anchors_are_context_free(spark):
     """Text in front moves a passage's anchors and changes nothing else, in spaced and unspaced scripts alike."""
     rng = random.Random(8)
