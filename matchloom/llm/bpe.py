@@ -17,12 +17,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words that are new or used again until a worker forgets those not used since it last forgot; pre-tokens a recursive
 #: query takes at once; ids a decoding query takes at once.
 REMEMBER, WORDS, IDS = 300_000, 32_000, 250_000
+#: Characters of a word that is remembered, at most.
+REMEMBER_LENGTH = 64
 #: A recursive query keeps a row for each id and step, so quadratic in a word. Pre-tokens over LONG bytes go to a query
 #: that takes many steps as one and ends after some ROWS rows, to be started again from where it got to.
 LONG, ROWS = 200, 2_000_000
@@ -104,9 +107,16 @@ class Codec:
         self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM v")
         self.remember = REMEMBER
+        self.spaced = pattern == public_tokenizers.PATTERN  # a pre-token starts at every space that text follows
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def close(self) -> None:
+        """Gives back what the codec holds."""
+        self.db.close()
+        self.words, self.older, self.ranks = {}, {}, {}
+        pa.default_memory_pool().release_unused()
+
     def contract(self, words: list[str]) -> dict[str, bytes]:
         """Ids (little-endian uint32) of distinct pre-tokens."""
         out, short = {}, []
@@ -148,22 +158,22 @@ class Codec:
         found = [get(w) for w in words]
         lacking = [w for w, i in zip(words, found) if i is None]
         # " word," is " word" and ",", and is not remembered
-        parts = {w: [w[:-1], w[-1]] if w[-1:] in (".", ",") and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
+        parts = {w: [w[:-1], w[-1]] if self.spaced and w[-1:] in (".", ",") and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
         new = {w: i for p in parts.values() for w in p if (i := get(w) or old(w)) is not None}
         new |= self.contract(list(dict.fromkeys(w for p in parts.values() for w in p if w not in new)))
         for w, p in parts.items():
             if len(p) != 1:
                 new[w] = b"".join([new[x] for x in p])
-        self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2)
+        self.words.update((w, i) for w, i in new.items() if len(parts.get(w, ())) != 2 and len(w) <= REMEMBER_LENGTH)
         if len(self.words) > self.remember:
             self.words, self.older = {}, self.words
         return [i if i is not None else new[w] for w, i in zip(words, found)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row (uint32), and where each text's end."""
-        # A pre-token starts at every space that text follows, so texts fall apart there, but for texts with double or
+        # Where a pre-token starts at every space that text follows, texts fall apart there, but for texts with double or
         # trailing spaces.
-        plain = [UNSAFE.search(t) is None for t in texts]
+        plain = [self.spaced and UNSAFE.search(t) is None for t in texts]
         cut = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
         spaced = cut.flatten().dictionary_encode()
         number, bounds = spaced.indices.to_numpy().astype(np.int64), np.asarray(cut.offsets)
@@ -212,21 +222,21 @@ def _some(pdf: pd.DataFrame, characters: int = 1_500_000) -> Iterator[pd.DataFra
         yield part
 
 
-def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, remember: int = REMEMBER) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: bool = True) -> DataFrame:
     """A row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int).
 
     Null texts count as empty (0 tokens, the digests of no bytes); repeated rows and null doc_ids stay. Each match of
     pattern is encoded on its own by the ranks in path, without special tokens, and the ids are decoded again. Texts are
     encoded whole, however long; of equal pairs of least rank the leftmost is contracted first. Other columns are not
-    read; an empty table gives no rows. One pass over the rows: nothing is shuffled. ``remember`` bounds the words that a
-    worker holds, at some 250 bytes each and twice as many for a while; fewer cost CPU time only.
+    read; an empty table gives no rows. One pass over the rows: nothing is shuffled. A worker remembers 2 * REMEMBER
+    words of REMEMBER_LENGTH characters at most; with ``keep`` it does so for its next tasks, else its memory is free
+    for other work when a task ends, at some CPU time.
     """
     fields = [("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = T.StructType([T.StructField(*f) for f in fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
-        c.remember = remember
+        c = codec(path, pattern) if keep else Codec(path, pattern)
         for batch in batches:
             batch["text"] = batch["text"].where(batch["text"].notna(), "")
             for pdf in _some(batch):
@@ -241,5 +251,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, remember:
                 if ids:
                     out["ids"] = [e.view("<i4") for e in encoded]
                 yield pd.DataFrame(out)
+        if not keep:
+            c.close()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInPandas(run, schema)

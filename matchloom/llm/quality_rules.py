@@ -294,7 +294,8 @@ def _scored(docs: DataFrame, model_rows: int) -> DataFrame:
     # numbers of written rows don't change when a task is run again
     numbered = materialize(docs.withColumn("number", F.monotonically_increasing_id()), "numbered")
     costs = numbered.select("number", "text", "lang").mapInPandas(grams, "number long, lang string, a long, b long, n long").join(top, ["lang", "a", "b"])
-    sums = costs.groupBy("number").agg(F.sum(-F.col("n") * F.log("p")).alias("cost"))
+    # costs in the precision of the packed model
+    sums = costs.groupBy("number").agg(F.sum(-F.col("n") * F.log("p").cast("float").cast("double")).alias("cost"))
     return numbered.join(sums, "number").select("row", "lang", count("text").alias("s"), "cost").select("row", "lang", "s.*", "cost")
 
 
