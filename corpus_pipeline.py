@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from matchloom.llm import bpe, mixing, quality_rules, secrets, simhash
 from matchloom.llm.common import documents, materialize
 
-#: Words that the encoder holds in a worker: fewer than by itself, as workers go on to other stages with them.
-REMEMBER = 100_000
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, null and empty texts with them (they have no words). Repeated rows are
@@ -39,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document of the mix, and digests of them and of the decoded bytes; null texts have none."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN, remember=REMEMBER)
+    return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=False)
 
 
 STAGES = [
