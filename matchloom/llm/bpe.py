@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 #: Words that are new or used again until a worker forgets those not used since it last forgot; pre-tokens a recursive
 #: query takes at once; ids a decoding query takes at once.
 REMEMBER, WORDS, IDS = 300_000, 32_000, 250_000
+#: Characters of the texts that are encoded at once.
+TEXT = 1_500_000
 #: Characters of a word that is remembered, at most.
 REMEMBER_LENGTH = 64
 #: A recursive query keeps a row for each id and step, so quadratic in a word. Pre-tokens over LONG bytes go to a query
@@ -90,7 +92,7 @@ FROM ids JOIN vocabulary v ON v.id = ids.id GROUP BY ids.doc ORDER BY ids.doc
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, at_once: int = WORDS):
         import duckdb
         import regex
 
@@ -106,7 +108,7 @@ class Codec:
         # bytes as the characters of the same numbers, so that pieces that are no UTF-8 can be strung together
         self.db.register("v", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS FROM v")
-        self.remember = REMEMBER
+        self.remember, self.at_once = REMEMBER, at_once
         self.spaced = pattern == public_tokenizers.PATTERN  # a pre-token starts at every space that text follows
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -126,8 +128,8 @@ class Codec:
                 out[w] = self._contract_long(raw)
             else:
                 short.append((w, raw))
-        for at in range(0, len(short), WORDS):
-            some = short[at : at + WORDS]
+        for at in range(0, len(short), self.at_once):
+            some = short[at : at + self.at_once]
             lengths = np.fromiter((len(raw) for _, raw in some), np.int64, len(some))
             flat = self.byte_ids[np.frombuffer(b"".join([raw for _, raw in some]), np.uint8)]
             word = np.repeat(np.arange(len(some), dtype=np.int32), lengths)
@@ -216,7 +218,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _some(pdf: pd.DataFrame, characters: int = 1_500_000) -> Iterator[pd.DataFrame]:
+def _some(pdf: pd.DataFrame, characters: int) -> Iterator[pd.DataFrame]:
     ends = np.cumsum(pdf["text"].str.len().to_numpy()) // characters
     for _, part in pdf.groupby(ends, sort=False):
         yield part
@@ -229,17 +231,17 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
     pattern is encoded on its own by the ranks in path, without special tokens, and the ids are decoded again. Texts are
     encoded whole, however long; of equal pairs of least rank the leftmost is contracted first. Other columns are not
     read; an empty table gives no rows. One pass over the rows: nothing is shuffled. A worker remembers 2 * REMEMBER
-    words of REMEMBER_LENGTH characters at most; with ``keep`` it does so for its next tasks, else its memory is free
-    for other work when a task ends, at some CPU time.
+    words of REMEMBER_LENGTH characters at most; with ``keep`` it does so for its next tasks; else it takes fewer at once and its memory is
+    free for other work when a task ends, at some CPU time.
     """
     fields = [("doc_id", T.LongType()), ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = T.StructType([T.StructField(*f) for f in fields] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern) if keep else Codec(path, pattern)
+        c = codec(path, pattern) if keep else Codec(path, pattern, WORDS // 2)
         for batch in batches:
             batch["text"] = batch["text"].where(batch["text"].notna(), "")
-            for pdf in _some(batch):
+            for pdf in _some(batch, TEXT if keep else TEXT // 3):
                 flat, ends = c.encode(pdf["text"].tolist())
                 encoded = np.split(flat, ends[:-1])
                 out = {

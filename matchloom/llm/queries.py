@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packed, quality_model, quality_rules, secrets, separators, sharding, simhash, syncmers
+from . import bpe, collocations, conversations, mixing, packed, quality_model, quality_rules, secrets, separators, sharding, simhash, syncmers
 from .common import documents
 
 #: Size of the vocabulary of byte_bpe_50k.json, and its end-of-document id.
@@ -70,10 +70,21 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every damaged conversation; the repaired turns as a digest."""
+    damaged = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(damaged, F.col("present")).withColumnRenamed("sha256", "repaired_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_model, op2_secrets, op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers)
+    own = (op1_quality_model, op2_secrets, op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers, op11_collocations, op12_conversations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op11_collocations": collocations.ORACLE, "op12_conversations": conversations.ORACLE}
