@@ -62,10 +62,10 @@ def anchors(text: Column) -> Column:
 
     def closed(m: Column) -> Column:
         def anchor(x: Column, i: Column) -> Column:
-            # only where a whole k-mer is left
             first = _all([x <= F.get(m, i + j) for j in range(1, far)])
             last = _all([F.get(m, i + far) <= F.get(m, i + j) for j in range(far - 1, 0, -1)])
-            return F.when(F.get(m, i + far).isNotNull() & (first | last), _anchor(F.xxhash64(*[F.get(m, i + j) for j in range(0, far + 1, S)]), i))
+            found = _anchor(F.xxhash64(*[F.get(m, i + j) for j in range(0, far + 1, S)]), i)
+            return F.when(first | last, F.when(F.get(m, i + far).isNotNull(), found))  # only where a whole k-mer is left
 
         return F.filter(F.transform(m, anchor), lambda a: a.isNotNull())
 
