@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, conversations, mixing, packed, quality_model, quality_rules, secrets, separators, sharding, simhash, syncmers
+from . import bpe, collocations, conversations, language_id, mixing, packed, quality_model, quality_rules, secrets, separators, sharding, simhash, syncmers
 from .common import documents
 
 #: Size of the vocabulary of byte_bpe_50k.json, and its end-of-document id.
@@ -81,8 +81,13 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(damaged, F.col("present")).withColumnRenamed("sha256", "repaired_sha256")
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: doc_id, held_out, lang_pred, score."""
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_model, op2_secrets, op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers, op11_collocations, op12_conversations)
+    own = (op1_quality_model, op2_secrets, op3_mixing, op4_token_counts, op5_packed, op6_bpe, op7_simhash, op8_sharding, op9_quality_rules, op10_syncmers, op11_collocations, op12_conversations, op13_language_id)
     return {f.__name__: f for f in own}
 
 
