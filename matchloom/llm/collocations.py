@@ -20,6 +20,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,11 +33,13 @@ LONGEST, FREQUENT, TOP, SCALE, COVERED = 4, 30, 2_000, 2_000_000, 80
 LOWER = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\r\x0b\x0c", bytes(range(97, 123)) + b"\n" * 9)
 BREAK, PLAIN = b".", "und"
 #: Keys of a block, blocks that a worker keeps at hand, positions of a hash for each key, slots of a counted array.
-BLOCK, AT_HAND, ROOM, PIECE = 1 << 19, 8, 2, 1 << 16
+BLOCK, AT_HAND, ROOM, PIECE = 1 << 19, 24, 2, 1 << 16
 #: Slots counted in one pass over the corpus; branches of the tree that sums arrays.
 ROUND, BRANCHES = 1 << 23, 16
 #: Words and phrases that a task holds before it passes them on; documents tokenised at once; word slots in a row.
-HELD, AT_ONCE, ROW = 1 << 19, 256, 2_048
+HELD, AT_ONCE, ROW = 1 << 18, 256, 2_048
+#: Word slots that a task looks up at once (a longer text's are one piece).
+CHUNK = 1 << 19
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -251,8 +254,16 @@ def _longer(slots: np.ndarray, table: Table | None) -> np.ndarray:
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The slots of neighbouring rows, CHUNK of them if a row isn't longer."""
     for b in batches:
-        yield b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = b.column(0)
+        ends = np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(ends):
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+            yield rows.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = to
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
