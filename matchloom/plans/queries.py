@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import packing
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import vectors as vec
@@ -585,6 +586,76 @@ def n17_prompted(s, d):
     return fx.document_pairs(s, d).select("id", tx.prompted(F.left("a", F.lit(100)), F.left("b", F.lit(100))).alias("prompt"))
 
 
+#: Cards as words: what must be there, and the attributes by their number of words. For both sides their demand, even
+#: shares with what the other can't use, and what is left to the side that gains more, then to the other.
+_SECTIONS = "list_sort(list_transform([{'k': 'бренд', 'p': ['бренд:'], 'v': brand, 'i': 0}, {'k': 'тип', 'p': ['тип:'], 'v': category, 'i': 1}, {'k': 'размер, см', 'p': ['размер,', 'см:'], 'v': CAST(size AS VARCHAR), 'i': 2}, {'k': 'артикул', 'p': ['артикул:'], 'v': regexp_replace(brand, '[^0-9A-Za-z]', '', 'g') || '-' || size, 'i': 3}], lambda s: {'n': len(s.p) + len(string_split(s.v, ' ')), 'i': s.i, 'k': s.k, 't': list_concat(s.p, string_split(s.v, ' '))}))"
+_FIT = "CASE WHEN len({c}_m) >= {b} THEN {b} ELSE len({c}_m) + list_max(list_filter({c}_p, lambda p: len({c}_m) + p <= {b})) END"
+
+
+def _fit(card: str, budget: str) -> str:
+    return _FIT.format(c=card, b=f"({budget})")
+
+
+def _packing_views(budget: int) -> tuple[str, ...]:
+    side = lambda c: f"{c}.m AS {c}_m, {c}.s AS {c}_s, {c}.p AS {c}_p, {c}.d AS {c}_d"
+    return (
+        f"sec AS (SELECT id, list_concat(['name:'], string_split(name, ' '), ['category:'], string_split(category, ' ')) AS m, {_SECTIONS} AS s FROM items_v)",
+        "crd AS (SELECT *, list_transform(range(0, 5), lambda n: coalesce(list_sum(list_transform(s[1:n], lambda x: x.n)), 0)) AS p, len(m) + list_sum(list_transform(s, lambda x: x.n)) AS d FROM sec)",
+        f"two AS (SELECT u, v, {side('a')}, {side('b')}, least(a.d, {(budget + 1) // 2}) AS sa, least(b.d, {budget // 2}) AS sb FROM scores_v JOIN crd a ON a.id = u JOIN crd b ON b.id = v)",
+        f"shared AS (SELECT *, sa + least(a_d - sa, {budget} - sa - sb) AS ba, sb + least(b_d - sb, {budget} - sa - sb - least(a_d - sa, {budget} - sa - sb)) AS bb FROM two)",
+        f"one AS (SELECT *, {_fit('a', 'ba')} AS fa, {_fit('b', 'bb')} AS fb FROM shared)",
+        f"grown AS (SELECT *, {_fit('a', f'{budget} - fb')} AS ga, {_fit('b', f'{budget} - fa')} AS gb FROM one)",
+        f"used AS (SELECT *, CASE WHEN ga - fa >= gb - fb THEN ga ELSE {_fit('a', f'{budget} - gb')} END AS na, CASE WHEN ga - fa >= gb - fb THEN {_fit('b', f'{budget} - ga')} ELSE gb END AS nb FROM grown)",
+        *(f"kept_{c} AS (SELECT u, v, n{c}::BIGINT AS n, {c}_m AS m, {c}_s[1:greatest(0, len(list_filter({c}_p, lambda p: len({c}_m) + p <= n{c})) - 1)] AS s, {c}_s AS every FROM used)" for c in "ab"),
+    )
+
+
+BUDGET = 19
+
+
+def _cards(s, d):
+    i = fx.items(s, d).withColumn("a", tx.attributes(F.col("attributes")))
+    card = packing.card_sections(packing.word_tokens(packing.card_texts(F.col("name"), F.col("category"), F.col("a"))), F.col("a"))
+    m = fx.scores(s, d).select("u", "v", F.col("u").alias("id1"), F.col("v").alias("id2"))
+    return pairs.assemble(i.select("id", card.alias("card")), m, ("card",))
+
+
+def _packed(s, d):
+    return packing.encode_pairs(_cards(s, d), BUDGET + 3, "card_1", "card_2")
+
+
+_FITTED = "list_concat(CASE WHEN len({c}.m) > {c}.n THEN {c}.m[1:{c}.n] ELSE {c}.m END, flatten(list_transform({c}.s, lambda x: x.t)))"
+
+
+@query(f"SELECT u, v, '[CLS] ' || array_to_string({_FITTED.format(c='x')}, ' ') || ' [SEP] ' || array_to_string({_FITTED.format(c='y')}, ' ') || ' [SEP]' AS tokens, x.n + 2 AS left_tokens, y.n + 1 AS right_tokens FROM kept_a x JOIN kept_b y USING (u, v)", *_packing_views(BUDGET))
+def n18_packed_pairs(s, d):
+    ones = F.aggregate("token_types", F.lit(0), lambda n, x: n + x)
+    return _packed(s, d).select("u", "v", F.array_join("tokens", " ").alias("tokens"), (F.size("tokens") - ones).cast("long").alias("left_tokens"), ones.cast("long").alias("right_tokens"))
+
+
+def _owners_sql(c: str) -> str:
+    return f"list_concat(list_transform(range(least(len({c}.m), {c}.n)), lambda i: '-'), flatten(list_transform({c}.s, lambda x: list_transform(x.t, lambda t: x.k))))"
+
+
+@query(f"SELECT u, v, array_to_string(list_concat(['-'], {_owners_sql('x')}, ['-'], {_owners_sql('y')}, ['-']), '|') AS owners, len(x.every) + len(y.every) AS present, len(x.s) + len(y.s) AS included FROM kept_a x JOIN kept_b y USING (u, v)", *_packing_views(BUDGET))
+def n19_token_owners(s, d):
+    owners = F.transform(packing.owner_of_tokens(F.col("tokens"), F.col("owners")), lambda o: F.coalesce(o, F.lit("-")))
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda n, x: n + x).cast("long")
+    return _packed(s, d).select("u", "v", F.array_join(owners, "|").alias("owners"), total("present").alias("present"), total("included").alias("included"))
+
+
+@query("SELECT k AS key, count(*) AS present, count(*) FILTER (inside) AS included, coalesce(sum(n) FILTER (inside), 0)::BIGINT AS tokens FROM (SELECT unnest(every).k AS k, unnest(every).n AS n, unnest(list_transform(range(1, 5), lambda i: i <= len(s))) AS inside FROM (FROM kept_a UNION ALL FROM kept_b)) GROUP BY 1", *_packing_views(BUDGET))
+def n19_attribute_coverage(s, d):
+    return packing.attribute_coverage(_cards(s, d), BUDGET, "card_1", "card_2")
+
+
+@query("SELECT least(512, greatest(8, (max(n) + 7) // 8 * 8))::BIGINT AS max_length FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS r, count(*) OVER () AS c FROM (SELECT len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS t FROM documents) WHERE i IN (SELECT k * (t - 1) // 149 FROM range(150) x(k))) WHERE r <= ceil(0.6 * (c - 1))")
+def a23_inferred_length(s, d):
+    """Of 150 rows at even distances."""
+    rows = fx.table(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n"))
+    return packing.inferred_length(rows, "n", "doc_id", 0.6, 150)
+
+
 @query("SELECT id, size * 10 AS mm FROM items_v")
 def n8_units(s, d):
     from ..functions import units
