@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import require_columns
+from ..functions.identity import require_columns, seeded_key
 from ..functions.similarity import logit, sigmoid
 
 #: A scorer adds a finite predict in [0, 1] to each row.
@@ -46,6 +46,44 @@ def stacking_features(features: DataFrame, out_of_sample: DataFrame, key: str =
     return features.join(out_of_sample.select(key, logit(p).alias("oos_margin")), key)
 
 
+def with_fold(rows: DataFrame, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """Adds fold (0 to folds - 1), by a seeded hash of the group: rows of a group share one."""
+    if folds < 2:
+        raise ValueError("two folds at least")
+    return rows.withColumn("fold", (seeded_key(seed, group) % folds).cast("int"))
+
+
+def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], PairScorer], group: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """rows with fold and predict, each scored by a scorer that ``fit`` made of the other folds' rows: none of its group was
+    among them. Each fold is a branch of one plan; ``fit`` is called once a fold and may run jobs of its own; its scorer gives
+    a row for each that it gets."""
+    dealt = with_fold(rows, group, folds, seed)
+    parts = [fit(dealt.filter(F.col("fold") != k))(dealt.filter(F.col("fold") == k)).select(*dealt.columns, "predict") for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def rate_scorer(rows: DataFrame, by: str, prior: float = 1.0) -> PairScorer:
+    """The share of target 1 among rows of a column's value, smoothed by ``prior`` rows of the mean: the simplest scorer that
+    learns. Values it hasn't seen get the mean; without rows all get 0.5."""
+    mean = rows.agg(F.coalesce(F.avg(F.col("target").cast("double")), F.lit(0.5)).alias("mean"))
+    rates = rows.groupBy(F.col(by).alias("_by")).agg(F.sum(F.col("target").cast("double")).alias("_sum"), F.count("*").alias("_n"))
+
+    def score(new: DataFrame) -> DataFrame:
+        found = new.join(rates, new[by].eqNullSafe(F.col("_by")), "left").join(F.broadcast(mean))  # a table of one row
+        predict = (F.coalesce("_sum", F.lit(0.0)) + prior * F.col("mean")) / (F.coalesce("_n", F.lit(0)) + prior)
+        return found.select(*new.columns, predict.alias("predict"))
+
+    return score
+
+
+def stacked_margins(rows: DataFrame, fit: Callable[[DataFrame], PairScorer], group: str, key: str = "pair_row", folds: int = 5, seed: int = 42) -> DataFrame:
+    """rows with oos_margin, the logit margin of their out-of-fold prediction."""
+    return stacking_features(rows, out_of_fold(rows, fit, group, folds, seed), key)
+
+
 def _assembled(numeric: list[str], category: str | None) -> list:
     stages = [StringIndexer(inputCol=category, outputCol="_category", handleInvalid="keep")] if category else []
     return [*stages, VectorAssembler(inputCols=[*numeric, *(["_category"] if category else [])], outputCol="features")]

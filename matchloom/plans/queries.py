@@ -12,7 +12,7 @@ from ..functions import similarity as sim
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.identity import canonical
-from ..operators import augment, graph, labeling, labels, metrics, models, pairs, split
+from ..operators import augment, encoders, entities, graph, labeling, labels, metrics, models, pairs, split, synonyms
 from ..operators.numbering import with_row_number
 from ..sources import readers
 from . import fixtures as fx
@@ -790,3 +790,111 @@ _U = "(" + KEY48.format("'4|{}|' || id || '|' || (i - 1)") + " + 1) / 2814749767
 )
 def x2_word_dropout(s, d):
     return fx.items(s, d).select("id", F.array_join(augment.drop_words(F.col("name"), 4, 0.6, F.col("id")), " ").alias("name"))
+
+
+# entities, folds, encoders
+
+
+_TAGGED = """tagged AS (
+    SELECT user_id AS text_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos,
+           CASE event_id % 6 WHEN 0 THEN 'для' WHEN 1 THEN CAST(event_id AS VARCHAR) ELSE event_type END AS word,
+           CASE WHEN event_id % 11 < 3 THEN 'O' WHEN event_id % 11 < 6 THEN 'цвет' WHEN event_id % 11 < 9 THEN 'бренд' ELSE 'тип' END AS label,
+           value / 100 AS score, [value / 100, (event_id % 7) / 7e0, (event_id % 5) / 20e0] AS vector, CASE event_id % 4 WHEN 0 THEN 'ADJF' WHEN 1 THEN 'NOUN' END AS tag
+    FROM events
+)"""
+_CENTRES = {"цвет": [[1.0, 0.1, 0.0]], "бренд": [[0.1, 1.0, 0.0], [0.0, 0.5, 0.5]], "тип": [[0.6, 0.6, 0.1]]}
+
+
+def _tagged(s, d):
+    e = fx.table(s, d, "events")
+    n, v = F.col("event_id"), F.col("value")
+    pos = with_row_number(e.select("user_id", "event_id", "event_type", "value"), "n", "user_id", "event_id")
+    starts = pos.groupBy("user_id").agg(F.min("n").alias("start"))
+    word = F.when(n % 6 == 0, "для").when(n % 6 == 1, n.cast("string")).otherwise(F.col("event_type"))
+    label = F.when(n % 11 < 3, "O").when(n % 11 < 6, "цвет").when(n % 11 < 9, "бренд").otherwise("тип")
+    rows = pos.join(starts, "user_id").select(F.col("user_id").alias("text_id"), (F.col("n") - F.col("start")).alias("pos"), word.alias("word"), label.alias("label"), (v / 100).alias("score"), F.array(v / 100, (n % 7) / 7, (n % 5) / 20).alias("vector"), F.when(n % 4 == 0, "ADJF").when(n % 4 == 1, "NOUN").alias("tag"))
+    return rows
+
+
+def _centre_sql(label: str) -> str:
+    each = ", ".join(f"list_cosine_similarity(vec, {c}::DOUBLE[])" for c in _CENTRES[label])
+    return f"greatest({each})" if len(_CENTRES[label]) > 1 else each
+
+
+@query(
+    "SELECT text_id, CASE WHEN renamed THEN other ELSE label END AS label, first, reach AS last, CASE WHEN NOT renamed THEN round(score, 6) END AS score FROM ("
+    " SELECT *, other <> label AND other IN ('цвет', 'бренд') AND best >= CASE other WHEN 'цвет' THEN 0.72 ELSE 0.74 END AND best - own >= 0.2 AND best - second >= 0.06 AS renamed FROM ("
+    "  SELECT *, greatest(sc, sb, st) AS best, list_sort([sc, sb, st])[2] AS second, CASE label WHEN 'цвет' THEN sc WHEN 'бренд' THEN sb ELSE st END AS own,"
+    "         CASE WHEN sc >= sb AND sc >= st THEN 'цвет' WHEN sb >= st THEN 'бренд' ELSE 'тип' END AS other"
+    f"  FROM (SELECT *, {_centre_sql('цвет')} AS sc, {_centre_sql('бренд')} AS sb, {_centre_sql('тип')} AS st FROM runs))) "
+    "WHERE NOT (other <> label AND NOT renamed AND ((label = 'тип' AND other IN ('цвет', 'бренд') AND best - own >= 0.24) OR best - own >= 0.2 OR (own < 0.4 AND best - own >= 0.12)))",
+    _TAGGED,
+    "linked AS (SELECT *, (word = 'для' OR (tag = 'ADJF' AND lead(tag) OVER w = 'NOUN')) IS TRUE AND lead(pos) OVER w IS NOT NULL AS goes_on, label IS DISTINCT FROM lag(label) OVER w AS fresh, label <> 'O' AND NOT regexp_matches(word, '^[0-9]+$') AS sound FROM tagged WINDOW w AS (PARTITION BY text_id ORDER BY pos))",
+    "ran AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY text_id ORDER BY pos) AS run, min(CASE WHEN NOT goes_on THEN pos END) OVER (PARTITION BY text_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach FROM linked)",
+    "parted AS (SELECT *, avg(score) OVER (PARTITION BY text_id, run) AS mean, sum((NOT sound)::INT) OVER (PARTITION BY text_id, run ORDER BY pos) AS part FROM ran)",
+    "runs AS (SELECT text_id, any_value(label) AS label, min(pos) AS first, max(pos) AS last, any_value(mean) AS score, arg_max(reach, pos) AS reach, [avg(vector[1]), avg(vector[2]), avg(vector[3])] AS vec FROM parted WHERE sound GROUP BY text_id, run, part HAVING NOT (count(*) = 1 AND any_value(word) = 'для'))",
+)
+def m8_entities(s, d):
+    return entities.entities(_tagged(s, d), _CENTRES).withColumn("score", r6("score"))
+
+
+_FOLD = KEY48.format("'42|' || category") + " % 4"
+
+
+@query(f"SELECT u, v, k AS fold, round(ln(p / (1 - p)), 6) AS oos_margin FROM (SELECT u, v, k, least(greatest((coalesce(t - a, 0) + m) / (coalesce(n - b, 0) + 1), 1e-7), 1 - 1e-7) AS p FROM (SELECT *, {_FOLD} AS k FROM scores_v) JOIN folds f USING (k) JOIN kinds x ON x.bucket = u % 9 LEFT JOIN cells c ON c.bucket = u % 9 AND c.k = f.k)".replace("c.k = f.k)", "c.kk = k)"), "kinds AS (SELECT u % 9 AS bucket, sum(target)::DOUBLE AS t, count(*) AS n FROM scores_v GROUP BY 1)", f"cells AS (SELECT u % 9 AS bucket, {_FOLD} AS kk, sum(target)::DOUBLE AS a, count(*) AS b FROM scores_v GROUP BY 1, 2)", f"folds AS (SELECT k, (SELECT sum(target) FROM scores_v WHERE {_FOLD} <> k) / (SELECT count(*) FROM scores_v WHERE {_FOLD} <> k)::DOUBLE AS m FROM range(4) r(k))")
+def m7_out_of_fold(s, d):
+    """Rates of a column that are learned in the other folds; a category's rows share a fold."""
+    rows = fx.scores(s, d).drop("predict").withColumns({"pair_row": F.struct("u", "v"), "bucket": F.col("u") % 9})
+    found = models.out_of_fold(rows, lambda part: models.rate_scorer(part, "bucket"), "category", 4)
+    margins = models.stacking_features(rows.select("pair_row"), found)
+    return found.select("pair_row", "u", "v", "fold").join(margins, "pair_row").select("u", "v", F.col("fold").cast("long").alias("fold"), r6("oos_margin").alias("oos_margin"))
+
+
+def _letter_counts():
+    """An encoder that can't take more than 40 texts at once."""
+
+    def encode(texts):
+        if len(texts) > 40:
+            raise MemoryError
+        return [[t.lower().count(c) for c in "aeiou"] for t in texts]
+
+    return encode
+
+
+@query("SELECT id, " + ", ".join(f"length(name) - length(replace(lower(name), '{c}', '')) AS {c}" for c in "aeiou") + " FROM items_v")
+def e4_encoded_names(s, d):
+    rows = fx.items(s, d).select("id", encoders.encoded(F.col("name"), _letter_counts, 5).alias("x"))
+    return rows.select("id", *[F.get("x", F.lit(i)).cast("long").alias(c) for i, c in enumerate("aeiou")])
+
+
+def _numbers():
+    import re
+
+    return lambda texts: [[{"label": "число", "text": m[0], "start": m.start(), "end": m.end(), "score": 1.0} for m in re.finditer(r"[0-9]+", t)] for t in texts]
+
+
+@query("SELECT id, regexp_extract(name, '[0-9]+') AS number, length(regexp_extract(name, '^[^0-9]*'))::BIGINT AS start FROM items_v WHERE regexp_matches(name, '[0-9]')")
+def e2_extracted_numbers(s, d):
+    rows = fx.items(s, d).select("id", encoders.extracted(F.col("name"), _numbers, 100).alias("e")).filter(F.size("e") > 0)
+    first = F.get("e", F.lit(0))
+    return rows.select("id", F.get(encoders.entities_as_attributes(F.col("e")), F.lit(0))["v"].alias("number"), first["start"].cast("long").alias("start"))
+
+
+#: Synonyms out of the tables themselves: word pairs of part names with an even count, and single words of odd length.
+_SYNONYMS_SQL = (
+    "two AS (SELECT DISTINCT p_name AS name, string_split(p_name, ' ') AS w FROM part)",
+    "syn AS (SELECT w[1] || ' ' || w[2] AS phrase, upper(left(w[1], 3)) || left(w[2], 3) AS replacement FROM two WHERE len(w[1] || w[2]) % 2 = 0 UNION SELECT x, 'any ' || left(x, 2) FROM (SELECT unnest(w) AS x FROM two) WHERE len(x) % 2 = 1)",
+)
+
+
+@query(
+    "SELECT name, CASE WHEN p.phrase IS NOT NULL THEN p.replacement ELSE coalesce(a.replacement, w[1]) || coalesce(' ' || coalesce(b.replacement, w[2]), '') END AS normalized FROM two LEFT JOIN syn p ON p.phrase = w[1] || ' ' || w[2] LEFT JOIN syn a ON a.phrase = w[1] LEFT JOIN syn b ON b.phrase = w[2]",
+    *_SYNONYMS_SQL,
+)
+def n11_synonyms(s, d):
+    names = fx.table(s, d, "part").select(F.col("p_name").alias("name")).distinct()
+    w = F.split("name", " ")
+    x, y = F.get(w, F.lit(0)), F.get(w, F.lit(1))
+    two = names.filter(F.length(F.concat(x, y)) % 2 == 0).select(F.concat_ws(" ", x, y).alias("phrase"), F.concat(F.upper(F.left(x, F.lit(3))), F.left(y, F.lit(3))).alias("replacement"))
+    one = names.select(F.explode(w).alias("phrase")).filter(F.length("phrase") % 2 == 1).select("phrase", F.concat(F.lit("any "), F.left("phrase", F.lit(2))).alias("replacement"))
+    return synonyms.normalize_names(names, two.union(one).distinct())

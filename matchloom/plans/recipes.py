@@ -89,6 +89,51 @@ def training_set(recipe: Recipe, matches: dict[str, DataFrame], items: DataFrame
     return split.Split(train, validation, best.seed, best.missing_strata, best.distribution_error, best.size_error)
 
 
+@dataclass(frozen=True)
+class BaseSplits:
+    """Training, validation and, if asked for, stacking rows of one source, and the quality of each split (see
+    split.split_quality): a row for each of them."""
+
+    train: DataFrame
+    validation: DataFrame
+    stacking: DataFrame | None
+    quality: DataFrame
+
+
+def base_splits(items: DataFrame, matches: DataFrame, validation_fraction: float = 0.2, stacking_fraction: float | None = None, candidates: int = 128, seed: int = 42, scope: str = "pair") -> BaseSplits:
+    """One source's labels in two or three parts that share no group of the scope. Validation rows have weight 1. The stacking
+    part is ``stacking_fraction`` of all rows: it is cut from what validation leaves, so by a fraction of that, with the
+    next seed."""
+    if stacking_fraction is not None and not 0 < stacking_fraction < 1 - validation_fraction:
+        raise ValueError("stacking and validation together must leave rows to train on")
+    rows = labels.with_defaults(split.validate(items, labels.hard_labels(matches)))
+    first = split.search_split(items, rows, validation_fraction, candidates, seed, scope)
+    train, stacking, told = first.train, None, [("validation", first, validation_fraction)]
+    if stacking_fraction is not None:
+        relative = stacking_fraction / (1 - validation_fraction)
+        second = split.search_split(items, train, relative, candidates, seed + 1, scope)
+        train, stacking = second.train, second.validation
+        told.append(("stacking", second, relative))
+    parts = [p for p in (train, first.validation, stacking) if p is not None]
+    for i, a in enumerate(parts):
+        for b in parts[i + 1 :]:
+            split.check_leakage(a, b, scope)
+    spark = items.sparkSession
+    quality = spark.createDataFrame([(name, s.seed, float(f), s.missing_strata, float(s.distribution_error), float(s.size_error)) for name, s, f in told], "part string, seed long, fraction double, missing_strata long, distribution_error double, size_error double")
+    return BaseSplits(train, first.validation.withColumn("sample_weight", F.lit(1.0)), stacking, quality)
+
+
+#: Recipes by name: what makes the training set of that kind.
+RECIPES = {"base": base_splits, "mixed": training_set}
+
+
+def recipe(name: str):
+    """The function that makes a training set, by its name."""
+    if name not in RECIPES:
+        raise ValueError(f"unknown recipe {name}: one of {', '.join(sorted(RECIPES))}")
+    return RECIPES[name]
+
+
 def enrich(items: DataFrame) -> DataFrame:
     """Items with attributes parsed from JSON and in normal form: names normalised, measures in target units."""
     parsed = items.withColumn("attributes", F.coalesce(normalize_attributes(attributes(F.col("attributes"))), F.array().cast("array<struct<k:string,v:string>>")))
