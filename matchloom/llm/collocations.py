@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, partitions
+from .common import fresh_path, materialize, partitions, small_batches
 from .files import make_folder, opened, written
 
 LONGEST, FREQUENT, TOP, SCALE, COVERED = 4, 30, 2_000, 2_000_000, 80
@@ -38,8 +38,10 @@ BLOCK, AT_HAND, ROOM, PIECE = 1 << 19, 24, 2, 1 << 16
 ROUND, BRANCHES = 1 << 23, 16
 #: Words and phrases that a task holds before it passes them on; documents tokenised at once; word slots in a row.
 HELD, AT_ONCE, ROW = 1 << 18, 256, 2_048
+#: Keys of phrases that a task adds up before it passes them on.
+HELD_KEYS = 1 << 20
 #: Word slots that a task looks up at once (a longer text's are one piece).
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -283,14 +285,16 @@ def candidates(rows: DataFrame, tables: list[Table]) -> DataFrame:
         for slots in _arrays(batches):
             keys = _longer(reduce(_longer, tables, slots), None)
             held.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD:
+            if sum(len(k) for k, _ in held) > HELD_KEYS:
                 held = [_summed(held)]
-                if len(held[0][0]) > HELD / 2:
+                if len(held[0][0]) > HELD_KEYS / 2:
                     yield made(*held.pop())
         if held:
             yield made(*_summed(held))
 
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).select("key")
+    # dealt by key at once: the tasks have added up what they could, and Spark needn't hold it a second time
+    dealt = rows.mapInArrow(run, "key long, n long").repartition(partitions(rows.sparkSession), "key")
+    return dealt.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).select("key")
 
 
 def _added(arrays: DataFrame, *keys: str) -> DataFrame:
@@ -375,6 +379,7 @@ def collocations(docs: DataFrame) -> DataFrame:
     columns are not read; an empty table, or one without frequent phrases, gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(PLAIN)).alias("lang"), F.coalesce(docs["text"], F.lit("")).cast("binary").alias("raw"))
     every = materialize(count_words(own), "words")
     totals = every.groupBy("lang").agg(F.sum("n").alias("n"))

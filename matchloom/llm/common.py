@@ -36,3 +36,14 @@ def partitions(spark: SparkSession) -> int:
 def count_words(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Rows that Spark hands to a Python worker at once, at most, where they are whole texts.
+AT_ONCE = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, in this session, Python workers get AT_ONCE rows at once: what both sides hold of them stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= AT_ONCE:
+        spark.conf.set(name, str(AT_ONCE))

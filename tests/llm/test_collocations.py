@@ -38,7 +38,7 @@ def found(docs):
 @pytest.mark.parametrize("block, held, piece", [(1 << 19, 1 << 19, 1 << 16), (7, 5, 4)])
 def test_collocations(spark, awkward, nothing, monkeypatch, block, held, piece):
     """Also with many blocks, rounds and pieces, and words passed on early."""
-    for name, value in {"FREQUENT": 3, "BLOCK": block, "HELD": held, "PIECE": piece, "ROUND": 3 * piece, "ROW": 50, "CHUNK": 60 if block < 100 else 1 << 19}.items():
+    for name, value in {"FREQUENT": 3, "BLOCK": block, "HELD": held, "HELD_KEYS": held, "PIECE": piece, "ROUND": 3 * piece, "ROW": 50, "CHUNK": 60 if block < 100 else 1 << 19}.items():
         monkeypatch.setattr(collocations, name, value)
     rng = random.Random(4)
     vocabulary = ["new", "york", "city", "New", "hot", "dog", "ü", "a\0b", "日本", "s\x1cx", "#", "é\t"]
