@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import count_words, materialize
 
 PARCELS, HOT = 12_288, 0.5
+#: Chunks of a split group for each shard that it would fill.
+CHUNKS = 32
 DIMENSIONS = ("size", "tokens", "rows")
 
 
@@ -43,13 +45,13 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     """A row for each document: doc_id, size, tokens, text_crc32, shard, slot (0, 1, ... within the shard).
 
     size is the text's UTF-8 bytes (null: none) plus 8, tokens its words. Equal texts share a shard, but for groups of
-    over HOT of a shard, which are split by the hash of doc_id (without one, by the written row). Repeated rows and null doc_ids get slots
-    of their own; texts are measured whole, however long; an empty table gives no rows. To the driver come the sums of
+    over HOT of a shard, which are split by the hash of doc_id and the written row, so that repeats of one row part as well. Repeated
+    rows and null doc_ids get slots of their own; texts are measured whole, however long; an empty table gives no rows. To the driver come the sums of
     bundles and of groups over 1 / PARCELS of the whole, some 5 * PARCELS rows at most.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), count_words(F.col("text")).alias("tokens"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.when(docs["doc_id"].isNull(), F.monotonically_increasing_id()).alias("spread")), "shard-rows")
+    rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), count_words(F.col("text")).alias("tokens"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("group"), F.monotonically_increasing_id().alias("spread")), "shard-rows")
     sums = [F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*sums).first()
     small = [max(total[d], 1) / PARCELS for d in DIMENSIONS]
@@ -57,7 +59,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     at, own = PARCELS, []
     for g in sorted(large.collect(), key=lambda g: g["group"]):
         shards_of = max(g[d] * shards / max(total[d], 1) for d in DIMENSIONS)
-        chunks = math.ceil(2 * shards_of / HOT) if shards_of > HOT else 1
+        chunks = math.ceil(CHUNKS * shards_of) if shards_of > HOT else 1
         parts = math.ceil(g["rows"] / chunks / max(small[-1], 1))  # in which a chunk's rows are numbered
         own.append((g["group"], at, chunks, parts))
         at += chunks

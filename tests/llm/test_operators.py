@@ -438,6 +438,44 @@ def test_sharding(spark, awkward, nothing):
     assert sharding.shard(nothing, 4).count() == 0
 
 
+def test_repeats_of_one_row_are_spread(spark):
+    """500 rows equal in doc_id and text too, a fifth of all bytes or more, leave the shards even."""
+    docs = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    hot = spark.createDataFrame([(7, "the same row " * 120)] * 500, "doc_id long, text string")
+    found = sharding.shard(docs.unionByName(hot), 24).collect()
+    assert len(found) == docs.count() + 500
+    sums = Counter()
+    for r in found:
+        sums[r.shard] += r.size
+    mean = sum(sums.values()) / 24
+    print("shards", min(sums.values()) / mean, max(sums.values()) / mean)
+    assert 0.98 < min(sums.values()) / mean and max(sums.values()) / mean < 1.02
+    for s in range(24):
+        assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
+
+
+def brute_pack(vectors, shards):
+    """Largest share first, to the shard with the greatest dot product of residual capacity among those with room."""
+    total = [sum(v[k] for v in vectors) or 1 for k in range(3)]
+    unit = [[v[k] * shards / total[k] for k in range(3)] for v in vectors]
+    left, out = [[1.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(unit)), key=lambda i: (-max(unit[i]), i)):
+        room = [s for s in range(shards) if all(left[s][k] >= unit[i][k] - 1e-12 for k in range(3))]
+        if room:
+            best = max(room, key=lambda s: (round(sum(left[s][k] * unit[i][k] for k in range(3)), 12), -s))
+        else:
+            best = max(range(shards), key=lambda s: (round(min(left[s][k] - unit[i][k] for k in range(3)), 12), -s))
+        out[i] = best
+        left[best] = [left[best][k] - unit[i][k] for k in range(3)]
+    return [out[i] for i in range(len(vectors))]
+
+
+def test_packing_by_dot_product():
+    rng = random.Random(11)
+    vectors = [[rng.randint(1, 900), rng.randint(1, 90), rng.randint(1, 9)] for _ in range(300)]
+    assert sharding.pack(np.array(vectors, float), 7).tolist() == brute_pack(vectors, 7)
+
+
 def test_shards_are_even_and_split_only_hot_groups(spark):
     rng = random.Random(2)
     rows = [(i, "copy " * 20 if i % 3 == 0 else f"text {i // 2} " * rng.randint(1, 60)) for i in range(6000)]
