@@ -6,24 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm import bpe, mixing, quality_rules, secrets, simhash
-from matchloom.llm.common import documents, materialize
-
-
-#: Documents that Spark hands to a Python worker at once, at most: they are whole texts.
-AT_ONCE = 1_000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """From now on, in this session, Python workers get AT_ONCE rows at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= AT_ONCE:
-        spark.conf.set(name, str(AT_ONCE))
+from matchloom.llm.common import documents, materialize, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, null and empty texts with them (they have no words). Repeated rows are
     judged alike; an empty table stays empty."""
-    _small_batches(spark)
+    small_batches(spark)
     return quality_rules.drop_rejected(docs)
 
 
@@ -47,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document of the mix, and digests of them and of the decoded bytes; null texts have none."""
-    _small_batches(spark)
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs, path, public_tokenizers.PATTERN, keep=False)
 
