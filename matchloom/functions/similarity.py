@@ -111,3 +111,31 @@ def sigmoid(z: Column) -> Column:
 def evidence_adjusted(p: Column, evidence: Column, coefficient: float) -> Column:
     """1 / (1 + exp(logit(1 - p) + evidence * coefficient))."""
     return 1 / (1 + F.exp(logit(1 - p) + evidence * coefficient))
+
+
+#: What each sign of a conflict between two cards adds to the log odds of "no match".
+EVIDENCE = (
+    ("numeric_token_conflict", 0.2140903622),
+    ("model_code_token_conflict", -0.3722740710),
+    ("conflicting_common_attribute_values", -0.1632695198),
+    ("name_char_trigrams_jaccard", -0.1526790708),
+    ("name_words_containment", -0.7561550736),
+    ("article_tokens_containment", -0.1195358336),
+)
+
+
+def card_evidence() -> list[Column]:
+    """The signs, 0 to 1, from the columns of pair_features(): conflicts as they are, conflicting values as a share of five,
+    words and trigrams by what they lack, articles by having none in common."""
+    whole = lambda name: F.col(name).cast("double")
+    of = {"conflicting_common_attribute_values": lambda n: F.least(whole(n), F.lit(5.0)) / 5, "name_char_trigrams_jaccard": lambda n: 1 - whole(n), "name_words_containment": lambda n: 1 - whole(n), "article_tokens_containment": lambda n: (whole(n) == 0).cast("double")}
+    return [of.get(name, whole)(name) for name, _ in EVIDENCE]
+
+
+def adjusted_by_cards(p: Column) -> Column:
+    """A probability with the evidence of the cards' conflicts added: p and the log odds are kept off their ends."""
+    no = F.least(F.greatest(1 - p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    score = logit(no)
+    for sign, (_, weight) in zip(card_evidence(), EVIDENCE):
+        score = score + sign * weight
+    return 1 / (1 + F.exp(F.least(F.greatest(score, F.lit(-30.0)), F.lit(30.0))))

@@ -33,6 +33,24 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else t)
 
 
+#: Text that lower() and the compatibility form leave as casefold() would: ASCII and Russian letters.
+PLAIN = r"^[\x00-\x7Fа-яёА-ЯЁ]*$"
+
+
+@F.pandas_udf(ATTRIBUTES)
+def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    fold = lambda t: t if t is None else unicodedata.normalize("NFKC", t).casefold()
+    for s in batches:
+        yield s.map(lambda own: None if own is None else [{"k": fold(a["k"]), "v": fold(a["v"])} for a in own])
+
+
+def folded_attributes(attrs: Column) -> Column:
+    """Attributes in Unicode's compatibility form with case folded (ﬁ as fi, ß as ss), of which Spark has neither. Those of
+    PLAIN text alone, which lower() serves as well, aren't handed to Python."""
+    odd = F.exists(attrs, lambda a: ~F.coalesce(a["k"], F.lit("")).rlike(PLAIN) | ~F.coalesce(a["v"], F.lit("")).rlike(PLAIN))
+    return F.coalesce(_folded(F.when(odd, attrs)), attrs)
+
+
 def normalize_text(c: Column) -> Column:
     """Lower case, ё as е, white space collapsed; null as empty."""
     return squash(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, Window
@@ -53,19 +55,29 @@ def merge_annotations(existing: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_seq", "_rank")
 
 
-def label_rounds(rows: DataFrame, label: Callable[[DataFrame, int], DataFrame], rounds: int = 3, concurrency: int = 64, least: int = 32, name: str = "labels") -> tuple[DataFrame, list[Row]]:
+def content_fingerprint(rows: DataFrame, *settings: str) -> str:
+    """32 hex digits that stand for the rows, in any order, and settings: one aggregation over a hash of each row."""
+    columns = sorted(rows.columns)
+    line = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    h = [F.xxhash64(F.lit(k), line).cast("decimal(20,0)") for k in (0, 1)]
+    found = rows.agg(F.count("*").alias("n"), *[F.sum(x).cast("string").alias(f"s{k}") for k, x in enumerate(h)]).first()
+    return hashlib.sha256(json.dumps([columns, found["n"], found["s0"], found["s1"], *settings]).encode()).hexdigest()[:32]
+
+
+def label_rounds(rows: DataFrame, label: Callable[[DataFrame, int], DataFrame], name: str, settings: tuple[str, ...] = (), rounds: int = 3, concurrency: int = 64, least: int = 32) -> tuple[DataFrame, list[Row]]:
     """Labels rows (with row_id) by ``label(rows, concurrency)``, which gives row_id, answer (null: failed); only failed
     rows go to the next round, with half the concurrency down to ``least``. Each round is written to the shared folder
-    under ``name``, which stands for these rows and this labeller (put a fingerprint of its settings there): a restart
-    with that name reads the rounds that are whole and labels only what they lack. row_id must be unique, and each
+    under ``name`` and a fingerprint of the rows and of the labeller's ``settings``: a restart with the same reads the rounds
+    that are whole and labels only what they lack, other rows or settings start anew. row_id must be unique, and each
     answer's row_id one of the round's, once. Returns the answers and a counter row a round."""
     if not rows.groupBy("row_id").count().filter("count > 1 or row_id is null").isEmpty():
         raise ValueError("row_id is null or comes twice")
     spark = rows.sparkSession
     done, todo, told = None, rows, []
+    mark = content_fingerprint(rows, *settings)
     for k in range(rounds):
         width = max(least, concurrency >> k)
-        path = f"{shared_folder(spark)}/{name}-{k}"
+        path = f"{shared_folder(spark)}/{name}-{mark}-{k}"
         if not exists(spark, f"{path}/_SUCCESS"):  # the mark of a whole table
             label(todo, width).write.mode("overwrite").parquet(path)
         answered = spark.read.parquet(path)

@@ -101,17 +101,20 @@ def benchmark_aggregates(runs: DataFrame, reference: str) -> DataFrame:
     return paired.groupBy("test").agg(F.count("*").alias("runs"), F.avg("metric").alias("mean"), F.stddev_pop("metric").alias("std"), F.count_if(F.col("metric") > F.col("reference_metric")).alias("wins"))
 
 
-def pair_set_hash(matches: DataFrame, buckets: int = 256) -> DataFrame:
-    """One row: sha256 over the set of pairs, whatever their order and sides.
+def pair_set_hash(matches: DataFrame, digits: int = 4) -> DataFrame:
+    """One row: sha256 over the set of pairs, whatever their order and sides. Ids compare as text.
 
-    Ids compare as text. Lines are gathered by the first byte of their md5 and hashed there; the digests of the buckets
-    are hashed in order, so no task holds all pairs.
+    A tree of hashes: the leaves are the pairs whose md5 starts with the same ``digits`` hex digits, sorted; above them
+    digests are hashed two digits at a time. With 4 digits a leaf is a 65,536th of the pairs, more of them need more
+    digits, and with other digits a set has another hash.
     """
     a, b = F.col("id1").cast("string"), F.col("id2").cast("string")
-    lines = matches.select(F.concat_ws(",", F.least(a, b), F.greatest(a, b)).alias("line"))
-    digit = F.pmod(F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    parts = lines.groupBy(digit.alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("digest"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("pair_set_hash"))
+    lines = matches.select(F.concat_ws(",", F.least(a, b), F.greatest(a, b)).alias("line")).withColumn("at", F.substring(F.md5("line"), 1, digits))
+    hashed = lambda c: F.sha2(F.array_join(c, "\n"), 256)
+    level = lines.groupBy("at").agg(hashed(F.sort_array(F.collect_list("line"))).alias("digest"))
+    for n in [*range(digits - 2, 0, -2), 0]:
+        level = level.groupBy(F.substring("at", 1, n).alias("at")).agg(hashed(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])).alias("digest"))
+    return level.select(F.col("digest").alias("pair_set_hash"))
 
 
 def source_summary(rows: DataFrame) -> DataFrame:

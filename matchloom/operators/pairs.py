@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.identity import require_columns, seeded_key
-from ..functions.text import ATTRIBUTES, alnum_grams, group_attributes, squash
+from ..functions.text import ATTRIBUTES, alnum_grams, folded_attributes, group_attributes, squash
 from .numbering import with_row_number
 
 #: What attribute names tell of their type, by substring, in this order of precedence.
@@ -39,17 +39,18 @@ def referenced(items: DataFrame, matches: DataFrame) -> DataFrame:
     return items.join(ids, "id", "left_semi")
 
 
-def assemble(items: DataFrame, matches: DataFrame, columns: tuple[str, ...] = ("name", "category", "attributes")) -> DataFrame:
-    """matches with <column>_1 and <column>_2 of both items; rows and repeats stay; an unknown item leaves nulls."""
+def assemble(items: DataFrame, matches: DataFrame, columns: tuple[str, ...] = ("name", "category", "attributes"), known: bool = False) -> DataFrame:
+    """matches with <column>_1 and <column>_2 of both items; rows and repeats stay; an unknown item leaves nulls. With
+    ``known`` it is an error, found as the rows are read."""
     require_columns(items, "id", *columns)
     cards = referenced(items, matches).select("id", *columns)
     side = lambda k: cards.select(F.col("id").alias(f"id{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
-    return matches.join(side(1), "id1", "left").join(side(2), "id2", "left")
-
-
-def missing_cards(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """The ids that matches refer to and items lacks."""
-    return matches.select(F.explode(F.array("id1", "id2")).alias("id")).distinct().join(items.select("id"), "id", "left_anti")
+    if not known:
+        return matches.join(side(1), "id1", "left").join(side(2), "id2", "left")
+    there = lambda k: side(k).withColumn(f"_known{k}", F.lit(True))
+    joined = matches.join(there(1), "id1", "left").join(there(2), "id2", "left")
+    sound = lambda k: F.when(F.col(f"_known{k}"), F.col(f"id{k}")).otherwise(F.raise_error(F.concat(F.lit("unknown item: "), F.coalesce(F.col(f"id{k}").cast("string"), F.lit("null")))))
+    return joined.withColumns({"id1": sound(1), "id2": sound(2)}).drop("_known1", "_known2")
 
 
 def shuffle_attributes(pairs: DataFrame, copies: int, seed: int) -> DataFrame:
@@ -106,7 +107,7 @@ def compare_attributes(pairs: DataFrame, key: str = "pair_row") -> DataFrame:
     """A row for each attribute name on either side of a pair (attributes_1 and _2, arrays of (k, v)): key, type,
     both_present, one_missing, exact, similarity, conflict, group. Symmetric in the sides but for the code similarity,
     whose sides are ordered before it is computed."""
-    side = lambda k: pairs.select(key, F.explode(group_attributes(F.col(f"attributes_{k}"))).alias("a")).select(key, F.col("a.k").alias("name"), F.col("a.v").alias(f"v{k}"))
+    side = lambda k: pairs.select(key, F.explode(group_attributes(folded_attributes(F.col(f"attributes_{k}")))).alias("a")).select(key, F.col("a.k").alias("name"), F.col("a.v").alias(f"v{k}"))
     both = side(1).join(side(2), [key, "name"], "full")
     present = F.col("v1").isNotNull() & F.col("v2").isNotNull()
     a, b = F.least("v1", "v2"), F.greatest("v1", "v2")

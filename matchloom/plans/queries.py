@@ -287,7 +287,7 @@ def a16_benchmark_aggregates(s, d):
 
 
 @query(
-    "SELECT sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS pair_set_hash FROM (SELECT bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT line, CAST(('0x' || substr(md5(line), 1, 8)) AS BIGINT) % 256 AS bucket FROM (SELECT least(CAST(u AS VARCHAR), CAST(v AS VARCHAR)) || ',' || greatest(CAST(u AS VARCHAR), CAST(v AS VARCHAR)) AS line FROM scores_v)) GROUP BY 1)"
+    "SELECT sha256(string_agg(digest, chr(10) ORDER BY two)) AS pair_set_hash FROM (SELECT left(four, 2) AS two, sha256(string_agg(digest, chr(10) ORDER BY four)) AS digest FROM (SELECT four, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT line, left(md5(line), 4) AS four FROM (SELECT least(CAST(u AS VARCHAR), CAST(v AS VARCHAR)) || ',' || greatest(CAST(u AS VARCHAR), CAST(v AS VARCHAR)) AS line FROM scores_v)) GROUP BY 1) GROUP BY 1)"
 )
 def a17_pair_set_hash(s, d):
     return metrics.pair_set_hash(fx.scores(s, d).select(F.col("v").alias("id1"), F.col("u").alias("id2")))
@@ -457,7 +457,14 @@ def g6_candidate_splits(s, d):
     return found.select("seed", "missing", r6("distribution_error").alias("distribution_error"), r6("size_error").alias("size_error"))
 
 
-@query()
+@query(
+    "SELECT id1, id2, target, CASE WHEN " + KEY48.format("seed || '|' || grp") + " + 1 <= 0.2e0 * 281474976710656e0 THEN 'validation' ELSE 'train' END AS side FROM grouped, chosen",
+    "grouped AS (SELECT id1, id2, target, least(id1, id2) || '|' || greatest(id1, id2) AS grp, category FROM human_v JOIN items_v ON id = id1)",
+    "counted AS (SELECT grp, category, target, count(*) AS n FROM grouped GROUP BY ALL)",
+    "tried AS (SELECT *, (" + KEY48.format("seed || '|' || grp") + " + 1) / 281474976710656e0 <= 0.2e0 AS held FROM counted, range(42, 58) r(seed))",
+    "strata AS (SELECT seed, category, target, sum(n) AS n, coalesce(sum(n) FILTER (held), 0) AS v, count(*) >= 2 AS eligible FROM tried GROUP BY ALL)",
+    "chosen AS (SELECT seed FROM strata GROUP BY seed ORDER BY count(*) FILTER (eligible AND (v = 0 OR v = n)), round(sum(abs(v - n * 0.2e0)) / sum(n), 12), round(abs(sum(v) / sum(n) - 0.2e0), 12), seed LIMIT 1)",
+)
 def g6_search_split(s, d):
     best = split.search_split(fx.items(s, d).select("id", "category"), fx.human(s, d), candidates=16)
     split.check_leakage(best.train, best.validation, "pair")
@@ -898,3 +905,28 @@ def n11_synonyms(s, d):
     two = names.filter(F.length(F.concat(x, y)) % 2 == 0).select(F.concat_ws(" ", x, y).alias("phrase"), F.concat(F.upper(F.left(x, F.lit(3))), F.left(y, F.lit(3))).alias("replacement"))
     one = names.select(F.explode(w).alias("phrase")).filter(F.length("phrase") % 2 == 1).select("phrase", F.concat(F.lit("any "), F.left("phrase", F.lit(2))).alias("replacement"))
     return synonyms.normalize_names(names, two.union(one).distinct())
+
+
+@query(
+    "SELECT u, v, round(1 / (1 + exp(greatest(-30, least(30, ln(q / (1 - q)) + 0.2140903622e0 * numeric_token_conflict - 0.3722740710e0 * model_code_token_conflict - 0.1632695198e0 * least(conflicting_common_attribute_values, 5) / 5 - 0.1526790708e0 * (1 - name_char_trigrams_jaccard) - 0.7561550736e0 * (1 - name_words_containment) - 0.1195358336e0 * (article_tokens_containment = 0)::INT)))), 6) AS adjusted FROM (SELECT *, least(greatest(1 - predict, 1e-7), 1 - 1e-7) AS q FROM featured)",
+    CARD_SQL, f"featured AS (SELECT u, v, predict, {FEATURES_SQL} FROM scores_v JOIN card_v x ON x.id = u JOIN card_v y ON y.id = v)",
+)
+def c18_adjusted_by_cards(s, d):
+    i = fx.items(s, d).withColumn("attributes", tx.attributes(F.col("attributes")))
+    m = fx.scores(s, d).select("u", "v", "predict", F.col("u").alias("id1"), F.col("v").alias("id2"))
+    return pairs.pair_features(m, pairs.card_features(i)).select("u", "v", r6(sim.adjusted_by_cards(F.col("predict"))).alias("adjusted"))
+
+
+@query("SELECT u, v, x.name_chars - y.name_chars AS name_chars_difference_1_2, x.card_words - y.card_words AS card_words_difference_1_2, x.digits - y.digits AS digits_difference_1_2 FROM scores_v JOIN card_v x ON x.id = u JOIN card_v y ON y.id = v", CARD_SQL)
+def c17_signed_differences(s, d):
+    i = fx.items(s, d).withColumn("attributes", tx.attributes(F.col("attributes")))
+    m = fx.scores(s, d).select("u", "v", F.col("u").alias("id1"), F.col("v").alias("id2"))
+    found = pairs.signed_differences(m, pairs.card_features(i), ("name_chars", "card_words", "digits"))
+    return found.select("u", "v", *[F.col(c).cast("long").alias(c) for c in found.columns if c.endswith("_1_2")])
+
+
+@query("SELECT 'source' || u % 3 AS data_source, count(*) AS rows, round(avg(predict), 6) AS mean_weight, round(avg(m), 6) AS mean_multiplier, round(min(m), 6) AS min_multiplier, round(avg((m < 1)::INT), 6) AS downweighted_fraction, round(avg((v % 4 > 2)::INT), 6) AS violating_fraction, count(*) FILTER (target = 1) AS positives FROM (SELECT *, CASE WHEN v % 4 > 2 THEN 0.5e0 + predict / 4 ELSE 1e0 END AS m FROM scores_v) GROUP BY 1")
+def a5_source_summary(s, d):
+    rows = fx.scores(s, d).withColumns({"data_source": F.concat(F.lit("source"), F.col("u") % 3), "sample_weight": F.col("predict"), "transitivity_violations": F.greatest(F.col("v") % 4 - 2, F.lit(0)), "weight_multiplier": F.when(F.col("v") % 4 > 2, 0.5 + F.col("predict") / 4).otherwise(1.0)})
+    found = metrics.source_summary(rows)
+    return found.select("data_source", "rows", *[r6(c).alias(c) for c in ("mean_weight", "mean_multiplier", "min_multiplier", "downweighted_fraction", "violating_fraction")], "positives")

@@ -123,8 +123,22 @@ def base_splits(items: DataFrame, matches: DataFrame, validation_fraction: float
     return BaseSplits(train, first.validation.withColumn("sample_weight", F.lit(1.0)), stacking, quality)
 
 
+def predefined_splits(items: DataFrame, train: DataFrame, validation: DataFrame, fraction: float | None = None, scope: str = "pair") -> BaseSplits:
+    """A split that is given: both parts checked, no leakage in the scope, validation rows with weight 1, and how well the
+    strata are spread over the parts (against ``fraction`` or, without it, validation's own share)."""
+    parts = [labels.with_defaults(split.validate(items, labels.hard_labels(p))) for p in (train, validation)]
+    split.check_leakage(*parts, scope)
+    n, v = (p.count() for p in parts)
+    share = v / (n + v) if fraction is None else fraction
+    both = parts[0].withColumn("_held", F.lit(False)).unionByName(parts[1].withColumn("_held", F.lit(True)), allowMissingColumns=True)
+    rows = split.with_category(items, split.groups(both, "pair" if scope == "none" else scope))
+    told = split.split_quality(rows, F.col("_held"), share)
+    quality = told.select(F.lit("validation").alias("part"), F.lit(None).cast("long").alias("seed"), F.lit(float(share)).alias("fraction"), F.col("missing_strata").cast("long").alias("missing_strata"), F.col("max_deviation").alias("distribution_error"), F.lit(abs(v / (n + v) - share)).alias("size_error"))
+    return BaseSplits(parts[0], parts[1].withColumn("sample_weight", F.lit(1.0)), None, quality)
+
+
 #: Recipes by name: what makes the training set of that kind.
-RECIPES = {"base": base_splits, "mixed": training_set}
+RECIPES = {"base": base_splits, "mixed": training_set, "predefined": predefined_splits}
 
 
 def recipe(name: str):

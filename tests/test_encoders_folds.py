@@ -116,5 +116,36 @@ def test_three_parts(spark, scope):
     assert two.stacking is None and two.train.count() + two.validation.count() == matches.count()
     with pytest.raises(ValueError, match="leave rows"):
         recipes.base_splits(items, matches, 0.5, 0.5)
-    with pytest.raises(ValueError, match="base, mixed"):
+    with pytest.raises(ValueError, match="base, mixed, predefined"):
         recipes.recipe("other")
+
+
+def test_predefined_split(spark):
+    items = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(12)], "id int, category string")
+    train = spark.createDataFrame([(0, 1, 1), (2, 3, 0), (4, 5, 1), (1, 3, 0)], "id1 int, id2 int, target int")
+    validation = spark.createDataFrame([(6, 7, 1), (8, 9, 0)], "id1 int, id2 int, target int")
+    parts = recipes.recipe("predefined")(items, train, validation)
+    q = parts.quality.first()
+    assert (q.fraction, q.missing_strata, q.size_error) == (pytest.approx(1 / 3), 0, 0.0) and parts.validation.first().sample_weight == 1.0
+    with pytest.raises(ValueError, match="pair leakage"):
+        recipes.predefined_splits(items, train, validation.union(train.limit(1).select("id2", "id1", "target")))
+
+
+def test_unknown_items_raise(spark):
+    from matchloom.operators import pairs
+
+    items = spark.createDataFrame([(1, "a"), (2, None)], "id int, name string")
+    good, bad = (spark.createDataFrame(rows, "id1 int, id2 int") for rows in ([(1, 2), (2, 1)], [(1, 2), (1, 9)]))
+    assert {(r.name_1, r.name_2) for r in pairs.assemble(items, good, ("name",), known=True).collect()} == {("a", None), (None, "a")}
+    assert pairs.assemble(items, bad, ("name",)).filter("id2 = 9").first().name_2 is None
+    with pytest.raises(Exception, match="unknown item: 9"):
+        pairs.assemble(items, bad, ("name",), known=True).collect()
+
+
+def test_comparisons_fold_ligatures_and_sharp_s(spark):
+    from matchloom.operators import pairs
+
+    kind = "pair_row int, attributes_1 array<struct<k:string,v:string>>, attributes_2 array<struct<k:string,v:string>>"
+    rows = [(1, [("Straße", "ﬁne № ①")], [("STRASSE", "Fine no 1")]), (2, [("Цвет", "ЁЛКА")], [("цвет", "елка")]), (3, [("a", "x")], [("a", "y")]), (4, None, [("ﬀ", "1")])]
+    found = {r.pair_row: (r.name, r.both_present, r.exact) for r in pairs.compare_attributes(spark.createDataFrame(rows, kind)).collect()}
+    assert found[1] == ("strasse", True, 1.0) and found[2] == ("цвет", True, 1.0) and found[3] == ("a", True, 0.0) and found[4] == ("ff", False, 0.0)

@@ -179,6 +179,12 @@ def test_label_rounds(spark):
     assert widths == [64, 32, 32] and done.count() == 3 and [t.labelled for t in told] == [1, 1, 1]
     again, told = labeling.label_rounds(spark.createDataFrame([(1,), (2,), (3,)], "row_id long"), label, name=name)
     assert len(widths) == 3 and again.count() == 3 and [t.labelled for t in told] == [1, 1, 1]  # nothing is labelled anew
+    # other rows with the same ids, or other settings, don't get those answers
+    for n, (rows, more) in enumerate([([(1, "x"), (2, "y"), (3, "z")], ()), ([(1, "x"), (2, "y"), (3, "w")], ()), ([(1, "x"), (2, "y"), (3, "w")], ("prompt 2",))], 1):
+        labeling.label_rounds(spark.createDataFrame(rows, "row_id long, text string"), lambda r, w: label(r, w).withColumn("answer", F.lit("yes")), name, more)
+        assert len(widths) == 3 + n
+    a = spark.createDataFrame([(1, None), (2, "b")], "row_id long, text string")
+    assert labeling.content_fingerprint(a) == labeling.content_fingerprint(a.repartition(3).select("text", "row_id")) != labeling.content_fingerprint(a.fillna(""))
     with pytest.raises(ValueError):
         labeling.label_rounds(spark.createDataFrame([(1,), (1,)], "row_id long"), label, name=uuid.uuid4().hex)
     twice = lambda rows, width: rows.select("row_id", F.lit("yes").alias("answer")).unionByName(rows.select("row_id", F.lit("no").alias("answer")))
