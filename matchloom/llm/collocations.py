@@ -12,6 +12,7 @@ taken in rounds of ROUND slots. What a task holds therefore doesn't grow with th
 from __future__ import annotations
 
 import io
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,9 @@ ROUND, BRANCHES = 1 << 23, 16
 #: Words and phrases that a task holds before it passes them on; documents tokenised at once; word slots in a row.
 HELD, AT_ONCE, ROW = 1 << 18, 256, 2_048
 #: Keys of phrases that a task adds up before it passes them on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
+#: Rows of a batch that a task passes on.
+PASSED = 1 << 16
 #: Word slots that a task looks up at once (a longer text's are one piece).
 CHUNK = 1 << 18
 
@@ -198,9 +201,11 @@ def count_words(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for lang, own in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
-            held.clear()
+            while held:
+                lang, own = held.popitem()
+                pairs = iter(own.items())
+                while some := list(itertools.islice(pairs, PASSED)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], ["lang", "word", "n"])
 
         for lang, raws in _documents(batches):
             own = held.setdefault(lang, Counter())
@@ -280,7 +285,10 @@ def candidates(rows: DataFrame, tables: list[Table]) -> DataFrame:
     enough and whose two parts of one word less are both frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lambda keys, n: pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+        def made(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), PASSED):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + PASSED]), pa.array(n[at : at + PASSED])], ["key", "n"])
+
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for slots in _arrays(batches):
             keys = _longer(reduce(_longer, tables, slots), None)
@@ -288,9 +296,9 @@ def candidates(rows: DataFrame, tables: list[Table]) -> DataFrame:
             if sum(len(k) for k, _ in held) > HELD_KEYS:
                 held = [_summed(held)]
                 if len(held[0][0]) > HELD_KEYS / 2:
-                    yield made(*held.pop())
+                    yield from made(*held.pop())
         if held:
-            yield made(*_summed(held))
+            yield from made(*_summed(held))
 
     # dealt by key at once: the tasks have added up what they could, and Spark needn't hold it a second time
     dealt = rows.mapInArrow(run, "key long, n long").repartition(partitions(rows.sparkSession), "key")
