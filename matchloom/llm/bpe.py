@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 #: Words that are new or used again until a worker forgets those not used since it last forgot; pre-tokens a recursive
 #: query takes at once; ids a decoding query takes at once.
 REMEMBER, WORDS, IDS = 300_000, 32_000, 250_000
-#: Characters of the texts that are encoded at once.
-TEXT = 1_500_000
+#: Characters of the texts that are encoded at once: by a codec that is kept, and by one that is to take little memory.
+TEXT, LITTLE = 6_000_000, 500_000
 #: Characters of a word that is remembered, at most.
 REMEMBER_LENGTH = 64
 #: A recursive query keeps a row for each id and step, so quadratic in a word. Pre-tokens over LONG bytes go to a query
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = True, keep: boo
         c = codec(path, pattern) if keep else Codec(path, pattern, WORDS // 2)
         for batch in batches:
             batch["text"] = batch["text"].where(batch["text"].notna(), "")
-            for pdf in _some(batch, TEXT if keep else TEXT // 3):
+            for pdf in _some(batch, TEXT if keep else LITTLE):
                 flat, ends = c.encode(pdf["text"].tolist())
                 encoded = np.split(flat, ends[:-1])
                 out = {
