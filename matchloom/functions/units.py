@@ -49,6 +49,70 @@ ALIASES: dict[str, tuple[str, ...]] = {
 }
 #: Names that hold codes, whose values are never measures.
 SKIP = ("артикул", "oem", "оем", "sku", "part number", "partnumber", "партномер", "номер детали", "номер запчасти", "код товара", "код детали", "код производителя", "каталожный номер")
+#: Units that are told apart from a value and named, but not converted, by the word in the attribute's name.
+NAMED = {
+    "высота": "u",
+    "длина": "пог. м",
+    "угол": "° | град | рад",
+    "площадь": "кв. м | км² | кв. см | кв. мм | га | дм²",
+    "вес": "карат",
+    "нагрузка": "г | lb | кг | н | т | кгс | кн",
+    "грузоподъемность": "lb | кг | т",
+    "грузоподъёмность": "lb | кг | т",
+    "сила": "мн | кгс | н | кн",
+    "усилие": "мн | кгс | н | кн",
+    "крутящий момент": "нм | кгс·м | lb-ft | н·м",
+    "объем": "гб | кб | куб. м | куб. мм | куб. см | мб | мм³ | тб",
+    "объём": "гб | кб | куб. м | куб. мм | куб. см | мб | мм³ | тб",
+    "вместимость": "м³ | см³ | мл | комплектов | бутылок | л | шт | чел | листов | дм³",
+    "емкость": "ач | вт·ч | гб | дм³ | квт·ч | л | м³ | мач | мб | мкл | мкф | мл | нф | пф | см³ | тб | ф | шт",
+    "ёмкость": "ач | вт·ч | гб | дм³ | квт·ч | л | м³ | мач | мб | мкл | мкф | мл | нф | пф | см³ | тб | ф | шт",
+    "время": "мкс | дни | месяцы",
+    "продолжительность": "месяцы",
+    "скорость": "iops | ips | гб/с | гбит/с | кадр/с | кб/с | кбит/с | км/ч | м/мин | м/с | мб/с | мбит/с | мм/с | об/мин | см/с | стежки/мин | стр/мин",
+    "скорость вращения": "об/с | об/мин | rpm",
+    "обороты": "об/с | об/мин | rpm",
+    "число оборотов": "об/с | об/мин | rpm",
+    "скорость передачи": "бит/с | байт/с",
+    "пропускная способность": "байт/с | бит/с | гб/с | гбит/с | кб/с | кбит/с | мб/с | мбит/с",
+    "битрейт": "гбит/с | мбит/с | кбит/с | бит/с",
+    "расход": "г/мин | г/ч | кг/м² | кг/мин | кг/сут | кг/ч | л/кг | л/м² | л/мин | л/сут | л/ч | м³/мин | м³/сут | м³/ч | мл/мин | мл/ч",
+    "производительность": "г/мин | г/ч | кг/мин | кг/сут | кг/ч | л/мин | л/ч | м³/мин | м³/сут | м³/ч | мл/мин | шт/мин | шт/ч",
+    "расход воздуха": "л/с | cfm",
+    "расход топлива": "л/100км",
+    "воздушный поток": "м³/мин | л/с | м³/ч | cfm | л/мин",
+    "мощность": "л.с. | ква | btu/h | ва",
+    "ток": "ка | мка",
+    "сила тока": "ка | мка",
+    "заряд": "мккл | кл | мач | мкл | ач",
+    "электрическая емкость": "мкф | нф | пф | мф | ф",
+    "электрическая ёмкость": "мкф | нф | пф | мф | ф",
+    "энергия": "мдж | ккал | кал",
+    "энергопотребление": "вт·ч | квт·ч | квт·ч/год",
+    "частота вращения": "об/с | об/мин",
+    "частота кадров": "кадр/с | fps",
+    "давление": "мбар | кгс/см² | мм рт. ст.",
+    "память": "тб | гб | байт | мб | бит | кб",
+    "накопитель": "тб | гб | мб",
+    "разрядность": "бит",
+    "битность": "бит",
+    "световой поток": "лм",
+    "освещенность": "лк",
+    "освещённость": "лк",
+    "яркость": "нит | кд/м²",
+    "плотность": "г/мл | мг/мл | кг/л | г/см³ | г/л | кг/м³",
+    "вязкость": "сст | па·с | cst | мпа·с",
+    "твердость": "shore d | shore a | hv | hb | hrc",
+    "твёрдость": "shore d | shore a | hv | hb | hrc",
+    "процент": "%",
+    "доля": "%",
+    "концентрация": "мг/мл | моль/л | мг/л | г/л | %",
+    "влажность": "%",
+    "уровень шума": "дб | дба",
+    "шум": "дб | дба",
+}
+#: Units that count at the end of a name, after a comma or in brackets, whatever it says.
+EXPLICIT = ("мм", "см", "м", "дюйм", "мл", "л", "г", "кг", "гб", "мб", "%")
 DIMENSIONS = ("размер", "размеры", "габариты")
 NUMBER = r"\d+(?:[.,]\d+)?"
 _B, _E = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -115,12 +179,47 @@ def _parsed(value: Column) -> Column:
     return F.when(value.rlike(rf"^[-+]?{NUMBER}$"), F.replace(value, F.lit(","), F.lit(".")).try_cast("double"))
 
 
+def _named(k: Column, v: Column, same: Column) -> Column:
+    """The attribute with its unit in the name, as "name, unit", by the first word of NAMED in the name one of whose units is
+    in the value or else in the name; else by an EXPLICIT unit in the name; else as it is."""
+    key, value = F.trim(k), F.trim(v)
+    around = lambda units: f"(?isu)^(.*?){_B}({units}){_E}(.*)$"
+    part = lambda text, pattern, i: F.call_function("regexp_extract", text, pattern, F.lit(i))  # noqa: E731  (the pattern is a column)
+    rest = lambda text, pattern: F.concat(part(text, pattern, 1), part(text, pattern, 3))
+    every = {s: u for units in (*NAMED.values(), " | ".join(EXPLICIT)) for u in units.split(" | ") for s in (u, *ALIASES.get(u, ()))}
+    unit = lambda spelling: F.element_at(F.create_map(*[F.lit(x) for kv in every.items() for x in kv]), F.lower(spelling))
+    words = []
+    for word, units in NAMED.items():
+        spelled = _any([s for u in units.split(" | ") for s in (u, *ALIASES.get(u, ()))])
+        words.append(F.struct(F.lit(f"(?iu){_B}{_quote(word)}{_E}").alias("word"), F.lit(around(spelled)).alias("unit"), F.lit(rf"(?iu)\(\s*(?:{spelled})\s*\)").alias("bracketed")))
+    fits = lambda m: F.regexp_like(key, m["word"]) & (F.regexp_like(value, m["unit"]) | F.regexp_like(key, m["unit"]))
+
+    def by_word(m: Column) -> Column:
+        there = F.regexp_like(value, m["unit"])
+        bare = F.regexp_replace(key, m["bracketed"], F.lit(""))
+        bare = F.btrim(squash(F.when(F.regexp_like(bare, m["unit"]), rest(bare, m["unit"])).otherwise(bare)), F.lit(" ,()"))
+        found = unit(part(F.when(there, value).otherwise(key), m["unit"], 2))
+        return F.when(m.isNotNull(), F.struct(F.concat(bare, F.lit(", "), found).alias("k"), F.when(there, F.trim(rest(value, m["unit"]))).otherwise(value).alias("v")))
+
+    at_end = rf"(?isu)^(.*?)(?:,\s*({_any(s for u in EXPLICIT for s in (u, *ALIASES.get(u, ())))})(?=$|\s)|\(\s*({_any(s for u in EXPLICIT for s in (u, *ALIASES.get(u, ())))})\s*\)).*$"
+
+    def by_end(alias: Column) -> Column:
+        mark = F.concat(F.lit(f"(?isu)^(.*?){_B}(\\Q"), alias, F.lit(f"\\E){_E}(.*)$"))
+        without = F.when(F.regexp_like(value, mark), F.trim(rest(value, mark))).otherwise(value)
+        return F.struct(F.concat(F.trim(F.regexp_extract(key, at_end, 1)), F.lit(", "), unit(alias)).alias("k"), without.alias("v"))
+
+    named = let(F.get(F.filter(F.array(*words), fits), F.lit(0)), by_word)
+    ended = F.when(key.rlike(at_end), let(F.concat(F.regexp_extract(key, at_end, 2), F.regexp_extract(key, at_end, 3)), by_end))
+    return F.coalesce(F.when(_one_of(key, NAMED), named), ended, same)
+
+
 def normalize_measure(k: Column, v: Column) -> Column:
     """An attribute as struct (k, v): name and unit as "name, target unit" and the value in that unit, if the name tells
-    a quantity and its unit is in the value or the name; else as it is. Names of codes are left alone."""
+    a quantity and its unit is in the value or the name; a unit that isn't converted is told apart and put in the name
+    (see _named()); else as it is. Names of codes are left alone."""
     key, value = F.lower(F.trim(k)), F.trim(v)
     same = F.struct(F.trim(k).alias("k"), value.alias("v"))
-    out = same
+    out = _named(k, v, same)
 
     def measured(quantity: str):
         target, name = QUANTITIES[quantity][0], without_unit(key, quantity)

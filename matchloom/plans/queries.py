@@ -930,3 +930,17 @@ def a5_source_summary(s, d):
     rows = fx.scores(s, d).withColumns({"data_source": F.concat(F.lit("source"), F.col("u") % 3), "sample_weight": F.col("predict"), "transitivity_violations": F.greatest(F.col("v") % 4 - 2, F.lit(0)), "weight_multiplier": F.when(F.col("v") % 4 > 2, 0.5 + F.col("predict") / 4).otherwise(1.0)})
     found = metrics.source_summary(rows)
     return found.select("data_source", "rows", *[r6(c).alias(c) for c in ("mean_weight", "mean_multiplier", "min_multiplier", "downweighted_fraction", "violating_fraction")], "positives")
+
+
+_MEASURES = (("скорость", "км/ч"), ("угол обзора", "°"), ("нагрузка", "кгс"), ("усилие", "кн"), ("крутящий момент", "н·м"), ("емкость", "мач"), ("память", "гб"), ("расход", "л/мин"), ("плотность", "г/см³"), ("яркость", "кд/м²"), ("битрейт", "мбит/с"), ("шум", "дб"))
+
+
+@query("SELECT id, [" + ", ".join(f"'{k}'" for k, _ in _MEASURES) + "][id % 12 + 1] || ', ' || [" + ", ".join(f"'{u}'" for _, u in _MEASURES) + "][id % 12 + 1] AS name, CAST(size AS VARCHAR) AS value FROM items_v")
+def n7_named_units(s, d):
+    """Values with a unit under names of twelve quantities."""
+    from ..functions import units
+
+    at = (F.col("id") % 12).cast("int")
+    of = lambda k: F.get(F.array(*[F.lit(m[k]) for m in _MEASURES]), at)
+    rows = fx.items(s, d).select("id", units.normalize_measure(of(0), F.concat_ws(" ", F.col("size").cast("string"), of(1))).alias("a"))
+    return rows.select("id", F.col("a.k").alias("name"), F.col("a.v").alias("value"))

@@ -33,6 +33,20 @@ def test_units(spark):
         assert bad in attrs(spark, f'{{"Ширина, см":"{bad}"}}', units.normalize_attributes).values()
 
 
+def test_units_that_are_named(spark):
+    """Speed, angle, load, force, torque, capacity, data and flow: named, not converted."""
+    cases = {
+        "Скорость": ("120 км/ч", "Скорость, км/ч", "120"), "Скорость вращения": ("3000 об/мин", "Скорость вращения, об/мин", "3000"), "Угол обзора": ("178 °", "Угол обзора, °", "178"),
+        "Нагрузка": ("15 кгс", "Нагрузка, кгс", "15"), "Усилие (н)": ("40", "Усилие, н", "40"), "Крутящий момент": ("5,5 Н·м", "Крутящий момент, н·м", "5,5"), "Емкость": ("4000 мАч (тип.)", "Емкость, мач", "4000  (тип.)"),
+        "Память": ("256 ГБ", "Память, гб", "256"), "Расход, л/мин": ("7", "Расход, л/мин", "7"), "Плотность": ("1.2 г/см³", "Плотность, г/см³", "1.2"), "Твердость": ("60 hrc", "Твердость, hrc", "60"), "Давление": ("10 мм рт. ст.", "Давление, мм рт. ст.", "10"),
+        "Партия, кг": ("5 кг", "Партия, кг", "5"), "Фасовка (мл)": ("20", "Фасовка, мл", "20"), "Скорости": ("5 км/ч", "Скорости", "5 км/ч"), "Артикул, кг": ("5 кг", "Артикул, кг", "5 кг"), "Память ": ("много", "Память", "много"),
+    }
+    rows = spark.createDataFrame([(k, v, name, value) for k, (v, name, value) in cases.items()], "k string, v string, name string, value string")
+    for r in rows.select("*", units.normalize_measure(F.col("k"), F.col("v")).alias("found")).collect():
+        assert (r.found.k, r.found.v) == (r.name, r.value), r.k
+
+
+
 def test_measures_in_names(spark):
     found = {a.k: a.v for a in one(spark, units.measures_in_name(F.col("c0")), "ящик под рассаду 4×3×2.5 м, серый")}
     assert found == {"длина, мм": "4000", "ширина, мм": "3000", "высота, мм": "2500"}
