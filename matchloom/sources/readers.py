@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -104,20 +106,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(current_version(spark, path) or path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """df in the place of the table at path, which df may read. A table is a folder of versions and a file that names the
-    current one. That file is replaced by one rename, so readers see the old rows or the new, and a failure before it
-    leaves the old. The version before the last stays for jobs that read it; older ones go."""
-    spark = df.sparkSession
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What ``write`` puts in a folder of its own becomes the current version at path. The file that names it is replaced by
+    one rename, so readers see all of the old version or all of the new, and a failure before it leaves the old. The
+    version before the last stays for jobs that read it; older ones go."""
     last = current_version(spark, path)
     new = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{new}")
+    write(f"{path}/{new}")
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     files, named = hadoop(spark, f"{path}/{CURRENT}")
     _, part = hadoop(spark, f"{path}/{CURRENT}.{new}")
-    out = files.create(part, True)
-    out.write(bytearray(new.encode()))
-    out.close()
+    _put(files, part, new)
     over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
     over[0] = fs.Options.Rename.OVERWRITE
     fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(part), files.makeQualified(named), over)
@@ -127,6 +126,39 @@ def replace_table(df: DataFrame, path: str) -> None:
             discard(spark, f"{path}/{name}")
 
 
+def _put(files, at, text: str) -> None:
+    out = files.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df in the place of the table at path, which df may read. A table is a folder of versions and a file that names the
+    current one (see publish())."""
+    publish(df.sparkSession, path, lambda folder: df.write.parquet(folder))
+
+
+def write_report(results: DataFrame, aggregates: DataFrame, report: dict, path: str) -> None:
+    """The rows of a run, their aggregates and what is said about them (report.json), published together or not at all."""
+    spark = results.sparkSession
+
+    def write(folder: str) -> None:
+        results.write.parquet(f"{folder}/results.parquet")
+        aggregates.write.parquet(f"{folder}/aggregates.parquet")
+        _put(*hadoop(spark, f"{folder}/report.json"), json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True))
+
+    publish(spark, path, write)
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Results, aggregates and report of one and the same run; an error if there is none."""
+    at = current_version(spark, path)
+    if at is None:
+        raise ValueError(f"no report at {path}")
+    said = json.loads(spark.read.text(f"{at}/report.json", wholetext=True).first()[0])
+    return spark.read.parquet(f"{at}/results.parquet"), spark.read.parquet(f"{at}/aggregates.parquet"), said
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records (a JSON object a file) sorted by (created_at, name); a missing field or repeated name is an error."""
     rows = spark.read.schema(RUN).option("multiLine", True).json(path)

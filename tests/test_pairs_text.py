@@ -235,6 +235,21 @@ def test_boosting_learns(spark):
     assert found.filter((F.col("predict") > 0.5) != (F.col("target") == 1)).count() <= 4
 
 
+def test_reports_are_published_whole(spark, tmp_path):
+    """A failure between the files of a report leaves the old one."""
+    at = str(tmp_path / "report")
+    with pytest.raises(ValueError, match="no report"):
+        readers.read_report(spark, at)
+    readers.write_report(spark.range(3), spark.range(1), {"name": "первый", "rows": 3}, at)
+    for results, aggregates, said in ((spark.range(9), spark.range(1).selectExpr("raise_error('no') AS id"), {}), (spark.range(9), spark.range(2), {"rows": object()})):
+        with pytest.raises(Exception):
+            readers.write_report(results, aggregates, said, at)
+        rows, sums, report = readers.read_report(spark, at)
+        assert (rows.count(), sums.count(), report) == (3, 1, {"name": "первый", "rows": 3})
+    readers.write_report(rows.filter("id > 0"), sums, {"rows": 2}, at)  # what is replaced may be read
+    assert [readers.read_report(spark, at)[0].count(), readers.read_report(spark, at)[2]["rows"]] == [2, 2]
+
+
 def test_tables_are_replaced_by_versions(spark, tmp_path):
     at = str(tmp_path / "t")
     readers.replace_table(spark.range(3), at)
