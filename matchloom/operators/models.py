@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import require_columns, seeded_key
 from ..functions.similarity import logit, sigmoid
+from ..sources.shared import write_shared
 
 #: A scorer adds a finite predict in [0, 1] to each row.
 PairScorer = Callable[[DataFrame], DataFrame]
@@ -84,6 +88,37 @@ def stacked_margins(rows: DataFrame, fit: Callable[[DataFrame], PairScorer], gro
     return stacking_features(rows, out_of_fold(rows, fit, group, folds, seed), key)
 
 
+def sample_space(space: dict[str, tuple], n: int, seed: int = 42) -> list[dict]:
+    """n settings of a space, drawn by seed. An entry is ("choice", value, ...), ("uniform", low, high), ("log", low, high) or
+    ("int", low, high), both ends included. The same space and seed give the same settings, in any order of entries."""
+    rng, out = random.Random(seed), []
+    draw = {
+        "choice": lambda *values: rng.choice(values), "uniform": rng.uniform, "int": rng.randint,
+        "log": lambda low, high: math.exp(rng.uniform(math.log(low), math.log(high))),
+    }
+    if unknown := sorted({kind for kind, *_ in space.values()} - draw.keys()):
+        raise ValueError(f"unknown kinds of entries: {', '.join(unknown)}")
+    for _ in range(n):
+        out.append({name: draw[space[name][0]](*space[name][1:]) for name in sorted(space)})
+    return out
+
+
+def search_parameters(train: DataFrame, validation: DataFrame, fit: Callable[..., PairScorer], space: dict[str, tuple], loss: Callable[[DataFrame], Column], n: int = 20, seed: int = 42, at_once: int = 4) -> list[tuple[float, dict]]:
+    """(loss, setting) of n sampled settings, the least loss first, ties as drawn. Both parts are written once, ``at_once``
+    fits run side by side, each over the same written rows; ``loss`` is an aggregate over rows with predict."""
+    train, validation = write_shared(train), write_shared(validation)
+    settings = sample_space(space, n, seed)
+
+    def tried(setting: dict) -> float:
+        found = fit(train, **setting)(validation).agg(loss(F.col("predict")).alias("loss")).first()["loss"]
+        return math.inf if found is None or found != found else float(found)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        losses = list(pool.map(tried, settings))
+    order = sorted(range(len(settings)), key=lambda i: (losses[i], i))
+    return [(losses[i], settings[i]) for i in order]
+
+
 def _assembled(numeric: list[str], category: str | None) -> list:
     stages = [StringIndexer(inputCol=category, outputCol="_category", handleInvalid="keep")] if category else []
     return [*stages, VectorAssembler(inputCols=[*numeric, *(["_category"] if category else [])], outputCol="features")]

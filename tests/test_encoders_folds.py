@@ -149,3 +149,22 @@ def test_comparisons_fold_ligatures_and_sharp_s(spark):
     rows = [(1, [("Straße", "ﬁne № ①")], [("STRASSE", "Fine no 1")]), (2, [("Цвет", "ЁЛКА")], [("цвет", "елка")]), (3, [("a", "x")], [("a", "y")]), (4, None, [("ﬀ", "1")])]
     found = {r.pair_row: (r.name, r.both_present, r.exact) for r in pairs.compare_attributes(spark.createDataFrame(rows, kind)).collect()}
     assert found[1] == ("strasse", True, 1.0) and found[2] == ("цвет", True, 1.0) and found[3] == ("a", True, 0.0) and found[4] == ("ff", False, 0.0)
+
+
+def test_search_gives_the_same_best_setting(spark):
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, rng.choice("abcdefgh"), int(rng.random() < 0.3)) for i in range(400)], "i int, kind string, target int")
+    train, validation = rows.filter("i % 4 > 0"), rows.filter("i % 4 = 0")
+    space = {"prior": ("log", 0.01, 1000.0), "by": ("choice", "kind", "i")}
+    fit = lambda part, by, prior: models.rate_scorer(part, by, prior)
+    loss = lambda p: F.avg(F.pow(p - F.col("target"), F.lit(2)))
+    found = models.search_parameters(train, validation, fit, space, loss, 6, 3)
+    again = models.search_parameters(train.repartition(3), validation, fit, dict(reversed(space.items())), loss, 6, 3, at_once=2)
+    assert [s for _, s in found] == [s for _, s in again] and [v for v, _ in found] == sorted(v for v, _ in found) and len(found) == 6
+    best = found[0][1]
+    want = models.rate_scorer(train, **best)(validation).select(F.avg(F.pow(F.col("predict") - F.col("target"), F.lit(2)))).first()[0]
+    assert found[0][0] == pytest.approx(want)
+    drawn = models.sample_space({"n": ("int", 1, 3), "x": ("uniform", 0.5, 0.6)}, 50, 1)
+    assert {d["n"] for d in drawn} == {1, 2, 3} and all(0.5 <= d["x"] <= 0.6 for d in drawn) and drawn == models.sample_space({"x": ("uniform", 0.5, 0.6), "n": ("int", 1, 3)}, 50, 1)
+    with pytest.raises(ValueError, match="unknown kinds"):
+        models.sample_space({"n": ("normal", 0, 1)}, 1)
