@@ -35,19 +35,21 @@ LONG, ROWS = 200, 2_000_000
 MEMORY, MEMORY_A_BYTE = 300, 400
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
+#: ``least`` packs the rank of the contraction that is due in a word, the position of its first id and how far its second id,
+#: which goes, is from there (less than LONG, so 8 bits).
 CONTRACT = """
 WITH RECURSIVE step(word, pos, id, done) AS (
     SELECT word, pos, id, false FROM bytes
     UNION ALL
-    SELECT word, pos, CASE WHEN pos = least & 4294967295 THEN (least >> 32)::INTEGER ELSE id END, least IS NULL
-    FROM (SELECT word, pos, id, lag(pos) OVER (ORDER BY pos) AS last_pos FROM step WHERE NOT done)
+    SELECT word, pos, CASE WHEN pos = (least >> 8) & 4294967295 THEN (least >> 40)::INTEGER ELSE id END, least IS NULL
+    FROM (SELECT word, pos, id FROM step WHERE NOT done)
     LEFT JOIN (
-        SELECT word, min((m.id::BIGINT << 32) + pos) AS least
-        FROM (SELECT word, pos, id, lead(id) OVER w AS next_id, lead(word) OVER w AS next_word FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)) s
+        SELECT word, min((m.id::BIGINT << 40) + (pos << 8) + next_pos - pos) AS least
+        FROM (SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, lead(word) OVER w AS next_word FROM step WHERE NOT done WINDOW w AS (ORDER BY pos)) s
         JOIN merges m ON m.first = s.id AND m.second = s.next_id
         WHERE next_word = word GROUP BY word
     ) USING (word)
-    WHERE least IS NULL OR last_pos IS DISTINCT FROM (least & 4294967295)
+    WHERE least IS NULL OR pos <> ((least >> 8) & 4294967295) + (least & 255)
 )
 SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY word ORDER BY word
 """
@@ -158,11 +160,21 @@ class Codec:
         """Ids of distinct words, each with its space: contracted once and remembered while they are used."""
         get, old = self.words.get, self.older.get
         found = [get(w) for w in words]
-        lacking = [w for w, i in zip(words, found) if i is None]
-        # " word," is " word" and ",", and is not remembered
-        parts = {w: [w[:-1], w[-1]] if self.spaced and w[-1:] in (".", ",") and w[0] == " " and w[1:-1].isalpha() else self.pretokens(w) for w in lacking}
-        new = {w: i for p in parts.values() for w in p if (i := get(w) or old(w)) is not None}
-        new |= self.contract(list(dict.fromkeys(w for p in parts.values() for w in p if w not in new)))
+        whole, parts = [], {}
+        for w, i in zip(words, found):
+            if i is not None:
+                continue
+            spaced = self.spaced and w[:1] == " "
+            if spaced and w[1:].isalpha():
+                whole.append(w)
+            elif spaced and w[-1] in ".," and w[1:-1].isalpha():  # " word," is " word" and ",", and is not remembered
+                parts[w] = w[:-1], w[-1]
+            else:
+                parts[w] = self.pretokens(w)
+        need = dict.fromkeys(whole)
+        need.update((x, None) for p in parts.values() for x in p)
+        new = {w: i for w in need if (i := get(w) or old(w)) is not None}
+        new |= self.contract([w for w in need if w not in new])
         for w, p in parts.items():
             if len(p) != 1:
                 new[w] = b"".join([new[x] for x in p])
