@@ -127,25 +127,54 @@ def hash_order_sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFram
     return rows.withColumn("sample_key", seeded_key(seed, *key)).orderBy("sample_key", *key).limit(n)
 
 
+#: Steps of the quantiles that cut strata, and the accuracy they are asked for: a cut lets through a share of 1 / STEPS +
+#: 2 / ACCURACY of a stratum more than its quota.
+STEPS, ACCURACY = 1_000, 10_000
+
+
+def _cut(rows: DataFrame, quotas: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """groups and cut: a value that at least quota rows of the group don't exceed, null where the quota takes all."""
+    found = rows.groupBy(*groups).agg(F.percentile_approx(value, [i / STEPS for i in range(1, STEPS + 1)], ACCURACY).alias("cuts"), F.count(value).alias("n"))
+    place = F.ceil((F.col("quota") / F.col("n") + 2 / ACCURACY) * STEPS).cast("int")
+    return found.join(quotas.select(*groups, "quota"), groups).select(*groups, F.get("cuts", place - 1).alias("cut"))
+
+
+def first_by_quota(rows: DataFrame, quotas: DataFrame, groups: list[str], score: str, hashed: str, key: list[str]) -> DataFrame:
+    """The first quota rows of each group by score, hashed (a long that spreads the keys), key, then the row itself.
+
+    Quantiles of partial aggregates cut each group first, by score and, among rows at the score's cut, by hash: a window then
+    orders the rows that are left, about quota of them, so no task orders a whole group. The result is that of the order
+    alone: each cut lets through all rows before it. ``rows`` are read once for each cut and again for the sample, so write them
+    first if they are dear. Null scores come first, as in the order. Groups with a null go, as do
+    those without a quota."""
+    quotas = quotas.select(*groups, "quota")
+    cut = rows.join(_cut(rows, quotas, groups, score).withColumnRenamed("cut", "_cut"), groups)
+    below, tied = F.col("_cut").isNull() | F.col(score).isNull() | (F.col(score) < F.col("_cut")), F.col(score) == F.col("_cut")
+    ties = cut.groupBy(*groups).agg(F.count_if(below).alias("_below")).join(quotas, groups)
+    ties = ties.select(*groups, F.greatest(F.col("quota") - F.col("_below"), F.lit(0)).alias("quota"))
+    last = _cut(cut.filter(tied), ties, groups, hashed).withColumnRenamed("cut", "_last")
+    left = cut.join(last, groups, "left").filter(below | (tied & (F.col("_last").isNull() | (F.col(hashed) <= F.col("_last"))))).drop("_cut", "_last")
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(score, hashed, *key, "_row"))
+    ranked = left.withColumn("_row", F.to_json(F.struct("*"))).withColumn("_rank", rank).join(quotas, groups)
+    return ranked.filter(F.col("_rank") <= F.col("quota")).drop("_row", "_rank", "quota")
+
+
 def stratified_sample(rows: DataFrame, groups: list[str], key: list[str], max_rows: int, seed: int, strategy: str = "balanced", power: float = 2.0) -> DataFrame:
     """max_rows rows with proportional quotas for the groups.
 
     Within a group the order is by seeded hash ("balanced"), by -ln(U) / confidence ** power, a weighted draw without
     replacement ("confidence_weighted", confidence 0 last), or by confidence ("confidence_priority"); ties by hash, then
-    key. Rows equal in the key are told apart by their number among equals.
+    key, then the row's other columns.
     """
-    twin = F.row_number().over(Window.partitionBy(*groups, *key).orderBy(F.lit(1)))
     h = F.col("sample_hash")
     score = {
         "balanced": h.cast("double"),
         "confidence_weighted": F.when(F.col("confidence") == 0, float("inf")).otherwise(-F.ln(uniform(h)) / F.pow("confidence", F.lit(power))),
         "confidence_priority": -F.col("confidence"),
     }[strategy]
-    hashed = rows.withColumn("twin", twin).withColumn("sample_hash", seeded_key(seed, *key)).withColumn("sample_score", score)
+    hashed = rows.withColumn("sample_hash", seeded_key(seed, *key)).withColumn("sample_score", score)
     quotas = proportional_quotas(group_counts(rows, *groups), groups, max_rows)
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("sample_score", "sample_hash", *key, "twin"))
-    ranked = hashed.withColumn("sample_rank", rank).join(F.broadcast(quotas.drop("n")), groups)
-    return ranked.filter(F.col("sample_rank") <= F.col("quota")).drop("twin", "sample_hash", "sample_score", "sample_rank", "quota")
+    return first_by_quota(hashed, quotas, groups, "sample_score", "sample_hash", key).select(*rows.columns)
 
 
 def head_per_group(rows: DataFrame, groups: list[str], n: int, seed: int, *key: str) -> DataFrame:
@@ -165,9 +194,10 @@ def class_quota_sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFra
     q0 = min(round(n * totals["c0"] / total), totals["c0"]) if total else 0
     q1 = min(n - q0, totals["c1"])
     q0 = n - q1
-    rank = F.row_number().over(Window.partitionBy("target").orderBy("sample_key", *key))
-    ranked = rows.withColumn("sample_key", seeded_key(seed, *key)).withColumn("r", rank)
-    return ranked.filter(F.col("r") <= F.when(F.col("target") == 0, q0).otherwise(q1)).drop("r")
+    quotas = rows.sparkSession.createDataFrame([(0, q0), (1, q1)], "target int, quota long")
+    quotas = quotas.withColumn("target", F.col("target").cast(rows.schema["target"].dataType))
+    keyed = rows.withColumn("sample_key", seeded_key(seed, *key))
+    return first_by_quota(keyed, quotas, ["target"], "sample_key", "sample_key", list(key)).select(*rows.columns, "sample_key")
 
 
 def spread_sample(rows: DataFrame, k: int, *order: str) -> DataFrame:

@@ -10,12 +10,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import require_columns, seeded_key
 from ..functions.similarity import logit, sigmoid
+from ..functions.vectors import max_products, min_max_pool
 from ..sources.shared import write_shared
 
 #: A scorer adds a finite predict in [0, 1] to each row.
@@ -144,7 +146,55 @@ def predict(rows: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(rows).withColumn("predict", F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, "predict")
 
 
-def train_token_vectors(tokens: DataFrame, dimensions: int = 16, seed: int = 42) -> DataFrame:
-    """word, vector of Word2Vec over a column of token arrays. No subwords: tokens it hasn't seen count as zeros."""
-    model = Word2Vec(inputCol="tokens", outputCol="v", vectorSize=dimensions, minCount=2, seed=seed, numPartitions=1).fit(tokens)
+def train_token_vectors(tokens: DataFrame, dimensions: int = 16, seed: int = 42, partitions: int = 4, passes: int = 4, least: int = 2) -> DataFrame:
+    """word, vector of Word2Vec over a column of token arrays, trained in ``partitions`` parts whose vectors are averaged after
+    each pass; words seen under ``least`` times have none. Words without a vector get one by token_vectors()."""
+    model = Word2Vec(inputCol="tokens", outputCol="v", vectorSize=dimensions, minCount=least, seed=seed, numPartitions=partitions, maxIter=passes).fit(tokens)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+#: Lengths of the character n-grams of a word between < and >, and how many buckets they are hashed to.
+GRAMS, BUCKETS = (2, 3, 4, 5), 1 << 20
+
+
+def _buckets(word: Column) -> Column:
+    """The distinct buckets of a word's n-grams."""
+    marked = F.concat(F.lit("<"), word, F.lit(">"))
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marked) - n + 1, F.lit(1))), lambda i: marked.substr(i, F.lit(n)))
+    return F.array_distinct(F.transform(F.concat(*[of(n) for n in GRAMS]), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS))))
+
+
+def gram_vectors(words: DataFrame) -> DataFrame:
+    """bucket, vector, words: the mean vector of the words that have an n-gram of the bucket, and their number. At most BUCKETS
+    rows, summed in part before the shuffle."""
+    parts = words.select(F.explode(_buckets(F.col("word"))).alias("bucket"), array_to_vector("vector").alias("v"))
+    found = parts.groupBy("bucket").agg(Summarizer.mean(F.col("v")).alias("v"), F.count("*").alias("words"))
+    return found.select("bucket", vector_to_array("v").alias("vector"), "words")
+
+
+def token_vectors(asked: DataFrame, words: DataFrame, grams: DataFrame, dimensions: int = 16) -> DataFrame:
+    """word, vector for each distinct word of ``asked``: its own or, if it has none, the mean of its n-grams' weighted by one
+    over their words, so that those that few words share count most; zeros without a known n-gram. A null word goes."""
+    asked = asked.select("word").filter(F.col("word").isNotNull()).distinct()
+    unseen = asked.join(words, "word", "left_anti")
+    known = unseen.select("word", F.explode(_buckets(F.col("word"))).alias("bucket")).join(grams, "bucket")
+    made = known.groupBy("word").agg(Summarizer.mean(array_to_vector("vector"), 1.0 / F.col("words")).alias("v")).select("word", vector_to_array("v").alias("vector"))
+    zeros = F.array_repeat(F.lit(0.0), dimensions)
+    new = unseen.join(made, "word", "left").select("word", F.coalesce("vector", zeros).alias("vector"))
+    return asked.join(words, "word").select("word", "vector").unionByName(new)
+
+
+def max_pool_features(pairs: DataFrame, cards: DataFrame, vectors: DataFrame, dimensions: int = 16, key: str = "item_id") -> DataFrame:
+    """pairs (id1, id2) with p0, p1, ...: by dimension the greatest product of a value between the least and the greatest of one
+    card's token vectors and one of the other's. ``cards`` has tokens by key; a card without tokens, or unknown, counts as
+    zeros. Pooled by dimension with partial aggregation, so a long card isn't gathered as rows of vectors."""
+    words = cards.select(key, F.explode("tokens").alias("word")).distinct().join(vectors, "word")
+    pooled = min_max_pool(words, key, "vector")
+    zeros = F.array_repeat(F.lit(0.0), dimensions)
+    out = pairs
+    for side in ("1", "2"):
+        one = pooled.select(F.col(key).alias(f"id{side}"), F.col("low").alias(f"_low{side}"), F.col("high").alias(f"_high{side}"))
+        out = out.join(one, f"id{side}", "left")
+    best = max_products(*[F.coalesce(c, zeros) for c in ("_low1", "_high1", "_low2", "_high2")])
+    out = out.withColumn("_best", best)
+    return out.select(*pairs.columns, *[F.get("_best", F.lit(i)).alias(f"p{i}") for i in range(dimensions)])
