@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical
+from ..sources.shared import size_shuffles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,15 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size"), cents.alias("price_cents"), text.alias("attributes"))
 
 
+def dealt_items(spark: SparkSession, d: str) -> DataFrame:
+    """items dealt by id, for dear work on each: their files are so small that few tasks would do it all."""
+    size_shuffles(spark, f"{d}/lineitem.parquet")
+    return items(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """id1, id2, okey: the parts of two lines of an order."""
+    size_shuffles(spark, f"{d}/lineitem.parquet")
     l = table(spark, d, "lineitem")  # noqa: E741
     a = l.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("n1"), F.col("l_partkey").alias("id1"))
     b = l.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("n2"), F.col("l_partkey").alias("id2"))
@@ -44,11 +52,12 @@ def reviewed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct pairs with target, predict and the category of the smaller id."""
-    rows = canonical(human(spark, d)).select("u", "v", "target").distinct()
+    """Distinct pairs with target, predict and the category of the smaller id. They are dealt by u, which does for the
+    repeats, for the category and for whatever else is joined by u."""
+    rows = canonical(human(spark, d)).select("u", "v", "target").repartition("u").distinct()
     predict = (53 * F.col("u") + 91 * F.col("v")) % 997 / F.lit(997.0)
     own = items(spark, d).select(F.col("id").alias("u"), "category")
-    return rows.join(own, "u").select("u", "v", "target", "category", predict.alias("predict"))
+    return rows.join(own.hint("shuffle_hash"), "u").select("u", "v", "target", "category", predict.alias("predict"))
 
 
 def document_pairs(spark: SparkSession, d: str) -> DataFrame:

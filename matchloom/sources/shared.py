@@ -43,3 +43,17 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing reads any more."""
     files, at = hadoop(spark, path)
     files.delete(at, True)
+
+
+#: Bytes of a table's files for each shuffle partition of the work on them.
+FILE_BYTES = 8 << 20
+
+
+def size_shuffles(spark: SparkSession, path: str, each: int = FILE_BYTES) -> None:
+    """From now on, in this session, shuffles have a partition for each ``each`` bytes of the files under ``path``, and never
+    fewer than before: what a task holds doesn't grow with the table, and small shuffles are put together by Spark."""
+    files, at = hadoop(spark, path)
+    name = "spark.sql.shuffle.partitions"
+    wanted = -(-files.getContentSummary(at).getLength() // each)
+    if wanted > int(spark.conf.get(name)):
+        spark.conf.set(name, str(wanted))
