@@ -127,35 +127,47 @@ def hash_order_sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFram
     return rows.withColumn("sample_key", seeded_key(seed, *key)).orderBy("sample_key", *key).limit(n)
 
 
-#: Steps of the quantiles that cut strata, and the accuracy they are asked for: a cut lets through a share of 1 / STEPS +
-#: 2 / ACCURACY of a stratum more than its quota.
-STEPS, ACCURACY = 1_000, 10_000
+#: Steps of a natural logarithm that scores are counted by: those of one step differ by a share of 1 / STEPS.
+STEPS = 256
 
 
-def _cut(rows: DataFrame, quotas: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """groups and cut: a value that at least quota rows of the group don't exceed, null where the quota takes all."""
-    found = rows.groupBy(*groups).agg(F.percentile_approx(value, [i / STEPS for i in range(1, STEPS + 1)], ACCURACY).alias("cuts"), F.count(value).alias("n"))
-    place = F.ceil((F.col("quota") / F.col("n") + 2 / ACCURACY) * STEPS).cast("int")
-    return found.join(quotas.select(*groups, "quota"), groups).select(*groups, F.get("cuts", place - 1).alias("cut"))
+def _step(value: Column) -> Column:
+    """A long that never falls while value grows, null first and NaN last: the logarithm's step, with value's sign."""
+    v = value.cast("double")
+    size = F.floor(F.least((F.ln(F.abs(v)) + 746) * STEPS, F.lit(1e9))).cast("long")
+    return F.when(v.isNull(), F.lit(-(1 << 62))).when(F.isnan(v), F.lit(1 << 62)).when(v == 0, F.lit(0)).when(v < 0, -size).otherwise(size)
+
+
+def _reached(counts: DataFrame, wanted: DataFrame, groups: list[str], value: str, name: str) -> DataFrame:
+    """groups, name (the value, counted in _n, at which a group's rows reach ``_wanted``), _wanted (how many of that value's rows
+    it takes). Groups with fewer rows have none."""
+    upto = F.sum("_n").over(Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("_upto", upto).join(F.broadcast(wanted), groups).filter((F.col("_upto") >= F.col("_wanted")) & (F.col("_upto") - F.col("_n") < F.col("_wanted")))
+    return found.select(*groups, F.col(value).alias(name), (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_wanted"))
 
 
 def first_by_quota(rows: DataFrame, quotas: DataFrame, groups: list[str], score: str, hashed: str, key: list[str]) -> DataFrame:
     """The first quota rows of each group by score, hashed (a long that spreads the keys), key, then the row itself.
 
-    Quantiles of partial aggregates cut each group first, by score and, among rows at the score's cut, by hash: a window then
-    orders the rows that are left, about quota of them, so no task orders a whole group. The result is that of the order
-    alone: each cut lets through all rows before it. ``rows`` are read once for each cut and again for the sample, so write them
-    first if they are dear. Null scores come first, as in the order. Groups with a null go, as do
-    those without a quota."""
-    quotas = quotas.select(*groups, "quota")
-    cut = rows.join(_cut(rows, quotas, groups, score).withColumnRenamed("cut", "_cut"), groups)
-    below, tied = F.col("_cut").isNull() | F.col(score).isNull() | (F.col(score) < F.col("_cut")), F.col(score) == F.col("_cut")
-    ties = cut.groupBy(*groups).agg(F.count_if(below).alias("_below")).join(quotas, groups)
-    ties = ties.select(*groups, F.greatest(F.col("quota") - F.col("_below"), F.lit(0)).alias("quota"))
-    last = _cut(cut.filter(tied), ties, groups, hashed).withColumnRenamed("cut", "_last")
-    left = cut.join(last, groups, "left").filter(below | (tied & (F.col("_last").isNull() | (F.col(hashed) <= F.col("_last"))))).drop("_cut", "_last")
+    Rows are counted to find where a group reaches its quota: by steps of the score, then by score in that step, then, among
+    rows of that score, by steps of the hash. A window then orders the rows that are left, about quota of them, so no task
+    orders a whole group, and what meets in one are counts. The result is that of the order alone: each cut lets through all
+    rows before it. ``rows`` are read once for each cut and again for the sample, so write them first if they are dear. Null
+    scores come first, as in the order. Groups with a null go, as do those without a quota."""
+    quotas = quotas.select(*groups, "quota").filter("quota > 0")
+    n = F.count("*").alias("_n")
+    counted = rows.groupBy(*groups, _step(F.col(score)).alias("_s")).agg(n)
+    at = _reached(counted, quotas.withColumnRenamed("quota", "_wanted"), groups, "_s", "_at")
+    inside = rows.join(F.broadcast(at), groups).filter(_step(F.col(score)) == F.col("_at"))
+    cut = _reached(inside.groupBy(*groups, score).agg(n), at.select(*groups, "_wanted"), groups, score, "_cut")
+    tied = rows.join(F.broadcast(cut), groups).filter(F.col(score).eqNullSafe(F.col("_cut")))
+    last = _reached(tied.groupBy(*groups, _step(F.col(hashed)).alias("_h")).agg(n), cut.select(*groups, "_wanted"), groups, "_h", "_last")
+    ends = at.drop("_wanted").join(cut.drop("_wanted"), groups).join(last.drop("_wanted"), groups)
+    in_step = (F.col(score) < F.col("_cut")) | F.isnan(F.col("_cut").cast("double")) & ~F.isnan(F.col(score).cast("double")) | (F.col(score).eqNullSafe(F.col("_cut")) & (_step(F.col(hashed)) <= F.col("_last")))
+    before = F.col("_at").isNull() | (_step(F.col(score)) < F.col("_at")) | ((_step(F.col(score)) == F.col("_at")) & in_step)
+    left = rows.join(F.broadcast(quotas), groups).join(F.broadcast(ends), groups, "left").filter(before).drop("_at", "_cut", "_last")
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy(score, hashed, *key, "_row"))
-    ranked = left.withColumn("_row", F.to_json(F.struct("*"))).withColumn("_rank", rank).join(quotas, groups)
+    ranked = left.withColumn("_row", F.to_json(F.struct("*"))).withColumn("_rank", rank)
     return ranked.filter(F.col("_rank") <= F.col("quota")).drop("_row", "_rank", "quota")
 
 
