@@ -39,20 +39,44 @@ def referenced(items: DataFrame, matches: DataFrame) -> DataFrame:
     return items.join(ids, "id", "left_semi")
 
 
-def assemble(items: DataFrame, matches: DataFrame, columns: tuple[str, ...] = ("name", "category", "attributes"), known: bool = False) -> DataFrame:
+def assemble(items: DataFrame, matches: DataFrame, columns: tuple[str, ...] = ("name", "category", "attributes"), known: bool = False, wide: bool = False) -> DataFrame:
     """matches with <column>_1 and <column>_2 of both items; rows and repeats stay; an unknown item leaves nulls. With
-    ``known`` it is an error, found as the rows are read."""
+    ``known`` it is an error, found as the rows are read. ``wide`` columns go by beside()."""
     require_columns(items, "id", *columns)
-    cards = referenced(items, matches).select("id", *columns)
+    cards = items.select("id", *columns) if wide else referenced(items, matches).select("id", *columns)
     side = lambda k: cards.select(F.col("id").alias(f"id{k}"), *[F.col(c).alias(f"{c}_{k}") for c in columns])
+    both = (lambda x, y: beside(matches, x, y, "left")) if wide else (lambda x, y: matches.join(x, "id1", "left").join(y, "id2", "left"))
     if not known:
-        return matches.join(side(1), "id1", "left").join(side(2), "id2", "left")
+        return both(side(1), side(2))
     there = lambda k: side(k).withColumn(f"_known{k}", F.lit(True))
-    joined = matches.join(there(1), "id1", "left").join(there(2), "id2", "left")
+    joined = both(there(1), there(2))
     sound = lambda k: F.when(F.col(f"_known{k}"), F.col(f"id{k}")).otherwise(F.raise_error(F.concat(F.lit("unknown item: "), F.coalesce(F.col(f"id{k}").cast("string"), F.lit("null")))))
     return joined.withColumns({"id1": sound(1), "id2": sound(2)}).drop("_known1", "_known2")
 
 
+#: Parts of the right side's ids that wide cards meet in: a left card goes to each of them that has pairs of it, once.
+PARTS = 16
+
+
+def beside(matches: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """matches with the columns of ``left`` by id1 and of ``right`` by id2, for columns that are too wide to be shuffled with each
+    pair.
+
+    The pairs of an item with a part of the other items travel as one row, so its columns are shuffled PARTS times at most,
+    however many pairs it has, and those of the other side once. Both sides are hashed, which needs no order and spills
+    nothing: a task holds a PARTS-th of ``right``, and its own share of ``left``.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(PARTS)).cast("int").alias("_part")
+    others = [c for c in matches.columns if c != "id1"]
+    grouped = matches.groupBy("id1", part(F.col("id2"))).agg(F.collect_list(F.struct(*others)).alias("_pairs"))
+    one = grouped.join(left.hint("shuffle_hash"), "id1", how).repartitionById(PARTS, "_part").withColumn("_pair", F.explode("_pairs"))
+    own = [c for c in left.columns if c != "id1"]
+    rows = one.select("_part", "id1", *own, *[F.col(f"_pair.{c}").alias(c) for c in others])
+    two = right.withColumn("_part", part(F.col("id2"))).repartitionById(PARTS, "_part")
+    found = rows.join(two.hint("shuffle_hash"), ["_part", "id2"], how)
+    return found.select(*matches.columns, *own, *[c for c in right.columns if c != "id2"])
+
+
 def shuffle_attributes(pairs: DataFrame, copies: int, seed: int) -> DataFrame:
     """Each row ``copies`` times (copy), the attributes of both sides in an order of their own by seeded hash."""
     out = pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
@@ -173,7 +197,7 @@ def card_features(items: DataFrame) -> DataFrame:
 
 def pair_features(matches: DataFrame, cards: DataFrame) -> DataFrame:
     """matches with category and 84 numbers about each pair, equal if its sides change places. cards: card_features()."""
-    rows = matches.join(cards.select(F.col("id").alias("id1"), F.col("f").alias("x")), "id1").join(cards.select(F.col("id").alias("id2"), F.col("f").alias("y")), "id2")
+    rows = beside(matches, cards.select(F.col("id").alias("id1"), F.col("f").alias("x")), cards.select(F.col("id").alias("id2"), F.col("f").alias("y")))
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     out: dict[str, Column] = {"category": F.when(x("category") == y("category"), x("category")).otherwise(F.concat_ws(" <> ", F.least("x.category", "y.category"), F.greatest("x.category", "y.category")))}
 
@@ -215,8 +239,8 @@ def pair_features(matches: DataFrame, cards: DataFrame) -> DataFrame:
 
 def all_features(matches: DataFrame, items: DataFrame) -> DataFrame:
     """pair_features() and typed_features() of matches (with pair_row): 137 columns besides those of matches."""
-    base = pair_features(matches, card_features(referenced(items, matches)))
-    sides = assemble(items, matches.select("pair_row", "id1", "id2"), ("attributes",))
+    base = pair_features(matches, card_features(items))
+    sides = assemble(items, matches.select("pair_row", "id1", "id2"), ("attributes",), wide=True)
     typed = typed_features(compare_attributes(sides))
     names = [c for c in typed.columns if c != "pair_row"]
     return base.join(typed, "pair_row", "left").fillna(0.0, names)
@@ -224,5 +248,6 @@ def all_features(matches: DataFrame, items: DataFrame) -> DataFrame:
 
 def signed_differences(matches: DataFrame, cards: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """matches with, for each number of a card, left minus right (the order of sides counts here)."""
-    rows = matches.join(cards.select(F.col("id").alias("id1"), F.col("f").alias("x")), "id1").join(cards.select(F.col("id").alias("id2"), F.col("f").alias("y")), "id2")
+    side = lambda k, name: cards.select(F.col("id").alias(f"id{k}"), F.struct(*[F.col(f"f.{c}").alias(c) for c in columns]).alias(name)).hint("shuffle_hash")
+    rows = matches.join(side(1, "x"), "id1").join(side(2, "y"), "id2")
     return rows.select(*matches.columns, *[(F.col(f"x.{c}") - F.col(f"y.{c}")).alias(f"{c}_difference_1_2") for c in columns])
