@@ -57,8 +57,8 @@ def when_due(share: Column, drift: Column) -> Column:
     return F.when(a == 0, share).otherwise(root)
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, drifts: tuple = DRIFTS, cap: int = MAX_REPEATS) -> DataFrame:
-    """A row for each document: row (struct of all its columns), size, source_size, target, copies, positions.
+def scheduled(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, drifts: tuple = DRIFTS, cap: int = MAX_REPEATS, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each document: row (struct of its columns, or of those in ``keep``), size, source_size, target, copies, positions.
 
     size is the number of words (null text: 0). A source's order is by md5 of seed and doc_id (ties: size). All its
     documents are taken floor(target / source_size) times, and once more those whose middle word comes before what is
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, drifts: tu
     # rows without a doc_id are told apart by their texts, or all would be one key
     name = F.coalesce(docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit(""))))
     key = F.md5(F.concat_ws(":", F.lit(seed), name)).alias("key")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), count_words(docs["text"]).alias("size"), _source(docs).alias("source_key"), key)
+    rows = docs.select(F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), count_words(docs["text"]).alias("size"), _source(docs).alias("source_key"), key)
     digits = max(1, math.ceil(math.log(max(docs.count(), 1) / ROWS, 16))) if docs.columns else 1
     part = F.substring("key", 1, digits).alias("part")
     parts = materialize(rows.groupBy("source_key", part).agg(F.sum("size").alias("part_size")), "mix-parts")
@@ -90,11 +90,23 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple = WEIGHTS, drifts: tu
     return placed.select("row", "size", "source_size", "target", copies.alias("copies"), F.slice(F.array(*[at(F.lit(k)) for k in range(cap)]), F.lit(1), copies).alias("positions"))
 
 
+def ordered_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of scheduled() with copy (0, 1, ...) and position: one for each copy, sorted by position over all partitions. A
+    document that isn't taken has one with nulls; these come first, by doc_id, so that no range holds them all."""
+    copies = scheduled(docs, **options).select("*", F.posexplode_outer("positions").alias("copy", "position"))
+    n = partitions(docs.sparkSession)
+    return copies.repartitionByRange(n, "position", F.col("row.doc_id")).sortWithinPartitions("position", "row.doc_id")
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """scheduled() in training order: every copy is placed, and a document's row stands where its first copy does."""
+    names = ("seed", "weights", "drifts", "cap")
+    return ordered_copies(docs, **dict(zip(names, args)), **options).filter("copy IS NULL OR copy = 0").drop("copy", "position")
+
+
 def in_training_order(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each copy, sorted by position over all partitions."""
-    copies = mix(docs, **options).select("row", F.explode("positions").alias("position"))
-    n = partitions(docs.sparkSession)
-    return copies.repartitionByRange(n, "position", F.col("row.doc_id")).sortWithinPartitions("position", "row.doc_id").select("row.*")
+    return ordered_copies(docs, **options).filter("copy IS NOT NULL").select("row.*")
 
 
 #: DuckDB SQL for the query op3_mixing.

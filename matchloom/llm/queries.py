@@ -27,8 +27,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, and its first position in training."""
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    """Words that the mix takes of every document, and its first position in training; rows come in that order."""
+    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"), keep=("doc_id",))
     position = F.round(F.get("positions", F.lit(0)), 6).alias("position")
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", position)
 
