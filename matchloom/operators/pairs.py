@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions.identity import require_columns, seeded_key
-from ..functions.text import ATTRIBUTES, alnum_grams, folded_attributes, group_attributes, squash
+from ..functions.text import ATTRIBUTES, alnum_grams, folded_attributes, group_attributes, let, squash
 from .numbering import with_row_number
 
 #: What attribute names tell of their type, by substring, in this order of precedence.
@@ -77,15 +77,27 @@ def beside(matches: DataFrame, left: DataFrame, right: DataFrame, how: str = "in
     return found.select(*matches.columns, *own, *[c for c in right.columns if c != "id2"])
 
 
-def shuffle_attributes(pairs: DataFrame, copies: int, seed: int) -> DataFrame:
-    """Each row ``copies`` times (copy), the attributes of both sides in an order of their own by seeded hash."""
-    out = pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+#: Up to so many attributes are put in order by generated code, which has a term for each place; more by lambdas, which Spark
+#: interprets at about three times the price.
+PLACES = 8
 
-    def shuffled(side: int) -> Column:
-        keyed = F.transform(f"attributes_{side}", lambda a, i: F.struct(seeded_key(seed, "id1", "id2", "copy", F.lit(side), i).alias("h"), i.alias("i"), a.alias("a")))
-        return F.transform(F.array_sort(keyed), lambda x: x["a"])
 
-    return out.withColumns({f"attributes_{side}": shuffled(side) for side in (1, 2)})
+def shuffle_attributes(pairs: DataFrame, copies: int, seed: int) -> DataFrame:
+    """Each row ``copies`` times (copy), the attributes of both sides in an order of their own by seeded hash: by the 12 hex
+    digits of seeded_key(seed, id1, id2, copy, side, place), whose order as text is that of the number, then by place."""
+    out = pairs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    own = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("id1", "id2", "copy")])
+    place = lambda start, i: F.struct(F.substring(F.md5(F.concat(start, i.cast("string"))), 1, 12).alias("h"), i.alias("i"))
+    starts, orders, shuffled = {}, {}, {}
+    for side in (1, 2):
+        attributes, start, order = F.col(f"attributes_{side}"), F.col(f"_start{side}"), F.col(f"_order{side}")
+        n, few = F.size(attributes), F.size(attributes) <= PLACES
+        each = F.array(*[F.when(n > i, place(start, F.lit(i))) for i in range(PLACES)])
+        starts[f"_start{side}"] = F.concat(own, F.lit(f"|{side}|"))
+        orders[f"_order{side}"] = F.sort_array(F.when(few, F.slice(each, F.lit(1), n)).otherwise(let(start, lambda h: F.transform(attributes, lambda _, i: place(h, i)))))
+        taken = F.array(*[F.get(attributes, F.get(order, F.lit(i))["i"]) for i in range(PLACES)])
+        shuffled[f"attributes_{side}"] = F.when(few, F.slice(taken, F.lit(1), n)).otherwise(F.transform(order, lambda o: F.get(attributes, o["i"])))  # noqa: B023
+    return out.withColumns(starts).withColumns(orders).withColumns(shuffled).drop(*starts, *orders)
 
 
 def sort_by_priority(cards: DataFrame, priorities: DataFrame) -> DataFrame:
