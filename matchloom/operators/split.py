@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import canonical, seeded_key, uniform
+from ..functions.identity import TWO_48, canonical
+from ..sources.shared import write_shared
 from .graph import connected_components
 from .labels import check
 
@@ -90,35 +92,42 @@ def candidate_scores(rows: DataFrame, seeds: list[int], fraction: float) -> Data
     counted by group and stratum, so what is multiplied by the seeds are counts.
     """
     counts = rows.groupBy("grp", "category", "target").agg(F.count("*").alias("n"))
-    tried = counts.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    out = uniform(seeded_key_of(F.col("seed"), F.col("grp"))) <= fraction
+    tried = counts.withColumn("seed", F.explode(F.array(*[F.lit(str(s)) for s in seeds])))  # as text, which the hash takes
+    out = held_out(F.col("seed"), F.col("grp"), fraction)
     strata = tried.groupBy("seed", "category", "target").agg(F.sum("n").alias("n"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("v"), (F.count("*") >= 2).alias("eligible"))
     missing = F.count_if(F.col("eligible") & ((F.col("v") == 0) | (F.col("v") == F.col("n"))))
     total = F.sum("n")
-    return strata.groupBy("seed").agg(
+    return strata.groupBy(F.col("seed").cast("int").alias("seed")).agg(
         missing.alias("missing"), (F.sum(F.abs(F.col("v") - F.col("n") * fraction)) / total).alias("distribution_error"), F.abs(F.sum("v") / total - fraction).alias("size_error")
     )
 
 
-def seeded_key_of(seed: Column, key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws("|", seed.cast("string"), key.cast("string"))), 1, 12), 16, 10).cast("long")
+def held_out(seed: Column, key: Column, fraction: float) -> Column:
+    """uniform(seeded_key(seed, key)) <= fraction, by the 12 hex digits of the key, whose order as text is that of the number:
+    a key of 48 bits and its share of 2 ** 48 are exact as doubles, so the greatest key that passes is known."""
+    digits = F.substring(F.md5(F.concat_ws("|", seed.cast("string"), key.cast("string"))), 1, 12)
+    last = math.floor(min(max(fraction, 0.0), 1.0) * TWO_48) - 1
+    return digits <= f"{last:012x}" if last >= 0 else F.lit(False)
 
 
 def search_split(items: DataFrame, matches: DataFrame, fraction: float = 0.2, candidates: int = 128, seed: int = 42, scope: str = "pair") -> Split:
     """The candidate with the fewest eligible strata missing on a side, then the least distribution error, then the
     least size error. Both classes must be on both sides."""
-    rows = with_category(items, groups(matches, scope))
+    rows = write_shared(with_category(items, groups(matches, scope)))  # read for the counts, the classes and each side
     best = candidate_scores(rows, list(range(seed, seed + candidates)), fraction).orderBy("missing", F.round("distribution_error", 12), F.round("size_error", 12), "seed").first()
-    held = uniform(seeded_key(best["seed"], "grp")) <= fraction
+    held = held_out(F.lit(best["seed"]), F.col("grp"), fraction)
+    classes = [r["held"] for r in rows.select(held.alias("held"), "target").distinct().collect()]
+    if min(classes.count(True), classes.count(False)) < 2:
+        raise ValueError("a side of the split lacks a class")
     train, validation = rows.filter(~held).drop("grp", "category"), rows.filter(held).drop("grp", "category")
-    for part in (train, validation):
-        if part.select("target").distinct().count() < 2:
-            raise ValueError("a side of the split lacks a class")
     return Split(train, validation, best["seed"], best["missing"], best["distribution_error"], best["size_error"])
 
 
 def leaking_pairs(train: DataFrame, validation: DataFrame) -> DataFrame:
-    return canonical(train).select("u", "v").intersect(canonical(validation).select("u", "v"))
+    """Pairs, each once, that are on both sides: an aggregate by pair, which sorts neither side."""
+    sided = lambda rows, held: canonical(rows).select("u", "v", F.lit(held).alias("held"))
+    both = sided(train, False).unionByName(sided(validation, True)).groupBy("u", "v").agg(F.min("held").alias("a"), F.max("held").alias("b"))
+    return both.filter("a <> b").select("u", "v")
 
 
 def leaking_items(train: DataFrame, validation: DataFrame) -> DataFrame:

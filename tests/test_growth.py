@@ -6,7 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from matchloom.llm import mixing
-from matchloom.operators import entities, labels, pairs
+from matchloom.functions.identity import seeded_key, uniform
+from matchloom.operators import entities, labels, pairs, split
 from matchloom.plans import fixtures
 from matchloom.sources import shared
 
@@ -109,3 +110,21 @@ def test_attributes_are_shuffled_by_the_seeded_key_without_its_number(spark):
     # a number of each hash, and a hash inside a lambda where a few attributes need none, were most of the query's time
     text = plan(made).split("== Physical Plan ==")[1]
     assert "conv(" not in text and "CASE WHEN" in text
+
+
+def test_a_split_is_searched_over_written_rows(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("grp"))
+    for fraction in (-0.5, 0.0, 1e-15, 0.2, 0.25, 1 / 3, 0.9999, 1.0, 1.5):
+        found = keys.select(split.held_out(F.lit(42), F.col("grp"), fraction).alias("a"), (uniform(seeded_key(42, "grp")) <= fraction).alias("b"))
+        assert found.filter("a <> b or a is null").isEmpty(), fraction
+    digit = lambda k: split.held_out(F.lit(42), F.lit("k1"), (k + 1) / 2.0**48)
+    at = int(hashlib.md5(b"42|k1").hexdigest()[:12], 16)
+    assert spark.range(1).select(digit(at - 1).alias("a"), digit(at).alias("b")).first() == (False, True)
+    assert "conv(" not in plan(keys.select(split.held_out(F.lit(42), F.col("grp"), 0.2)))
+    items = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(300)], "id long, category string")
+    rows = spark.createDataFrame([(i, i + 1, int(i % 4 == 0)) for i in range(0, 298, 2)] * 2, "id1 long, id2 long, target int")
+    best = split.search_split(items, rows, candidates=8)
+    for part in (best.train, best.validation):  # the join and the groups aren't made again for each use
+        assert "FileScan parquet" in plan(part) and "Join" not in plan(part)
+    leaking = split.leaking_pairs(best.train, best.train.limit(10).union(best.validation))
+    assert sorted(leaking.collect()) == sorted(best.train.limit(10).select(F.least("id1", "id2"), F.greatest("id1", "id2")).distinct().collect())
