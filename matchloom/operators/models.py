@@ -61,9 +61,14 @@ def with_fold(rows: DataFrame, group: str, folds: int = 5, seed: int = 42) -> Da
 
 def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], PairScorer], group: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """rows with fold and predict, each scored by a scorer that ``fit`` made of the other folds' rows: none of its group was
-    among them. Each fold is a branch of one plan; ``fit`` is called once a fold and may run jobs of its own; its scorer gives
-    a row for each that it gets."""
-    dealt = with_fold(rows, group, folds, seed)
+    among them. ``fit`` is called once a fold and may run jobs of its own; its scorer gives a row for each that it gets. The
+    rows are written once with their fold, for each fold reads them all."""
+    return by_fold(write_shared(with_fold(rows, group, folds, seed)), fit, folds)
+
+
+def by_fold(dealt: DataFrame, fit: Callable[[DataFrame], PairScorer], folds: int = 5) -> DataFrame:
+    """out_of_fold() of rows that have their fold, which are read twice and more a fold: a table. Each fold is a branch of one
+    plan."""
     parts = [fit(dealt.filter(F.col("fold") != k))(dealt.filter(F.col("fold") == k)).select(*dealt.columns, "predict") for k in range(folds)]
     out = parts[0]
     for part in parts[1:]:
@@ -73,9 +78,11 @@ def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame], PairScorer], group:
 
 def rate_scorer(rows: DataFrame, by: str, prior: float = 1.0) -> PairScorer:
     """The share of target 1 among rows of a column's value, smoothed by ``prior`` rows of the mean: the simplest scorer that
-    learns. Values it hasn't seen get the mean; without rows all get 0.5."""
-    mean = rows.agg(F.coalesce(F.avg(F.col("target").cast("double")), F.lit(0.5)).alias("mean"))
-    rates = rows.groupBy(F.col(by).alias("_by")).agg(F.sum(F.col("target").cast("double")).alias("_sum"), F.count("*").alias("_n"))
+    learns. Values it hasn't seen get the mean; without rows all get 0.5. The rates are written, in one pass over the rows:
+    the mean is theirs, and Spark sees by their size how to join them."""
+    target = F.col("target").cast("double")
+    rates = write_shared(rows.groupBy(F.col(by).alias("_by")).agg(F.sum(target).alias("_sum"), F.count("*").alias("_n"), F.count(target).alias("_known")))
+    mean = rates.agg(F.coalesce(F.sum("_sum") / F.nullif(F.sum("_known"), F.lit(0)), F.lit(0.5)).alias("mean"))
 
     def score(new: DataFrame) -> DataFrame:
         found = new.join(rates, new[by].eqNullSafe(F.col("_by")), "left").join(F.broadcast(mean))  # a table of one row

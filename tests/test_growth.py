@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm import mixing
 from matchloom.functions.identity import seeded_key, uniform
-from matchloom.operators import entities, labels, pairs, split
+from matchloom.operators import entities, labels, models, pairs, split
 from matchloom.plans import fixtures
 from matchloom.sources import shared
 
@@ -128,3 +128,21 @@ def test_a_split_is_searched_over_written_rows(spark):
         assert "FileScan parquet" in plan(part) and "Join" not in plan(part)
     leaking = split.leaking_pairs(best.train, best.train.limit(10).union(best.validation))
     assert sorted(leaking.collect()) == sorted(best.train.limit(10).select(F.least("id1", "id2"), F.greatest("id1", "id2")).distinct().collect())
+
+
+def test_folds_are_scored_over_written_rows(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 40).alias("grp"), (F.col("id") % 7).alias("kind"), F.when(F.col("id") % 5 > 0, (F.col("id") % 3 == 0).cast("int")).alias("target"))
+    rows = rows.repartition(5, "grp").distinct()  # must not be shuffled again for each fold
+    found = models.out_of_fold(rows, lambda part: models.rate_scorer(part, "kind"), "grp", 4, 7)
+    text = plan(found).split("== Physical Plan ==")[1]
+    assert "hashpartitioning" not in text and "SortMergeJoin" not in text, text
+    assert sorted(r.id for r in found.collect()) == list(range(400))
+    # rates come from one pass over the rows; a target that is not known is no part of the mean
+    known = [int(i % 3 == 0) for i in range(400) if i % 5]
+    own = [int(i % 3 == 0) for i in range(400) if i % 5 and i % 7 == 2]
+    score = models.rate_scorer(rows, "kind")
+    new = score(spark.createDataFrame([(2,), (99,), (None,)], "kind long")).collect()
+    mean, n = sum(known) / len(known), len([i for i in range(400) if i % 7 == 2])
+    assert {r.kind: round(r.predict, 9) for r in new} == {2: round((sum(own) + mean) / (n + 1), 9), 99: round(mean, 9), None: round(mean, 9)}
+    empty = models.rate_scorer(rows.filter("id < 0"), "kind")(spark.createDataFrame([(2,)], "kind long")).first()
+    assert empty.predict == 0.5
