@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import canonical
@@ -43,23 +43,51 @@ def stable_edges(matches: DataFrame) -> DataFrame:
     return canonical(matches).groupBy("u", "v").agg(F.min("target").alias("target"), confidence.alias("confidence"), (F.min("target") != F.max("target")).alias("conflict"))
 
 
+#: Nodes of more edges are hubs, which come last in the order by which edges are turned; longer lists of marks are not kept.
+HUB = 256
+
+
+def _mark(node: Column) -> Column:
+    """16 bits of a node's hash."""
+    return F.shiftright(F.xxhash64(node), 48).cast("short")
+
+
+def oriented(edges: DataFrame) -> DataFrame:
+    """a, b, hb, t, c: each edge (u, v, target, confidence) turned from its end that comes first to the other: hubs come last, by
+    degree (hb is that of b, 0 for other nodes), the rest by id. Other nodes have at most HUB edges out, hubs about
+    sqrt(2 * edges). Hubs are few, and written, so that Spark sees it."""
+    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    hubs = write_shared(degree.filter(F.col("d") > HUB))
+    of = lambda c: hubs.select(F.col("node").alias(c), F.col("d").alias(f"_{c}"))
+    ranked = edges.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({"_u": F.coalesce("_u", F.lit(0)), "_v": F.coalesce("_v", F.lit(0))})
+    forward = (F.col("_u") < F.col("_v")) | ((F.col("_u") == F.col("_v")) & (F.col("u") < F.col("v")))
+    turned = lambda x, y: F.when(forward, F.col(x)).otherwise(F.col(y))
+    return ranked.select(turned("u", "v").alias("a"), turned("v", "u").alias("b"), turned("_v", "_u").alias("hb"), F.col("target").alias("t"), F.col("confidence").alias("c"))
+
+
+def wedges(out: DataFrame) -> DataFrame:
+    """a, x, tx, cx, y, ty, cy: two edges out of one node, x before y, that an edge from x to y may close.
+
+    Most pairs of edges are not closed and need not be shuffled to find that out: an edge to x brings the marks of the nodes
+    that x has edges to, and a pair whose y has none of them is left out. All that are closed stay, others with the chance of
+    equal marks; nodes of over HUB edges out have no list, and their pairs all stay.
+    """
+    marks = out.groupBy("a").agg(F.count("*").alias("n"), F.collect_list(_mark(F.col("b"))).alias("m")).select(F.col("a").alias("b"), F.when(F.col("n") <= HUB, F.col("m")).alias("m"))
+    x = out.join(marks, "b").select("a", F.col("b").alias("x"), F.col("hb").alias("hx"), F.col("t").alias("tx"), F.col("c").alias("cx"), "m")
+    y = out.select("a", F.col("b").alias("y"), F.col("hb").alias("hy"), F.col("t").alias("ty"), F.col("c").alias("cy"))
+    before = (F.col("hx") < F.col("hy")) | ((F.col("hx") == F.col("hy")) & (F.col("x") < F.col("y")))
+    return x.join(y, "a").filter(before & (F.col("m").isNull() | F.array_contains("m", _mark(F.col("y"))))).select("a", "x", "tx", "cx", "y", "ty", "cy")
+
+
 def triangle_counts(edges: DataFrame, weighted: bool) -> DataFrame:
     """u, v, comparable, violations, weighted: over the common neighbours of each edge.
 
-    edges: u < v, target, confidence. Each edge is turned from its end of lower degree to that of higher degree, and
-    two edges out of one node meet the third: no node has more than about sqrt(2 * edges) edges out, however many
-    neighbours it has. A triangle counts for each of its three edges.
+    edges: u < v, target, confidence. Edges are turned by oriented(), and two edges out of one node meet the third. A triangle
+    counts for each of its three edges.
     """
-    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    du, dv = degree.select(F.col("node").alias("u"), F.col("d").alias("du")), degree.select(F.col("node").alias("v"), F.col("d").alias("dv"))
-    ranked = edges.join(du, "u").join(dv, "v")
-    forward = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
-    out = ranked.select(F.when(forward, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(forward, F.col("v")).otherwise(F.col("u")).alias("b"), F.col("target").alias("t"), F.col("confidence").alias("c"))
-    x = out.select("a", F.col("b").alias("x"), F.col("t").alias("tx"), F.col("c").alias("cx"))
-    y = out.select("a", F.col("b").alias("y"), F.col("t").alias("ty"), F.col("c").alias("cy"))
-    wedges = x.join(y, "a").filter("x < y")
-    third = edges.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("target").alias("t3"), F.col("confidence").alias("c3"))
-    triangles = wedges.join(third, ["x", "y"])
+    out = oriented(edges)
+    third = out.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("t").alias("t3"), F.col("c").alias("c3"))
+    triangles = wedges(out).join(third, ["x", "y"])
 
     def side(p: str, q: str, t: str, c: str, t1: str, c1: str, t2: str, c2: str):
         return F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.col(t).alias("t"), F.col(c).alias("c"), F.col(t1).alias("t1"), F.col(c1).alias("c1"), F.col(t2).alias("t2"), F.col(c2).alias("c2"))
@@ -73,27 +101,32 @@ def triangle_counts(edges: DataFrame, weighted: bool) -> DataFrame:
 
 
 def transitivity_weights(matches: DataFrame, strength: float = 1.0, floor: float = 0.1, min_comparable: int = 1, weighted: bool = False) -> DataFrame:
-    """Adds transitivity_comparable_neighbors, transitivity_violations, transitivity_violation_rate, weight_multiplier.
+    """Adds the columns of pair_transitivity() to each row of matches."""
+    return canonical(matches).join(pair_transitivity(matches, strength, floor, min_comparable, weighted), ["u", "v"]).drop("u", "v")
+
+
+def pair_transitivity(matches: DataFrame, strength: float = 1.0, floor: float = 0.1, min_comparable: int = 1, weighted: bool = False) -> DataFrame:
+    """A row for each canonical pair (u, v): transitivity_comparable_neighbors, transitivity_violations,
+    transitivity_violation_rate, weight_multiplier.
 
     Rows whose pair has both labels, and negative pairs of an item with itself, are contradictions: 1, 1, 1.0,
     max(floor, exp(-strength)). Else an edge is held against each common neighbour: a positive edge is violated where
     the neighbour's labels differ, a negative one where both are positive. With enough comparable neighbours the
     multiplier is max(floor, exp(-strength * rate)).
     """
-    edges = write_shared(stable_edges(matches))  # read four times below
+    edges = write_shared(stable_edges(matches))  # read by each step below
     counts = triangle_counts(edges.filter("not conflict and u < v").select("u", "v", "target", "confidence"), weighted)
     direct = F.col("conflict") | ((F.col("u") == F.col("v")) & (F.col("target") == 0))
     rate = F.coalesce(F.col("weighted") / F.col("comparable"), F.lit(0.0))
     enough = (F.coalesce("comparable", F.lit(0)) >= min_comparable) & (F.coalesce("violations", F.lit(0)) > 0)
     penalty = lambda r: F.greatest(F.lit(floor), F.exp(-strength * r))
-    found = edges.join(counts, ["u", "v"], "left").select(
+    return edges.join(counts, ["u", "v"], "left").select(
         "u", "v",
         F.when(direct, 1).otherwise(F.coalesce("comparable", F.lit(0))).cast("long").alias("transitivity_comparable_neighbors"),
         F.when(direct, 1).otherwise(F.coalesce("violations", F.lit(0))).cast("long").alias("transitivity_violations"),
         F.when(direct, 1.0).otherwise(rate).alias("transitivity_violation_rate"),
         F.when(direct, penalty(F.lit(1.0))).when(enough, penalty(rate)).otherwise(1.0).alias("weight_multiplier"),
     )
-    return canonical(matches).join(found, ["u", "v"]).drop("u", "v")
 
 
 def constant_weights(matches: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import hashlib
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from matchloom.llm import mixing
 from matchloom.functions.identity import seeded_key, uniform
-from matchloom.operators import entities, labels, models, pairs, split
+from matchloom.operators import entities, graph, labels, models, pairs, split
 from matchloom.plans import fixtures
 from matchloom.sources import shared
 
@@ -146,3 +147,33 @@ def test_folds_are_scored_over_written_rows(spark):
     assert {r.kind: round(r.predict, 9) for r in new} == {2: round((sum(own) + mean) / (n + 1), 9), 99: round(mean, 9), None: round(mean, 9)}
     empty = models.rate_scorer(rows.filter("id < 0"), "kind")(spark.createDataFrame([(2,)], "kind long")).first()
     assert empty.predict == 0.5
+
+
+def test_pairs_of_edges_that_nothing_closes_are_not_shuffled(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs_ = {tuple(sorted(rng.sample(range(90), 2))) for _ in range(420)} | {(0, i) for i in range(1, 70)} | {(1, i) for i in range(2, 50)}
+    rows = [(u, v, rng.randint(0, 1), rng.choice((0.25, 0.5, 1.0))) for u, v in sorted(pairs_)]
+    edges = spark.createDataFrame(rows, "u long, v long, target int, confidence double")
+    near = {}
+    for u, v, t, _ in rows:
+        near.setdefault(u, {})[v] = near.setdefault(v, {})[u] = t
+    want = {}
+    for u, v, t, _ in rows:
+        both = near[u].keys() & near[v].keys()
+        wrong = sum(near[u][w] != near[v][w] if t else near[u][w] == near[v][w] == 1 for w in both)
+        if both:
+            want[u, v] = (len(both), wrong)
+    triangles = sum(n for n, _ in want.values()) // 3
+    for hub in (256, 40, 6, 0):  # without hubs, with two, with many nodes without a list, with hubs alone
+        monkeypatch.setattr(graph, "HUB", hub)
+        found = graph.triangle_counts(edges, weighted=False).collect()
+        assert {(r.u, r.v): (r.comparable, r.violations) for r in found} == want, hub
+        out = graph.oriented(edges)
+        assert out.count() == len(rows)
+        met = graph.wedges(out).count()
+        x, y = out.alias("x"), out.alias("y")
+        open_too = x.join(y, "a").filter("x.b < y.b").count()
+        assert met >= triangles and (met < triangles + open_too / 100 if hub >= 40 else met <= open_too), (hub, met, open_too)
+    monkeypatch.setattr(graph, "HUB", 6)
+    ends = graph.oriented(edges).groupBy("a").count().agg(F.max("count")).first()[0]
+    assert ends <= 2 * math.isqrt(2 * len(rows))  # however many edges a node has
