@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,25 +57,39 @@ def assemble(items: DataFrame, matches: DataFrame, columns: tuple[str, ...] = ("
 
 #: Parts of the right side's ids that wide cards meet in: a left card goes to each of them that has pairs of it, once.
 PARTS = 16
+#: Parts of the left side's ids: a right card goes to each of them, and PARTS * SIDES tasks share the pairs.
+SIDES = 4
 
 
-def beside(matches: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+def beside(matches: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner", widen: Callable[[Column], Column] | None = None) -> DataFrame:
     """matches with the columns of ``left`` by id1 and of ``right`` by id2, for columns that are too wide to be shuffled with each
     pair.
 
     The pairs of an item with a part of the other items travel as one row, so its columns are shuffled PARTS times at most,
-    however many pairs it has, and those of the other side once. Both sides are hashed, which needs no order and spills
-    nothing: a task holds a PARTS-th of ``right``, and its own share of ``left``.
+    however many pairs it has, and those of the other side SIDES times. Both sides are hashed, which needs no order and spills
+    nothing: a task holds a PARTS-th of ``right``, and its own share of ``left``. ``widen`` makes of a column that was shuffled
+    the one that is returned: once for each of those rows, not for each pair.
     """
-    part = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(PARTS)).cast("int").alias("_part")
+    part = lambda c, n: F.pmod(F.xxhash64(c.cast("string")), F.lit(n)).cast("int")
     others = [c for c in matches.columns if c != "id1"]
-    grouped = matches.groupBy("id1", part(F.col("id2"))).agg(F.collect_list(F.struct(*others)).alias("_pairs"))
-    one = grouped.join(left.hint("shuffle_hash"), "id1", how).repartitionById(PARTS, "_part").withColumn("_pair", F.explode("_pairs"))
-    own = [c for c in left.columns if c != "id1"]
+    ways = lambda columns: {c: widen(F.col(c)) for c in columns} if widen else {}
+    grouped = matches.groupBy("id1", (part(F.col("id1"), SIDES) * PARTS + part(F.col("id2"), PARTS)).alias("_part")).agg(F.collect_list(F.struct(*others)).alias("_pairs"))
+    own, new = [c for c in left.columns if c != "id1"], [c for c in right.columns if c != "id2"]
+    one = grouped.join(left.hint("shuffle_hash"), "id1", how).repartitionById(PARTS * SIDES, "_part").withColumns(ways(own)).withColumn("_pair", F.explode("_pairs"))
     rows = one.select("_part", "id1", *own, *[F.col(f"_pair.{c}").alias(c) for c in others])
-    two = right.withColumn("_part", part(F.col("id2"))).repartitionById(PARTS, "_part")
-    found = rows.join(two.hint("shuffle_hash"), ["_part", "id2"], how)
-    return found.select(*matches.columns, *own, *[c for c in right.columns if c != "id2"])
+    two = right.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(SIDES - 1)))).withColumn("_part", F.col("_side") * PARTS + part(F.col("id2"), PARTS)).drop("_side")
+    found = rows.join(two.repartitionById(PARTS * SIDES, "_part").withColumns(ways(new)).hint("shuffle_hash"), ["_part", "id2"], how)
+    return found.select(*matches.columns, *own, *new)
+
+
+def joined(values: Column) -> Column:
+    """An array of texts without line breaks as one text, null as a blank: a fraction of an array's bytes."""
+    return F.array_join(F.concat(F.array(F.lit("")), values), "\n", " ")
+
+
+def parted(text: Column) -> Column:
+    """The array that joined() had, but for nulls, which are blanks."""
+    return F.slice(F.split(text, "\n"), F.lit(2), F.lit(1 << 30))
 
 
 #: Up to so many attributes are put in order by generated code, which has a term for each place; more by lambdas, which Spark
@@ -207,11 +222,40 @@ def card_features(items: DataFrame) -> DataFrame:
     return rows.select("id", F.struct("category", "attrs", *[c.alias(k) for k, c in out.items()]).alias("f"))
 
 
+#: The numbers of card_features(), and its sets of texts that are shuffled.
+COUNTS = (*(f"{field}_{unit}" for field in ("name", "attributes", "card") for unit in ("chars", "words")), "digits", *(f"digit_{d}" for d in range(10)))
+SETS = ("name_all", "attributes_all", "card_numeric", "card_model_code", "trigrams", "articles")
+
+
+def packed_card(f: Column) -> Column:
+    """card_features() of a card in few bytes: sets as one text each, and none that follows from others. Its texts have no line
+    breaks, and no value is a blank."""
+    sets = [joined(f[c]).alias(c) for c in SETS]
+    keys, values = (joined(f["attrs"][c]).alias(c) for c in "kv")
+    return F.struct(f["category"].alias("category"), f["name_low"].alias("name_low"), f["brand"].alias("brand"), keys, values, *sets, F.array(*[f[c].cast("int") for c in COUNTS]).alias("n"))
+
+
+def unpacked_card(p: Column) -> Column:
+    """What pair_features() reads of a card, from packed_card()."""
+    sets = {c: parted(p[c]) for c in (*SETS, "k", "v")}
+    words = F.array_distinct(F.concat(sets["name_all"], F.coalesce(sets["attributes_all"], F.array().cast("array<string>"))))
+    out = {c: p[c] for c in ("category", "name_low", "brand")} | {c: sets[c] for c in SETS} | {"card_all": words, "keys": sets["k"], "values": F.array_distinct(sets["v"]), "attrs": F.arrays_zip(sets["k"], sets["v"])}
+    return F.struct(*[c.alias(name) for name, c in out.items()], *[F.get(p["n"], F.lit(i)).cast("double").alias(c) for i, c in enumerate(COUNTS)])
+
+
 def pair_features(matches: DataFrame, cards: DataFrame) -> DataFrame:
     """matches with category and 84 numbers about each pair, equal if its sides change places. cards: card_features()."""
-    rows = beside(matches, cards.select(F.col("id").alias("id1"), F.col("f").alias("x")), cards.select(F.col("id").alias("id2"), F.col("f").alias("y")))
+    side = lambda k, name: cards.select(F.col("id").alias(f"id{k}"), packed_card(F.col("f")).alias(name))
+    rows = beside(matches, side(1, "x"), side(2, "y"), widen=unpacked_card)
+    return rows.select(*matches.columns, *[c.alias(k) for k, c in pair_columns().items()])
+
+
+def pair_columns() -> dict[str, Column]:
+    """The columns of pair_features() of two cards x and y."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    out: dict[str, Column] = {"category": F.when(x("category") == y("category"), x("category")).otherwise(F.concat_ws(" <> ", F.least("x.category", "y.category"), F.greatest("x.category", "y.category")))}
+    # a lambda among them keeps Spark from making one method of all columns, over the 8,000 bytes that the JVM compiles
+    category = let(F.array(F.least("x.category", "y.category"), F.greatest("x.category", "y.category")), lambda two: F.when(x("category") == y("category"), x("category")).otherwise(F.concat_ws(" <> ", two)))
+    out: dict[str, Column] = {"category": category}
 
     def two(name: str, c: str) -> None:
         out.update({f"{name}_{k}": v for k, v in sim.median_and_difference(x(c), y(c)).items()})
@@ -246,7 +290,7 @@ def pair_features(matches: DataFrame, cards: DataFrame) -> DataFrame:
     out["exact_value_share_among_common_keys"] = F.when(common == 0, 1.0).otherwise(exact / common)
     out["conflict_share_among_common_keys"] = F.when(common == 0, 0.0).otherwise((common - exact) / common)
     out["brand_exact_match"] = ((x("brand") != "") & (x("brand") == y("brand"))).cast("double")
-    return rows.select(*[F.col(c) for c in matches.columns], *[c.alias(k) for k, c in out.items()])
+    return out
 
 
 def all_features(matches: DataFrame, items: DataFrame) -> DataFrame:

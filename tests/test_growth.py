@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -177,3 +178,33 @@ def test_pairs_of_edges_that_nothing_closes_are_not_shuffled(spark, monkeypatch)
     monkeypatch.setattr(graph, "HUB", 6)
     ends = graph.oriented(edges).groupBy("a").count().agg(F.max("count")).first()[0]
     assert ends <= 2 * math.isqrt(2 * len(rows))  # however many edges a node has
+
+
+def method_sizes(df):
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_cards_meet_packed_and_their_features_are_compiled(spark):
+    odd = [(1, "Lamp X-5 lamp 12", "a", [("Бренд", " ACME "), ("цвет", ""), ("код товара", None), ("цвет", "red  5b")]), (2, None, None, []), (3, "", "b", None), (4, "ΑΣ 7", "a", [("sku", "x5;7"), (" вес", "\n5\u2028кг")])]
+    items = spark.createDataFrame(odd, "id long, name string, category string, attributes array<struct<k:string,v:string>>")
+    f = pairs.card_features(items)
+    blank = lambda c: F.transform(c, lambda v: F.coalesce(v, F.lit(" ")))
+    pair = lambda a: F.struct(F.coalesce(a["k"], F.lit(" ")).alias("k"), F.coalesce(a["v"], F.lit(" ")).alias("v"))
+    back = f.withColumn("g", pairs.unpacked_card(pairs.packed_card(F.col("f"))))
+    for c in back.schema["g"].dataType.names:
+        want, got = F.col(f"f.{c}"), F.col(f"g.{c}")
+        if c == "attrs":
+            want, got = F.transform(want, pair), F.transform(got, lambda a: F.struct(a["0"].alias("k"), a["1"].alias("v")))
+        elif c in ("keys", "values", "articles"):
+            want = blank(want)
+        rows = back.select(want.alias("want"), got.alias("got")).collect()
+        assert [r.want for r in rows] == [r.got for r in rows], c
+    matches = spark.createDataFrame([(a, b) for a in range(1, 5) for b in range(1, 5)] * 2, "id1 long, id2 long")
+    # no method is beyond what the JVM compiles
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = pairs.pair_features(matches, f)
+        assert found.count() == 32 and max(method_sizes(found)) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
