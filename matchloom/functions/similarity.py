@@ -43,15 +43,24 @@ def numbers(c: Column) -> Column:
 
 def numeric_metrics(a: Column, b: Column) -> dict[str, Column]:
     """Of the pair of numbers with the least relative difference: exact, similarity (ratio), relative_difference."""
+    return of_numbers(numbers(a), numbers(b))
+
+
+def of_numbers(own: Column, others: Column) -> dict[str, Column]:
+    """numeric_metrics() of numbers()."""
     each = lambda x, y: F.struct(relative_difference(x, y).alias("d"), F.when(F.greatest(F.abs(x), F.abs(y)) == 0, 1.0).otherwise(F.least(F.abs(x), F.abs(y)) / F.greatest(F.abs(x), F.abs(y))).alias("r"))
-    best = let(numbers(b), lambda ys: F.array_min(F.flatten(F.transform(numbers(a), lambda x: F.transform(ys, lambda y: each(x, y))))))
+    best = let(others, lambda ys: F.array_min(F.flatten(F.transform(own, lambda x: F.transform(ys, lambda y: each(x, y))))))
     d, r = F.coalesce(best["d"], F.lit(1.0)), F.coalesce(best["r"], F.lit(0.0))
     return {"exact": (d <= 1e-8).cast("double"), "similarity": r, "relative_difference": d}
 
 
 def set_value_metrics(a: Column, b: Column) -> dict[str, Column]:
     """Values split at ; , | and normalised: exact, similarity (Jaccard), dice, containment."""
-    x, y = split_values(a), split_values(b)
+    return of_sets(split_values(a), split_values(b))
+
+
+def of_sets(x: Column, y: Column) -> dict[str, Column]:
+    """set_value_metrics() of split_values()."""
     m = set_metrics(x, y)
     exact = (F.array_sort(x) == F.array_sort(y)) & (F.size(x) > 0)
     return {"exact": exact.cast("double"), "similarity": m["jaccard"], "dice": m["dice"], "containment": m["containment"]}
@@ -60,9 +69,17 @@ def set_value_metrics(a: Column, b: Column) -> dict[str, Column]:
 def text_metrics(a: Column, b: Column) -> dict[str, Column]:
     """Mean of the Jaccard of words and of character trigrams."""
     x, y = normalize_text(a), normalize_text(b)
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)))
-    token = set_metrics(tokens(x), tokens(y))["jaccard"]
-    char = set_metrics(char_grams(x), char_grams(y))["jaccard"]
+    return of_texts(x, y, text_words(x), text_words(y), char_grams(x), char_grams(y))
+
+
+def text_words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def of_texts(x: Column, y: Column, words1: Column, words2: Column, grams1: Column, grams2: Column) -> dict[str, Column]:
+    """text_metrics() of normalised texts, their words and trigrams."""
+    token = set_metrics(words1, words2)["jaccard"]
+    char = set_metrics(grams1, grams2)["jaccard"]
     return {"exact": ((x == y) & (x != "")).cast("double"), "similarity": (token + char) / 2, "token_jaccard": token, "char_jaccard": char}
 
 
@@ -70,7 +87,11 @@ def text_metrics(a: Column, b: Column) -> dict[str, Column]:
 def best_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Greatest Ratcliff-Obershelp ratio over all pairs of two arrays of strings; 0 without pairs."""
     for lefts, rights in batches:
-        yield pd.Series([max((SequenceMatcher(None, a, b).ratio() for a in x for b in y), default=0.0) if x is not None and y is not None else 0.0 for x, y in zip(lefts, rights)], dtype=float)
+        yield pd.Series([greatest_ratio(x, y) for x, y in zip(lefts, rights)], dtype=float)
+
+
+def greatest_ratio(x, y) -> float:
+    return max((SequenceMatcher(None, a, b).ratio() for a in x for b in y), default=0.0) if x is not None and y is not None else 0.0
 
 
 def code_values(c: Column) -> Column:
@@ -82,12 +103,20 @@ def code_metrics(a: Column, b: Column) -> dict[str, Column]:
     """Codes of two values: exact (one in common), set_exact, digit_exact (digits of one in common), jaccard,
     containment. The similarity is best_ratio of code_values, an Arrow UDF: no built-in computes it."""
     x, y = code_values(a), code_values(b)
-    digits = lambda c: F.filter(F.array_distinct(F.transform(c, lambda v: F.regexp_replace(v, r"\D", ""))), lambda v: v != "")
+    return of_codes(x, y, code_digits(x), code_digits(y))
+
+
+def code_digits(codes: Column) -> Column:
+    return F.filter(F.array_distinct(F.transform(codes, lambda v: F.regexp_replace(v, r"\D", ""))), lambda v: v != "")
+
+
+def of_codes(x: Column, y: Column, digits1: Column, digits2: Column) -> dict[str, Column]:
+    """code_metrics() of code_values() and their digits."""
     m = set_metrics(x, y)
     return {
         "exact": F.arrays_overlap(x, y).cast("double"),
         "set_exact": ((F.array_sort(x) == F.array_sort(y)) & (F.size(x) > 0)).cast("double"),
-        "digit_exact": F.arrays_overlap(digits(x), digits(y)).cast("double"),
+        "digit_exact": F.arrays_overlap(digits1, digits2).cast("double"),
         "jaccard": m["jaccard"],
         "containment": m["containment"],
     }

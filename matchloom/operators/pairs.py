@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import similarity as sim
 from ..functions.identity import require_columns, seeded_key
-from ..functions.text import ATTRIBUTES, alnum_grams, folded_attributes, group_attributes, let, squash
+from ..functions.text import ATTRIBUTES, alnum_grams, char_grams, folded_attributes, group_attributes, let, normalize_text, split_values, squash
 from .numbering import with_row_number
 
 #: What attribute names tell of their type, by substring, in this order of precedence.
@@ -61,18 +65,18 @@ PARTS = 16
 SIDES = 4
 
 
-def beside(matches: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner", widen: Callable[[Column], Column] | None = None) -> DataFrame:
+def beside(matches: DataFrame, left: DataFrame, right: DataFrame, how: str = "inner", widen: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """matches with the columns of ``left`` by id1 and of ``right`` by id2, for columns that are too wide to be shuffled with each
     pair.
 
     The pairs of an item with a part of the other items travel as one row, so its columns are shuffled PARTS times at most,
     however many pairs it has, and those of the other side SIDES times. Both sides are hashed, which needs no order and spills
-    nothing: a task holds a PARTS-th of ``right``, and its own share of ``left``. ``widen`` makes of a column that was shuffled
-    the one that is returned: once for each of those rows, not for each pair.
+    nothing: a task holds a PARTS-th of ``right``, and its own share of ``left``. ``widen`` makes of columns that were shuffled
+    those that are returned: once for each of those rows, not for each pair.
     """
     part = lambda c, n: F.pmod(F.xxhash64(c.cast("string")), F.lit(n)).cast("int")
     others = [c for c in matches.columns if c != "id1"]
-    ways = lambda columns: {c: widen(F.col(c)) for c in columns} if widen else {}
+    ways = lambda columns: {c: make(F.col(c)) for c, make in (widen or {}).items() if c in columns}
     grouped = matches.groupBy("id1", (part(F.col("id1"), SIDES) * PARTS + part(F.col("id2"), PARTS)).alias("_part")).agg(F.collect_list(F.struct(*others)).alias("_pairs"))
     own, new = [c for c in left.columns if c != "id1"], [c for c in right.columns if c != "id2"]
     one = grouped.join(left.hint("shuffle_hash"), "id1", how).repartitionById(PARTS * SIDES, "_part").withColumns(ways(own)).withColumn("_pair", F.explode("_pairs"))
@@ -143,62 +147,158 @@ def _has(key: Column, markers: tuple[str, ...]) -> Column:
 
 def attribute_type(key: Column, left: Column, right: Column) -> Column:
     """CODE, PHYSICAL, NUMERIC or SET by the name; SET if a value holds ; or |; else TEXT."""
-    listed = F.coalesce(left.rlike("[;|]"), F.lit(False)) | F.coalesce(right.rlike("[;|]"), F.lit(False))
-    return (
-        F.when(_has(key, CODE_MARKERS), "CODE").when(_has(key, PHYSICAL_MARKERS), "PHYSICAL").when(_has(key, NUMERIC_MARKERS), "NUMERIC")
-        .when(_has(key, SET_MARKERS) | listed, "SET").otherwise("TEXT")
-    )
+    return F.coalesce(_type_by_name(key), F.when(F.coalesce(_listed(left), F.lit(False)) | F.coalesce(_listed(right), F.lit(False)), "SET").otherwise("TEXT"))
+
+
+def _type_by_name(key: Column) -> Column:
+    return F.when(_has(key, CODE_MARKERS), "CODE").when(_has(key, PHYSICAL_MARKERS), "PHYSICAL").when(_has(key, NUMERIC_MARKERS), "NUMERIC").when(_has(key, SET_MARKERS), "SET")
+
+
+def _listed(value: Column) -> Column:
+    return value.rlike("[;|]")
 
 
 def critical_group(key: Column) -> Column:
     return F.when(_has(key, OEM_MARKERS), "oem").when(_has(key, MODEL_CODE_MARKERS), "model_code").when(_has(key, BRAND_MARKERS), "brand")
 
 
+def attribute_views(attrs: Column) -> Column:
+    """What comparisons need of a card's attributes, once a card and not once a pair: of each name its value, its type by name
+    (null: by the values) and what values of that type are compared by."""
+
+    def view(a: Column) -> Column:
+        def typed(named: Column) -> Column:
+            v, code, text = a["v"], named == "CODE", named.isNull()
+            plain = normalize_text(v)
+            sets = {"codes": F.when(code, sim.code_values(v)), "digits": F.when(code, sim.code_digits(sim.code_values(v))), "values": F.when(text | (named == "SET"), split_values(v)), "words": F.when(text, sim.text_words(plain)), "grams": F.when(text, char_grams(plain))}
+            numbers = F.when(named.isin("PHYSICAL", "NUMERIC"), sim.numbers(v))
+            return F.struct(a["k"].alias("k"), v.alias("v"), named.alias("named"), _listed(v).alias("listed"), critical_group(a["k"]).alias("critical"), F.when(text, plain).alias("text"), numbers.alias("numbers"), *[c.alias(name) for name, c in sets.items()])
+
+        return let(_type_by_name(a["k"]), typed)
+
+    return F.transform(group_attributes(folded_attributes(attrs)), view)
+
+
+def _compared(x: Column, y: Column) -> Column:
+    """An array with a struct for each name on either side of two attribute_views(), but for the similarity of codes: theirs are
+    in codes_1 and codes_2, ordered by value."""
+    empty = F.array().cast("array<string>")
+
+    def row(a: Column, type_: Column, both: bool, exact: Column, similarity: Column, digit_exact: Column, codes: tuple[Column, Column]) -> Column:
+        return F.struct(a["k"].alias("name"), type_.alias("type"), F.lit(both).alias("both_present"), exact.alias("exact"), similarity.alias("similarity"), digit_exact.alias("digit_exact"), codes[0].alias("codes_1"), codes[1].alias("codes_2"), a["critical"].alias("critical"))
+
+    def alone(a: Column) -> Column:
+        return row(a, F.coalesce(a["named"], F.when(a["listed"], "SET").otherwise("TEXT")), False, F.lit(0.0), F.lit(0.0), F.lit(0.0), (empty, empty))
+
+    def together(a: Column, b: Column) -> Column:
+        named = F.coalesce(a["named"], F.when(a["listed"] | b["listed"], "SET").otherwise("TEXT"))
+
+        def of_type(t: Column) -> Column:
+            of = lambda f, *names: f(*[side[c] for c in names for side in (a, b)])
+            code, number, listed, text = of(sim.of_codes, "codes", "digits"), of(sim.of_numbers, "numbers"), of(sim.of_sets, "values"), of(sim.of_texts, "text", "words", "grams")
+            value = lambda m, c: F.when(t == "CODE", c).when(t.isin("PHYSICAL", "NUMERIC"), number[m]).when(t == "SET", listed[m]).otherwise(text[m])
+            first = a["v"] <= b["v"]
+            codes = tuple(F.when(t != "CODE", empty).when(f, a["codes"]).otherwise(b["codes"]) for f in (first, ~first))
+            return row(a, t, True, value("exact", code["exact"]), value("similarity", F.lit(0.0)), F.when(t == "CODE", code["digit_exact"]).otherwise(0.0), codes)
+
+        return let(named, of_type)
+
+    def joined_rows(x: Column, y: Column) -> Column:
+        same = lambda a: F.get(F.filter(y, lambda b: b["k"] == a["k"]), F.lit(0))
+        own = F.transform(x, lambda a: let(same(a), lambda b: F.when(b.isNull(), alone(a)).otherwise(together(a, b))))
+        return F.concat(own, F.transform(F.filter(y, lambda b: ~F.exists(x, lambda a: a["k"] == b["k"])), alone))
+
+    none = F.array().cast(VIEWS)
+    return joined_rows(F.coalesce(x, none), F.coalesce(y, none))
+
+
+VIEWS = "array<struct<k:string,v:string,named:string,listed:boolean,critical:string,text:string,numbers:array<double>,codes:array<string>,digits:array<string>,values:array<string>,words:array<string>,grams:array<string>>>"
+
+
 def compare_attributes(pairs: DataFrame, key: str = "pair_row") -> DataFrame:
     """A row for each attribute name on either side of a pair (attributes_1 and _2, arrays of (k, v)): key, type,
     both_present, one_missing, exact, similarity, conflict, group. Symmetric in the sides but for the code similarity,
     whose sides are ordered before it is computed."""
-    side = lambda k: pairs.select(key, F.explode(group_attributes(folded_attributes(F.col(f"attributes_{k}")))).alias("a")).select(key, F.col("a.k").alias("name"), F.col("a.v").alias(f"v{k}"))
-    both = side(1).join(side(2), [key, "name"], "full")
-    present = F.col("v1").isNotNull() & F.col("v2").isNotNull()
-    a, b = F.least("v1", "v2"), F.greatest("v1", "v2")
-    rows = both.select(key, "name", present.alias("both_present"), F.when(present, a).alias("a"), F.when(present, b).alias("b"), attribute_type(F.col("name"), F.col("v1"), F.col("v2")).alias("type"))
-    code, number, listed, text = (f(F.col("a"), F.col("b")) for f in (sim.code_metrics, sim.numeric_metrics, sim.set_value_metrics, sim.text_metrics))
-    is_code = F.col("both_present") & (F.col("type") == "CODE")
+    views = pairs.select(key, *[attribute_views(F.col(f"attributes_{k}")).alias(f"_{k}") for k in (1, 2)])
+    rows = views.select(key, F.explode(_compared(F.col("_1"), F.col("_2"))).alias("c")).select(key, "c.*")
     # the one measure without a built-in runs on the rows that have codes; the others give it empty arrays
-    empty = F.array().cast("array<string>")
-    rows = rows.withColumn("code_similarity", sim.best_ratio(F.when(is_code, sim.code_values(F.col("a"))).otherwise(empty), F.when(is_code, sim.code_values(F.col("b"))).otherwise(empty)))
-    by_type = lambda m: F.when(F.col("type") == "CODE", code["exact"] if m == "exact" else F.col("code_similarity")).when(F.col("type").isin("PHYSICAL", "NUMERIC"), number[m]).when(F.col("type") == "SET", listed[m]).otherwise(text[m])
-    value = lambda m: F.when(F.col("both_present"), by_type(m)).otherwise(0.0)
-    rows = rows.withColumns({"exact": value("exact"), "similarity": value("similarity"), "digit_exact": F.when(is_code, code["digit_exact"]).otherwise(0.0)})
-    conflict = F.col("both_present") & (F.col("exact") == 0) & ((F.col("similarity") < 0.5) | ((F.col("type") == "CODE") & (F.col("digit_exact") == 0)))
-    return rows.select(key, "name", "type", "both_present", (~F.col("both_present")).alias("one_missing"), "exact", "similarity", conflict.cast("double").alias("conflict"), critical_group(F.col("name")).alias("critical"))
+    rows = rows.withColumn("code_similarity", sim.best_ratio("codes_1", "codes_2"))
+    code = F.col("both_present") & (F.col("type") == "CODE")
+    rows = rows.withColumn("similarity", F.when(code, F.col("code_similarity")).otherwise(F.col("similarity")))
+    conflict = F.col("both_present") & (F.col("exact") == 0) & ((F.col("similarity") < 0.5) | (code & (F.col("digit_exact") == 0)))
+    return rows.select(key, "name", "type", "both_present", (~F.col("both_present")).alias("one_missing"), "exact", "similarity", conflict.cast("double").alias("conflict"), "critical")
+
+
+CRITICAL = ("model_code", "oem", "brand")
+#: The names of the numbers of a pair's comparisons: 5 totals, 7 for each type, 4 for each critical group.
+TYPED = (
+    *(f"typed_attribute_{c}" for c in ("comparisons", "both_present", "one_missing", "exact_matches", "strong_conflicts")),
+    *(f"typed_{t.lower()}_{c}" for t in TYPES for c in ("comparisons", "both_present", "one_missing", "exact_matches", "mean_similarity", "min_similarity", "strong_conflicts")),
+    *(f"typed_{g}_{c}" for g in CRITICAL for c in ("both_present", "exact_match", "conflict", "one_missing")),
+)
+
+
+def _counted(at: np.ndarray, n: int, of: pa.StructArray, similarity: np.ndarray, conflict: np.ndarray) -> np.ndarray:
+    """A row for each of n pairs with the numbers named in TYPED, from all their comparisons, which are of the pairs ``at``."""
+    kinds, groups = len(TYPES), len(CRITICAL)
+    place = lambda c, names: pc.fill_null(pc.index_in(of.field(c), value_set=pa.array(names)), -1).to_numpy(zero_copy_only=False)
+    present, exact = (of.field(c).to_numpy(zero_copy_only=False) for c in ("both_present", "exact"))
+    exactly, against = present & (exact > 0), present & (conflict > 0)
+    every, one, kind, group = np.ones(len(at), bool), np.zeros(len(at), int), place("type", TYPES), place("critical", CRITICAL)
+
+    def sums(those: np.ndarray, of: np.ndarray, width: int, weights: np.ndarray | None = None) -> np.ndarray:
+        """A row a pair, a column a kind."""
+        keep = those & (of >= 0)
+        return np.bincount(at[keep] * width + of[keep], None if weights is None else weights[keep], n * width).reshape(n, width).astype(float)
+
+    totals = [sums(every, one, 1), sums(present, one, 1), sums(~present, one, 1), sums(every, one, 1, exact), sums(every, one, 1, conflict)]
+    held, least = sums(present, kind, kinds), np.full(n * kinds, np.inf)
+    np.minimum.at(least, (at * kinds + kind)[present], similarity[present])
+    mean = sums(present, kind, kinds, similarity) / np.maximum(held, 1)
+    by_type = [sums(every, kind, kinds), held, sums(~present, kind, kinds), sums(exactly, kind, kinds), mean, np.where(np.isinf(least), 0.0, least).reshape(n, kinds), sums(against, kind, kinds)]
+    by_group = [np.minimum(sums(those, group, groups), 1) for those in (present, exactly, against, ~present)]
+    return np.hstack([*totals, *(np.stack(x, axis=2).reshape(n, -1) for x in (by_type, by_group))])
+
+
+def _judged(of: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """similarity and conflict of _compared() rows; that of codes, which has no built-in, is computed here."""
+    present, exact, similarity, digits = (of.field(c).to_numpy(zero_copy_only=False) for c in ("both_present", "exact", "similarity", "digit_exact"))
+    code, similarity = present & pc.equal(of.field("type"), "CODE").to_numpy(zero_copy_only=False), similarity.copy()
+    codes = (of.field(c).take(pa.array(np.flatnonzero(code))).to_pylist() for c in ("codes_1", "codes_2"))
+    similarity[code] = [sim.greatest_ratio(x, y) for x, y in zip(*codes)]
+    return similarity, (present & (exact == 0) & ((similarity < 0.5) | (code & (digits == 0)))).astype(float)
+
+
+def _with_typed(rows: DataFrame, comparisons: str, judged: bool) -> DataFrame:
+    """rows with the columns named in TYPED in place of an array of comparisons, ``judged`` ones or _compared() ones."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(comparisons)
+            at = np.repeat(np.arange(len(own)), pc.fill_null(own.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            flat = own.flatten()
+            values = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("similarity", "conflict")] if judged else _judged(flat)
+            numbers = _counted(at, len(own), flat, *values)
+            rest = [c for c in batch.schema.names if c != comparisons]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(np.ascontiguousarray(x)) for x in numbers.T)], [*rest, *TYPED])
+
+    kept = rows.drop(comparisons).schema.fields
+    return rows.mapInArrow(counted, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in TYPED)]))
 
 
 def typed_features(comparisons: DataFrame, key: str = "pair_row") -> DataFrame:
     """52 features of a pair from its comparisons: 5 totals, 7 for each type, 4 for each critical group."""
-    n = lambda c: F.coalesce(F.count_if(c).cast("double"), F.lit(0.0))
-    present = F.col("both_present")
-    out = [n(F.lit(True)).alias("typed_attribute_comparisons"), n(present).alias("typed_attribute_both_present"), n(~present).alias("typed_attribute_one_missing")]
-    out += [F.sum("exact").alias("typed_attribute_exact_matches"), F.sum("conflict").alias("typed_attribute_strong_conflicts")]
-    for t in TYPES:
-        of, p = F.col("type") == t, f"typed_{t.lower()}"
-        held = of & present
-        out += [n(of).alias(f"{p}_comparisons"), n(held).alias(f"{p}_both_present"), n(of & ~present).alias(f"{p}_one_missing"), n(held & (F.col("exact") > 0)).alias(f"{p}_exact_matches")]
-        similarity = F.when(held, F.col("similarity"))
-        out += [F.coalesce(F.avg(similarity), F.lit(0.0)).alias(f"{p}_mean_similarity"), F.coalesce(F.min(similarity), F.lit(0.0)).alias(f"{p}_min_similarity"), n(held & (F.col("conflict") > 0)).alias(f"{p}_strong_conflicts")]
-    for g in ("model_code", "oem", "brand"):
-        of = F.coalesce(F.col("critical") == g, F.lit(False))
-        flag = lambda c: F.coalesce(F.max(c.cast("double")), F.lit(0.0))
-        out += [flag(of & present).alias(f"typed_{g}_both_present"), flag(of & present & (F.col("exact") > 0)).alias(f"typed_{g}_exact_match"), flag(of & present & (F.col("conflict") > 0)).alias(f"typed_{g}_conflict"), flag(of & ~present).alias(f"typed_{g}_one_missing")]
-    return comparisons.groupBy(key).agg(*out)
-
-
-def card_features(items: DataFrame) -> DataFrame:
-    """What pair features need of a card, once a card and not once a pair: lengths, digit counts and token sets."""
+    one = F.struct("type", "both_present", "exact", "similarity", "conflict", "critical")
+    return _with_typed(comparisons.groupBy(key).agg(F.collect_list(one).alias("_all")), "_all", judged=True)
+
+
+def card_features(items: DataFrame, *more: Column) -> DataFrame:
+    """What pair features need of a card, once a card and not once a pair: lengths, digit counts and token sets; and ``more``
+    columns of items."""
     low = lambda c: squash(F.lower(c))
     attrs = F.transform("attributes", lambda a: F.struct(low(a["k"]).alias("k"), low(a["v"]).alias("v")))
-    rows = items.select("id", "category", F.coalesce("name", F.lit("")).alias("name"), attrs.alias("attrs"))
+    rows = items.select("id", "category", F.coalesce("name", F.lit("")).alias("name"), attrs.alias("attrs"), *more)
+    further = rows.columns[4:]
     # of equal names the last value counts, in the place of the first
     rows = rows.withColumn("attrs", F.transform(F.array_distinct(F.transform("attrs", lambda a: a["k"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter("attrs", lambda a: a["k"] == k), -1)["v"].alias("v"))))
     rows = rows.withColumn("attributes", F.array_join(F.transform("attrs", lambda a: F.concat_ws(" ", a["k"], a["v"])), " "))
@@ -219,7 +319,7 @@ def card_features(items: DataFrame) -> DataFrame:
     out["values"] = F.array_distinct(F.transform("attrs", lambda a: a["v"]))
     out["articles"] = F.array_distinct(F.transform(F.filter("attrs", lambda a: _has(a["k"], ARTICLE_KEYS)), lambda a: a["v"]))
     out["brand"] = F.coalesce(F.get(F.filter("attrs", lambda a: _has(a["k"], BRAND_MARKERS)), F.lit(0))["v"], F.lit(""))
-    return rows.select("id", F.struct("category", "attrs", *[c.alias(k) for k, c in out.items()]).alias("f"))
+    return rows.select("id", F.struct("category", "attrs", *[c.alias(k) for k, c in out.items()]).alias("f"), *further)
 
 
 #: The numbers of card_features(), and its sets of texts that are shuffled.
@@ -246,7 +346,7 @@ def unpacked_card(p: Column) -> Column:
 def pair_features(matches: DataFrame, cards: DataFrame) -> DataFrame:
     """matches with category and 84 numbers about each pair, equal if its sides change places. cards: card_features()."""
     side = lambda k, name: cards.select(F.col("id").alias(f"id{k}"), packed_card(F.col("f")).alias(name))
-    rows = beside(matches, side(1, "x"), side(2, "y"), widen=unpacked_card)
+    rows = beside(matches, side(1, "x"), side(2, "y"), widen={"x": unpacked_card, "y": unpacked_card})
     return rows.select(*matches.columns, *[c.alias(k) for k, c in pair_columns().items()])
 
 
@@ -295,11 +395,12 @@ def pair_columns() -> dict[str, Column]:
 
 def all_features(matches: DataFrame, items: DataFrame) -> DataFrame:
     """pair_features() and typed_features() of matches (with pair_row): 137 columns besides those of matches."""
-    base = pair_features(matches, card_features(items))
-    sides = assemble(items, matches.select("pair_row", "id1", "id2"), ("attributes",), wide=True)
-    typed = typed_features(compare_attributes(sides))
-    names = [c for c in typed.columns if c != "pair_row"]
-    return base.join(typed, "pair_row", "left").fillna(0.0, names)
+    cards = card_features(items, attribute_views(F.col("attributes")).alias("a"))
+    side = lambda k, *names: cards.select(F.col("id").alias(f"id{k}"), packed_card(F.col("f")).alias(names[0]), F.col("a").alias(names[1]))
+    # all of it within the row of a pair: its comparisons are not shuffled
+    rows = beside(matches, side(1, "x", "_a"), side(2, "y", "_b"), widen={"x": unpacked_card, "y": unpacked_card})
+    base = rows.select("pair_row", *[c for c in matches.columns if c != "pair_row"], *[c.alias(k) for k, c in pair_columns().items()], _compared(F.col("_a"), F.col("_b")).alias("_met"))
+    return _with_typed(base, "_met", judged=False)
 
 
 def signed_differences(matches: DataFrame, cards: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -208,3 +208,19 @@ def test_cards_meet_packed_and_their_features_are_compiled(spark):
         assert found.count() == 32 and max(method_sizes(found)) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_comparisons_of_a_pair_stay_in_its_row(spark):
+    kind = "array<struct<k:string,v:string>>"
+    items = spark.createDataFrame([(1, "Lamp", "a", [("артикул", "Q-7, x5"), ("вес", "5 кг"), ("вид", "a; b"), ("цвет", "red"), ("note", "a b|c"), ("oem", "77")]), (2, "Sofa", "b", [("Артикул", "q8"), ("вес", "6"), ("вид", "b"), ("note", "b c"), ("бренд", "x")]), (3, None, None, None), (4, "", "a", [])], f"id long, name string, category string, attributes {kind}")
+    matches = spark.createDataFrame([(10 * a + b, a, b) for a in range(1, 5) for b in range(1, 5)], "pair_row long, id1 long, id2 long")
+    found = pairs.all_features(matches, items)
+    assert "hashpartitioning(pair_row" not in plan(found) and "sortmergejoin" not in plan(found).lower()
+    sides = pairs.assemble(items, matches, ("attributes",))
+    apart = {r.pair_row: r for r in pairs.typed_features(pairs.compare_attributes(sides)).collect()}
+    rows = found.collect()
+    assert len(rows) == 16 and len(found.columns) == 3 + 137
+    for r in rows:
+        assert all(math.isclose(r[c], apart[r.pair_row][c] if r.pair_row in apart else 0.0, rel_tol=1e-12) for c in pairs.TYPED), r
+    one = next(r for r in rows if r.pair_row == 12)
+    assert (one.typed_attribute_comparisons, one.typed_attribute_both_present, one.typed_code_comparisons, one.typed_brand_one_missing, one.typed_set_mean_similarity) == (7, 4, 2, 1, 0.25)
