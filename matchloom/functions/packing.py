@@ -113,6 +113,12 @@ def pack_pairs(rows: DataFrame, budget: int, left: str = "left", right: str = "r
     return rows.drop(*own)
 
 
+def shape(card: Column) -> Column:
+    """A card with its numbers of tokens, but empty ones: all that packing depends on, alike in many cards."""
+    blank = lambda tokens: F.array_repeat(F.lit(""), F.size(tokens))
+    return F.when(card.isNotNull(), let(card, lambda c: F.struct(blank(c["required"]).alias("required"), F.transform(c["sections"], lambda s: F.struct(s["k"].alias("k"), blank(s["tokens"]).alias("tokens"))).alias("sections"))))
+
+
 def fitted_tokens(card: str, fit: str) -> Column:
     own = F.flatten(F.transform(f"{fit}.kept", lambda i: F.get(F.col(f"{card}.sections"), i)["tokens"]))
     return F.concat(F.slice(f"{card}.required", F.lit(1), F.least(F.size(f"{card}.required"), F.col(f"{fit}.used"))), own)
@@ -173,15 +179,18 @@ def owner_of_tokens(tokens: Column, owners: Column) -> Column:
 
 def attribute_coverage(rows: DataFrame, budget: int, left: str = "left", right: str = "right", skip_oversized: bool = False) -> DataFrame:
     """key, present, included, tokens over all packed pairs: how many attributes of a name there are, how many the budget lets
-    in, and the tokens that they own."""
-    packed = pack_pairs(rows, budget, left, right, skip_oversized)
+    in, and the tokens that they own. shape()s of cards do, and are cheaper."""
+    # pairs of equal cards are packed once, which is few pairs where cards are shapes
+    alike = rows.groupBy(F.col(left).alias(left), F.col(right).alias(right)).agg(F.count("*").alias("_pairs"))
+    packed = pack_pairs(alike, budget, left, right, skip_oversized)
     # kept is bound before the lambda, or the packing would be computed again for each section
     of = lambda card, kept: F.transform(f"{card}.sections", lambda s, i: F.struct(s["k"].alias("key"), F.array_contains(kept, i).alias("kept"), F.size(s["tokens"]).alias("n")))
     side = lambda card, fit: let(F.col(f"{fit}.kept"), lambda kept: of(card, kept))
     every = F.concat(side(left, "left_fit"), side(right, "right_fit"))
     # of an inner explode Spark infers a filter and pushes it below, where it would compute the packing many times over
-    each = packed.select(F.explode_outer(every).alias("s")).filter("s IS NOT NULL").select("s.*")
-    return each.groupBy("key").agg(F.count("*").alias("present"), F.count_if("kept").alias("included"), F.sum(F.when(F.col("kept"), F.col("n")).otherwise(0)).cast("long").alias("tokens"))
+    each = packed.select("_pairs", F.explode_outer(every).alias("s")).filter("s IS NOT NULL").select("_pairs", "s.*")
+    inside = lambda n: F.sum(F.when(F.col("kept"), n * F.col("_pairs")).otherwise(0)).cast("long")
+    return each.groupBy("key").agg(F.sum("_pairs").alias("present"), inside(F.lit(1)).alias("included"), inside(F.col("n")).alias("tokens"))
 
 
 def inferred_length(lengths: DataFrame, length: str, order: str, quantile: float = 0.95, sample: int = 10_000, cap: int = 512) -> DataFrame:

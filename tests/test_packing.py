@@ -136,3 +136,15 @@ def test_length_of_an_even_sample(spark, n, sample, quantile):
     chosen = [lengths[int(i)] for i in np.linspace(0, n - 1, sample, dtype=int)] if n > sample else lengths
     want = min(512, max(8, -(-int(np.quantile(chosen, quantile, method="higher")) // 8) * 8))
     assert packing.inferred_length(rows, "n", "i", quantile, sample).first().max_length == want
+
+
+def test_coverage_packs_alike_pairs_once(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([made(rng) for _ in range(40)] * 3 + [(None, made(rng)[1])], f"left {CARD}, right {CARD}")
+    shapes = rows.select(*[packing.shape(F.col(c)).alias(c) for c in ("left", "right")])
+    for skip in (False, True):
+        found = packing.attribute_coverage(shapes, 17, skip_oversized=skip)
+        assert sorted(found.collect()) == sorted(packing.attribute_coverage(rows, 17, skip_oversized=skip).collect())
+        # pairs are counted by their cards before any is packed
+        text = found._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Aggregate [") == 2, text
