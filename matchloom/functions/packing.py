@@ -119,6 +119,68 @@ def shape(card: Column) -> Column:
     return F.when(card.isNotNull(), let(card, lambda c: F.struct(blank(c["required"]).alias("required"), F.transform(c["sections"], lambda s: F.struct(s["k"].alias("k"), blank(s["tokens"]).alias("tokens"))).alias("sections"))))
 
 
+def fitted_card(card: Column, budget: int) -> Column:
+    """struct of wants, used, kept, tokens, owners and keys: once a card, all that pairs of it need for any share of ``budget``
+    where the first section that doesn't fit ends it. What a share lets in is then a start of tokens and owners."""
+
+    def made(c: Column) -> Column:
+        must = F.size(c["required"])
+        costs = F.transform(c["sections"], lambda s: F.size(s["tokens"]))
+        sums = F.aggregate(costs, F.array(must), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+
+        def whole(sums: Column) -> Column:
+            shares = F.sequence(F.lit(0), F.lit(budget))
+            # sums has what is required first; sections only follow if there is room behind it
+            kept = F.transform(shares, lambda b: F.when(F.element_at(sums, 1) < b, F.size(F.filter(sums, lambda x: x <= b)) - 1).otherwise(0))
+            used = F.transform(shares, lambda b: F.when(F.element_at(sums, 1) < b, F.array_max(F.filter(sums, lambda x: x <= b))).otherwise(b))
+            tokens = F.concat(c["required"], F.flatten(F.transform(c["sections"], lambda s: s["tokens"])))
+            owners = F.concat(F.transform(c["required"], lambda _: F.lit(None).cast("string")), F.flatten(F.transform(c["sections"], lambda s: F.transform(s["tokens"], lambda _: s["k"]))))
+            return F.struct(F.element_at(sums, -1).alias("wants"), used.alias("used"), kept.alias("kept"), tokens.alias("tokens"), owners.alias("owners"), c["sections"]["k"].alias("keys"))
+
+        return let(sums, whole)
+
+    return F.when(card.isNotNull(), let(card, made))
+
+
+def fit_pairs(rows: DataFrame, budget: int, left: str, right: str) -> DataFrame:
+    """rows with ``left_share`` and ``right_share``, for which fitted_card() of each side has what pack_pairs() lets in: places in
+    its used and kept. Shares are looked up, so generated code does all of it. A null card makes both null."""
+    if budget < 1:
+        raise ValueError("the budget must leave room for content")
+    b, cards = F.lit(budget), {"l": left, "r": right}
+    own = [f"_{side}{name}" for side in "lr" for name in ("wants", "share", "1", "2", "3")]
+    used = lambda side, share: F.get(F.col(f"{cards[side]}.used"), share)
+    rows = rows.withColumns({f"_{side}wants": F.col(f"{card}.wants") for side, card in cards.items()})
+    rows = rows.withColumns({"_lshare": F.least(F.col("_lwants"), F.lit((budget + 1) // 2)), "_rshare": F.least(F.col("_rwants"), F.lit(budget // 2))})
+    spare = b - F.col("_lshare") - F.col("_rshare")
+    extra = F.least(F.col("_lwants") - F.col("_lshare"), spare)
+    rows = rows.withColumns({"_lshare": F.col("_lshare") + extra, "_rshare": F.col("_rshare") + F.least(F.col("_rwants") - F.col("_rshare"), spare - extra)})
+    rows = rows.withColumns({"_l1": used("l", F.col("_lshare")), "_r1": used("r", F.col("_rshare"))})
+    # the same cards with all that the other side leaves
+    rows = rows.withColumns({"_l2": used("l", b - F.col("_r1")), "_r2": used("r", b - F.col("_l1"))})
+    rows = rows.withColumns({"_l3": used("l", b - F.col("_r2")), "_r3": used("r", b - F.col("_l2"))})
+    first = F.col("_l2") - F.col("_l1") >= F.col("_r2") - F.col("_r1")
+    better = lambda side, new, other: F.when(F.col(f"_{side}{new}") > F.col(f"_{side}1"), b - F.col(other)).otherwise(F.col(f"_{side}share"))
+    rows = rows.withColumns({"left_share": F.when(first, better("l", 2, "_r1")).otherwise(better("l", 3, "_r2")), "right_share": F.when(first, better("r", 3, "_l2")).otherwise(better("r", 2, "_l1"))})
+    known = F.col(f"{left}.wants").isNotNull() & F.col(f"{right}.wants").isNotNull()
+    return rows.withColumns({c: F.when(known, F.col(c)) for c in ("left_share", "right_share")}).drop(*own)
+
+
+def used_of(card: str, share: str) -> Column:
+    """How many tokens of a fitted_card() are in."""
+    return F.get(F.col(f"{card}.used"), F.col(share))
+
+
+def kept_of(card: str, share: str) -> Column:
+    """How many of its attributes."""
+    return F.get(F.col(f"{card}.kept"), F.col(share))
+
+
+def start_of(card: str, values: str, share: str) -> Column:
+    """Its tokens or owners that are in."""
+    return F.slice(F.col(f"{card}.{values}"), F.lit(1), used_of(card, share))
+
+
 def fitted_tokens(card: str, fit: str) -> Column:
     own = F.flatten(F.transform(f"{fit}.kept", lambda i: F.get(F.col(f"{card}.sections"), i)["tokens"]))
     return F.concat(F.slice(f"{card}.required", F.lit(1), F.least(F.size(f"{card}.required"), F.col(f"{fit}.used"))), own)

@@ -138,6 +138,28 @@ def test_length_of_an_even_sample(spark, n, sample, quantile):
     assert packing.inferred_length(rows, "n", "i", quantile, sample).first().max_length == want
 
 
+def test_fits_that_are_looked_up(spark):
+    rng = random.Random(4)
+    cards = [made(rng) for _ in range(150)]
+    for budget in (1, 2, 7, 16, 60):
+        rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cards)] + [(-1, None, cards[0][1])], f"i int, left {CARD}, right {CARD}")
+        fitted = rows.select("i", *[packing.fitted_card(F.col(c), budget).alias(c) for c in ("left", "right")])
+        fits = packing.fit_pairs(fitted, budget, "left", "right")
+        assert fits.columns == ["i", "left", "right", "left_share", "right_share"]
+        out = [f(c, *more, f"{c}_share").alias(f"{c}_{name}") for c in ("left", "right") for name, f, more in (("tokens", packing.start_of, ("tokens",)), ("owners", packing.start_of, ("owners",)), ("used", packing.used_of, ()), ("kept", packing.kept_of, ()))]
+        for r in fits.select("*", *out).collect():
+            if r.i < 0:
+                assert r.left_share is None and r.right_share is None
+                continue
+            a, b = cards[r.i]
+            (left, kl), (right, kr) = brute_pack(a, b, budget, False)
+            owner = {t: k for card in (a, b) for k, tokens in card[1] for t in tokens}
+            assert (r.left_tokens, r.right_tokens, r.left_used, r.right_used, r.left_kept, r.right_kept) == (left, right, len(left), len(right), len(kl), len(kr))
+            assert r.left_owners == [owner.get(t) for t in left] and r.right_owners == [owner.get(t) for t in right]
+    with pytest.raises(ValueError, match="budget"):
+        packing.fit_pairs(fitted, 0, "left", "right")
+
+
 def test_coverage_packs_alike_pairs_once(spark):
     rng = random.Random(6)
     rows = spark.createDataFrame([made(rng) for _ in range(40)] * 3 + [(None, made(rng)[1])], f"left {CARD}, right {CARD}")
